@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate
+from tessella.llm import bpe, decontaminate
 from tessella.session import table
 
 
@@ -10,5 +10,20 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate}
+def op2_bpe(spark, sf_dir):
+    ranks, pattern = public_vocabulary()
+    return bpe.digest(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
+def public_vocabulary():
+    """Ranks and split pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op9_decontaminate": op9_decontaminate,
+}
 ORACLES = {"op9_decontaminate": decontaminate.ORACLE_SQL}
