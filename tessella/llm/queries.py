@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, decontaminate
+from tessella.llm import bpe, decontaminate, near_dedup
 from tessella.session import table
 
 
@@ -22,8 +22,16 @@ def public_vocabulary():
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_near_dedup": op4_near_dedup,
     "op9_decontaminate": op9_decontaminate,
 }
-ORACLES = {"op9_decontaminate": decontaminate.ORACLE_SQL}
+ORACLES = {
+    "op4_near_dedup": near_dedup.ORACLE_SQL,
+    "op9_decontaminate": decontaminate.ORACLE_SQL,
+}
