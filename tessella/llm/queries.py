@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, decontaminate, near_dedup
+from tessella.llm import bpe, chat, decontaminate, license_scan, near_dedup
 from tessella.session import table
 
 
+def op6_license_scan(spark, sf_dir):
+    return license_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -22,16 +26,23 @@ def public_vocabulary():
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op3_chat(spark, sf_dir):
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_chat": op3_chat,
     "op4_near_dedup": op4_near_dedup,
+    "op6_license_scan": op6_license_scan,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES = {
+    "op3_chat": chat.ORACLE_SQL,
     "op4_near_dedup": near_dedup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
