@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontaminate, license_scan, near_dedup
+from tessella.llm import bpe, chat, decontaminate, license_scan, near_dedup, toxicity
 from tessella.session import table
 
 
@@ -10,6 +10,10 @@ def op6_license_scan(spark, sf_dir):
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_near_dedup": op4_near_dedup,
     "op6_license_scan": op6_license_scan,
+    "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES = {
