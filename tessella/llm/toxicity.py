@@ -10,13 +10,13 @@ Learning: features are whole words and their first 4 to 8 bytes. A feature's sup
 is the lesser of the toxic documents and of the distinct next words it has there, so
 that copies of one document count about once. It enters the lexicon if that support is
 too high for chance (a binomial test, corrected for all features tried); its weight is
-the share of toxic among the training documents that hold it. A document's score is a
-noisy-or over its words: one minus the product of one minus each word's weight, from
-the rate of toxic documents without any such word. Learning reads at most
+the share of toxic among the training documents that hold it. A document's evidence is
+the sum of -log(1 - weight) over its words, and a logistic curve over the evidence,
+fitted to the training documents, makes it a probability. Learning reads at most
 ``train_rows`` labelled documents, those of the smallest hash of their id; the language
 model reads all documents.
 
-Defined results: null and empty texts have the rate of documents without lexicon words;
+Defined results: null and empty texts have the score of documents without lexicon words;
 documents without a usable label are not learned from; a document labelled more than
 once counts as toxic if any label says so; without toxic training documents all scores
 are 0. Labels, lang, source and ids are never inputs of a score. Columns other than the
@@ -180,11 +180,27 @@ def lookup(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Lexicon:
     keys: np.ndarray
     weights: np.ndarray
-    base: float
+    #: Intercept and slope of the logistic curve over the evidence.
+    curve: tuple[float, float]
     characters: np.ndarray
 
     def plain(self) -> tuple:
-        return self.keys, self.weights, self.base, self.characters
+        return self.keys, self.weights, self.curve, self.characters
+
+
+def fit_curve(evidence: np.ndarray, toxic: np.ndarray, count: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Logistic regression of one variable by Newton steps over weighted points."""
+    x = np.stack([np.ones_like(evidence), evidence], axis=1)
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (count * (p - toxic)) + ridge * w
+        hessian = (x * (count * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        step = np.linalg.solve(hessian, gradient)
+        w = w - step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])
 
 
 def _log_tail(k: int, n: int, p: float) -> float:
@@ -208,7 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, t
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     characters = character_model(docs, text_col)
     if not toxic:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), 0.0, characters)
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0), (-30.0, 0.0), characters)
     rate = toxic / (toxic + clean)
     found = train.where("toxic > 0").select("id", "text").mapInArrow(_toxic_features, "feature long, doc long, after long")
     support = found.groupBy("feature").agg(F.countDistinct("doc").alias("docs"), F.countDistinct("after").alias("after")).where("docs > 2 AND after > 2").toArrow()
@@ -223,9 +239,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, t
     strict = math.log(0.05) - math.log(max(1, len(keys)))
     weights = docs_with / (docs_with + clean_with + 1.0)
     good = np.array([w >= 0.5 and _log_tail(int(min(d, s)), int(min(d, s) + c), min(rate, 0.5)) < strict for w, d, s, c in zip(weights, docs_with, spread, clean_with)], bool)
-    lexicon = Lexicon(keys[good], weights[good], 0.0, characters)
-    missed = score_texts(train.select("id", "text"), lexicon).where("hits = 0").select("id").join(train, "id").agg(F.avg(F.expr("int(toxic > 0)"))).first()[0]
-    return Lexicon(keys[good], weights[good], float(missed or 0.0), characters)
+    lexicon = Lexicon(keys[good], weights[good], (0.0, 1.0), characters)
+    seen = score_texts(train.select("id", "text"), lexicon).select("id", F.round("evidence", 1).alias("evidence")).join(train.select("id", "toxic"), "id")
+    points = seen.groupBy("evidence", F.expr("int(toxic > 0)").alias("toxic")).agg(F.count("*").alias("n")).toPandas()
+    curve = fit_curve(points["evidence"].to_numpy(float), points["toxic"].to_numpy(float), points["n"].to_numpy(float))
+    return Lexicon(keys[good], weights[good], curve, characters)
 
 
 # --- scoring
@@ -233,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, t
 
 def _scores(shared, keep, text_col: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights, base, characters = shared.value
+        keys, weights, (intercept, slope), characters = shared.value
         table = np.zeros(1 << 20, bool)
         table[(keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -257,37 +275,39 @@ def _scores(shared, keep, text_col: str = "text"):
         for batch in batches:
             column = batch.column(text_col)
             texts, plain = as_bytes(column), column.to_pylist()
-            clean, hits = np.ones(len(texts)), np.zeros(len(texts), np.int64)
+            evidence, hits = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for a, b in chunks(texts):
                 chunk = scan(texts[a:b], _LETTERS)
                 if len(keys) and len(chunk.starts):
                     w = word_weights(chunk)
                     at = np.flatnonzero(w)
                     owner = np.searchsorted(chunk.first, at, side="right") - 1 + a
-                    np.multiply.at(clean, owner, 1 - w[at])
+                    np.add.at(evidence, owner, -np.log(1 - w[at]))
                     np.add.at(hits, owner, 1)
             for i, text in enumerate(plain):
                 for token in _DISGUISED.finditer(text) if text else ():
                     w = hidden(token[0])
                     if w > 0:
-                        clean[i] *= 1 - min(w, 0.999)
+                        evidence[i] -= math.log(1 - min(w, 0.999))
                         hits[i] += 1
-            yield keep(batch, 1 - (1 - base) * clean, hits)
+            score = 1 / (1 + np.exp(-np.clip(intercept + slope * evidence, -30, 30)))
+            yield keep(batch, score, hits, evidence)
 
     return run
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Per document: id, score, hits (words that the lexicon knows)."""
+    """Per document: id, score, hits (words that the lexicon knows), evidence."""
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(lexicon.plain())
 
-    def keep(batch, score, hits):
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(hits)], names=["id", "score", "hits"])
+    def keep(batch, score, hits, evidence):
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(hits), pa.array(evidence)], names=["id", "score", "hits", "evidence"])
 
-    return source.mapInArrow(_scores(shared, keep), T.StructType([source.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType())]))
+    return source.mapInArrow(_scores(shared, keep), T.StructType([
+        source.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 
 
 def reject(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -296,7 +316,7 @@ def reject(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", thresho
     ship(spark)
     shared = spark.sparkContext.broadcast(lexicon.plain())
 
-    score = _scores(shared, lambda batch, s, _hits: (batch, s), text_col)
+    score = _scores(shared, lambda batch, s, *_: (batch, s), text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, s in score(batches):
