@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontaminate, license_scan, near_dedup, toxicity
+from tessella.llm import bpe, chat, decontaminate, license_scan, near_dedup, toxicity, warc
 from tessella.session import table
 
 
@@ -14,6 +14,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,9 +48,11 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLES = {
+    "op8_warc": warc.ORACLE_SQL,
     "op3_chat": chat.ORACLE_SQL,
     "op4_near_dedup": near_dedup.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
