@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontaminate, license_scan, near_dedup, toxicity, warc
+from tessella.llm import bpe, chat, decontaminate, html_text, license_scan, near_dedup, toxicity, warc
 from tessella.session import table
 
 
+def op5_html_text(spark, sf_dir):
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op6_license_scan(spark, sf_dir):
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_near_dedup": op4_near_dedup,
+    "op5_html_text": op5_html_text,
     "op6_license_scan": op6_license_scan,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
