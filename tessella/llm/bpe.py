@@ -3,9 +3,9 @@
 Each match of the split pattern is a word. Merging runs in Spark higher-order
 functions: a word is an array of byte values, and a fold over it merges, step by
 step, the neighbours of lowest rank (the leftmost on a tie), which is the merge
-order of the byte-level BPE libraries. The ranks are one literal: an array of
-small buckets of keys and values, indexed by the pair of token ids, so that a look-up costs the same at
-any vocabulary size. Decoding concatenates the tokens' bytes.
+order of the byte-level BPE libraries. The ranks are a literal map from the
+ids of two neighbours, kept as a perfect hash in two literal arrays, so that a look-up
+costs the same at any vocabulary size. Decoding concatenates the tokens' bytes.
 
 Words that occur often are folded once: their counts over all texts are taken, the
 most frequent ``cache_words`` (a fixed bound) are folded into a table, and that
@@ -31,8 +31,9 @@ from tessella.session import materialise, ship
 
 #: Most frequent words whose token ids are broadcast.
 CACHE_WORDS = 1 << 18
-_BUCKETS = 1 << 14
+_BUCKETS = 16_381
 _SHIFT = 1 << 20
+_P1, _P2 = 1_000_003, 999_983
 _NONE = 2**31 - 1
 #: Distinct words that a counting task holds before it passes them on.
 _HELD_WORDS = 200_000
@@ -44,64 +45,97 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map: (id of left, id of right) to the rank of both joined, as keys k and values v of each bucket."""
-    buckets: list[dict[int, int]] = [{} for _ in range(_BUCKETS)]
+def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(id of left, id of right) to the rank of both joined.
+
+    A token is only ever made from the two parts that the lower ranks leave of its
+    bytes, so one pair per token is the whole rank map.
+    """
+    out = {}
     for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                key = left * _SHIFT + right
-                buckets[key % _BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps([{"k": [*b], "v": [*b.values()]} for b in buckets])), "array<struct<k: array<bigint>, v: array<int>>>")
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], rank)) < rank]
+            if not found:
+                break
+            at = min(found)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2:
+            out[ranks[parts[0]], ranks[parts[1]]] = rank
+    return out
+
+
+def _perfect_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """Hash and displace: the displacement of each bucket, and slots of key * 2^20 + rank (-1: free)."""
+    buckets: list[list[tuple[int, int]]] = [[] for _ in range(_BUCKETS)]
+    for (left, right), rank in pairs.items():
+        key = left * _SHIFT + right
+        buckets[key % _BUCKETS].append((key, rank))
+    size = max(_BUCKETS, 1 << (2 * len(pairs)).bit_length())
+    moves, slots = [0] * _BUCKETS, [-1] * size
+    for b in sorted(range(_BUCKETS), key=lambda b: -len(buckets[b])):
+        d = 0
+        while True:
+            at = {(key % _P1 + d * (1 + key % _P2)) % size for key, _ in buckets[b]}
+            if len(at) == len(buckets[b]) and all(slots[x] < 0 for x in at):
+                break
+            d += 1
+        moves[b] = d
+        for key, rank in buckets[b]:
+            slots[(key % _P1 + d * (1 + key % _P2)) % size] = key * _SHIFT + rank
+    return moves, slots
+
+
+def rank_literal(ranks: dict[bytes, int]):
+    """The rank map as two literal arrays, looked up in constant time: a function from a pair's key to its rank."""
+    moves, slots = _perfect_table(merges(ranks))
+    displaced, table, size = (F.from_json(F.lit(json.dumps(moves)), "array<bigint>"), F.from_json(F.lit(json.dumps(slots)), "array<bigint>"), len(slots))
+
+    def rank_of(key: Column) -> Column:
+        slot = (key % _P1 + F.get(displaced, (key % _BUCKETS).cast("int")) * (key % _P2 + 1)) % size
+        found = F.transform(F.array(F.get(table, slot.cast("int"))), lambda held: F.when(F.shiftright(held, 20) == key, held.bitwiseAND(_SHIFT - 1)).otherwise(F.lit(_NONE)))
+        return F.get(found, F.lit(0))
+
+    return rank_of
 
 
 def fold_word(word: Column, ranks: dict[bytes, int]) -> Column:
-    """array<int> of byte values to array<int> of token ids."""
-    table = rank_literal(ranks)
-    single = F.array(*[F.lit(ranks[bytes([b])]) for b in range(256)])
-
-    def rank_of(pair: Column) -> Column:
-        bucket = F.get(table, (pair % _BUCKETS).cast("int"))
-        return F.coalesce(F.get(bucket["v"], (F.array_position(bucket["k"], pair) - 1).cast("int")), F.lit(_NONE))
-
-    def state(ids: Column, ranked: Column) -> Column:
-        """ids, the ranks of neighbours, and where the lowest rank stands (0: nothing to merge)."""
-        made = F.transform(F.array(ranked), lambda r: F.struct(
-            ids.alias("ids"), r.alias("ranks"),
-            F.coalesce(F.when(F.array_min(r) < _NONE, F.array_position(r, F.array_min(r))), F.lit(0)).cast("int").alias("at"),
-        ))
-        return F.get(made, F.lit(0))
+    """array<int> of byte values to array<bigint> of token ids.
+
+    The fold's state is the ids so far, the rank of each pair of neighbours, and where
+    the lowest rank stands (-1: ranks are yet to be looked up, 0: nothing to merge).
+    """
+    rank_of = rank_literal(ranks)
+    single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+    nothing = F.array().cast("array<bigint>")
 
-    def pair(a: Column, b: Column) -> Column:
-        return a.cast("bigint") * _SHIFT + b
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def merge(acc: Column) -> Column:
+    def key(a: Column, b: Column) -> Column:
+        return a * _SHIFT + b
+
+    def step(acc: Column) -> Column:
         ids, ranked, at = acc["ids"], acc["ranks"], acc["at"]
         token, n = F.get(ranked, at - 1), F.size(ids)
-        nothing = F.array().cast("array<bigint>")
-        pairs = F.concat(
-            F.when(at > 1, F.array(pair(F.get(ids, at - 2), token))).otherwise(nothing),
-            F.when(at < n - 1, F.array(pair(token, F.get(ids, at + 1)))).otherwise(nothing),
-        )
-        kept_left = F.greatest(at - 2, F.lit(0))
-        return state(
-            F.concat(F.slice(ids, 1, at - 1), F.array(token), F.slice(ids, at + 2, n)),
-            F.concat(F.slice(ranked, F.lit(1), kept_left), F.transform(pairs, rank_of), F.slice(ranked, at + 2, n)),
-        )
+        keys = F.when(at < 0, F.transform(F.sequence(F.lit(1), n - 1), lambda i: key(F.get(ids, i - 1), F.get(ids, i)))).otherwise(F.concat(
+            F.when(at > 1, F.array(key(F.get(ids, at - 2), token))).otherwise(nothing),
+            F.when(at < n - 1, F.array(key(token, F.get(ids, at + 1)))).otherwise(nothing),
+        ))
+        looked = F.transform(keys, rank_of)
+        now = F.when(at < 0, looked).otherwise(F.concat(F.slice(ranked, F.lit(1), F.greatest(at - 2, F.lit(0))), looked, F.slice(ranked, at + 2, n)))
+        merged = F.when(at < 0, ids).otherwise(F.concat(F.slice(ids, F.lit(1), at - 1), F.array(token), F.slice(ids, at + 2, n)))
+        return let(now, lambda r: let(F.coalesce(F.array_min(r), F.lit(_NONE)), lambda least: F.struct(
+            merged.alias("ids"), r.alias("ranks"), F.when(least < _NONE, F.array_position(r, least).cast("int")).otherwise(F.lit(0)).alias("at"))))
 
     ids = F.transform(word, lambda b: F.get(single, b))
-    start = F.get(F.transform(F.array(ids), lambda w: state(w, F.transform(
-        F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: rank_of(pair(F.get(w, i - 1), F.get(w, i))),
-    ))), F.lit(0))
-    return F.aggregate(word, start, lambda acc, _: F.when(acc["at"] == 0, acc).otherwise(merge(acc)), lambda acc: acc["ids"])
+    start = F.struct(ids.alias("ids"), nothing.alias("ranks"), F.when(F.size(word) > 1, F.lit(-1)).otherwise(F.lit(0)).alias("at"))
+    return F.aggregate(word, start, lambda acc, _: F.when(acc["at"] == 0, acc).otherwise(step(acc)), lambda acc: acc["ids"])
 
 
 def _little_endian(ids: Column) -> Column:
     """Hex of ids as little-endian unsigned 32-bit integers."""
     def one(x: Column) -> Column:
-        x = x.cast("bigint")
         swapped = F.shiftleft(x.bitwiseAND(255), 24) + F.shiftleft(F.shiftright(x, 8).bitwiseAND(255), 16) + F.shiftleft(F.shiftright(x, 16).bitwiseAND(255), 8) + F.shiftright(x, 24).bitwiseAND(255)
         return F.lpad(F.hex(swapped), 8, "0")
 

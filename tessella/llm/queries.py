@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import bpe, chat, decontaminate, html_text, license_scan, near_dedup, toxicity, warc
+from tessella.llm import ann, bpe, chat, decontaminate, html_text, license_scan, near_dedup, toxicity, warc
 from tessella.session import table
 
 
@@ -22,6 +22,10 @@ def op8_warc(spark, sf_dir):
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
+def op10_ann(spark, sf_dir):
+    return ann.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op10_ann": op10_ann,
 }
 ORACLES = {
     "op8_warc": warc.ORACLE_SQL,
