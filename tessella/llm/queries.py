@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import ann, bpe, chat, decontaminate, html_text, license_scan, near_dedup, toxicity, warc
+from tessella.llm import ann, bpe, chat, decontaminate, html_text, license_scan, near_dedup, quality, toxicity, warc
 from tessella.session import table
 
 
@@ -30,6 +30,10 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark, sf_dir):
     ranks, pattern = public_vocabulary()
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -51,6 +55,7 @@ def op4_near_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_near_dedup": op4_near_dedup,
