@@ -7,13 +7,15 @@
    values left cannot collide often enough and goes. Of the others, the rarest
    ``c - matches + 1`` values are the prefix: two classes that collide ``matches``
    times share a value of both prefixes, so the frequent lists are skipped.
-3. Prefix lists are merged. In each list the most central classes (those whose values
-   are shared most) are compared with all members; what they link is one component.
-   Only lists whose members still lie in several components are compared further,
-   members outside the list's main component against the rest, and only pairs whose
-   sizes and private shingles leave the threshold within reach. Neither rule loses a
-   link between components: the first pairs are connected already, the others proven
-   too far apart.
+3. Prefix lists are merged around pivots: the most central class of a list (whose
+   values are shared most) is compared with all members, and what it links is one
+   component. Only where members of a pivot's lists still lie in several components
+   are they compared further, those outside the main component against the rest. Sets
+   u and v of a pivot b share at most min(|u & b|, |v & b|) shingles of b, so a link
+   needs the others from outside of b: such pairs are found by a second inverted join,
+   over the shingles that the members have beyond their pivot, and again the frequent
+   ones are skipped, as many as the pair needs less one. Neither rule loses a link
+   between components: the first pairs are connected already, the others too far apart.
 4. Candidates whose signatures collide at least ``matches`` times are confirmed on the
    full sets: 100 * intersection >= percent * union. Components of confirmed links are
    the groups of near duplicates.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.llm._words import SPACED, as_bytes, chunks, mix, rolling, scan
 from tessella.operators.components import connected_components
@@ -104,47 +106,54 @@ def _sets(size: int):
     return run
 
 
-def _linked(percent: int):
-    """Keeps pairs whose packed sets overlap enough: 100 * intersection >= percent * union."""
+#: Lists of a pivot with more members are compared with it on full sets without exception.
+FREQUENT = 64
+
+_COMPARED = "a long, b long, n long, base long, linked boolean, beyond array<long>"
+
+
+def _compare(percent: int, beyond: bool):
+    """Compares packed sets x of a and y of b: shared shingles, link or not, and what b has beyond a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            n, base, linked, rest = [], [], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                same = np.isin(y, x, assume_unique=True)
+                both = int(same.sum())
+                n.append(len(y))
+                base.append(both)
+                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                rest.append(y[~same] if beyond else y[:0])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64())),
+            ], names=["a", "b", "n", "base", "linked", "beyond"])
 
     return run
 
 
 class _Linker:
-    """Confirms candidate pairs (a, b): collisions of signatures first, then full sets."""
+    """Compares candidate pairs (a, b): collisions of signatures first, then full sets."""
 
     def __init__(self, posted: DataFrame, sets: DataFrame, matches: int, percent: int):
         self.posted, self.sets, self.matches, self.percent = posted, sets, matches, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def compared(self, pairs: DataFrame, beyond: bool = False) -> DataFrame:
+        """pairs: a, b and sure (compared whatever the signatures say)."""
         left = self.posted.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
         right = self.posted.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
-        enough = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("s", "t")) >= self.matches).select("a", "b")
-        enough = materialise(enough, "dedup-candidates")
+        unsure = pairs.where("NOT sure").join(left, "a").join(right, "b").where(F.size(F.array_intersect("s", "t")) >= self.matches)
+        enough = materialise(unsure.select("a", "b").unionByName(pairs.where("sure").select("a", "b")), "dedup-candidates")
         x = self.sets.select(F.col("id").alias("a"), F.col("packed").alias("x"))
         y = self.sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         full = enough.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        return materialise(full.mapInArrow(_linked(self.percent), enough.schema), "dedup-links")
-
-
-def _unpacked(packed: F.Column) -> F.Column:
-    """Shingle hashes of a packed set, as 16 hex digits each."""
-    digits = F.hex(packed)
-    return F.transform(F.sequence(F.lit(0), (F.octet_length(packed) / 8).cast("int") - 1), lambda i: digits.substr(i * 16 + 1, F.lit(16)))
+        return materialise(full.mapInArrow(_compare(self.percent, beyond), _COMPARED), "dedup-compared")
 
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES,
-    matches: int = MATCHES, pivots: int = 2,
+    matches: int = MATCHES,
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links)."""
     spark = docs.sparkSession
@@ -162,20 +171,16 @@ def near_duplicates(
         "id", F.col("posted.token").alias("tokens"), F.aggregate("posted", F.lit(0).cast("long"), lambda acc, p: acc + p["df"]).alias("central"),
     ), "dedup-posted")
     prefix = posted.select("id", "central", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - matches + 1)).alias("token"))
-    lists = prefix.groupBy("token").agg(F.count("*").alias("members"), F.max_by("id", F.struct("central", "id")).alias("pivot")).where("members > 1")
-    lists = materialise(prefix.join(lists, "token"), "dedup-lists")
-
-    sets = _sets_of(source, posted.select("id"), shingle)
-    linker = _Linker(posted, sets, matches, percent)
-
-    def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
+    lists = prefix.groupBy("token").agg(F.count("*").alias("members"), F.max_by("id", F.struct("central", "id")).alias("pivot")).where("members > 1").select("token", "pivot")
+    around = materialise(prefix.join(lists, "token").select("pivot", "id").distinct(), "dedup-around")
 
-    links = linker.links(ordered(lists, "id", "pivot"))
-    second = lists.where("id <> pivot AND members > 2").groupBy("token").agg(F.max_by("id", F.struct("central", "id")).alias("other"))
-    links = links.unionByName(linker.links(ordered(lists.join(second, "token"), "id", "other").join(links, ["a", "b"], "left_anti")))
-    rest = _unresolved(lists, links, sets, percent)
-    links = links.unionByName(linker.links(ordered(rest, "id", "with").join(links, ["a", "b"], "left_anti")))
+    linker = _Linker(posted, _sets_of(source, posted.select("id"), shingle), matches, percent)
+    frequent = around.groupBy("pivot").agg((F.count("*") > FREQUENT).alias("sure"))
+    stars = around.where("id <> pivot").join(frequent, "pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sure")
+    first = linker.compared(stars, beyond=True)
+    links = first.where("linked").select("a", "b")
+    rest = linker.compared(_unresolved(around, first, links, classes.select("id", "n"), percent))
+    links = links.unionByName(rest.where("linked").select("a", "b"))
 
     components = materialise(connected_components(links), "dedup-components")
     named = classes.select("f1", "f2", "n", F.col("id").alias("node")).join(components, "node", "left").select(
@@ -203,24 +208,33 @@ def _sets_of(source: DataFrame, ids: DataFrame, shingle: int, words: int = 1 <<
     return materialise(likely.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, packed binary").dropDuplicates(["id", "packed"]), "dedup-sets")
 
 
-def _unresolved(lists: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(id, with): pairs of members of one list in different components that may still be links."""
+def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, sure = false): members of one pivot's lists in different components that may still be links."""
     components = materialise(connected_components(links), "dedup-components")
-    held = lists.where("members > 3").join(components.withColumnRenamed("node", "id"), "id", "left").select("token", "id", F.coalesce("component", "id").alias("c"))
-    parted = held.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
-    held = materialise(held.join(parted, "token", "left_semi"), "dedup-parted")
-    # Shingles that no other member of any such list has cannot be shared.
-    ids = held.select("id").distinct()
-    mine = sets.join(ids, "id", "left_semi")
-    private = mine.select("id", F.explode(_unpacked("packed")).alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
-    sizes = mine.select("id", (F.octet_length("packed") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
-    sizes = sizes.join(private.groupBy("id").agg(F.count("*").alias("e")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("e", F.lit(0))).alias("open"))
-    held = materialise(held.join(sizes.where(F.col("open") * 100 >= F.col("n") * percent), "id"), "dedup-open")
-    main = held.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    outside = held.join(main, "token").where("c <> main").select("token", "id", "c", "n", "open")
-    others = held.join(outside.select("token").distinct(), "token", "left_semi").select("token", F.col("id").alias("with"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("open").alias("open2"))
-    both = F.least("open", "open2")
-    return outside.join(others, (outside["token"] == others["token"]) & (F.col("c") != F.col("d")) & (both * 100 >= (F.col("n") + F.col("m") - both) * percent)).select("id", "with")
+    named = around.join(components.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("c"))
+    parted = named.groupBy("pivot").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y AND k > 2").select("pivot")
+    # The pivot itself has been compared with all.
+    held = named.join(parted, "pivot", "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    held = held.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "base", "beyond"), ["pivot", "id"], "left")
+    held = materialise(held, "dedup-parted")
+    main = held.groupBy("pivot", "c").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    beyond = held.where("base IS NOT NULL").select("pivot", "id", "c", "n", "base", F.explode("beyond").alias("h"))
+    beyond = beyond.join(beyond.groupBy("pivot", "h").agg(F.count("*").alias("df")).where("df > 1"), ["pivot", "h"])
+    beyond = materialise(beyond.withColumn("rank", F.row_number().over(W.partitionBy("pivot", "id").orderBy(F.desc("df"), "h"))), "dedup-beyond")
+
+    def outside(frame: DataFrame) -> DataFrame:
+        return frame.join(main, "pivot").where("c <> main").drop("main")
+
+    def other(frame: DataFrame) -> DataFrame:
+        return frame.select([F.col(c).alias(c if c in ("pivot", "h") else f"{c}2") for c in frame.columns])
+
+    apart = (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.least("base", "base2")
+    few = held.drop("beyond")
+    near = outside(few).join(other(few), "pivot").where(apart & (need.isNull() | (need <= 0)))
+    far = outside(beyond).join(other(beyond), ["pivot", "h"]).where(apart & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need))
+    pairs = near.select("id", "id2").unionByName(far.select("id", "id2"))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).where("a < b").distinct().withColumn("sure", F.lit(False))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
