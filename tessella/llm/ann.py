@@ -6,7 +6,8 @@ neighbours together), a small network learns which part a vector's neighbours li
 and the number of parts that a query must probe for the wanted recall is measured on
 sample queries against brute force. Every vector is then indexed under the part that
 the network finds most probable; queries go to their most probable parts, and all
-vectors there are reranked by the exact inner product in double precision.
+vectors there are reranked by the exact inner product in double precision: first those
+of the most probable part, then those of the others that reach the score of the k-th.
 
 Parts and the queries sent to them are dealt into blocks of bounded size, so no task
 holds a part. Of vectors that are equal bit for bit, only the smallest ids can be among
@@ -143,24 +144,27 @@ def fit(sample: np.ndarray, parts: int, k: int, wanted: float = WANTED_RECALL, s
     return router, probes
 
 
-def _top(scores: np.ndarray, queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, owners: list[np.ndarray], k: int):
+def _top(scores: np.ndarray, queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, vectors: np.ndarray, owners: list[np.ndarray], k: int):
     """(query, vec, score) of each query's k best; vectors are distinct, owners[j] are the ids of vector j."""
     q_out, v_out, s_out = [], [], []
     for i, q in enumerate(q_ids):
         row = scores[i]
         wanted = min(k + 1, len(row))
-        least = np.partition(row, len(row) - wanted)[len(row) - wanted]
+        least = max(np.partition(row, len(row) - wanted)[len(row) - wanted], floors[i])
         at = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
         # Sums in a fixed order, so that a pair scores the same in every block.
         exact = (vectors[at] * queries[i]).sum(axis=1)
+        at, exact = at[exact >= floors[i]], exact[exact >= floors[i]]
         ids = [owners[j][owners[j] != q][:k] for j in at]
+        if not ids:
+            continue
         flat = np.concatenate(ids)
         score = np.repeat(exact, [len(x) for x in ids])
         first = np.lexsort((flat, -score))[:k]
         q_out.append(np.full(len(first), q))
         v_out.append(flat[first])
         s_out.append(score[first])
-    return np.concatenate(q_out), np.concatenate(v_out), np.concatenate(s_out)
+    return np.concatenate([np.zeros(0, np.int64), *q_out]), np.concatenate([np.zeros(0, np.int64), *v_out]), np.concatenate([np.zeros(0), *s_out])
 
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -180,8 +184,8 @@ def _rerank(k: int):
                 same.append(int(ids[i]))
         vectors = np.frombuffer(b"".join(by_vector), np.float64).reshape(len(by_vector), -1)
         owners = [np.array(x) for x in by_vector.values()]
-        queries, q_ids = read(asked), asked.column("id").to_numpy()
-        out = [_top(queries[a : a + 256] @ vectors.T, queries[a : a + 256], q_ids[a : a + 256], vectors, owners, k) for a in range(0, len(q_ids), 256)]
+        queries, q_ids, floors = read(asked), asked.column("id").to_numpy(), asked.column("floor").to_numpy()
+        out = [_top(queries[a : a + 256] @ vectors.T, queries[a : a + 256], q_ids[a : a + 256], floors[a : a + 256], vectors, owners, k) for a in range(0, len(q_ids), 256)]
         return pa.table({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
     return run
@@ -225,25 +229,33 @@ def search(
     placed = materialise(rows.mapInArrow(place, "id long, part int, packed binary, goes array<int>"), "ann-placed")
 
     def nearest(queries: DataFrame) -> DataFrame:
-        """queries: id, packed, part to probe."""
+        """queries: id, packed, part to probe, floor (least score of interest)."""
         queries = materialise(queries, "ann-asked")
         q_blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs"))
         m_blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("ms"))
         blocks = F.broadcast(m_blocks.join(q_blocks, "part"))  # a row for each part, MAX_PARTS at most
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asked = queries.join(blocks, "part").select("id", "packed", "part", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"), each("ms").alias("m"))
+        asked = queries.join(blocks, "part").select("id", "packed", "floor", "part", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"), each("ms").alias("m"))
         members = placed.join(blocks, "part").select("id", "packed", "part", F.pmod(F.xxhash64("id"), "ms").cast("int").alias("m"), each("qs").alias("q"))
         keys = ["part", "q", "m"]
         found = asked.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(_rerank(k), _FOUND)
+        return found
+
+    def ranked(found: DataFrame) -> DataFrame:
         best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+    anything = F.lit(float("-inf"))
     asking = placed.where("goes IS NOT NULL").dropDuplicates(["id"])
-    found = materialise(nearest(asking.select("id", "packed", F.explode("goes").alias("part"))), "ann-found")
+    found = materialise(ranked(nearest(asking.select("id", "packed", F.col("goes")[0].alias("part"), anything.alias("floor")))), "ann-first")
+    if probes > 1:
+        floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        others = asking.join(floors, "id", "left").select("id", "packed", F.explode(F.slice("goes", 2, probes)).alias("part"), F.coalesce("least", anything).alias("floor"))
+        found = materialise(ranked(found.drop("rank").unionByName(nearest(others))), "ann-found")
     if probes < parts:
         short = asking.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
         if short.limit(1).count():
-            again = nearest(short.select("id", "packed", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")))
+            again = ranked(nearest(short.select("id", "packed", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), anything.alias("floor"))))
             found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found
 

@@ -10,12 +10,13 @@
 3. Prefix lists are merged around pivots: the most central class of a list (whose
    values are shared most) is compared with all members, and what it links is one
    component. Only where members of a pivot's lists still lie in several components
-   are they compared further, those outside the main component against the rest. Sets
-   u and v of a pivot b share at most min(|u & b|, |v & b|) shingles of b, so a link
-   needs the others from outside of b: such pairs are found by a second inverted join,
-   over the shingles that the members have beyond their pivot, and again the frequent
-   ones are skipped, as many as the pair needs less one. Neither rule loses a link
-   between components: the first pairs are connected already, the others too far apart.
+   are they compared further, those outside the main component against the rest. A
+   member differs from its pivot by its edits, the shingles that one of both has and
+   the other lacks, and two members are as far apart as the edits that they do not
+   share. A link therefore needs a certain number of shared edits, and such pairs are
+   found by a second inverted join, over edits, where again the frequent ones are
+   skipped, as many as the pair needs less one. Neither rule loses a link between
+   components: the first pairs are connected already, the others too far apart.
 4. Candidates whose signatures collide at least ``matches`` times are confirmed on the
    full sets: 100 * intersection >= percent * union. Components of confirmed links are
    the groups of near duplicates.
@@ -109,26 +110,24 @@ def _sets(size: int):
 #: Lists of a pivot with more members are compared with it on full sets without exception.
 FREQUENT = 64
 
-_COMPARED = "a long, b long, n long, base long, linked boolean, beyond array<long>"
+_COMPARED = "a long, b long, n long, linked boolean, edits array<long>"
 
 
-def _compare(percent: int, beyond: bool):
-    """Compares packed sets x of a and y of b: shared shingles, link or not, and what b has beyond a."""
+def _compare(percent: int, edits: bool):
+    """Compares packed sets x of a and y of b: size of y, link or not, and what only one of both has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, base, linked, rest = [], [], [], []
+            n, linked, apart = [], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                same = np.isin(y, x, assume_unique=True)
-                both = int(same.sum())
+                both = np.intersect1d(x, y, assume_unique=True)
                 n.append(len(y))
-                base.append(both)
-                linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                rest.append(y[~same] if beyond else y[:0])
+                linked.append(len(both) > 0 and 100 * len(both) >= percent * (len(x) + len(y) - len(both)))
+                apart.append(np.setdiff1d(np.union1d(x, y), both, assume_unique=True) if edits else both[:0])
             yield pa.RecordBatch.from_arrays([
-                batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(base, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64())),
-            ], names=["a", "b", "n", "base", "linked", "beyond"])
+                batch.column("a"), batch.column("b"), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.list_(pa.int64())),
+            ], names=["a", "b", "n", "linked", "edits"])
 
     return run
 
@@ -139,7 +138,7 @@ class _Linker:
     def __init__(self, posted: DataFrame, sets: DataFrame, matches: int, percent: int):
         self.posted, self.sets, self.matches, self.percent = posted, sets, matches, percent
 
-    def compared(self, pairs: DataFrame, beyond: bool = False) -> DataFrame:
+    def compared(self, pairs: DataFrame, edits: bool = False) -> DataFrame:
         """pairs: a, b and sure (compared whatever the signatures say)."""
         left = self.posted.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
         right = self.posted.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
@@ -148,7 +147,7 @@ class _Linker:
         x = self.sets.select(F.col("id").alias("a"), F.col("packed").alias("x"))
         y = self.sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         full = enough.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        return materialise(full.mapInArrow(_compare(self.percent, beyond), _COMPARED), "dedup-compared")
+        return materialise(full.mapInArrow(_compare(self.percent, edits), _COMPARED), "dedup-compared")
 
 
 def near_duplicates(
@@ -177,7 +176,7 @@ def near_duplicates(
     linker = _Linker(posted, _sets_of(source, posted.select("id"), shingle), matches, percent)
     frequent = around.groupBy("pivot").agg((F.count("*") > FREQUENT).alias("sure"))
     stars = around.where("id <> pivot").join(frequent, "pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sure")
-    first = linker.compared(stars, beyond=True)
+    first = linker.compared(stars, edits=True)
     links = first.where("linked").select("a", "b")
     rest = linker.compared(_unresolved(around, first, links, classes.select("id", "n"), percent))
     links = links.unionByName(rest.where("linked").select("a", "b"))
@@ -215,12 +214,12 @@ def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: Da
     parted = named.groupBy("pivot").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y AND k > 2").select("pivot")
     # The pivot itself has been compared with all.
     held = named.join(parted, "pivot", "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
-    held = held.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "base", "beyond"), ["pivot", "id"], "left")
+    held = held.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.size("edits").alias("k"), "edits"), ["pivot", "id"], "left")
     held = materialise(held, "dedup-parted")
     main = held.groupBy("pivot", "c").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    beyond = held.where("base IS NOT NULL").select("pivot", "id", "c", "n", "base", F.explode("beyond").alias("h"))
-    beyond = beyond.join(beyond.groupBy("pivot", "h").agg(F.count("*").alias("df")).where("df > 1"), ["pivot", "h"])
-    beyond = materialise(beyond.withColumn("rank", F.row_number().over(W.partitionBy("pivot", "id").orderBy(F.desc("df"), "h"))), "dedup-beyond")
+    edits = held.where("k IS NOT NULL").select("pivot", "id", "c", "n", "k", F.explode("edits").alias("h"))
+    edits = edits.join(edits.groupBy("pivot", "h").agg(F.count("*").alias("df")).where("df > 1"), ["pivot", "h"])
+    edits = materialise(edits.withColumn("rank", F.row_number().over(W.partitionBy("pivot", "id").orderBy(F.desc("df"), "h"))), "dedup-edits")
 
     def outside(frame: DataFrame) -> DataFrame:
         return frame.join(main, "pivot").where("c <> main").drop("main")
@@ -229,10 +228,10 @@ def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: Da
         return frame.select([F.col(c).alias(c if c in ("pivot", "h") else f"{c}2") for c in frame.columns])
 
     apart = (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.least("base", "base2")
-    few = held.drop("beyond")
+    need = F.ceil(((F.col("k") + F.col("k2")) * (100 + percent) - (F.col("n") + F.col("n2")) * (100 - percent)) / (2 * (100 + percent)))
+    few = held.drop("edits")
     near = outside(few).join(other(few), "pivot").where(apart & (need.isNull() | (need <= 0)))
-    far = outside(beyond).join(other(beyond), ["pivot", "h"]).where(apart & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need))
+    far = outside(edits).join(other(edits), ["pivot", "h"]).where(apart & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need))
     pairs = near.select("id", "id2").unionByName(far.select("id", "id2"))
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).where("a < b").distinct().withColumn("sure", F.lit(False))
 
