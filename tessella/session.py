@@ -10,10 +10,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
+#: Rows of whole texts that a Python worker holds at once.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once per application."""
+    """Sends this package to the executors' Python, once per application, and bounds their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
