@@ -65,7 +65,7 @@ def meaning_tier(items: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
     """
     components = connected_components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
     members = components.join(items.select(F.col("id").alias("node"), "v"), "node")
-    proposals = pairs.join(components, pairs["i"] == components["node"]).select("component", "i", "j", "cos")
+    proposals = pairs.join(components, pairs["i"] == components["node"]).select(F.col("component").alias("part"), "i", "j", "cos")
 
     def replay(key, nodes, proposed):
         import numpy as np
@@ -84,7 +84,7 @@ def meaning_tier(items: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
                 root = {n: a if c == b else c for n, c in root.items()}
         return pd.DataFrame({"id": list(root), "root": list(root.values())})
 
-    return members.groupBy("component").cogroup(proposals.groupBy("component")).applyInPandas(replay, "id long, root long")
+    return members.groupBy("component").cogroup(proposals.groupBy("part")).applyInPandas(replay, "id long, root long")
 
 
 def exact_candidates(mentions_: DataFrame, most: int = 3) -> DataFrame:

@@ -28,9 +28,9 @@ def constrained_merge(items: DataFrame, proposals: DataFrame, forbidden: DataFra
     """
     components = materialise(connected_components(proposals.select("a", "b")), "merge-components")
     nodes = components.join(items, components["node"] == items["id"]).select("component", "id", "kind")
-    mine = proposals.join(components, proposals["a"] == components["node"]).select("component", "ord", "a", "b", F.lit(False).alias("no"))
+    mine = proposals.join(components, proposals["a"] == components["node"]).select(F.col("component").alias("part"), "ord", "a", "b", F.lit(False).alias("no"))
     other = components.select(F.col("node").alias("b"), F.col("component").alias("c2"))
-    never = forbidden.join(components.withColumnRenamed("node", "a"), "a").join(other, "b").where("component = c2").select("component", F.lit(-1).cast("long").alias("ord"), "a", "b", F.lit(True).alias("no"))
+    never = forbidden.join(components.withColumnRenamed("node", "a"), "a").join(other, "b").where("component = c2").select(F.col("component").alias("part"), F.lit(-1).cast("long").alias("ord"), "a", "b", F.lit(True).alias("no"))
 
     def replay(key, nodes, pairs):
         from collections import Counter
@@ -55,7 +55,7 @@ def constrained_merge(items: DataFrame, proposals: DataFrame, forbidden: DataFra
             kinds[a].update(kinds.pop(b))
         return pd.DataFrame({"id": list(root), "root": list(root.values())})
 
-    merged = nodes.groupBy("component").cogroup(mine.unionByName(never).groupBy("component")).applyInPandas(replay, "id long, root long")
+    merged = nodes.groupBy("component").cogroup(mine.unionByName(never).groupBy("part")).applyInPandas(replay, "id long, root long")
     return items.join(merged, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 

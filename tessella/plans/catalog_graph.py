@@ -1,0 +1,287 @@
+"""Queries of entity resolution and of the concept graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import text as X
+from tessella.operators import entities, graph, ranking
+from tessella.operators.components import connected_components
+from tessella.plans.catalog import BM, CONCEPT, COS, P, Q, S, TAU, U, bm25_topk, paragraphs, query, questions, sentences, vectors
+from tessella.session import table
+
+MN = f"""{P}, found AS (SELECT pid, title AS article, unnest(list_distinct(regexp_extract_all(context, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS text, 'person' AS grp FROM p
+UNION ALL SELECT pid, title, unnest(list_distinct(regexp_extract_all(context, '[A-Z]{{2,6}}'))), 'org' FROM p UNION ALL SELECT pid, title, unnest(list_distinct(regexp_extract_all(context, '[0-9]{{2,}}'))), 'number' FROM p),
+nm AS (SELECT *, {CONCEPT.format(t='text')} AS norm FROM found),
+mn AS (SELECT *, lpad(CAST(pid AS VARCHAR), 12, '0') || ':' || CAST(row_number() OVER (PARTITION BY pid ORDER BY grp, text) AS VARCHAR) AS mid FROM nm WHERE norm <> '')"""
+
+
+def mention_rows(spark, d):
+    return entities.mentions(paragraphs(spark, d))
+
+
+@query(f"WITH {MN} SELECT mid, pid, article, text, grp, norm FROM mn")
+def mentions(spark, d):
+    return mention_rows(spark, d).select("mid", "pid", "article", "text", "grp", "norm")
+
+
+EX = f"{MN}, ex AS (SELECT mid, min(mid) OVER (PARTITION BY norm, grp) AS root FROM mn)"
+
+
+@query(f"WITH {EX} SELECT * FROM ex")
+def er_exact(spark, d):
+    return entities.exact_tier(mention_rows(spark, d))
+
+
+@query(f"""WITH {MN}, f AS (SELECT article, grp, text, min(mid) AS mid, regexp_split_to_array(text, '\\s+') AS w FROM mn GROUP BY article, grp, text),
+sh AS (SELECT * FROM f WHERE len(w) = 1), lo AS (SELECT *, array_to_string(list_transform(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}')), lambda x: substr(x, 1, 1)), '') AS acr FROM f WHERE len(w) > 1),
+c AS (SELECT DISTINCT sh.mid AS short, lo.mid AS long, 'acronym' AS rule FROM sh JOIN lo USING (article) WHERE regexp_matches(sh.text, '^[A-Z]{{2,6}}$') AND sh.text = lo.acr
+UNION SELECT sh.mid, lo.mid, 'word' FROM sh JOIN lo USING (article, grp) WHERE NOT regexp_matches(sh.text, '^[A-Z]{{2,6}}$') AND (sh.text = lo.w[-1] OR (sh.grp = 'person' AND sh.text = lo.w[1])))
+SELECT short, min(long) AS long, min(rule) AS rule FROM c GROUP BY short HAVING count(*) = 1""")
+def er_alias(spark, d):
+    return entities.alias_tier(mention_rows(spark, d))
+
+
+SIM = f"""e AS (SELECT vec_id AS id, label AS grp, embedding AS v FROM embeddings), pc AS (SELECT a.id AS i, b.id AS j, a.grp AS g, b.grp AS h, {COS.format(a='a.v', b='b.v')} AS cos FROM e a, e b WHERE a.id <> b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cos DESC, j) AS r FROM pc WHERE cos >= {TAU}), sim AS (SELECT i, j, cos FROM ranked WHERE r <= 10 AND i < j AND g = h)"""
+
+
+def _pairs(spark, d):
+    return entities.similar_pairs(vectors(spark, d), TAU)
+
+
+@query(f"WITH {SIM} SELECT * FROM sim")
+def sim_join_topk(spark, d):
+    return _pairs(spark, d)
+
+
+@query()
+def er_meaning(spark, d):
+    return entities.meaning_tier(vectors(spark, d), _pairs(spark, d), TAU)
+
+
+@query(f"""WITH RECURSIVE {SIM}, ed AS (SELECT i AS a, j AS b FROM sim UNION SELECT j, i FROM sim), reach(a, b) AS (SELECT a, a FROM ed UNION SELECT r.a, e2.b FROM reach r JOIN ed e2 ON e2.a = r.b)
+SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
+def components(spark, d):
+    return connected_components(_pairs(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b")))
+
+
+@query(f"WITH {EX}, c AS (SELECT root, count(*) AS n FROM ex GROUP BY root) SELECT count(*) AS clusters, max(n) AS largest, sum(CAST(n = 1 AS INT)) AS singletons, sum(n) AS mentions FROM c")
+def er_cluster_stats(spark, d):
+    sizes = er_exact(spark, d).groupBy("root").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("clusters"), F.max("n").alias("largest"), F.sum((F.col("n") == 1).cast("int")).alias("singletons"), F.sum("n").alias("mentions"))
+
+
+@query(f"WITH {EX} SELECT root, count(DISTINCT pid) AS paragraphs FROM ex JOIN mn USING (mid) GROUP BY root ORDER BY paragraphs DESC, root LIMIT 15")
+def er_hubs(spark, d):
+    """A report of the 15 concepts that most paragraphs mention."""
+    return er_exact(spark, d).join(mention_rows(spark, d), "mid").groupBy("root").agg(F.countDistinct("pid").alias("paragraphs")).orderBy(F.desc("paragraphs"), "root").limit(15)
+
+
+@query(f"""WITH {MN}, o AS (SELECT mid, pid, instr(context, text) - 1 AS s, length(text) AS k, context FROM mn JOIN p USING (pid))
+SELECT mid, substr(context, CAST(greatest(s - 150, 0) + 1 AS INT), CAST(s + k + 150 - greatest(s - 150, 0) AS INT)) AS around FROM o""")
+def mention_context(spark, d):
+    held = mention_rows(spark, d).join(paragraphs(spark, d).select("pid", "context"), "pid").withColumn("s", F.expr("instr(context, text) - 1"))
+    return held.select("mid", F.expr("substring(context, greatest(s - 150, 0) + 1, s + length(text) + 150 - greatest(s - 150, 0))").alias("around"))
+
+
+@query(f"""WITH {MN}, f AS (SELECT norm, grp, pid, min(mid) AS mid FROM mn GROUP BY norm, grp, pid), k AS (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(mid), mid) AS r FROM f),
+x AS (SELECT a.norm, a.grp, a.mid AS a, b.mid AS b FROM k a JOIN k b ON a.norm = b.norm AND a.grp = b.grp AND a.mid < b.mid AND a.r <= 4 AND b.r <= 4)
+SELECT norm, grp, a, b FROM (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(a || '|' || b), a, b) AS r FROM x) WHERE r <= 3""")
+def cand_exact(spark, d):
+    return entities.exact_candidates(mention_rows(spark, d))
+
+
+@query(f"""WITH {MN}, f AS (SELECT article, grp, text, min(mid) AS mid, regexp_split_to_array(text, '\\s+') AS w FROM mn GROUP BY article, grp, text)
+SELECT DISTINCT a.mid AS short, b.mid AS long FROM f a JOIN f b USING (article, grp) WHERE len(a.w) = 1 AND len(b.w) > 1 AND a.text = b.w[-1]""")
+def cand_alias(spark, d):
+    w = F.split("text", r"\s+")
+    firsts = mention_rows(spark, d).groupBy("article", "grp", "text").agg(F.min("mid").alias("mid"))
+    short = firsts.where(F.size(w) == 1).select("article", "grp", F.col("text").alias("key"), F.col("mid").alias("short"))
+    long = firsts.where(F.size(w) > 1).select("article", "grp", F.element_at(w, -1).alias("key"), F.col("mid").alias("long"))
+    return short.join(long, ["article", "grp", "key"]).select("short", "long").distinct()
+
+
+@query(f"WITH {SIM} SELECT i, j, cos, 'embed:' || CAST(least(floor((cos - 0.35) / 0.05), 3) AS INT) AS stratum FROM sim")
+def cand_embed(spark, d):
+    return _pairs(spark, d).withColumn("stratum", F.concat(F.lit("embed:"), F.least(F.floor((F.col("cos") - 0.35) / 0.05), F.lit(3)).cast("int").cast("string")))
+
+
+@query("""WITH n AS (SELECT greatest(1, 100 // count(DISTINCT (event_type, user_id % 4))) AS per FROM events)
+SELECT id, event_type FROM (SELECT event_id AS id, event_type, row_number() OVER (PARTITION BY event_type, user_id % 4 ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS r FROM events), n WHERE r <= per""")
+def stratified_sample(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type", (F.col("user_id") % 4).alias("band"))
+    return entities.stratified_sample(rows, ["event_type", "band"], 100).select("id", "event_type")
+
+
+_VERDICT = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_type IN ('click', 'view') THEN 'SAME' WHEN event_type = 'error' THEN 'DIFFERENT' ELSE 'RELATED' END"
+_TRUTH = "CASE WHEN user_id % 5 < 2 THEN 'SAME' WHEN user_id % 5 = 2 THEN 'DIFFERENT' ELSE 'RELATED' END"
+
+
+@query(f"""WITH r AS (SELECT {_VERDICT} AS pred, {_TRUTH} AS gold FROM events), l AS (SELECT unnest(['SAME', 'RELATED', 'DIFFERENT']) AS label)
+SELECT label, (SELECT round(avg(CASE WHEN pred = gold THEN 1.0 WHEN pred IS NULL THEN NULL ELSE 0.0 END), 6) FROM r) AS accuracy, (SELECT count(*) FROM r WHERE pred IS NULL) AS unparsed,
+(SELECT round(count(*) FILTER (pred = label AND gold = label) / nullif(count(*) FILTER (pred = label), 0), 6) FROM r) AS precision, (SELECT round(count(*) FILTER (pred = label AND gold = label) / nullif(count(*) FILTER (gold = label), 0), 6) FROM r) AS recall FROM l""")
+def verdict_score(spark, d):
+    return entities.verdict_scores(table(spark, d, "events").select(F.expr(_VERDICT).alias("pred"), F.expr(_TRUTH).alias("gold")))
+
+
+_DATED = "(^|[^a-z0-9_])(1[0-9]{3}|20[0-9]{2})s?([^a-z0-9_]|$)|(^|[^a-z0-9_])[0-9]{1,2}(st|nd|rd|th) century([^a-z0-9_]|$)"
+_RELATIVE = "(^|[^a-z0-9_])(previous|next|following|last|that|this|same|earlier|later|ago|recent)([^a-z0-9_]|$)"
+_MERGES = "CASE WHEN {g} IN ('person', 'org', 'place', 'group', 'thing') THEN true WHEN {g} = 'time' THEN regexp_matches(lower({t}), '" + _DATED + "') AND NOT regexp_matches(lower({t}), '" + _RELATIVE + "') ELSE false END"
+_GROUP = "CASE doc_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'time' ELSE 'number' END"
+
+
+@query(f"SELECT doc_id, {_MERGES.replace('{g}', _GROUP).replace('{t}', 'substr(text, 1, 200)')} AS merges FROM documents")
+def merge_by_string(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.merges_by_string(F.substring("text", 1, 200), F.expr(_GROUP)).alias("merges"))
+
+
+_KEY = "CASE WHEN norm NOT LIKE '% %' AND grp IN ('person', 'org', 'thing') THEN {c} ELSE '' END"
+
+
+@query(f"""WITH {MN}, k AS (SELECT mid, norm, grp, {_KEY.format(c='article')} AS art FROM mn), v AS (SELECT DISTINCT norm, grp, art FROM k WHERE hash_no(mid) AND grp IN ('person', 'org', 'place', 'group', 'thing'))
+SELECT mid, norm, grp FROM k WHERE (norm, grp, art) NOT IN (SELECT norm, grp, art FROM v)""".replace("hash_no(mid)", "substr(md5(mid), 1, 1) = '0'"))
+def veto_keys(spark, d):
+    k = mention_rows(spark, d).select("mid", "norm", "grp", F.expr(_KEY.format(c="article")).alias("art"))
+    vetoed = k.where(F.substring(F.md5("mid"), 1, 1) == "0").where(F.col("grp").isin(*X.NAMED_GROUPS)).select("norm", "grp", "art").distinct()
+    return k.join(vetoed, ["norm", "grp", "art"], "left_anti").select("mid", "norm", "grp")
+
+
+@query()
+def constrained_merge(spark, d):
+    v = vectors(spark, d)
+    pairs = _pairs(spark, d)
+    proposals = pairs.select((-F.round(F.col("cos") * 1_000_000)).cast("long").alias("ord"), F.col("i").alias("a"), F.col("j").alias("b"))
+    forbidden = entities.similar_pairs(v, TAU - 0.05).where("(i + j) % 5 = 0").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    return graph.constrained_merge(v.select("id", (F.col("id") % 2).cast("string").alias("kind")), proposals, forbidden)
+
+
+@query(f"""WITH {EX}, t AS (SELECT root, text, count(*) AS n, min(mid) AS first FROM ex JOIN mn USING (mid) GROUP BY root, text), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n DESC, first, text) AS r FROM t)
+SELECT root, min_by(text, r) AS name, string_agg(text, '|' ORDER BY r) FILTER (r <= 8) AS aliases, CAST(sum(n) AS BIGINT) AS n_mentions FROM r GROUP BY root""")
+def concepts(spark, d):
+    m = mention_rows(spark, d)
+    return graph.concept_nodes(m, entities.exact_tier(m))
+
+
+HOLDS = f"{EX}, ho AS (SELECT DISTINCT root AS concept, CAST(pid AS VARCHAR) AS uid, pid FROM ex JOIN mn USING (mid))"
+
+
+def _holds(spark, d):
+    m = mention_rows(spark, d)
+    return entities.exact_tier(m).join(m.select("mid", "pid"), "mid").select(F.col("root").alias("concept"), F.col("pid").cast("string").alias("uid"), "pid").distinct()
+
+
+@query(f"""WITH {S}, {EX[len(P) + 2:]}, o AS (SELECT mid, pid, instr(context, text) - 1 AS a FROM mn JOIN p USING (pid))
+SELECT DISTINCT s.pid, s.sent, root AS concept FROM o JOIN ex USING (mid) JOIN s ON s.pid = o.pid AND s.s <= o.a AND o.a < s.e""")
+def mention_edges(spark, d):
+    m = mention_rows(spark, d)
+    at = m.join(paragraphs(spark, d).select("pid", "context"), "pid").select("mid", "pid", F.expr("instr(context, text) - 1").alias("a"))
+    held = at.join(sentences(spark, d).select("pid", "sent", "s", "e"), "pid").where("s <= a AND a < e")
+    return held.join(entities.exact_tier(m), "mid").select("pid", "sent", F.col("root").alias("concept")).distinct()
+
+
+@query(f"WITH {S}, u AS (SELECT pid, s, CAST(pid AS VARCHAR) || ':' || CAST(sent AS VARCHAR) AS uid FROM s) SELECT * FROM (SELECT uid AS a, lead(uid) OVER (PARTITION BY pid ORDER BY s) AS b FROM u) WHERE b IS NOT NULL")
+def adjacent_edges(spark, d):
+    return graph.adjacent(sentences(spark, d).select("pid", "s", F.concat_ws(":", F.col("pid").cast("string"), F.col("sent").cast("string")).alias("uid")))
+
+
+@query(f"WITH {P}, u AS (SELECT title, pid, CAST(pid AS VARCHAR) AS uid FROM p) SELECT * FROM (SELECT uid AS a, lead(uid) OVER (PARTITION BY title ORDER BY pid) AS b FROM u) WHERE b IS NOT NULL")
+def adjacency(spark, d):
+    return graph.adjacent(paragraphs(spark, d).select("title", "pid", F.lit(0).alias("s"), F.col("pid").cast("string").alias("uid")), within="title")
+
+
+REL = "rel AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM sim WHERE i <> j)"
+
+
+@query(f"WITH {SIM}, {REL} SELECT * FROM rel")
+def related_edges(spark, d):
+    return graph.undirected(_pairs(spark, d).select(F.col("i").alias("a"), F.col("j").alias("b")))
+
+
+@query(f"WITH {SIM}, {REL} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM rel UNION ALL SELECT b FROM rel) GROUP BY node")
+def node_degree(spark, d):
+    return graph.degrees(related_edges(spark, d))
+
+
+CW = f"{HOLDS}, cw AS (SELECT concept, round(1 / ln(2 + count(DISTINCT pid)), 6) AS weight FROM ho GROUP BY concept HAVING count(DISTINCT pid) <= 50)"
+
+
+@query(f"WITH {CW} SELECT * FROM cw")
+def concept_weight(spark, d):
+    return graph.concept_weights(_holds(spark, d))
+
+
+@query(f"""WITH {MN}, {Q}, al AS (SELECT DISTINCT norm AS alias, norm || '/' || grp AS concept FROM mn), w AS (SELECT qid, regexp_split_to_array({CONCEPT.format(t='question')}, ' ') AS w FROM q),
+g AS (SELECT DISTINCT qid, array_to_string(w[i:i + n - 1], ' ') AS alias FROM (SELECT qid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT unnest(range(1, 7)) AS n) WHERE len(w) >= n))
+SELECT DISTINCT qid, concept FROM g JOIN al USING (alias) WHERE length(alias) > 1""")
+def question_concepts(spark, d):
+    aliases = mention_rows(spark, d).select(F.col("norm").alias("alias"), F.concat("norm", F.lit("/"), "grp").alias("concept")).distinct()
+    return graph.question_concepts(questions(spark, d), aliases)
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ", ".join(f"""x{i} AS (SELECT qid, node, sum(x) AS x FROM (SELECT qid, st.b AS node, x * p * 0.5 AS x FROM x{i - 1} n JOIN st ON st.a = n.node UNION ALL SELECT qid, node, x * 0.5 FROM x0) GROUP BY qid, node)""" for i in range(1, rounds + 1))
+    return f"""WITH {SIM}, {REL}, bo AS (SELECT a, b FROM rel UNION ALL SELECT b, a FROM rel), st AS (SELECT a, b, 1.0 / count(*) OVER (PARTITION BY a) AS p FROM bo),
+sd AS (SELECT vec_id AS qid, vec_id AS node, 1.0 AS x FROM embeddings WHERE vec_id < 20 AND vec_id IN (SELECT a FROM bo)), x0 AS (SELECT qid, node, CAST(x AS DOUBLE) AS x FROM sd), {steps} SELECT qid, node, round(x, 8) AS score FROM x{rounds}"""
+
+
+@query(_pagerank_sql(10))
+def ppr_scores(spark, d):
+    edges = related_edges(spark, d).withColumn("w", F.lit(1.0))
+    seeds = vectors(spark, d).where("id < 20").select(F.col("id").alias("qid"), F.col("id").alias("node"), F.lit(1.0).alias("x"))
+    known = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return graph.pagerank(edges, seeds.join(known, "node", "left_semi").select("qid", "node", "x"), rounds=10)
+
+
+HOP = f"""{CW}, {Q}, {U}, {BM[BM.index('c AS (SELECT uidx'):]}, sd AS (SELECT qid, CAST(uidx AS VARCHAR) AS uid, uidx AS pid FROM bm WHERE rank <= 3),
+re AS (SELECT sd.qid, sd.uid AS seed, h2.uid, round(sum(weight), 6) AS weight FROM (SELECT DISTINCT qid, sd.uid, concept FROM sd JOIN ho USING (uid)) sd JOIN cw USING (concept) JOIN ho h2 ON h2.concept = sd.concept
+  WHERE NOT EXISTS (SELECT 1 FROM sd z WHERE z.qid = sd.qid AND z.pid = h2.pid AND z.uid IN (SELECT uid FROM ho)) GROUP BY sd.qid, sd.uid, h2.uid),
+h2 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, seed ORDER BY weight DESC, uid) AS INT) AS rank FROM re) WHERE rank <= 20)"""
+
+
+@query(f"WITH {HOP} SELECT qid, seed, uid, weight, rank FROM h2")
+def hop2_candidates(spark, d):
+    seeds = bm25_topk(spark, d).where(F.col("rank") <= 3).select("qid", F.col("uidx").cast("string").alias("uid"))
+    return graph.second_hop(_holds(spark, d), concept_weight(spark, d), seeds)
+
+
+@query(f"""WITH {HOP}, al AS (SELECT qid, uid, CAST(bm2.rank AS INT) * 10 AS o FROM sd JOIN (SELECT qid, CAST(uidx AS VARCHAR) AS uid, rank FROM bm) bm2 USING (qid, uid)
+UNION ALL SELECT h2.qid, h2.uid, s2.rank * 10 + 1 FROM h2 JOIN (SELECT qid, CAST(uidx AS VARCHAR) AS seed, rank FROM bm) s2 USING (qid, seed) WHERE h2.rank = 1)
+SELECT qid, uid, CAST(row_number() OVER (PARTITION BY qid ORDER BY min(o), uid) AS INT) AS rank FROM al GROUP BY qid, uid""")
+def hop_interleave(spark, d):
+    """Each seed, then its best candidate."""
+    ranked = bm25_topk(spark, d).where(F.col("rank") <= 3).select("qid", F.col("uidx").cast("string").alias("seed"), F.col("rank").alias("r"))
+    order = ranked.select("qid", F.col("seed").alias("uid"), (F.col("r") * 10).alias("o"))
+    second = hop2_candidates(spark, d).where(F.col("rank") == 1).join(ranked, ["qid", "seed"]).select("qid", "uid", (F.col("r") * 10 + 1).alias("o"))
+    return ranking.best(order.unionByName(second).groupBy("qid", "uid").agg(F.min("o").alias("o")), ["qid"], [F.col("o"), F.col("uid")], 1 << 30).select("qid", "uid", "rank")
+
+
+@query(f"""WITH {HOP}, al AS (SELECT qid, CAST(uidx AS VARCHAR) AS uid, 1.0 / rank AS x FROM bm WHERE rank <= 3 UNION ALL SELECT qid, uid, weight FROM h2 WHERE rank <= 2)
+SELECT qid, uid, CAST(row_number() OVER (PARTITION BY qid ORDER BY max(round(x, 6)) DESC, uid) AS INT) AS rank FROM al GROUP BY qid, uid""")
+def hop_merge(spark, d):
+    """Seeds and two candidates of each, by score."""
+    first = bm25_topk(spark, d).where(F.col("rank") <= 3).select("qid", F.col("uidx").cast("string").alias("uid"), (1 / F.col("rank")).alias("x"))
+    second = hop2_candidates(spark, d).where(F.col("rank") <= 2).select("qid", "uid", F.col("weight").alias("x"))
+    merged = first.unionByName(second).groupBy("qid", "uid").agg(F.max(F.round("x", 6)).alias("x"))
+    return ranking.best(merged, ["qid"], [F.desc("x"), F.col("uid")], 1 << 30).select("qid", "uid", "rank")
+
+
+def _beam(spark, d, least):
+    s = sentences(spark, d).select("pid", "s", F.concat_ws(":", F.format_string("%08d", "pid"), F.format_string("%05d", "sent")).alias("uid"), "text")
+    steps = graph.adjacent(s)
+    moves = steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    heads = bm25_topk(spark, d).where(F.col("rank") <= 3).join(questions(spark, d), "qid").select("qid", "question", F.concat(F.format_string("%08d", "uidx"), F.lit(":00000")).alias("uid"), (1 / F.col("rank")).alias("score"))
+    return graph.beam(s.select("uid", "text"), moves, heads, least=least)
+
+
+@query()
+def beam_traverse(spark, d):
+    return _beam(spark, d, 0.0)
+
+
+@query()
+def beam_flat_stop(spark, d):
+    """Steps must reach three shared tokens; a path without any is done."""
+    return _beam(spark, d, 3.0)
+
+

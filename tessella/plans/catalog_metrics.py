@@ -1,0 +1,203 @@
+"""Queries of splits, answer metrics, summaries and parses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessella.functions import text as X
+from tessella.operators import metrics, parse, ranking
+from tessella.plans.catalog import BM, M, NORM, Q, S, TOKENS, U, answers, bm25_sql, bm25_topk, gold, items, paragraphs, query, sentences
+from tessella.session import table
+
+# --- splits
+
+_ORDER = "row_number() OVER (ORDER BY md5('13|{tag}|' || CAST(id AS VARCHAR)), id) - 1"
+SPLIT = f"""ids AS (SELECT DISTINCT doc_id AS id FROM documents), o AS (SELECT id, {_ORDER.format(tag='past')} AS place FROM ids), np AS (SELECT round_even(count(*) * 0.7, 0) AS n FROM ids),
+old AS (SELECT id, {_ORDER.format(tag='tuning')} AS place FROM o, np WHERE place < n), nt AS (SELECT round_even(count(*) * 0.1, 0) AS n FROM old), new AS (SELECT id, {_ORDER.format(tag='pilot')} AS place FROM o, np WHERE place >= n),
+sp AS (SELECT id, CASE WHEN place < n THEN 'tuning' ELSE 'build' END AS part, false AS is_pilot FROM old, nt UNION ALL SELECT id, 'future', place < 200 FROM new)"""
+
+
+def _ids(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+
+
+@query(f"WITH {SPLIT} SELECT * FROM sp")
+def split_questions(spark, d):
+    return metrics.split_questions(_ids(spark, d))
+
+
+@query(f"""WITH {M}, k AS (SELECT DISTINCT pid, sent FROM gold WHERE qid % 2 = 0) SELECT b.item_id AS qid, CASE WHEN g.sent IS NULL THEN 'unmapped' WHEN k.sent IS NOT NULL THEN 'covered' ELSE 'uncovered' END AS bucket
+FROM benchmark b LEFT JOIN gold g ON g.qid = b.item_id LEFT JOIN k ON k.pid = g.pid AND k.sent = g.sent""")
+def overlap_buckets(spark, d):
+    g = gold(spark, d)
+    asked = items(spark, d).select("qid").join(g, "qid", "left")
+    return metrics.overlap_buckets(asked, g.where("qid % 2 = 0").select("pid", "sent"))
+
+
+@query(f"WITH ids AS (SELECT DISTINCT doc_id AS id FROM documents), o AS (SELECT id, {_ORDER.format(tag='nested')} AS place FROM ids) SELECT size, count(*) AS n, min(id) AS least, max(id) AS greatest FROM o, (SELECT unnest([100, 200, 400]) AS size) WHERE place < size GROUP BY size")
+def nested_samples(spark, d):
+    """Prefixes of one order: each sample holds the smaller ones."""
+    order = metrics.hash_order(_ids(spark, d), 13, "nested")
+    each = order.withColumn("size", F.explode(F.array(F.lit(100), F.lit(200), F.lit(400)))).where("place < size")
+    return each.groupBy("size").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest"))
+
+
+# --- answer metrics
+
+_PRED = "substr(text, 1, 120)"
+F1 = f"""x AS (SELECT item_id AS qid, {TOKENS.format(t=NORM.format(t=_PRED))} AS p, {TOKENS.format(t=NORM.format(t='text'))} AS t FROM benchmark),
+y AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda a: a = w)), len(list_filter(t, lambda a: a = w))))) AS same FROM x)"""
+
+
+@query(f"WITH {F1} SELECT qid, CASE WHEN p = t THEN 1.0 ELSE 0.0 END AS em, round(CASE WHEN len(p) = 0 OR len(t) = 0 THEN CAST(len(p) = len(t) AS INT) ELSE 2.0 * same / (len(p) + len(t)) END, 6) AS f1 FROM y")
+def em_f1(spark, d):
+    guess = F.substring("text", 1, 120)
+    return items(spark, d).select("qid", metrics.exact_match(guess, F.col("text")).alias("em"), F.round(metrics.token_f1(guess, F.col("text")), 6).alias("f1"))
+
+
+@query(f"WITH {M}, t AS (SELECT g.qid, {NORM.format(t='s.text')} AS gold FROM gold g JOIN s USING (pid, sent)), {Q}, {U}, {bm25_sql('u', 'q', 3)} SELECT t.qid, rank, contains({NORM.format(t='search_text')}, gold) AS hit FROM t JOIN bm USING (qid) JOIN u USING (uidx)")
+def evidence_hit(spark, d):
+    said = gold(spark, d).join(sentences(spark, d), ["pid", "sent"]).select("qid", X.normalize_answer(F.col("text")).alias("gold"))
+    top = bm25_topk(spark, d).where(F.col("rank") <= 3).join(paragraphs(spark, d).withColumnRenamed("pid", "uidx"), "uidx")
+    context = F.concat(X.title_prefix(F.col("title")), F.col("context"))
+    return top.join(said, "qid").select("qid", "rank", F.contains(X.normalize_answer(context), F.col("gold")).alias("hit"))
+
+
+@query(f"WITH {BM} SELECT bm.qid, max(contains(search_text, substr(b.text, 20, 30))) AS hit FROM bm JOIN u USING (uidx) JOIN benchmark b ON b.item_id = bm.qid WHERE rank <= 5 GROUP BY bm.qid")
+def answer_in_context(spark, d):
+    top = bm25_topk(spark, d).where(F.col("rank") <= 5).join(paragraphs(spark, d).withColumnRenamed("pid", "uidx"), "uidx").join(items(spark, d), "qid")
+    return top.groupBy("qid").agg(F.max(F.contains(F.concat(X.title_prefix(F.col("title")), F.col("context")), F.substring("text", 20, 30))).alias("hit"))
+
+
+@query(f"WITH {M}, {Q}, {U}, {bm25_sql('u', 'q', 100)} SELECT a.qid, k AS depth, bool_and(bm.uidx IS NOT NULL) AS located FROM a CROSS JOIN (SELECT unnest([5, 20, 100]) AS k) LEFT JOIN bm ON bm.qid = a.qid AND bm.uidx = a.pid AND bm.rank <= k GROUP BY a.qid, k")
+def support_located(spark, d):
+    found = answers(spark, d).select("qid", "pid", F.explode(F.array(F.lit(5), F.lit(20), F.lit(100))).alias("depth"))
+    ranked = bm25_topk(spark, d).select("qid", F.col("uidx").alias("pid"), "rank")
+    return found.join(ranked, ["qid", "pid"], "left").groupBy("qid", "depth").agg(F.every(F.coalesce(F.col("rank") <= F.col("depth"), F.lit(False))).alias("located"))
+
+
+@query(f"WITH {M}, {Q}, {U}, {bm25_sql('u', 'q', 100)} SELECT qid, k, round(count(DISTINCT CASE WHEN rank <= k THEN pid END) / count(DISTINCT pid), 6) AS recall FROM (SELECT a.qid, a.pid, rank, unnest([2, 5, 10]) AS k FROM a LEFT JOIN bm ON bm.qid = a.qid AND bm.uidx = a.pid) GROUP BY qid, k")
+def recall_at_k(spark, d):
+    held = answers(spark, d).select("qid", "pid").join(bm25_topk(spark, d).select("qid", F.col("uidx").alias("pid"), "rank"), ["qid", "pid"], "left")
+    each = held.withColumn("k", F.explode(F.array(F.lit(2), F.lit(5), F.lit(10))))
+    return each.groupBy("qid", "k").agg(F.round(F.countDistinct(F.when(F.col("rank") <= F.col("k"), F.col("pid"))) / F.countDistinct("pid"), 6).alias("recall"))
+
+
+@query(f"""WITH {M}, {Q}, {U}, {bm25_sql('u', 'q', 100)}, h AS (SELECT a.qid, CASE WHEN a.qid % 2 = 0 THEN 'bridge' ELSE 'comparison' END AS type, ord + 1 AS hop, rank FROM a LEFT JOIN bm ON bm.qid = a.qid AND bm.uidx = a.pid),
+g AS (SELECT qid, type, max(CASE WHEN hop = 1 THEN coalesce(rank <= 3, false) END) AS f, max(coalesce(rank, 1073741824)) AS w FROM h GROUP BY qid, type)
+SELECT type, count(*) AS n, round(avg(CAST(f AS INT)), 6) AS first_hop_top3, round(avg(CAST(w <= 10 AS INT)), 6) AS both_top10, round(avg(CAST(w <= 30 AS INT)), 6) AS both_top30, round(avg(CAST(w <= 100 AS INT)), 6) AS both_top100 FROM g GROUP BY type""")
+def hop_coverage(spark, d):
+    ranked = bm25_topk(spark, d).select("qid", F.col("uidx").alias("pid"), "rank")
+    ranks = answers(spark, d).join(ranked, ["qid", "pid"], "left").select("qid", F.when(F.col("qid") % 2 == 0, "bridge").otherwise("comparison").alias("type"), (F.col("ord") + 1).alias("hop"), "rank")
+    return metrics.hop_coverage(ranks)
+
+
+@query(f"WITH {M}, {Q}, {U}, {bm25_sql('u', 'q', 1)} SELECT round(avg(CAST(contains(context, b.text) AS INT)), 6) AS top1 FROM bm JOIN p ON p.pid = bm.uidx JOIN benchmark b ON b.item_id = bm.qid")
+def top1_has_answer(spark, d):
+    top = bm25_topk(spark, d).where(F.col("rank") == 1).join(paragraphs(spark, d).withColumnRenamed("pid", "uidx"), "uidx").join(items(spark, d), "qid")
+    return top.agg(F.round(F.avg(F.contains("context", "text").cast("int")), 6).alias("top1"))
+
+
+@query(f"WITH {M}, u AS (SELECT 'sentence' AS kind, len({TOKENS.format(t='text')}) AS n_tok FROM s UNION ALL SELECT 'paragraph', len({TOKENS.format(t='context')}) FROM p) SELECT kind, count(*) AS n_units, sum(n_tok) AS n_tokens FROM u GROUP BY kind")
+def index_sizes(spark, d):
+    each = sentences(spark, d).select(F.lit("sentence").alias("kind"), F.size(X.tokens(F.col("text"))).alias("n"))
+    each = each.unionByName(paragraphs(spark, d).select(F.lit("paragraph").alias("kind"), F.size(X.tokens(F.col("context"))).alias("n")))
+    return each.groupBy("kind").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_tokens"))
+
+
+# --- summaries of an evaluation log
+
+EV = "ev AS (SELECT event_id AS id, event_type AS method, user_id % 4 AS budget, CASE WHEN user_id % 3 = 0 THEN 'covered' ELSE 'uncovered' END AS bucket, value FROM events)"
+
+
+def log(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("event_type").alias("method"), (F.col("user_id") % 4).alias("budget"), F.when(F.col("user_id") % 3 == 0, "covered").otherwise("uncovered").alias("bucket"), "value")
+
+
+@query(f"""WITH {EV} SELECT method, budget, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS n, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95
+FROM ev GROUP BY GROUPING SETS ((method, budget), (method, budget, bucket))""")
+def summary_grouping_sets(spark, d):
+    return metrics.summarize(log(spark, d), ["method", "budget"], "bucket", "value")
+
+
+@query()
+def paired_bootstrap(spark, d):
+    e = log(spark, d)
+    return metrics.bootstrap(e.select("id", "value", (F.col("value") * 0.9 + F.col("budget")).alias("other")), "value", "other", n_boot=200)
+
+
+@query()
+def ratio_ci(spark, d):
+    e = log(spark, d)
+    return metrics.bootstrap(e.select("id", "value", (F.col("value") / 4).alias("other")), "value", "other", "ratio", n_boot=200)
+
+
+GRID = f"""{EV}, gr AS (SELECT method, k, w, round(avg(CASE WHEN value / 100 > 0.5 + 0.01 * k - 0.1 * w THEN 1.0 ELSE 0.0 END), 6) AS hit FROM ev, (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest([0.0, 0.5, 1.0]) AS w) GROUP BY method, k, w)"""
+
+
+@query(f"WITH {GRID}, b AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY hit DESC, w, k) AS r FROM gr) SELECT b.method, b.k, CAST(b.w AS DOUBLE) AS w, b.hit, round(b.hit - z.hit, 6) AS gain FROM b JOIN (SELECT method, max(hit) AS hit FROM gr WHERE w = 0 GROUP BY method) z USING (method) WHERE r = 1")
+def tune_argbest(spark, d):
+    """A parameter grid is crossed with the log late; of equal hits the smaller weight wins, then the smaller k."""
+    grid = log(spark, d).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))).withColumn("w", F.explode(F.array(*[F.lit(w) for w in (0.0, 0.5, 1.0)])))
+    hits = grid.groupBy("method", "k", "w").agg(F.round(F.avg((F.col("value") / 100 > 0.5 + 0.01 * F.col("k") - 0.1 * F.col("w")).cast("int")), 6).alias("hit"))
+    best = hits.groupBy("method").agg(F.max_by(F.struct("k", "w", "hit"), F.struct("hit", -F.col("w"), -F.col("k"))).alias("b"), F.max(F.when(F.col("w") == 0, F.col("hit"))).alias("plain"))
+    return best.select("method", "b.k", "b.w", "b.hit", F.round(F.col("b.hit") - F.col("plain"), 6).alias("gain"))
+
+
+@query(f"WITH {EV}, m AS (SELECT method, budget, round(avg(value), 6) AS score FROM ev GROUP BY method, budget) SELECT budget, method, score FROM (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY score DESC, method) AS r FROM m) WHERE r = 1")
+def select_best(spark, d):
+    means = log(spark, d).groupBy("method", "budget").agg(F.round(F.avg("value"), 6).alias("score"))
+    return ranking.best(means, ["budget"], [F.desc("score"), F.col("method")], 1).select("budget", "method", "score")
+
+
+@query(f"WITH {EV} SELECT budget, method, count(*) AS n, round(avg(value), 6) AS mean FROM ev WHERE method = CASE WHEN budget < 2 THEN 'click' ELSE 'view' END GROUP BY budget, method")
+def adaptive_policy(spark, d):
+    chosen = log(spark, d).where(F.col("method") == F.when(F.col("budget") < 2, "click").otherwise("view"))
+    return chosen.groupBy("budget", "method").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT count(*) AS n, round(avg(CAST(quality = 1 - toxic AS INT)), 6) AS agreement, count(*) FILTER (quality = 1 AND toxic = 1) AS false_positive, count(*) FILTER (quality = 0 AND toxic = 0) AS false_negative FROM labels")
+def judge_agreement(spark, d):
+    return table(spark, d, "labels").agg(F.count("*").alias("n"), F.round(F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int")), 6).alias("agreement"),
+                                         F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("false_positive"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("false_negative"))
+
+
+@query(f"""WITH {EV}, g AS (SELECT method, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, budget, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS acc FROM ev GROUP BY GROUPING SETS ((method, budget), (method, budget, bucket)))
+SELECT method, bucket, max(acc) FILTER (budget = 0) AS b0, max(acc) FILTER (budget = 1) AS b1, max(acc) FILTER (budget = 2) AS b2, max(acc) FILTER (budget = 3) AS b3 FROM g GROUP BY method, bucket""")
+def accuracy_pivot(spark, d):
+    right = log(spark, d).withColumn("right", (F.col("value") > 50).cast("double"))
+    exact = right.groupingSets([[F.col("method"), F.col("budget")], [F.col("method"), F.col("budget"), F.col("bucket")]], F.col("method"), F.col("budget"), F.col("bucket")).agg(F.round(F.avg("right"), 6).alias("acc"), F.grouping("bucket").alias("g"))
+    named = exact.withColumn("bucket", F.when(F.col("g") == 1, "all").otherwise(F.col("bucket")))
+    return named.groupBy("method", "bucket").pivot("budget", [0, 1, 2, 3]).agg(F.max("acc")).select("method", "bucket", *[F.col(str(b)).alias(f"b{b}") for b in range(4)])
+
+
+@query(f"WITH {EV} SELECT method, count(*) AS n, round(median(value), 4) AS median_ms, round(quantile_cont(value, 0.95), 4) AS p95_ms, round(sum(2 * 7e9 * value), 2) AS flops FROM ev GROUP BY method")
+def cost_summary(spark, d):
+    """Latency and arithmetic of a log of calls: two operations a parameter and token."""
+    return log(spark, d).groupBy("method").agg(F.count("*").alias("n"), F.round(F.median("value"), 4).alias("median_ms"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95_ms"), F.round(F.sum(F.lit(2 * 7e9) * F.col("value")), 2).alias("flops"))
+
+
+# --- parses: a stand-in parser gives every token a head by rule, see operators.parse
+
+TK = rf"""tk AS (SELECT pid, sent, i - 1 AS i, w, CASE WHEN i = 1 THEN 0 ELSE (i - 1) // 2 END AS head FROM (SELECT pid, sent, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS w FROM (SELECT pid, sent, {TOKENS.format(t='text')} AS x FROM s WHERE sent = 0)))"""
+
+
+@query(f"""WITH RECURSIVE {S}, {TK}, an(pid, sent, i, anc) AS (SELECT pid, sent, i, i FROM tk UNION SELECT an.pid, an.sent, an.i, tk.head FROM an JOIN tk ON tk.pid = an.pid AND tk.sent = an.sent AND tk.i = an.anc)
+SELECT pid, anc AS i, min(an.i) AS lo, max(an.i) AS hi, count(*) AS n FROM an GROUP BY pid, anc""")
+def parse_subtree_span(spark, d):
+    toks = parse.toy_tokens(sentences(spark, d).where("sent = 0"))
+    return parse.subtree_spans(toks).select("pid", "i", "lo", "hi", "n")
+
+
+@query()
+def clause_keys(spark, d):
+    return parse.clause_keys(parse.toy_tokens(sentences(spark, d).where("sent = 0")))
+
+
+@query()
+def answer_spans(spark, d):
+    toks = parse.toy_tokens(sentences(spark, d))
+    spans = answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + 12).alias("b"))
+    return parse.answer_spans(toks, spans)
+
