@@ -39,6 +39,8 @@ class Template:
 
     def __post_init__(self):
         control = (self.head, self.middle, self.tail, *self.reserved)
+        if "" in {x for pair in self.moves for x in pair} | {*self.moves.values(), self.start}:
+            raise ValueError("states and roles of moves need names")
         for c in control:
             if len(c) < 2 or self.escape in c or any(c.startswith(c[-k:]) for k in range(1, len(c))):
                 raise ValueError(f"control string {c!r} cannot be escaped reversibly")
@@ -69,11 +71,12 @@ def format_chats(turns: DataFrame, template: Template = CHAT, *, id_col: str = "
         F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.col(text_col).cast("string").alias("text")).alias("t"))
     grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     moves = F.create_map(*[F.lit(x) for (state, role), to in template.moves.items() for x in (f"{state}\n{role}", to)])
-    broken = F.lit(None).cast("string")
+    # The state after a turn out of order; no template has it.
+    broken = F.lit("")
 
     def move(acc: Column, t: Column) -> Column:
-        to = F.when(acc["state"].isNotNull(), F.try_element_at(moves, F.concat_ws("\n", acc["state"], t["role"]))).otherwise(broken)
-        return F.struct(to.alias("state"), (acc["held"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("held"))
+        to = F.coalesce(F.try_element_at(moves, F.concat_ws("\n", acc["state"], t["role"])), broken)
+        return F.struct(to.alias("state"), (acc["held"] + F.when(to != broken, 1).otherwise(0)).alias("held"))
 
     run = F.aggregate("turns", F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("held")), move)
     segments = F.flatten(F.transform("turns", lambda t: F.array(
@@ -84,8 +87,7 @@ def format_chats(turns: DataFrame, template: Template = CHAT, *, id_col: str = "
     ran = grouped.withColumn("run", run).withColumn("segments", segments)
     return ran.select(
         "id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments",
-        F.coalesce(F.col("run.state").isin(*template.ends), F.lit(False)).alias("valid"),
-        F.when(F.col("run.state").isNull(), F.col("run.held")).cast("int").alias("bad_turn"),
+        F.col("run.state").isin(*template.ends).alias("valid"), F.when(F.col("run.state") == broken, F.col("run.held")).cast("int").alias("bad_turn"),
     )
 
 
