@@ -16,7 +16,9 @@
    share. A link therefore needs a certain number of shared edits, and such pairs are
    found by a second inverted join, over edits, where again the frequent ones are
    skipped, as many as the pair needs less one. Neither rule loses a link between
-   components: the first pairs are connected already, the others too far apart.
+   components: the first pairs are connected already, the others too far apart. Before
+   that, the most central member of each edit's list is compared with the list, as
+   pivots were, so that families within a pivot's lists are connected first.
 4. Candidates whose signatures collide at least ``matches`` times are confirmed on the
    full sets: 100 * intersection >= percent * union. Components of confirmed links are
    the groups of near duplicates.
@@ -110,6 +112,9 @@ def _sets(size: int):
 #: Lists of a pivot with more members are compared with it on full sets without exception.
 FREQUENT = 64
 
+#: 64-bit masks of frequent edits that a member carries.
+MASKS = 8
+
 _COMPARED = "a long, b long, n long, linked boolean, edits array<long>"
 
 
@@ -178,7 +183,10 @@ def near_duplicates(
     stars = around.where("id <> pivot").join(frequent, "pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sure")
     first = linker.compared(stars, edits=True)
     links = first.where("linked").select("a", "b")
-    rest = linker.compared(_unresolved(around, first, links, classes.select("id", "n"), percent))
+    members, edits = _unresolved(around, first, links, classes.select("id", "n"), percent)
+    stars = linker.compared(_edit_stars(members, edits, percent))
+    links = links.unionByName(stars.where("linked").select("a", "b"))
+    rest = linker.compared(_across(members, edits, links, percent))
     links = links.unionByName(rest.where("linked").select("a", "b"))
 
     components = materialise(connected_components(links), "dedup-components")
@@ -207,8 +215,8 @@ def _sets_of(source: DataFrame, ids: DataFrame, shingle: int, words: int = 1 <<
     return materialise(likely.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, packed binary").dropDuplicates(["id", "packed"]), "dedup-sets")
 
 
-def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sure = false): members of one pivot's lists in different components that may still be links."""
+def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of pivots whose members are in several components, and the edits of those members."""
     components = materialise(connected_components(links), "dedup-components")
     named = around.join(components.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("c"))
     parted = named.groupBy("pivot").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y AND k > 2").select("pivot")
@@ -216,24 +224,71 @@ def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: Da
     held = named.join(parted, "pivot", "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
     held = held.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.size("edits").alias("k"), "edits"), ["pivot", "id"], "left")
     held = materialise(held, "dedup-parted")
-    main = held.groupBy("pivot", "c").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
     edits = held.where("k IS NOT NULL").select("pivot", "id", "c", "n", "k", F.explode("edits").alias("h"))
-    edits = edits.join(edits.groupBy("pivot", "h").agg(F.count("*").alias("df")).where("df > 1"), ["pivot", "h"])
-    edits = materialise(edits.withColumn("rank", F.row_number().over(W.partitionBy("pivot", "id").orderBy(F.desc("df"), "h"))), "dedup-edits")
-
-    def outside(frame: DataFrame) -> DataFrame:
-        return frame.join(main, "pivot").where("c <> main").drop("main")
-
-    def other(frame: DataFrame) -> DataFrame:
-        return frame.select([F.col(c).alias(c if c in ("pivot", "h") else f"{c}2") for c in frame.columns])
-
-    apart = (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-    need = F.ceil(((F.col("k") + F.col("k2")) * (100 + percent) - (F.col("n") + F.col("n2")) * (100 - percent)) / (2 * (100 + percent)))
-    few = held.drop("edits")
-    near = outside(few).join(other(few), "pivot").where(apart & (need.isNull() | (need <= 0)))
-    far = outside(edits).join(other(edits), ["pivot", "h"]).where(apart & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need))
-    pairs = near.select("id", "id2").unionByName(far.select("id", "id2"))
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).where("a < b").distinct().withColumn("sure", F.lit(False))
+    common = materialise(edits.groupBy("pivot", "h").agg(F.count("*").alias("df")).where("df > 1"), "dedup-common")
+    # The most frequent edits of a pivot are bits, so that pairs know how many of them they share.
+    hot = common.withColumn("bit", F.row_number().over(W.partitionBy("pivot").orderBy(F.desc("df"), "h")) - 1).where(F.col("bit") < 64 * MASKS)
+    edits = edits.join(common, ["pivot", "h"]).join(hot.select("pivot", "h", "bit"), ["pivot", "h"], "left")
+    own = W.partitionBy("pivot", "id")
+    for i in range(MASKS):
+        edits = edits.withColumn(f"m{i}", F.bit_or(F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long"))).over(own))
+    edits = edits.withColumn("rare", F.count_if(F.col("bit").isNull()).over(own)).withColumn("central", F.sum("df").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "h")))
+    return held.drop("edits"), materialise(edits.drop("bit", "df"), "dedup-edits")
+
+
+def _second(frame: DataFrame) -> DataFrame:
+    """The same columns under names of the other side of a pair."""
+    return frame.select([F.col(c).alias(c if c in ("pivot", "h") else f"{c}2") for c in frame.columns])
+
+
+def _apart(percent: int) -> F.Column:
+    return (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+
+
+def _need(percent: int) -> F.Column:
+    """Edits that a pair must share to be a link; null if the edits of either are not known."""
+    return F.ceil(((F.col("k") + F.col("k2")) * (100 + percent) - (F.col("n") + F.col("n2")) * (100 - percent)) / (2 * (100 + percent)))
+
+
+def _shared() -> F.Column:
+    """At most so many edits are shared: the frequent ones exactly, of the others the fewer."""
+    return sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"m{i}2"))) for i in range(MASKS)), F.least("rare", "rare2"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).where("a < b").distinct().withColumn("sure", F.lit(False))
+
+
+def _main(members: DataFrame) -> DataFrame:
+    return members.groupBy("pivot", "c").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+
+
+def _edit_stars(members: DataFrame, edits: DataFrame, percent: int) -> DataFrame:
+    """Of each list of an edit, two members against all others: two rows a posting at most.
+
+    They are the most central one outside the main component, around which a family of
+    its own may stand, and the one of fewest edits, which is nearest to all others.
+    """
+    columns = ["id", "c", "n", "k", "rare", *[f"m{i}" for i in range(MASKS)]]
+    heads = edits.join(_main(members), "pivot").where("c <> main").groupBy("pivot", "h").agg(F.max_by(F.struct(*columns), F.struct("central", "id")).alias("head"))
+    heads = heads.unionByName(edits.groupBy("pivot", "h").agg(F.min_by(F.struct(*columns), F.struct("k", "id")).alias("head")))
+    heads = heads.select("pivot", "h", *[F.col(f"head.{c}").alias(f"{c}2") for c in columns])
+    need = _need(percent)
+    return _pairs(edits.join(heads, ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (_shared() >= need)))
+
+
+def _across(members: DataFrame, edits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members that are still in different components and may be links."""
+    components = materialise(connected_components(links), "dedup-components").withColumnRenamed("node", "id")
+    again = lambda frame: frame.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    members, edits = materialise(again(members), "dedup-members"), again(edits)
+    parted = members.groupBy("pivot").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("pivot")
+    main, need = _main(members), _need(percent)
+    outside = lambda frame: frame.join(main, "pivot").where("c <> main").drop("main")
+    members, edits = members.join(parted, "pivot", "left_semi"), materialise(edits.join(parted, "pivot", "left_semi"), "dedup-edits")
+    near = outside(members).join(_second(members), "pivot").where(_apart(percent) & (need.isNull() | (need <= 0)))
+    far = outside(edits).join(_second(edits), ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need) & (_shared() >= need))
+    return _pairs(near.select("id", "id2").unionByName(far.select("id", "id2")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
