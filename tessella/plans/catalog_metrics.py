@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import metrics, parse, ranking
-from tessella.plans.catalog import BM, M, NORM, Q, S, TOKENS, U, answers, bm25_sql, bm25_topk, gold, items, paragraphs, query, sentences
+from tessella.plans.catalog import BM, M, NORM, Q, S, TOKENS, U, answers, bm25_sql, bm25_topk, gold, items, mapped, paragraphs, query, sentences
 from tessella.session import table
 
 # --- splits
@@ -201,3 +201,24 @@ def answer_spans(spark, d):
     spans = answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + 12).alias("b"))
     return parse.answer_spans(toks, spans)
 
+
+@query(f"""WITH {M}, v AS (SELECT a.pid, 'phrase' AS level, start AS s, CAST(start + length(a.text) AS INT) AS e, qid FROM a UNION ALL SELECT m.pid, 'sentence', s.s, s.e, qid FROM m JOIN s ON s.pid = m.pid AND s.sent = m.start_sent),
+c AS (SELECT pid, level, s, e, count(DISTINCT qid) AS n FROM v GROUP BY pid, level, s, e) SELECT pid, s, e, level, n FROM (SELECT *, row_number() OVER (PARTITION BY pid, s, e ORDER BY level) AS r FROM c) WHERE r = 1""")
+def extracted_spans(spark, d):
+    found = answers(spark, d)
+    phrases = found.select("pid", F.lit("phrase").alias("level"), F.col("start").cast("int").alias("s"), (F.col("start") + F.length("text")).cast("int").alias("e"), "qid")
+    golds = mapped(spark, d).select("pid", F.col("start_sent").alias("sent"), "qid").join(sentences(spark, d), ["pid", "sent"]).select("pid", F.lit("sentence").alias("level"), "s", "e", "qid")
+    return parse.extracted_spans(phrases.unionByName(golds), {"sentence": 1, "clause": 1, "phrase": 1})
+
+
+@query(f"""WITH {M}, w AS (SELECT pid, sent, title, text, string_split(text, ',') AS parts FROM s WHERE sent < 3)
+SELECT CAST(pid AS VARCHAR) || ':' || CAST(sent AS VARCHAR) || 's00' AS uid, 'sentence' AS kind, pid, replace(title, '_', ' ') || ': ' || text AS text, pid * 100000 + sent AS target FROM w
+UNION ALL SELECT CAST(pid AS VARCHAR) || ':' || CAST(sent AS VARCHAR) || 'c' || lpad(CAST(j AS VARCHAR), CAST(greatest(2, length(CAST(j AS VARCHAR))) AS INT), '0'), 'clause', pid, replace(title, '_', ' ') || ': ' || key, pid * 100000 + sent
+FROM (SELECT *, unnest(range(0, len(parts))) AS j, unnest(parts) AS key FROM w) WHERE (pid, sent) IN (SELECT pid, sent FROM gold) OR sent = 0""")
+def build_keys(spark, d):
+    """Keys of the opening sentences; parts between commas stand for parsed clauses."""
+    s = sentences(spark, d).where("sent < 3")
+    u = s.select((F.col("pid") * 100000 + F.col("sent")).alias("uidx"), F.concat_ws(":", F.col("pid").cast("string"), F.col("sent").cast("string")).alias("uid"), "pid", "sent", "title", "text")
+    parsed = s.select("pid", "sent", F.lit("clause").alias("type"), F.posexplode(F.split("text", ",")).alias("j", "key"))
+    fine = gold(spark, d).select("pid", "sent").unionByName(s.where("sent = 0").select("pid", "sent")).distinct()
+    return parse.build_keys(u, parsed, ["sentence", "clause"], fine)

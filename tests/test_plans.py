@@ -45,3 +45,35 @@ def test_streaming_demand(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert [tuple(r) for r in spark.sql("SELECT pid, s, e, n FROM asked").collect()] == [("p", 0, 4, 2)]
+
+
+def test_reports_and_guards(spark):
+    from tessella.plans import report
+
+    rows = spark.createDataFrame([("a", 1.0), ("b", None)], "method string, mean double")
+    assert report.markdown(rows, ["method", "mean"], 2).splitlines()[2:] == ["| a | 1.00 |", "| b |  |"]
+    with pytest.raises(ValueError):
+        report.markdown(rows, ["method"], most=1)
+    assert report.require_map_rate(spark.createDataFrame([(1,)], "start_sent int")) == 1.0
+    with pytest.raises(ValueError):
+        report.require_map_rate(spark.createDataFrame([(None,), (1,)], "start_sent int"))
+    report.comparable({"reader": 1}, {"reader": 1})
+    with pytest.raises(ValueError, match="data"):
+        report.comparable({"data": 1}, {"data": 2})
+
+
+def test_parse_spans_and_keys(spark):
+    from tessella.operators import parse
+
+    # The tower, which Eiffel designed, was completed: a small hand-made tree.
+    rows = [("p", 0, i, s, e, w, h, d, t, False) for i, (s, e, w, h, d, t) in enumerate([
+        (0, 3, "The", 1, "det", "DET"), (4, 9, "tower", 6, "nsubj", "NOUN"), (11, 16, "which", 4, "dobj", "PRON"), (17, 23, "Eiffel", 4, "nsubj", "PROPN"), (24, 32, "designed", 1, "relcl", "VERB"),
+        (34, 37, "was", 6, "aux", "AUX"), (38, 47, "completed", 6, "ROOT", "VERB")])]
+    toks = spark.createDataFrame(rows, "pid string, sent int, i long, s int, e int, w string, head long, dep string, pos string, punct boolean")
+    got = {(r.level, r.s, r.e) for r in parse.answer_spans(toks, spark.createDataFrame([(1, "p", 17, 23)], "qid int, pid string, a int, b int")).collect()}
+    assert got == {("sentence", 0, 47), ("clause", 11, 32), ("phrase", 17, 23)}
+    assert {r.key for r in parse.triples(toks).collect()} == {"tower completed", "Eiffel designed which"}
+    votes = spark.createDataFrame([("p", "phrase", 0, 3, 1), ("p", "phrase", 0, 3, 2), ("p", "sentence", 0, 3, 1), ("p", "sentence", 0, 9, 1)], "pid string, level string, s int, e int, qid int")
+    assert {(r.s, r.e, r.level) for r in parse.extracted_spans(votes, {"sentence": 1, "clause": 2, "phrase": 2}).collect()} == {(0, 3, "phrase"), (0, 9, "sentence")}
+    with pytest.raises(ValueError):
+        parse.extracted_spans(votes, {"sentence": 2, "clause": 1, "phrase": 3})
