@@ -32,10 +32,23 @@ def bm25(units: DataFrame, queries: DataFrame, depth: int = 100) -> DataFrame:
     return best(scored, ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
 
 
+#: Queries that brute force broadcasts; more are dealt to blocks.
+BROADCAST_QUERIES = 10_000
+
+
+def _against(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every unit beside every query, for exact brute force: no task holds more than a block of the queries."""
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        return units.crossJoin(F.broadcast(queries))
+    blocks = -(-n // BROADCAST_QUERIES)
+    asked = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    return units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "_block").drop("_block")
+
+
 def dense(units: DataFrame, queries: DataFrame, depth: int = 10) -> DataFrame:
-    """units (uidx, v), queries (qid, q): exact brute force by cosine, queries broadcast if few and dealt to blocks if not."""
-    pairs = units.crossJoin(F.broadcast(queries)) if queries.count() <= 10_000 else units.join(queries, F.lit(True))
-    scored = pairs.select("qid", "uidx", F.round(X.cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    """units (uidx, v), queries (qid, q): the nearest units of each query by cosine, exact."""
+    scored = _against(units, queries).select("qid", "uidx", F.round(X.cosine(F.col("v"), F.col("q")), 6).alias("score"))
     return best(scored, ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
 
 
@@ -51,7 +64,7 @@ def rrf(rankings: list[tuple[DataFrame, float]], depth: int = 100, k: int = 60)
 
 def question_prior(attached: DataFrame, queries: DataFrame, tau: float, depth: int = 100) -> DataFrame:
     """attached (uidx, v): past questions whose gold a unit covers; a unit scores its most similar past question, from tau."""
-    scored = attached.crossJoin(F.broadcast(queries)).select("qid", "uidx", F.round(X.cosine(F.col("v"), F.col("q")), 6).alias("x"))
+    scored = _against(attached, queries).select("qid", "uidx", F.round(X.cosine(F.col("v"), F.col("q")), 6).alias("x"))
     return best(scored.groupBy("qid", "uidx").agg(F.max("x").alias("score")).where(F.col("score") >= tau), ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
 
 

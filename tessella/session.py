@@ -10,8 +10,9 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
+_written: list[str] = []
 #: Rows of whole texts that a Python worker holds at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def ship(spark: SparkSession) -> None:
@@ -51,13 +52,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts lineage: a lost executor costs a re-read of files, not a recomputation.
+    The table stays until ``clear_scratch``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the tables that ``materialise`` has written in this application, but those whose name begins as one of ``keep``.
+
+    Frames that still read them cannot be used any more; call it between steps whose
+    results are written.
+    """
+    stay = []
+    for path in _written:
+        if keep and path.rpartition("/")[2].startswith(keep):
+            stay.append(path)
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _written[:] = stay
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables below ``sf_dir``."""
     ship(spark)
