@@ -145,13 +145,17 @@ class _Linker:
 
     def compared(self, pairs: DataFrame, edits: bool = False) -> DataFrame:
         """pairs: a, b and sure (compared whatever the signatures say)."""
-        left = self.posted.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
-        right = self.posted.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
+        pairs = materialise(pairs, "dedup-pairs")
+        posted = _rows_of(self.posted.select("id", "tokens"), pairs.where("NOT sure").select(F.explode(F.array("a", "b")).alias("id")))
+        left = posted.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
+        right = posted.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
         unsure = pairs.where("NOT sure").join(left, "a").join(right, "b").where(F.size(F.array_intersect("s", "t")) >= self.matches)
         enough = materialise(unsure.select("a", "b").unionByName(pairs.where("sure").select("a", "b")), "dedup-candidates")
-        x = self.sets.select(F.col("id").alias("a"), F.col("packed").alias("x"))
-        y = self.sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
-        full = enough.join(y, "b").join(x, "a").select("a", "b", "x", "y")
+        sets = _rows_of(self.sets, enough.select(F.explode(F.array("a", "b")).alias("id")))
+        x = sets.select(F.col("id").alias("a"), F.col("packed").alias("x"))
+        y = sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
+        # a is the pivot of many pairs: its set goes first, as equal neighbours shrink in the shuffle.
+        full = enough.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return materialise(full.mapInArrow(_compare(self.percent, edits), _COMPARED), "dedup-compared")
 
 
@@ -196,23 +200,50 @@ def near_duplicates(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def _sets_of(source: DataFrame, ids: DataFrame, shingle: int, words: int = 1 << 18) -> DataFrame:
-    """(id, packed): full sets of the given ids. A bit table of bounded size keeps most other texts out of the shuffle."""
-    spark = source.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
-    bits = ids.select(slot("id").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(words, np.int64)
+_SLOT_WORDS = 1 << 18
+
+
+def _slot(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(column), F.lit(_SLOT_WORDS * 64))
+
+
+def _slots(ids: DataFrame) -> np.ndarray:
+    """A bit table of bounded size with the slots of all ids."""
+    bits = ids.select(_slot("id").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(_SLOT_WORDS, np.int64)
     table[bits["w"].to_numpy()] = bits["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
+    return table
+
 
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(table):
+    """Rows (id, ..., s) whose slot s is set: all rows of the ids, and a few others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column("s").to_numpy()
-            hit = (shared.value[s >> 6] >> (s & 63)) & 1
-            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
+            yield batch.filter(pa.array(((table.value[s >> 6] >> (s & 63)) & 1).astype(bool)))
+
+    return run
+
+
+def _rows_of(frame: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``frame`` with one of the ids, and perhaps others; the others go before anything is shuffled."""
+    shared = frame.sparkSession.sparkContext.broadcast(_slots(ids))
+    slotted = frame.withColumn("s", _slot("id"))
+    return slotted.mapInArrow(_likely(shared), slotted.schema).drop("s")
+
 
-    likely = source.where("id IS NOT NULL").withColumn("s", slot("id")).mapInArrow(maybe, source.schema)
-    return materialise(likely.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, packed binary").dropDuplicates(["id", "packed"]), "dedup-sets")
+def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, packed): full sets of the given ids."""
+    table = _slots(ids)
+    shared = source.sparkSession.sparkContext.broadcast(table)
+    slotted = source.where("id IS NOT NULL").withColumn("s", _slot("id"))
+    make, likely = _sets(shingle), _likely(shared)
+    if np.bitwise_count(table.view(np.uint64)).sum() > _SLOT_WORDS * 4:
+        found = slotted.mapInArrow(likely, slotted.schema).join(ids, "id", "left_semi").mapInArrow(make, "id long, packed binary")
+    else:
+        # A few sets that nobody asks for do no harm, and cost less than a shuffle of the texts.
+        found = slotted.mapInArrow(lambda batches: make(likely(batches)), "id long, packed binary")
+    return materialise(found, "dedup-sets")
 
 
 def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +264,10 @@ def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: Da
     for i in range(MASKS):
         edits = edits.withColumn(f"m{i}", F.bit_or(F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long"))).over(own))
     edits = edits.withColumn("rare", F.count_if(F.col("bit").isNull()).over(own)).withColumn("central", F.sum("df").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("df"), "h")))
-    return held.drop("edits"), materialise(edits.drop("bit", "df"), "dedup-edits")
+    # No partner needs fewer shared edits of a member than this, see _need, so the frequent ones below that rank are skipped.
+    least = F.col("k") - F.col("n") * (100 - percent) / percent
+    edits = edits.withColumn("usable", F.count("*").over(own)).where((F.col("usable") >= least) & (F.col("rank") >= least)).drop("bit", "df", "usable")
+    return held.drop("edits"), materialise(edits, "dedup-edits")
 
 
 def _second(frame: DataFrame) -> DataFrame:
