@@ -1,4 +1,8 @@
-"""The cleaning pipeline over documents: each stage works on what the stage before it kept."""
+"""The cleaning pipeline over documents: each stage works on what the stage before it kept.
+
+A stage's result is written before the next stage begins, so each stage first clears
+away the scratch tables of the one before.
+"""
 
 from __future__ import annotations
 
@@ -6,31 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, decontaminate, near_dedup, quality, toxicity
 from tessella.llm.queries import public_vocabulary
-from tessella.session import materialise, table
+from tessella.session import clear_scratch, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
+    clear_scratch(spark, keep=("pipeline-",))
     return toxicity.reject(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality."""
+    clear_scratch(spark, keep=("pipeline-",))
     return quality.reject(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    clear_scratch(spark, keep=("pipeline-",))
     return near_dedup.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages: contaminated ones go, single passages are cut out."""
+    clear_scratch(spark, keep=("pipeline-",))
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of what they decode to."""
+    clear_scratch(spark, keep=("pipeline-",))
     ranks, pattern = public_vocabulary()
     return bpe.digest(docs, ranks, pattern)
 
