@@ -4,7 +4,7 @@ Each match of the split pattern is a word. Merging runs in Spark higher-order
 functions: a word is an array of byte values, and a fold over it merges, step by
 step, the neighbours of lowest rank (the leftmost on a tie), which is the merge
 order of the byte-level BPE libraries. The ranks are a literal map from the
-ids of two neighbours, kept as a perfect hash in two literal arrays, so that a look-up
+ids of two neighbours, kept as a sparse table in two literal arrays, so that a look-up
 costs the same at any vocabulary size. Decoding concatenates the tokens' bytes.
 
 Words that occur often are folded once: their counts over all texts are taken, the
@@ -21,19 +21,19 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessella.session import materialise, ship
 
 #: Most frequent words whose token ids are broadcast.
-CACHE_WORDS = 1 << 18
-_BUCKETS = 16_381
+CACHE_WORDS = 1 << 17
 _SHIFT = 1 << 20
-_P1, _P2 = 1_000_003, 999_983
 _NONE = 2**31 - 1
 #: Distinct words that a counting task holds before it passes them on.
 _HELD_WORDS = 200_000
@@ -65,72 +65,74 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def _perfect_table(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """Hash and displace: the displacement of each bucket, and slots of key * 2^20 + rank (-1: free)."""
-    buckets: list[list[tuple[int, int]]] = [[] for _ in range(_BUCKETS)]
+def _packed_rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
+    """The sparse table of ranks (row: left id, column: right id) as one array, rows displaced into each other's gaps.
+
+    Returns the displacement of each row, and cells of row * 2^20 + rank (-1: free).
+    """
+    rows: dict[int, dict[int, int]] = {}
     for (left, right), rank in pairs.items():
-        key = left * _SHIFT + right
-        buckets[key % _BUCKETS].append((key, rank))
-    size = max(_BUCKETS, 1 << (2 * len(pairs)).bit_length())
-    moves, slots = [0] * _BUCKETS, [-1] * size
-    for b in sorted(range(_BUCKETS), key=lambda b: -len(buckets[b])):
-        d = 0
-        while True:
-            at = {(key % _P1 + d * (1 + key % _P2)) % size for key, _ in buckets[b]}
-            if len(at) == len(buckets[b]) and all(slots[x] < 0 for x in at):
-                break
-            d += 1
-        moves[b] = d
-        for key, rank in buckets[b]:
-            slots[(key % _P1 + d * (1 + key % _P2)) % size] = key * _SHIFT + rank
-    return moves, slots
+        rows.setdefault(left, {})[right] = rank
+    room = 4 * len(pairs) + 1
+    moves, cells = [0] * size, [-1] * (room + size)
+    for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+        row = rows[left]
+        # Tried in a fixed scattered order; the array is four times too large, so few tries do.
+        at = left * 7919 % room
+        while any(cells[at + right] >= 0 for right in row):
+            at = (at + 104_729) % room
+        moves[left] = at
+        for right, rank in row.items():
+            cells[at + right] = left * _SHIFT + rank
+    return moves, cells
 
 
 def rank_literal(ranks: dict[bytes, int]):
-    """The rank map as two literal arrays, looked up in constant time: a function from a pair's key to its rank."""
-    moves, slots = _perfect_table(merges(ranks))
-    displaced, table, size = (F.from_json(F.lit(json.dumps(moves)), "array<bigint>"), F.from_json(F.lit(json.dumps(slots)), "array<bigint>"), len(slots))
+    """The rank map as two literal arrays, looked up in constant time: a function from two neighbours' ids to the rank of both joined."""
+    moves, cells = _packed_rows(merges(ranks), max(ranks.values()) + 1)
+    displaced, table = F.from_json(F.lit(json.dumps(moves)), "array<int>"), F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
 
-    def rank_of(key: Column) -> Column:
-        slot = (key % _P1 + F.get(displaced, (key % _BUCKETS).cast("int")) * (key % _P2 + 1)) % size
-        found = F.transform(F.array(F.get(table, slot.cast("int"))), lambda held: F.when(F.shiftright(held, 20) == key, held.bitwiseAND(_SHIFT - 1)).otherwise(F.lit(_NONE)))
-        return F.get(found, F.lit(0))
+    def rank_of(left: Column, right: Column) -> Column:
+        held = F.get(table, (F.get(displaced, left.cast("int")) + right).cast("int"))
+        return _let(held, lambda h: F.when(F.shiftright(h, 20) == left, h.bitwiseAND(_SHIFT - 1)).otherwise(F.lit(_NONE)))
 
     return rank_of
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_word(word: Column, ranks: dict[bytes, int]) -> Column:
     """array<int> of byte values to array<bigint> of token ids.
 
-    The fold's state is the ids so far, the rank of each pair of neighbours, and where
-    the lowest rank stands (-1: ranks are yet to be looked up, 0: nothing to merge).
+    The fold's state has a number for each token: the rank of merging it with the next
+    one, times 2^20, plus its id. The least number is the next merge; equal numbers are
+    equal pairs, of which the leftmost comes first.
     """
     rank_of = rank_literal(ranks)
     single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
     nothing = F.array().cast("array<bigint>")
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def key(a: Column, b: Column) -> Column:
-        return a * _SHIFT + b
-
-    def step(acc: Column) -> Column:
-        ids, ranked, at = acc["ids"], acc["ranks"], acc["at"]
-        token, n = F.get(ranked, at - 1), F.size(ids)
-        keys = F.when(at < 0, F.transform(F.sequence(F.lit(1), n - 1), lambda i: key(F.get(ids, i - 1), F.get(ids, i)))).otherwise(F.concat(
-            F.when(at > 1, F.array(key(F.get(ids, at - 2), token))).otherwise(nothing),
-            F.when(at < n - 1, F.array(key(token, F.get(ids, at + 1)))).otherwise(nothing),
-        ))
-        looked = F.transform(keys, rank_of)
-        now = F.when(at < 0, looked).otherwise(F.concat(F.slice(ranked, F.lit(1), F.greatest(at - 2, F.lit(0))), looked, F.slice(ranked, at + 2, n)))
-        merged = F.when(at < 0, ids).otherwise(F.concat(F.slice(ids, F.lit(1), at - 1), F.array(token), F.slice(ids, at + 2, n)))
-        return let(now, lambda r: let(F.coalesce(F.array_min(r), F.lit(_NONE)), lambda least: F.struct(
-            merged.alias("ids"), r.alias("ranks"), F.when(least < _NONE, F.array_position(r, least).cast("int")).otherwise(F.lit(0)).alias("at"))))
+    def with_next(token: Column, following: Column) -> Column:
+        return F.coalesce(rank_of(token, following), F.lit(_NONE)) * _SHIFT + token
+
+    def id_of(number: Column) -> Column:
+        return number.bitwiseAND(_SHIFT - 1)
+
+    def merge(state: Column, least: Column, at: Column) -> Column:
+        token = F.shiftright(least, 20)
+        before = F.when(at > 1, F.concat(F.slice(state, F.lit(1), at - 2), F.array(with_next(id_of(F.get(state, at - 2)), token)))).otherwise(nothing)
+        return F.concat(before, F.array(with_next(token, id_of(F.get(state, at + 1)))), F.slice(state, at + 2, F.size(state)))
+
+    def step(state: Column, _: Column) -> Column:
+        return _let(F.array_min(state), lambda least: F.when(least >= _NONE * _SHIFT, state).otherwise(
+            _let(F.array_position(state, least).cast("int"), lambda at: merge(state, least, at))))
 
     ids = F.transform(word, lambda b: F.get(single, b))
-    start = F.struct(ids.alias("ids"), nothing.alias("ranks"), F.when(F.size(word) > 1, F.lit(-1)).otherwise(F.lit(0)).alias("at"))
-    return F.aggregate(word, start, lambda acc, _: F.when(acc["at"] == 0, acc).otherwise(step(acc)), lambda acc: acc["ids"])
+    start = F.transform(ids, lambda token, i: with_next(token, F.get(single, F.get(word, i + 1))))
+    return F.aggregate(word, start, step, lambda state: F.transform(state, id_of))
 
 
 def _little_endian(ids: Column) -> Column:
@@ -142,11 +144,27 @@ def _little_endian(ids: Column) -> Column:
     return F.array_join(F.transform(ids, one), "")
 
 
+#: Fixed value: the split pattern of the common byte-level vocabularies, as the contract's library has it.
+COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of characters that Python's own classes see alike, and any other character.
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+_OTHER = r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
+
+
+def word_finder(pattern: str):
+    """A function from a text to its matches, by the faster of two equal ways."""
+    import regex
+
+    full = regex.compile(pattern).findall
+    if pattern != COMMON_PATTERN:
+        return full
+    plain, other = re.compile(_PLAIN_PATTERN).findall, re.compile(_OTHER).search
+    return lambda text: full(text) if other(text) else plain(text)
+
+
 def _count_words(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, held = regex.compile(pattern).findall, Counter()
+        find, held = word_finder(pattern), Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
@@ -168,9 +186,7 @@ def _split_texts(pattern: str, cache):
     """Per text: runs of ids of cached words, and between them the bytes of the other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find, get = regex.compile(pattern).findall, cache.value.get
+        find, get = word_finder(pattern), cache.value.get
         for batch in batches:
             known, rare = [], []
             for text in batch.column("text").to_pylist():
@@ -226,21 +242,20 @@ def encode(
     return split.select("id", ids.alias("ids")).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
-def decode(ids: Column, ranks: dict[bytes, int], spark: SparkSession) -> Column:
-    """Bytes of packed ids; an id outside the vocabulary is an error."""
+def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Rows with packed ids, and ``decoded``: the bytes of their tokens in a row. An id outside the vocabulary is an error."""
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
-    shared = spark.sparkContext.broadcast(pieces)
-
-    @F.pandas_udf(T.BinaryType())
-    def join_pieces(column):
-        import numpy as np
+    shared = coded.sparkSession.sparkContext.broadcast(pieces)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.__getitem__
-        return column.map(lambda x: b"".join(map(piece, np.frombuffer(x, "<u4").tolist())))
+        for batch in batches:
+            out = [None if x is None else b"".join(map(piece, array("I", x))) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return join_pieces(ids)
+    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def unpack(ids: Column) -> Column:
@@ -253,8 +268,5 @@ def unpack(ids: Column) -> Column:
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """The contract's columns: encode, then decode the ids."""
-    coded = encode(docs, ranks, pattern)
-    return coded.select(
-        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), ranks, docs.sparkSession), 256).alias("decoded_sha256"),
-    )
+    coded = decode(encode(docs, ranks, pattern), ranks)
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
