@@ -73,11 +73,11 @@ def _packed_rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int
     rows: dict[int, dict[int, int]] = {}
     for (left, right), rank in pairs.items():
         rows.setdefault(left, {})[right] = rank
-    room = 4 * len(pairs) + 1
+    room = 5 * len(pairs) // 2 + 1
     moves, cells = [0] * size, [-1] * (room + size)
     for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
         row = rows[left]
-        # Tried in a fixed scattered order; the array is four times too large, so few tries do.
+        # Tried in a fixed scattered order; the array has room to spare, so few tries do.
         at = left * 7919 % room
         while any(cells[at + right] >= 0 for right in row):
             at = (at + 104_729) % room
