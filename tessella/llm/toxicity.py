@@ -1,10 +1,11 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character language model is counted over all documents. Tokens that look disguised
-(figures and symbols for letters, letters spaced out, letters repeated) become lattices
-of what each character may stand for, and Viterbi decoding under the language model
-gives the most likely words behind them. The restored text is then scored by a lexicon
-of words and word beginnings that is learned from labelled documents.
+A character language model is counted over all documents. Tokens of any length that look
+disguised (figures and symbols for letters, letters spaced out, letters doubled) become
+lattices of what each character may stand for, where a gap may be a word's border, and
+Viterbi decoding under the language model gives the most likely words behind them. Every
+restored word is then scored by a lexicon of words and word beginnings that is learned
+from labelled documents.
 
 Learning: features are whole words and their first 4 to 8 bytes. A feature's support
 is the lesser of the toxic documents and of the distinct next words it has there, so
@@ -25,8 +26,10 @@ named ones are passed through by ``reject`` and ignored elsewhere.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,12 +54,26 @@ _SYMBOL[97:123] = np.arange(1, 27)
 #: The letters that a character is used for in disguise.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 _IN = re.escape("".join(LOOKALIKES))
-_DISGUISED = re.compile(
-    rf"(?<![\w{_IN}])(?=[{_IN}]*[A-Za-z])(?:[A-Za-z]+[{_IN}]|[{_IN}]+[A-Za-z])[A-Za-z{_IN}]{{1,24}}(?![\w{_IN}])"
-    rf"|(?<!\w)(?:[A-Za-z{_IN}][ ._*\-]){{2,15}}[A-Za-z{_IN}](?!\w)"
-    r"|(?<![A-Za-z])[A-Za-z]{0,20}([A-Za-z])\1\1[A-Za-z]{0,20}(?![A-Za-z])"
-)
+
+
+def _letters() -> str:
+    """Every letter of Unicode, as ranges of a regex class."""
+    alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    edges = np.flatnonzero(np.diff(alpha.view(np.int8), prepend=0, append=0))
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()))
+
+
+_L = _letters()
+#: Maximal runs of letters and look-alikes, and runs without ASCII marks, in which they are looked for.
+_RUN = re.compile(rf"[{_L}{_IN}]{{3,}}+")
+_MARKLESS = re.compile(r"[^\s\"#%&'*,\-./:;<=>?\[\]\\^_`{}~)]{3,}+")
+_FIGURES = re.compile(rf"(?:[{_L}]++[{_IN}]|[{_IN}]++[{_L}])[{_L}{_IN}]++")
+_DOUBLED = re.compile(rf"[{_L}]*?([{_L}])\1[{_L}]*+", re.IGNORECASE)
+_GAP = re.compile(r"[\s._*\-]+")
+_SPACED_OUT = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{_IN}])(?:[\s._*\-]++(?:[^\W_]|[{_IN}])(?![^\W_])){{2,}}+")
 _SUBSTITUTED, _REPEATED, _SPACED = 1.0, 0.5, 0.2
+#: Readings of a token that are looked up one by one before it is decoded; tokens of more are always decoded.
+MOST_READINGS = 32
 
 
 def prefix_hashes(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -101,35 +118,78 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(table / table.sum(axis=2, keepdims=True))
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each run of equal characters may stand for: (letters, cost)."""
-    squeezed = re.sub(r"(?<=\S)[ ._*\-](?=\S)", "", token) if re.search(r"[ ._*\-]", token) else token
+@lru_cache(maxsize=200_000)
+def _tokens(text: str) -> tuple[str, ...]:
+    """Runs of letters and look-alikes that look disguised: whole ones with figures, letters alone where one is doubled."""
     out = []
-    for run in re.finditer(r"(.)\1*", squeezed.lower()):
-        c, n = run[1], len(run[0])
-        base = [(x, _SUBSTITUTED) for x in LOOKALIKES[c]] if c in LOOKALIKES else [(c, 0.0)] if "a" <= c <= "z" else []
+    for run in _RUN.findall(text):
+        if not run.isalpha() and _FIGURES.fullmatch(run):
+            out.append(run)
+        elif doubled := _DOUBLED.search(run):
+            out.append(doubled[0])
+    return tuple(out)
+
+
+def disguised(text: str) -> Iterator[str]:
+    """Tokens that look disguised, of any length; long ones are not kept in memory."""
+    for run in _MARKLESS.findall(text):
+        yield from _tokens(run) if len(run) <= 64 else _tokens.__wrapped__(run)
+    yield from (m[0] for m in _SPACED_OUT.finditer(text))
+
+
+def _lattice(token: str) -> list[list[tuple[str, float]]]:
+    """What each gap and each run of equal characters may stand for: (letters, cost); a gap is nothing or a word's border."""
+    low = token.lower()
+    narrow = min(map(len, _GAP.findall(low)), default=0)
+    out: list[list[tuple[str, float]]] = []
+    before = ""
+    for run in re.finditer(r"([\s._*\-]+)|(.)\2*", low):
+        if run[1]:
+            out.append([("", _SPACED if len(run[1]) == narrow else _SUBSTITUTED), (" ", 0.0)])
+            continue
+        c, n = run[2], len(run[0])
+        base = [(x, _SUBSTITUTED) for x in LOOKALIKES[c]] if c in LOOKALIKES else [(c, 0.0)] if c.isalpha() else []
+        bare = unicodedata.normalize("NFD", c)[0]
+        if c > "\x7f" and "a" <= bare <= "z":
+            base.append((bare, _SUBSTITUTED))
         if base:
-            out.append([(x * m, cost * m + _REPEATED * (n > m)) for x, cost in base for m in (1, 2) if m <= n])
+            again = [("", _REPEATED)] if c == before else []
+            out.append([(x * m, cost * m + _REPEATED * (n > m)) for x, cost in base for m in (1, 2) if m <= n] + again)
+        before = c
     return out
 
 
+@lru_cache(maxsize=4096)
+def _symbols(letters: str) -> tuple[int, ...]:
+    return tuple(_SYMBOL[list(letters.encode())].tolist()) if letters else ()
+
+
 def restore(token: str, model: np.ndarray, best: int = 4) -> list[tuple[str, float]]:
     """The most likely words behind a disguised token, with their probabilities among those."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+    # A path is its score and its last letters linked to the path before, so that long tokens cost in proportion.
+    states: dict[tuple[int, int], list[tuple[float, tuple]]] = {(0, 0): [(0.0, ())]}
     for options in _lattice(token):
-        after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        after: dict[tuple[int, int], list[tuple[float, tuple]]] = {}
         for (x, y), paths in states.items():
             for letters, cost in options:
                 a, b, gain = x, y, -cost
-                for c in letters:
-                    k = ord(c) - 96
+                for k in _symbols(letters):
                     gain += model[a, b, k]
                     a, b = b, k
-                after.setdefault((a, b), []).extend((s + gain, text + letters) for s, text in paths)
-        states = {k: sorted(v, reverse=True)[:best] for k, v in after.items()}
-    ends = sorted(((s + model[x, y, 0], text) for (x, y), paths in states.items() for s, text in paths if text), reverse=True)[:best]
-    total = sum(math.exp(s - ends[0][0]) for s, _ in ends) if ends else 1.0
-    return [(text, math.exp(s - ends[0][0]) / total) for s, text in ends]
+                after.setdefault((a, b), []).extend((s + gain, (path, letters) if letters else path) for s, path in paths)
+        states = {k: sorted(v, key=lambda p: -p[0])[:best] for k, v in after.items()}
+    found: dict[str, float] = {}
+    for s, path in sorted(((s + model[x, y, 0], path) for (x, y), paths in states.items() for s, path in paths), key=lambda p: -p[0])[: 2 * best]:
+        parts = []
+        while path:
+            path, letters = path
+            parts.append(letters)
+        text = "".join(reversed(parts)).strip()
+        if text:
+            found.setdefault(text, s)
+    ends = list(found.items())[:best]
+    total = sum(math.exp(s - ends[0][1]) for _, s in ends) if ends else 1.0
+    return [(text, math.exp(s - ends[0][1]) / total) for text, s in ends]
 
 
 # --- learning
@@ -263,14 +323,40 @@ def _scores(shared, keep, text_col: str = "text"):
                 np.maximum.at(best, at[maybe[found]], weights[i[found]])
             return best
 
-        @lru_cache(maxsize=100_000)
-        def hidden(token: str) -> float:
-            """Weight of a disguised token: of what it may stand for, by probability."""
-            guesses = restore(token, characters)
-            if not guesses or not len(keys):
-                return 0.0
-            chunk = scan([g.encode() for g, _ in guesses], _LETTERS)
-            return float(sum(w * p for w, (_, p) in zip(word_weights(chunk), guesses)))
+        def hidden(token: str) -> tuple[float, int]:
+            """Evidence and known words of a disguised token: of every word it may stand for, by probability."""
+            guesses = restore(token, characters) if len(keys) else []
+            if not guesses:
+                return 0.0, 0
+            chunk = scan([token.encode(), *(g.encode() for g, _ in guesses)], _LETTERS)
+            w, owner = word_weights(chunk), chunk.owner()
+            clean = np.bincount(owner, np.log(1 - np.minimum(w, 0.999)), len(guesses) + 1)
+            known = np.bincount(owner, w > 0, len(guesses) + 1).astype(int)
+            # A token of letters alone was scored as a word already: only what restoring adds counts.
+            plain = token.isalpha()
+            top = clean[1:].max()
+            evidence = -top - math.log(sum(p * math.exp(c - top) for (_, p), c in zip(guesses, clean[1:]))) + (clean[0] if plain else 0.0)
+            return (float(evidence), max(0, int(known[1:].max()) - (int(known[0]) if plain else 0))) if evidence > 1e-12 else (0.0, 0)
+
+        def weigh(tokens: list[str]) -> Iterator[tuple[str, tuple[float, int]]]:
+            """(token, evidence and known words); only tokens of which some reading has a known word are decoded."""
+            readings, of, decode = [], [], []
+            for token in tokens:
+                options = _lattice(token)
+                if math.prod(map(len, options)) > MOST_READINGS:
+                    decode.append(token)
+                    continue
+                made = {"".join(x for x, _ in way) for way in itertools.product(*options)}
+                readings += [x.encode() for x in made]
+                of += [token] * len(made)
+            for a, b in chunks(readings):
+                chunk = scan(readings[a:b], _LETTERS)
+                if len(chunk.starts):
+                    decode += [of[a + i] for i in np.unique(chunk.owner()[np.flatnonzero(word_weights(chunk))]).tolist()]
+            yield from dict.fromkeys(tokens, (0.0, 0)).items()
+            yield from ((token, hidden(token)) for token in dict.fromkeys(decode))
+
+        kept: dict[str, tuple[float, int]] = {}
 
         for batch in batches:
             column = batch.column(text_col)
@@ -284,12 +370,16 @@ def _scores(shared, keep, text_col: str = "text"):
                     owner = np.searchsorted(chunk.first, at, side="right") - 1 + a
                     np.add.at(evidence, owner, -np.log(1 - w[at]))
                     np.add.at(hits, owner, 1)
-            for i, text in enumerate(plain):
-                for token in _DISGUISED.finditer(text) if text else ():
-                    w = hidden(token[0])
-                    if w > 0:
-                        evidence[i] -= math.log(1 - min(w, 0.999))
-                        hits[i] += 1
+            for a, b in chunks(texts) if len(keys) else ():
+                found = [(i, token) for i in range(a, b) if plain[i] for token in disguised(plain[i])]
+                said = dict(weigh([token for token in dict.fromkeys(t for _, t in found) if token not in kept]))
+                for i, token in found:
+                    e, n = kept[token] if token in kept else said[token]
+                    evidence[i] += e
+                    hits[i] += n
+                kept.update((t, x) for t, x in said.items() if len(t) <= 64)
+                if len(kept) > 100_000:
+                    kept.clear()
             score = 1 / (1 + np.exp(-np.clip(intercept + slope * evidence, -30, 30)))
             yield keep(batch, score, hits, evidence)
 

@@ -198,6 +198,20 @@ def test_toxicity_on_held_out(spark, judged, odd, none):
     assert toxicity.reject(docs, lexicon).columns == docs.columns
 
 
+def test_disguises_of_any_length(spark, judged):
+    docs, labels = judged
+    tokens = ["s" + "7" * 30 + "upid", "s" + "t" * 60 + "upid", "s  t  u  p  i  d", "y o u a r e a s t u p i d i d i o t", "stuupiid", "gañ4n", "p3ndejó", "s_t_u_p_i_d"]
+    assert [list(toxicity.disguised(f"say {t}, so")) for t in tokens] == [[t] for t in tokens]
+    assert list(toxicity.disguised("2020 (plain) words! a b")) == ["(plain"]
+    lexicon = toxicity.learn(docs, labels)
+    told = ["reta 6r" + "0" * 40 + "mwit reta", "g" + "r" * 60 + "omwit", "g  r  o  m  w  i  t", " ".join("retamolisnivelorgromwitsune"), "snivelor", "snniveloor", "gr0mwít", "reta"]
+    got = {r.id: r for r in toxicity.score_texts(spark.createDataFrame(list(enumerate(told)), "id long, text string"), lexicon).collect()}
+    assert all(got[i].hits >= 1 for i in range(7)) and got[7].hits == 0
+    assert got[3].hits >= 2 and got[3].evidence > 1.5 * got[2].evidence  # both words of one spaced run
+    once = toxicity.score_texts(spark.createDataFrame([(1, "snivelor"), (2, "gromwit")], "id long, text string"), lexicon).collect()
+    assert [r.hits for r in once] == [1, 1]
+
+
 def test_quality_on_held_out(spark, judged):
     docs, labels = judged
     got = [r for r in quality.digest(docs, labels).collect() if r.held_out]
