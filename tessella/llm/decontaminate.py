@@ -188,34 +188,53 @@ def remove(
 ) -> DataFrame:
     """Drops contaminated documents and cuts the hit spans out of the others; all columns are kept.
 
-    Benchmarks of several shards are removed shard by shard: the share of hit words
-    is then held against each shard. chars_col, if it is a column, follows the text.
+    Spans of all shards are united on the uncut text, so the result does not depend on the
+    size of a shard. chars_col, if it is a column, follows the text.
     """
     spark, schema = docs.sparkSession, docs.schema
-    out = docs
-    for shard in _shards(benchmark, item_col, item_text_col, shard_bytes):
-        windows = spark.sparkContext.broadcast(WindowSet(shard, window))
 
-        def keep(batch, texts, n_words, _items, spans, cuts):
-            hit = [sum(y - x for x, y in s) for s in spans]
-            stay = [not (h and h * CONTAMINATED_ONE_IN >= n) for h, n in zip(hit, n_words)]
-            if any(cuts[i] and stay[i] for i in range(len(stay))):
-                cut, at = [], batch.schema.get_field_index(text_col)
-                old = batch.column(at).to_pylist()
-                for i, c in enumerate(cuts):
-                    if c and stay[i]:
-                        kept = [texts[i][a:b] for a, b in zip([0, *[y for _, y in c]], [*[x for x, _ in c], len(texts[i])])]
-                        old[i] = b"".join(kept).decode()
-                    cut.append(old[i])
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
-                if chars_col in batch.schema.names:
-                    where = batch.schema.get_field_index(chars_col)
-                    lengths = [len(cut[i]) if c else v for i, (c, v) in enumerate(zip(cuts, batch.column(where).to_pylist()))]
-                    batch = batch.set_column(where, batch.schema.field(where), pa.array(lengths, batch.schema.field(where).type))
-            return batch.filter(pa.array(stay, pa.bool_()))
-
-        out = out.mapInArrow(_scan_batches(windows, text_col, keep), schema)
-    return out
+    def keep(batch, texts, n_words, _items, spans, cuts):
+        hit = [sum(y - x for x, y in s) for s in spans]
+        stay = [not (h and h * CONTAMINATED_ONE_IN >= n) for h, n in zip(hit, n_words)]
+        if any(cuts[i] and stay[i] for i in range(len(stay))):
+            cut, at = [], batch.schema.get_field_index(text_col)
+            old = batch.column(at).to_pylist()
+            for i, c in enumerate(cuts):
+                if c and stay[i]:
+                    kept = [texts[i][a:b] for a, b in zip([0, *[y for _, y in c]], [*[x for x, _ in c], len(texts[i])])]
+                    old[i] = b"".join(kept).decode()
+                cut.append(old[i])
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(cut, batch.schema.field(at).type))
+            if chars_col in batch.schema.names:
+                where = batch.schema.get_field_index(chars_col)
+                lengths = [len(cut[i]) if c else v for i, (c, v) in enumerate(zip(cuts, batch.column(where).to_pylist()))]
+                batch = batch.set_column(where, batch.schema.field(where), pa.array(lengths, batch.schema.field(where).type))
+        return batch.filter(pa.array(stay, pa.bool_()))
+
+    shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
+    first = next(shards)
+    if next(shards, None) is None:
+        windows = spark.sparkContext.broadcast(WindowSet(first, window))
+        return docs.mapInArrow(_scan_batches(windows, text_col, keep), schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [x or [] for x in batch.column("_spans").to_pylist()]
+            batch = batch.select(schema.names)
+            texts = as_bytes(batch.column(text_col))
+            n_words, cuts = [0] * len(texts), [[] for _ in texts]
+            for i in (i for i, spans in enumerate(own) if spans):
+                chunk = scan([texts[i]], ALNUM)
+                n_words[i] = len(chunk.starts)
+                cuts[i] = [[int(chunk.starts[x]), int(chunk.ends[y - 1])] for x, y in own[i]]
+            yield keep(batch, texts, n_words, None, own, cuts)
+
+    # What a text holds depends on nothing but the text, so each text is looked at once.
+    key = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(text_col).alias("_text")).dropDuplicates(["_key"])
+    found = scan_hits(texts, benchmark, id_col="_key", text_col="_text", item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
+    hit = found.where("n_hit > 0").select(F.col("id").alias("_key"), F.col("spans").alias("_spans"))
+    return docs.withColumn("_key", key).join(hit, "_key", "left").drop("_key").mapInArrow(apply, schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

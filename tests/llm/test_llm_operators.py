@@ -291,6 +291,24 @@ def test_decontamination_equals_brute_force(spark, odd, none):
     assert decontaminate.digest(none, bench).count() == 0 and decontaminate.digest(frame, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_removal_does_not_depend_on_shards(spark):
+    rng = random.Random(8)
+    word = lambda tag, n: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, cross = word("x", 13), word("y", 13), word("z", 20)
+    items = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(cross[:13])), (4, " ".join(cross[5:18]))]
+    texts = [
+        (1, " ".join(word("f", 200) + one + word("f", 200) + two)),  # 13 + 13 of 426 words: only both together are one in twenty
+        (2, " ".join(word("f", 900) + cross + word("f", 40))),  # items that overlap: all 18 words go
+        (3, " ".join(word("f", 30))), (4, None), (5, ""),
+    ]
+    texts += [(6, texts[1][1])]
+    frame = spark.createDataFrame([(i, t, len(t or ""), "own") for i, t in texts], "doc_id long, text string, n_chars long, source string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, small = (sorted(map(tuple, decontaminate.remove(frame, bench, shard_bytes=n).collect())) for n in (1 << 20, 64))
+    assert whole == small and [r[0] for r in small] == [2, 3, 4, 5, 6]
+    assert not set(cross[:18]) & set(small[0][1].split()) and small[0][2] == len(small[0][1]) and small[0][1] == small[4][1]
+
+
 # --- 10
 
 
