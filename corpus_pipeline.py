@@ -38,10 +38,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and a digest of what they decode to."""
+    """Token ids of every document (packed, see bpe.encode), and a digest of what they decode to."""
     clear_scratch(spark, keep=("pipeline-",))
     ranks, pattern = public_vocabulary()
-    return bpe.digest(docs, ranks, pattern)
+    return bpe.digest(docs, ranks, pattern, with_ids=True)
 
 
 STAGES = [

@@ -266,7 +266,8 @@ def unpack(ids: Column) -> Column:
     return F.when(F.octet_length(ids) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.conv(swapped(i), 16, 10).cast("bigint")))
 
 
-def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """The contract's columns: encode, then decode the ids."""
+def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False) -> DataFrame:
+    """The contract's columns: encode, then decode the ids; with_ids puts the packed ids beside them."""
     coded = decode(encode(docs, ranks, pattern), ranks)
-    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = ["ids"] if with_ids else []
+    return coded.select(F.col("id").alias("doc_id"), *kept, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -49,3 +49,12 @@ def test_planted_cases(spark, tmp_path):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256(text[i].encode()).hexdigest()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontaminate", "bpe"]
+
+
+def test_the_last_stage_returns_token_ids(spark, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = public_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = {1: "Some words, some 123 more.", 2: "", 3: "ÉTÉ — 漢字"}
+    got = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.encode(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), str(tmp_path)).collect()}
+    assert got == {i: struct.pack(f"<{len(ids)}I", *ids) for i, ids in ((i, library.encode_ordinary(t)) for i, t in texts.items())}
