@@ -192,7 +192,7 @@ def parse_subtree_span(spark, d):
 
 @query()
 def clause_keys(spark, d):
-    return parse.clause_keys(parse.toy_tokens(sentences(spark, d).where("sent = 0")))
+    return parse.clause_keys(parse.toy_tokens(sentences(spark, d)))
 
 
 @query()
