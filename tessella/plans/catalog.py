@@ -137,7 +137,7 @@ def chunk_greedy(spark, d):
 
 @query()
 def fuzzy_span(spark, d):
-    return answers(spark, d).join(paragraphs(spark, d), "pid").select("qid", "pid", corpus.fuzzy_span(F.col("context"), F.substring("text", 1, 80)).alias("x")).select("qid", "pid", "x.s", "x.e")
+    return answers(spark, d).join(paragraphs(spark, d), "pid").select("qid", "pid", corpus.fuzzy_span(F.col("context"), F.col("text")).alias("x")).select("qid", "pid", "x.s", "x.e")
 
 
 @query(f"""WITH {S}, o AS (SELECT pid, unnest([-1, 0, length(context) // 3, length(context) // 2, length(context) - 1, length(context)]) AS "offset", unnest(range(0, 6)) AS k FROM p)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.operators import entities, graph, ranking
 from tessella.operators.components import connected_components
-from tessella.plans.catalog import BM, CONCEPT, COS, P, Q, S, TAU, U, bm25_topk, paragraphs, query, questions, sentences, vectors
+from tessella.plans.catalog import BM, CONCEPT, COS, P, Q, S, TAU, U, _search_units, bm25_topk, items, paragraphs, query, questions, sentences, vectors
 from tessella.session import table
 
 MN = f"""{P}, found AS (SELECT pid, title AS article, unnest(list_distinct(regexp_extract_all(context, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS text, 'person' AS grp FROM p
@@ -270,7 +270,8 @@ def _beam(spark, d, least):
     s = sentences(spark, d).select("pid", "s", F.concat_ws(":", F.format_string("%08d", "pid"), F.format_string("%05d", "sent")).alias("uid"), "text")
     steps = graph.adjacent(s)
     moves = steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    heads = bm25_topk(spark, d).where(F.col("rank") <= 3).join(questions(spark, d), "qid").select("qid", "question", F.concat(F.format_string("%08d", "uidx"), F.lit(":00000")).alias("uid"), (1 / F.col("rank")).alias("score"))
+    asked = items(spark, d).withColumnRenamed("text", "question")
+    heads = ranking.bm25(_search_units(spark, d), asked, 3).join(asked, "qid").select("qid", "question", F.concat(F.format_string("%08d", "uidx"), F.lit(":00000")).alias("uid"), (1 / F.col("rank")).alias("score"))
     return graph.beam(s.select("uid", "text"), moves, heads, least=least)
 
 

@@ -24,3 +24,13 @@ def test_clause_keys_of_every_sentence(spark, tables):
         got.setdefault((r.pid, r.sent), []).extend(r.key.split())
     want = {(r.pid, r.sent): sorted(w for w in r.text.split() if any(c.isalnum() for c in w)) for r in catalog.sentences(spark, tables).collect()}
     assert {k: sorted(v) for k, v in got.items()} == want and {sent for _, sent in got} == {0, 1, 2}
+
+
+def test_fuzzy_span_is_the_whole_item(spark, tables):
+    (r,) = catalog.QUERIES["fuzzy_span"](spark, tables).collect()
+    assert (r.pid, r.e - r.s) == (4, len(ITEM))
+
+
+def test_beam_starts_from_the_whole_item(spark, tables):
+    rows = catalog.QUERIES["beam_traverse"](spark, tables).collect()
+    assert any(r.path.startswith("00000004:") for r in rows)
