@@ -124,13 +124,13 @@ def summary_grouping_sets(spark, d):
 @query()
 def paired_bootstrap(spark, d):
     e = log(spark, d)
-    return metrics.bootstrap(e.select("id", "value", (F.col("value") * 0.9 + F.col("budget")).alias("other")), "value", "other", n_boot=200)
+    return metrics.bootstrap(e.select("id", "value", (F.col("value") * 0.9 + F.col("budget")).alias("other")), "value", "other", n_boot=10_000)
 
 
 @query()
 def ratio_ci(spark, d):
     e = log(spark, d)
-    return metrics.bootstrap(e.select("id", "value", (F.col("value") / 4).alias("other")), "value", "other", "ratio", n_boot=200)
+    return metrics.bootstrap(e.select("id", "value", (F.col("value") / 4).alias("other")), "value", "other", "ratio", n_boot=10_000)
 
 
 GRID = f"""{EV}, gr AS (SELECT method, k, w, round(avg(CASE WHEN value / 100 > 0.5 + 0.01 * k - 0.1 * w THEN 1.0 ELSE 0.0 END), 6) AS hit FROM ev, (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest([0.0, 0.5, 1.0]) AS w) GROUP BY method, k, w)"""

@@ -34,3 +34,12 @@ def test_fuzzy_span_is_the_whole_item(spark, tables):
 def test_beam_starts_from_the_whole_item(spark, tables):
     rows = catalog.QUERIES["beam_traverse"](spark, tables).collect()
     assert any(r.path.startswith("00000004:") for r in rows)
+
+
+def test_intervals_rest_on_ten_thousand_resamples(spark, tables, monkeypatch):
+    seen = []
+    inner = metrics.bootstrap
+    monkeypatch.setattr(metrics, "bootstrap", lambda *a, **k: seen.append(k.get("n_boot")) or inner(*a, **k))
+    for name in ("paired_bootstrap", "ratio_ci"):
+        assert len(catalog.QUERIES[name](spark, tables).collect()) == 1
+    assert seen == [10_000, 10_000]
