@@ -42,11 +42,12 @@ WANTED_RECALL = 0.97
 def _neighbours(base: np.ndarray, queries: np.ndarray, k: int, own: bool) -> np.ndarray:
     """Places in ``base`` of each query's k greatest inner products; own: query i is base i and left out."""
     out = []
-    for a in range(0, len(queries), 1024):
-        scores = queries[a : a + 1024] @ base.T
+    for a in range(0, len(queries), 128):
+        scores = queries[a : a + 128] @ base.T
         if own:
             scores[np.arange(len(scores)), np.arange(a, a + len(scores))] = -np.inf
-        out.append(np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, :k])
+        # A copy: a view would keep the places of all vectors, block after block.
+        out.append(np.argpartition(-scores, min(k, scores.shape[1] - 1), axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
