@@ -7,36 +7,50 @@ order of the byte-level BPE libraries. The ranks are a literal map from the
 ids of two neighbours, kept as a sparse table in two literal arrays, so that a look-up
 costs the same at any vocabulary size. Decoding concatenates the tokens' bytes.
 
-Words that occur often are folded once: their counts over all texts are taken, the
-most frequent ``cache_words`` (a fixed bound) are folded into a table, and that
-table is broadcast. All other words are folded where they stand, so that nothing
-depends on the cache but speed, and texts are never shuffled.
+Words that occur more than once are folded once: counts over all texts are taken, and
+the ``cache_words`` most frequent words (a fixed bound) are folded into a table that is
+broadcast as a few packed arrays. Other words are folded where they stand, so that
+nothing depends on the table but speed, and texts are never shuffled. A word that is
+itself a token needs no fold, and a word of more than ``FOLD_BYTES`` bytes is merged
+with a heap, in n log n steps where the fold takes n of O(n).
 
 Defined results: null and empty texts have no tokens; repeated documents each get
 their row; special tokens are ordinary text. Columns other than the named ones are
-ignored. A single match of n bytes costs n steps of O(n).
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tessella.llm._words import as_bytes
 from tessella.session import materialise, ship
 
-#: Most frequent words whose token ids are broadcast.
-CACHE_WORDS = 1 << 17
+#: Most frequent words whose token ids are broadcast, at about 40 bytes each.
+CACHE_WORDS = 1 << 20
+#: Bytes of the longest word that is folded.
+FOLD_BYTES = 512
 _SHIFT = 1 << 20
 _NONE = 2**31 - 1
+#: Of those, the words that each task holds in a dictionary.
+HOT_WORDS = 1 << 17
 #: Distinct words that a counting task holds before it passes them on.
 _HELD_WORDS = 200_000
+#: Words that a task folds.
+_TASK_WORDS = 20_000
+#: Characters of a printed plan: the literal map is long, and Spark keeps every plan that it prints.
+_PLAN_CHARS = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,13 +82,14 @@ def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 def _packed_rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
     """The sparse table of ranks (row: left id, column: right id) as one array, rows displaced into each other's gaps.
 
-    Returns the displacement of each row, and cells of row * 2^20 + rank (-1: free).
+    Returns the displacement of each row (and of the row of no token, id ``size``), and
+    cells of rank * 2^20 + row (-1: free).
     """
     rows: dict[int, dict[int, int]] = {}
     for (left, right), rank in pairs.items():
         rows.setdefault(left, {})[right] = rank
     room = 5 * len(pairs) // 2 + 1
-    moves, cells = [0] * size, [-1] * (room + size)
+    moves, cells = [0] * (size + 1), [-1] * (room + size + 1)
     for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
         row = rows[left]
         # Tried in a fixed scattered order; the array has room to spare, so few tries do.
@@ -83,83 +98,97 @@ def _packed_rows(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int
             at = (at + 104_729) % room
         moves[left] = at
         for right, rank in row.items():
-            cells[at + right] = left * _SHIFT + rank
+            cells[at + right] = rank * _SHIFT + left
     return moves, cells
 
 
-def rank_literal(ranks: dict[bytes, int]):
-    """The rank map as two literal arrays, looked up in constant time: a function from two neighbours' ids to the rank of both joined."""
-    moves, cells = _packed_rows(merges(ranks), max(ranks.values()) + 1)
-    displaced, table = F.from_json(F.lit(json.dumps(moves)), "array<int>"), F.from_json(F.lit(json.dumps(cells)), "array<bigint>")
-
-    def rank_of(left: Column, right: Column) -> Column:
-        held = F.get(table, (F.get(displaced, left.cast("int")) + right).cast("int"))
-        return _let(held, lambda h: F.when(F.shiftright(h, 20) == left, h.bitwiseAND(_SHIFT - 1)).otherwise(F.lit(_NONE)))
-
-    return rank_of
-
-
 def _let(value: Column, body) -> Column:
     """body of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_word(word: Column, ranks: dict[bytes, int]) -> Column:
-    """array<int> of byte values to array<bigint> of token ids.
+def fold_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>> of byte values to array<array<bigint>> of token ids.
 
     The fold's state has a number for each token: the rank of merging it with the next
-    one, times 2^20, plus its id. The least number is the next merge; equal numbers are
-    equal pairs, of which the leftmost comes first.
+    one, times 2^20, plus its id; before all there is one of no token. The least number
+    is the next merge; equal numbers are equal pairs, of which the leftmost comes first.
+    The rank map stands in the plan once.
     """
-    rank_of = rank_literal(ranks)
-    single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-    nothing = F.array().cast("array<bigint>")
-
-    def with_next(token: Column, following: Column) -> Column:
-        return F.coalesce(rank_of(token, following), F.lit(_NONE)) * _SHIFT + token
+    size = max(ranks.values()) + 1
+    moves, cells = _packed_rows(merges(ranks), size)
+    literal = lambda values: F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
+    tables = F.struct(literal(moves).alias("moves"), literal(cells).alias("cells"), literal([ranks[bytes([b])] for b in range(256)]).alias("single"))
+    last = _NONE * _SHIFT
 
     def id_of(number: Column) -> Column:
         return number.bitwiseAND(_SHIFT - 1)
 
-    def merge(state: Column, least: Column, at: Column) -> Column:
-        token = F.shiftright(least, 20)
-        before = F.when(at > 1, F.concat(F.slice(state, F.lit(1), at - 2), F.array(with_next(id_of(F.get(state, at - 2)), token)))).otherwise(nothing)
-        return F.concat(before, F.array(with_next(token, id_of(F.get(state, at + 1)))), F.slice(state, at + 2, F.size(state)))
-
-    def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state), lambda least: F.when(least >= _NONE * _SHIFT, state).otherwise(
-            _let(F.array_position(state, least).cast("int"), lambda at: merge(state, least, at))))
-
-    ids = F.transform(word, lambda b: F.get(single, b))
-    start = F.transform(ids, lambda token, i: with_next(token, F.get(single, F.get(word, i + 1))))
-    return F.aggregate(word, start, step, lambda state: F.transform(state, id_of))
-
-
-def _little_endian(ids: Column) -> Column:
-    """Hex of ids as little-endian unsigned 32-bit integers."""
-    def one(x: Column) -> Column:
-        swapped = F.shiftleft(x.bitwiseAND(255), 24) + F.shiftleft(F.shiftright(x, 8).bitwiseAND(255), 16) + F.shiftleft(F.shiftright(x, 16).bitwiseAND(255), 8) + F.shiftright(x, 24).bitwiseAND(255)
-        return F.lpad(F.hex(swapped), 8, "0")
-
-    return F.array_join(F.transform(ids, one), "")
+    def fold(word: Column, moves: Column, cells: Column, single: Column) -> Column:
+        def number(token: Column, following: Column) -> Column:
+            """Looked up in constant time."""
+            held = F.get(cells, (F.get(moves, token.cast("int")) + following).cast("int"))
+            return _let(held, lambda h: F.when(id_of(h) == token, h).otherwise(token + last))
+
+        def merge(state: Column, least: Column, at: Column) -> Column:
+            token = F.shiftright(least, 20)
+            new = F.struct(number(id_of(F.get(state, at - 2)), token).alias("before"), number(token, id_of(F.get(state, at + 1))).alias("merged"))
+            # Filtering and mapping cost less here than slices that are put together.
+            return _let(new, lambda n: F.transform(F.filter(state, lambda x, i: i != at), lambda x, i: F.when(i == at - 1, n["merged"]).when(i == at - 2, n["before"]).otherwise(x)))
+
+        def step(state: Column, _: Column) -> Column:
+            return _let(F.array_min(state), lambda least: F.when(least >= last, state).otherwise(
+                _let(F.array_position(state, least).cast("int"), lambda at: merge(state, least, at))))
+
+        start = F.concat(F.array(F.lit(last + size)), F.transform(word, lambda b, i: number(F.get(single, b), F.get(single, F.get(word, i + 1)))))
+        return F.aggregate(word, start, step, lambda state: F.transform(F.filter(state, lambda x, i: i > 0), id_of))
+
+    return _let(tables, lambda t: F.transform(words, lambda word: fold(word, t["moves"], t["cells"], t["single"])))
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one word of any length, by a heap over the pairs of neighbours."""
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = [*range(1, len(word)), -1], [-1, *range(len(word) - 1)]
+    waiting = [(r, i, 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(waiting)
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] >= 0:
+            joined = parts[i] + parts[after[i]]
+            if (rank := ranks.get(joined)) is not None:
+                heapq.heappush(waiting, (rank, i, len(joined)))
+
+    while waiting:
+        _, i, size = heapq.heappop(waiting)
+        j = after[i] if parts[i] is not None else -1
+        if j < 0 or len(parts[i]) + len(parts[j]) != size:
+            continue
+        parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        offer(before[i])
+        offer(i)
+    return [ranks[p] for p in parts if p is not None]
 
 
 #: Fixed value: the split pattern of the common byte-level vocabularies, as the contract's library has it.
 COMMON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of characters that Python's own classes see alike, and any other character.
-_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-_OTHER = r"[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
+#: The same on UTF-8 for texts whose characters beyond ASCII are letters, and any other character.
+_PLAIN_PATTERN = rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9\x80-\xff]+|\s+(?!\S)|\s+"
+_OTHER = rb"\xc2[^\xaa\xb5\xba]|\xc3[\x97\xb7]|[\xca-\xff]"
 
 
 def word_finder(pattern: str):
-    """A function from a text to its matches, by the faster of two equal ways."""
+    """A function from a text in UTF-8 to its matches, by the faster of two equal ways."""
     import regex
 
     full = regex.compile(pattern).findall
+    slow = lambda text: [w.encode() for w in full(text.decode())]
     if pattern != COMMON_PATTERN:
-        return full
+        return slow
     plain, other = re.compile(_PLAIN_PATTERN).findall, re.compile(_OTHER).search
-    return lambda text: full(text) if other(text) else plain(text)
+    return lambda text: slow(text) if other(text) else plain(text)
 
 
 def _count_words(pattern: str):
@@ -167,92 +196,211 @@ def _count_words(pattern: str):
         find, held = word_finder(pattern), Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
             held.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    held.update(find(text))
-                    if len(held) > _HELD_WORDS:
-                        yield flush()
+            for text in as_bytes(batch.column(0)):
+                held.update(find(text))
+                if len(held) > _HELD_WORDS:
+                    yield flush()
         yield flush()
 
     return run
 
 
-def _split_texts(pattern: str, cache):
-    """Per text: runs of ids of cached words, and between them the bytes of the other words."""
+class Vocabulary:
+    """Words with their token ids, found without an object for each but the most frequent: arrays in order of the words' hashes."""
+
+    def __init__(self, hashes: np.ndarray, word_ends: np.ndarray, words: bytes, id_ends: np.ndarray, ids: bytes, hot: np.ndarray, tokens: list[bytes]):
+        self.hashes, self.word_ends, self.words, self.id_ends, self.ids = hashes, word_ends, words, id_ends, ids
+        self.ranks = {t: i for i, t in enumerate(tokens) if t}
+        self.hot = {self.word(i): self.coded(i) for i in hot.tolist()}
+
+    def word(self, i: int) -> bytes:
+        return self.words[self.word_ends[i] : self.word_ends[i + 1]]
+
+    def coded(self, i: int) -> bytes:
+        return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """Packed ids of each word; None: to be folded."""
+        out: list[bytes | None] = [None] * len(words)
+        wanted = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        at = np.searchsorted(self.hashes, wanted).tolist() if len(self.hashes) else [0] * len(words)
+        for k, (word, i) in enumerate(zip(words, at)):
+            # Words of equal hashes stand side by side.
+            while i < len(self.hashes) and self.hashes[i] == wanted[k]:
+                if self.word(i) == word:
+                    out[k] = self.coded(i)
+                    break
+                i += 1
+            else:
+                if word in self.ranks:
+                    out[k] = self.ranks[word].to_bytes(4, "little")
+                elif len(word) > FOLD_BYTES:
+                    out[k] = np.array(merge_long(word, self.ranks), "<u4").tobytes()
+        return out
+
+
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of packed arrays for each batch of folded words."""
+    for batch in batches:
+        words, ids = batch.column("word").to_pylist(), batch.column("ids")
+        sizes = lambda values: np.fromiter(map(len, values), np.int32, len(values))
+        row = [
+            np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), batch.column("n").to_numpy(), sizes(words), b"".join(words),
+            ids.value_lengths().to_numpy().astype(np.int32), ids.flatten().to_numpy().astype("<u4"),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(x)], pa.binary()) for x in row], names=_PACKED)
+
+
+_PACKED = ["hashes", "counts", "word_sizes", "words", "id_sizes", "ids"]
+
+
+def _byte_values(word: str) -> Column:
+    return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), F.ascii)
+
+
+def _in_order(sizes: np.ndarray, blob: bytes, order: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Ends and bytes of the blob's parts in another order."""
+    starts = np.cumsum(sizes) - sizes
+    ends = np.concatenate([[0], np.cumsum(sizes[order])])
+    at = np.repeat(starts[order] - ends[:-1], sizes[order]) + np.arange(ends[-1])
+    return ends.astype(np.uint32), np.frombuffer(blob, np.uint8)[at].tobytes()
+
+
+def vocabulary(words: DataFrame, ranks: dict[bytes, int]):
+    """A broadcast of the folded words' packed arrays, and of the tokens; the words (word, n) are bounded in number."""
+    folded = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", "n", F.get(fold_words(F.array(_byte_values("word")), ranks), F.lit(0)).alias("ids"))
+    rows = folded.mapInArrow(_pack_words, ", ".join(f"{name} binary" for name in _PACKED)).toArrow()
+    hashes, counts, word_sizes, text, id_sizes, ids = (b"".join(x.as_py() for x in rows.column(name)) for name in _PACKED)
+    del rows
+    hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
+    order = np.argsort(hashes, kind="stable")
+    word_ends, text = _in_order(np.frombuffer(word_sizes, np.int32), text, order)
+    id_ends, ids = _in_order(np.frombuffer(id_sizes, np.int32) * 4, ids, order)
+    hot = np.argsort(-counts[order], kind="stable")[:HOT_WORDS].astype(np.int32)
+    return words.sparkSession.sparkContext.broadcast((hashes[order], word_ends, text, id_ends, ids, hot, _tokens(ranks)))
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def _split_texts(pattern: str, shared):
+    """Per text: packed ids of all words that need no fold, and the bytes of the others with their places among those ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, get = word_finder(pattern), cache.value.get
+        find, known_words = word_finder(pattern), Vocabulary(*shared.value)
+        get = known_words.hot.get
         for batch in batches:
-            known, rare = [], []
-            for text in batch.column("text").to_pylist():
-                words = find(text) if text else []
+            known, places, rare = [], [], []
+            for text in as_bytes(batch.column("text")):
+                words = find(text)
                 ids = list(map(get, words))
-                runs, others, begin = [], [], 0
-                at = -1
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    runs.append(b"".join(ids[begin:at]))
-                    others.append(list(words[at].encode()))
-                    begin = at + 1
-                runs.append(b"".join(ids[begin:]))
-                known.append(runs)
-                rare.append(others)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(known, pa.list_(pa.binary())), pa.array(rare, pa.list_(pa.list_(pa.int32())))], names=["id", "known", "rare"],
-            )
+                missing = [i for i, x in enumerate(ids) if x is None]
+                at, others = [], []
+                for i, x in zip(missing, known_words.find([words[i] for i in missing])):
+                    ids[i] = x
+                    if x is None:
+                        others.append(i)
+                begin = size = 0
+                runs = []
+                for i in others:
+                    runs.append(b"".join(ids[begin:i]))
+                    size += len(runs[-1])
+                    at.append(size)
+                    begin = i + 1
+                known.append(b"".join([*runs, *ids[begin:]]))
+                places.append(at)
+                rare.append([list(words[i]) for i in others])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.array(known, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.list_(pa.int32()))),
+            ], names=["id", "known", "places", "rare"])
+
+    return run
+
+
+def _decoder(tokens: list[bytes]):
+    """A function from packed ids to the bytes of their tokens in a row."""
+    piece = tokens.__getitem__
+    return lambda ids: b"".join(map(piece, array("I", ids)))
+
+
+def _joined(tokens):
+    """Puts the folded words' ids among the others; with a broadcast of tokens it decodes the whole again, in the same worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_of = _decoder(tokens.value) if tokens else None
+        for batch in batches:
+            out = []
+            for known, places, folded in zip(*(batch.column(c).to_pylist() for c in ("known", "places", "folded"))):
+                if folded:
+                    ends = [0, *places, len(known)]
+                    parts = [known[: ends[1]]]
+                    for i, ids in enumerate(folded, 1):
+                        parts += [np.array(ids, "<u4").tobytes(), known[ends[i] : ends[i + 1]]]
+                    known = b"".join(parts)
+                out.append(known)
+            columns, names = [batch.column("id"), pa.array(out, pa.binary())], ["id", "ids"]
+            if text_of:
+                columns, names = [*columns, pa.array(map(text_of, out), pa.binary())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
 def frequent_words(docs: DataFrame, text_col: str, pattern: str, limit: int) -> DataFrame:
     """At most ``limit`` words: those of at least some number of occurrences in all texts, two at least."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words(pattern), "word string, n bigint")
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words(pattern), "word binary, n bigint")
     counts = materialise(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
     by_count = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()
     least, total = None, 0
     for n, words in sorted(((r.n, r.words) for r in by_count), reverse=True):
-        total += words
-        if total > limit:
+        if total + words > limit:
             break
-        least = n
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
+        least, total = n, total + words
+    # Folding is slow for so few bytes, so a task gets a number of words.
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least).repartition(total // _TASK_WORDS + 1)
+
+
+def _bound_plans(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b")) > _PLAN_CHARS:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(_PLAN_CHARS))
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS,
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, decoded: bool = False,
 ) -> DataFrame:
-    """Per document: id, ids (token ids as little-endian unsigned 32-bit integers, one binary), n_tokens."""
+    """Per document: id, ids (token ids as little-endian unsigned 32-bit integers, one binary), n_tokens; decoded: with what the ids decode to."""
     spark = docs.sparkSession
     ship(spark)
-    words = frequent_words(docs, text_col, pattern, cache_words)
-    byte_values = F.transform(F.split(F.decode(F.encode("word", "UTF-8"), "ISO-8859-1"), ""), F.ascii)
-    folded = words.select("word", F.unhex(_little_endian(fold_word(byte_values, ranks))).alias("ids")).toArrow()
-    cache = spark.sparkContext.broadcast(dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist())))
+    _bound_plans(spark)
+    shared = vocabulary(frequent_words(docs, text_col, pattern, cache_words), ranks)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    split = source.mapInArrow(_split_texts(pattern, cache), T.StructType([
-        source.schema["id"], T.StructField("known", T.ArrayType(T.BinaryType())), T.StructField("rare", T.ArrayType(T.ArrayType(T.IntegerType()))),
+    split = source.mapInArrow(_split_texts(pattern, shared), T.StructType([
+        source.schema["id"], T.StructField("known", T.BinaryType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]))
-    others = F.transform("rare", lambda w: _little_endian(fold_word(w, ranks)))
-    ids = F.unhex(F.array_join(F.zip_with("known", others, lambda k, r: F.concat(F.hex(k), F.coalesce(r, F.lit("")))), ""))
-    return split.select("id", ids.alias("ids")).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    folded = split.select("id", "known", "places", fold_words(F.col("rare"), ranks).alias("folded"))
+    binary = [T.StructField(name, T.BinaryType()) for name in (("ids", "decoded") if decoded else ("ids",))]
+    tokens = spark.sparkContext.broadcast(_tokens(ranks)) if decoded else None
+    joined = folded.mapInArrow(_joined(tokens), T.StructType([source.schema["id"], *binary]))
+    return joined.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Rows with packed ids, and ``decoded``: the bytes of their tokens in a row. An id outside the vocabulary is an error."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
-    shared = coded.sparkSession.sparkContext.broadcast(pieces)
+    shared = coded.sparkSession.sparkContext.broadcast(_tokens(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
+        text_of = _decoder(shared.value)
         for batch in batches:
-            out = [None if x is None else b"".join(map(piece, array("I", x))) for x in batch.column("ids").to_pylist()]
+            out = [None if x is None else text_of(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
@@ -268,6 +416,6 @@ def unpack(ids: Column) -> Column:
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False) -> DataFrame:
     """The contract's columns: encode, then decode the ids; with_ids puts the packed ids beside them."""
-    coded = decode(encode(docs, ranks, pattern), ranks)
+    coded = encode(docs, ranks, pattern, decoded=True)
     kept = ["ids"] if with_ids else []
     return coded.select(F.col("id").alias("doc_id"), *kept, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

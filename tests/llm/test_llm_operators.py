@@ -56,6 +56,21 @@ def test_bpe_equals_the_library(spark, odd, none):
     assert bpe.digest(none, ranks, pattern).count() == 0
 
 
+def test_long_words_are_merged_like_short_ones(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = public_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    random.seed(14)
+    for _ in range(500):
+        word = bytes(random.choice(b"aebtnsre\xc3\xa9l0!") for _ in range(random.randint(1, 80)))
+        assert bpe.merge_long(word, ranks) == library._encode_single_piece(word)
+    texts = ["".join(random.choice("abtherin") for _ in range(n)) for n in (bpe.FOLD_BYTES, bpe.FOLD_BYTES + 1, 100_000)]
+    got = {r.id: r for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks, pattern).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode_ordinary(text)
+        assert bytes(got[i].ids) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_word_finder_has_equal_ways():
     regex = pytest.importorskip("regex")
     full = regex.compile(bpe.COMMON_PATTERN).findall
@@ -63,7 +78,7 @@ def test_word_finder_has_equal_ways():
     random.seed(9)
     for _ in range(20_000):
         text = "".join(random.choice("ab Z'stdvelmr0 1²½_\n\t é-!?\x1c\x85ªº一Ⅷ€") for _ in range(random.randint(0, 12)))
-        assert find(text) == full(text)
+        assert [w.decode() for w in find(text.encode())] == full(text)
 
 
 # --- 3
