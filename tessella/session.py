@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
-_written: list[str] = []
+_owner: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 #: Rows of whole texts that a Python worker holds at once.
 BATCH_ROWS = 500
 
@@ -23,58 +26,83 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessella"), "tessella_package.zip")
+    folder = tempfile.mkdtemp(prefix="tessella")
+    path = os.path.join(folder, "tessella_package.zip")
     with zipfile.ZipFile(path, "w") as out:
-        for folder, _, files in os.walk(top):
+        for inner, _, files in os.walk(top):
             for name in files:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(inner, name)
                     out.write(full, os.path.join("tessella", os.path.relpath(full, top)))
+    # Executors fetch it from the driver whenever they start.
     spark.sparkContext.addPyFile(path)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped[app] = True
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (local
-    tests) a folder under /tmp is set as the session's checkpoint directory.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a folder under
+    /tmp is set in its place for a local master, and is an error for any other.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints/tessella"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+class Scratch:
+    """The scratch tables of one caller: those written while it is entered; ``clear`` deletes them and no others.
 
-    Cuts lineage: a lost executor costs a re-read of files, not a recomputation.
-    The table stays until ``clear_scratch``.
+    Frames that still read them cannot be used after that.
     """
-    spark = df.sparkSession
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self._tokens: list[Token] = []
+
+    def __enter__(self) -> Scratch:
+        self._tokens.append(_owner.set(self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _owner.reset(self._tokens.pop())
+
+    def clear(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths.clear()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared folder: it goes with its ``Scratch``, at the latest when the application ends."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only what exists can be marked.
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    owner = _owner.get()
+    if owner is not None:
+        owner.paths.append(path)
+    return path
 
 
-def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the tables that ``materialise`` has written in this application, but those whose name begins as one of ``keep``.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back.
 
-    Frames that still read them cannot be used any more; call it between steps whose
-    results are written.
+    Cuts lineage: a lost executor costs a re-read of files, not a recomputation.
     """
-    stay = []
-    for path in _written:
-        if keep and path.rpartition("/")[2].startswith(keep):
-            stay.append(path)
-            continue
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    _written[:] = stay
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
