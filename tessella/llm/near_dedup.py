@@ -23,13 +23,21 @@
    full sets: 100 * intersection >= percent * union. Components of confirmed links are
    the groups of near duplicates.
 
-A pair at similarity 0.8 collides in fewer than 36 of 64 coordinates about three times
-in a million; that is the only way to miss a link.
+A pair at similarity 0.8 collides in fewer than 28 of 64 coordinates about three times
+in 10^11; that is the only way to miss a link. Members of a list of more than ``FREQUENT``
+are compared with its pivot whatever their signatures say, which can only find more.
+
+Tables written on the way, each once:
+signatures (a row a document), posted (a class: its shared values), around (pivot and
+member), pairs / candidates / compared (three times: stars of pivots, stars of edits, the
+rest), parted (members of unresolved pivots), common and hot (edits of several members, at
+most ``64 * MASKS`` hot ones a pivot), edits, and the rounds of ``connected_components``.
 
 Defined results: texts without words have empty sets and are linked with nothing; a
 text with fewer words than a shingle is one shingle; repeated rows share a class; rows
 with a null id keep a null component, and stay; an id on rows with different texts is
-one document that has them all. Columns other than the named ones are ignored.
+one document that has them all, of which ``keep_one`` keeps the row that sorts first.
+Columns other than the named ones are ignored, and passed through by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -45,7 +53,7 @@ from tessella.operators.components import connected_components
 from tessella.session import materialise, ship
 
 COORDINATES = 64
-MATCHES = 36
+MATCHES = 28
 
 _rng = np.random.default_rng(64_0_8)
 _MULT = _rng.integers(0, 2**64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -111,6 +119,8 @@ def _sets(size: int):
 
 #: Lists of a pivot with more members are compared with it on full sets without exception.
 FREQUENT = 64
+#: Parts that the members of a pivot are dealt to where they meet what is known of it.
+SPREAD = 32
 
 #: 64-bit masks of frequent edits that a member carries.
 MASKS = 8
@@ -246,20 +256,28 @@ def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return materialise(found, "dedup-sets")
 
 
+def _of_pivot(frame: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """frame (pivot, id, ...) with what is known of each pivot (a row a pivot): a pivot's members are dealt to many tasks."""
+    dealt = known.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return frame.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(dealt, ["pivot", "_deal"], how).drop("_deal")
+
+
 def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members of pivots whose members are in several components, and the edits of those members."""
     components = materialise(connected_components(links), "dedup-components")
     named = around.join(components.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("c"))
     parted = named.groupBy("pivot").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y AND k > 2").select("pivot")
     # The pivot itself has been compared with all.
-    held = named.join(parted, "pivot", "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    held = _of_pivot(named, parted, "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
     held = held.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.size("edits").alias("k"), "edits"), ["pivot", "id"], "left")
     held = materialise(held, "dedup-parted")
     edits = held.where("k IS NOT NULL").select("pivot", "id", "c", "n", "k", F.explode("edits").alias("h"))
     common = materialise(edits.groupBy("pivot", "h").agg(F.count("*").alias("df")).where("df > 1"), "dedup-common")
     # The most frequent edits of a pivot are bits, so that pairs know how many of them they share.
-    hot = common.withColumn("bit", F.row_number().over(W.partitionBy("pivot").orderBy(F.desc("df"), "h")) - 1).where(F.col("bit") < 64 * MASKS)
-    edits = edits.join(common, ["pivot", "h"]).join(hot.select("pivot", "h", "bit"), ["pivot", "h"], "left")
+    # The limit is on the row number itself, so that Spark cuts each partition to it before the shuffle.
+    hot = common.withColumn("bit", F.row_number().over(W.partitionBy("pivot").orderBy(F.desc("df"), "h"))).where(F.col("bit") <= 64 * MASKS)
+    hot = materialise(hot.select("pivot", "h", (F.col("bit") - 1).alias("bit")), "dedup-hot")
+    edits = edits.join(common, ["pivot", "h"]).join(hot, ["pivot", "h"], "left")
     own = W.partitionBy("pivot", "id")
     for i in range(MASKS):
         edits = edits.withColumn(f"m{i}", F.bit_or(F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long"))).over(own))
@@ -289,8 +307,8 @@ def _shared() -> F.Column:
     return sum((F.bit_count(F.col(f"m{i}").bitwiseAND(F.col(f"m{i}2"))) for i in range(MASKS)), F.least("rare", "rare2"))
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).where("a < b").distinct().withColumn("sure", F.lit(False))
+def _pairs(found: DataFrame, sure: bool = False) -> DataFrame:
+    return found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).where("a < b").distinct().withColumn("sure", F.lit(sure))
 
 
 def _main(members: DataFrame) -> DataFrame:
@@ -304,7 +322,7 @@ def _edit_stars(members: DataFrame, edits: DataFrame, percent: int) -> DataFrame
     its own may stand, and the one of fewest edits, which is nearest to all others.
     """
     columns = ["id", "c", "n", "k", "rare", *[f"m{i}" for i in range(MASKS)]]
-    heads = edits.join(_main(members), "pivot").where("c <> main").groupBy("pivot", "h").agg(F.max_by(F.struct(*columns), F.struct("central", "id")).alias("head"))
+    heads = _of_pivot(edits, _main(members)).where("c <> main").groupBy("pivot", "h").agg(F.max_by(F.struct(*columns), F.struct("central", "id")).alias("head"))
     heads = heads.unionByName(edits.groupBy("pivot", "h").agg(F.min_by(F.struct(*columns), F.struct("k", "id")).alias("head")))
     heads = heads.select("pivot", "h", *[F.col(f"head.{c}").alias(f"{c}2") for c in columns])
     need = _need(percent)
@@ -316,24 +334,44 @@ def _across(members: DataFrame, edits: DataFrame, links: DataFrame, percent: int
     components = materialise(connected_components(links), "dedup-components").withColumnRenamed("node", "id")
     again = lambda frame: frame.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     members, edits = materialise(again(members), "dedup-members"), again(edits)
-    parted = members.groupBy("pivot").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("pivot")
-    main, need = _main(members), _need(percent)
-    outside = lambda frame: frame.join(main, "pivot").where("c <> main").drop("main")
-    members, edits = members.join(parted, "pivot", "left_semi"), materialise(edits.join(parted, "pivot", "left_semi"), "dedup-edits")
-    near = outside(members).join(_second(members), "pivot").where(_apart(percent) & (need.isNull() | (need <= 0)))
+    parted = materialise(members.groupBy("pivot").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("pivot"), "dedup-parted")
+    main, need = materialise(_main(members), "dedup-main"), _need(percent)
+    outside = lambda frame: _of_pivot(frame, main).where("c <> main").drop("main")
+    members = materialise(_of_pivot(members, parted, "left_semi"), "dedup-members")
+    edits = materialise(_of_pivot(edits, parted, "left_semi"), "dedup-edits")
+    # Only lists of at most FREQUENT members have any that were not compared with their pivot.
+    small = members.where("k IS NULL").select("pivot").distinct()
+    few = materialise(members.join(small, "pivot", "left_semi"), "dedup-few")
+    unknown = outside(few).join(_second(few), "pivot").where(_apart(percent) & need.isNull())
     far = outside(edits).join(_second(edits), ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need) & (_shared() >= need))
-    return _pairs(near.select("id", "id2").unionByName(far.select("id", "id2")))
+    return _pairs(unknown.select("id", "id2").unionByName(far.select("id", "id2"))).unionByName(_pairs(_certain(members, percent), sure=True))
+
+
+def _certain(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs around each pivot's member with the most room for edits that are links by their sizes alone.
+
+    Two members are a link whatever they share if the room of both is not negative in
+    sum. The member with the most room then is a link with either, so a star around it
+    connects all such pairs.
+    """
+    room = F.col("n") * (100 - percent) - F.col("k") * (100 + percent)
+    roomy = members.where("k IS NOT NULL").withColumn("room", room)
+    centre = roomy.groupBy("pivot").agg(F.max_by(F.struct(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("room").alias("room2")), F.struct("room", "id")).alias("x")).select("pivot", "x.*")
+    return _of_pivot(roomy, centre).where("room + room2 >= 0 AND c <> c2").select("id", "id2")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose id is their component's, once each, with all their columns; rows with a null id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
-    kept = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("copies"))
-    kept = materialise(kept.select(F.col("id").alias("_kept_id"), "copies"), "dedup-kept")
-    out = docs.join(kept.select("_kept_id"), F.col(id_col) == F.col("_kept_id"), "left_semi")
-    if kept.where("copies > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    named = set(docs.columns)
+    key, copies, row = (next(f"{x}{i}" for i in range(len(named) + 1) if f"{x}{i}" not in named) for x in ("kept_id", "copies", "row"))
+    kept = found.where("id = component_id").groupBy("id").agg(F.count("*").alias(copies)).withColumnRenamed("id", key)
+    kept = materialise(kept, "dedup-kept")
+    out = docs.join(kept.where(F.col(copies) == 1), F.col(id_col) == F.col(key), "left_semi")
+    repeated = docs.join(kept.where(F.col(copies) > 1), F.col(id_col) == F.col(key), "left_semi")
+    first = W.partitionBy(id_col).orderBy(text_col, F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    repeated = repeated.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
+    return out.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def digest(docs: DataFrame) -> DataFrame:
