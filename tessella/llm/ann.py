@@ -211,7 +211,7 @@ def search(
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
     sample = sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, sizes.dim)
     if parts is None:
-        parts = max(1, min(MAX_PARTS, sizes.n // PART_ROWS, len(sample) // 64))
+        parts = max(2 if len(sample) >= 128 else 1, min(MAX_PARTS, sizes.n // PART_ROWS, len(sample) // 64))
     router, probes = fit(sample, parts, k, wanted)
     shared = spark.sparkContext.broadcast((router.weights, probes))
 

@@ -41,42 +41,53 @@ HITS = T.StructType([
 
 
 class WindowSet:
-    """Windows of some items: hashes to look up, words to verify, ids to report."""
+    """Windows of some items, as arrays: hashes to look up, places in the items' text to verify words at, items to report.
+
+    It takes about six bytes for each byte of item text.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
-        self.by_length: dict[int, dict[int, list[tuple[bytes, set]]]] = {}
-        for item_id, text in items:
-            chunk = scan([(text or "").encode()], ALNUM)
-            words = len(chunk.starts)
-            if not words:
-                continue
-            n = min(window, words)
-            known = self.by_length.setdefault(n, {})
-            for i, h in enumerate(rolling(chunk.hashes, n).tolist()):
-                phrase = chunk.phrase(i, n)
-                for seen, ids in known.setdefault(h, []):
-                    if seen == phrase:
-                        ids.add(item_id)
-                        break
-                else:
-                    known[h].append((phrase, {item_id}))
+        self.items = [i for i, _ in items]
+        self.chunk = chunk = scan([(text or "").encode() for _, text in items], ALNUM)
+        counts, owner = np.diff(chunk.first), chunk.owner()
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
         self.tables = {}
-        for n, known in self.by_length.items():
-            table = np.zeros(1 << 20, bool)
-            table[(np.fromiter(known, np.uint64, len(known)) >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[n] = table
+        for n in np.unique(np.minimum(window, counts[counts > 0])).tolist():
+            mine = (counts >= window) if n == window else (counts == n)
+            at = np.flatnonzero(window_starts(chunk.first, n, len(chunk.starts)))
+            at = at[mine[owner[at]]]
+            hashes = rolling(chunk.hashes, n)[at]
+            order = np.argsort(hashes, kind="stable")
+            at, hashes = at[order], hashes[order]
+            new = np.append(True, hashes[1:] != hashes[:-1])
+            starts = np.flatnonzero(new)
+            # Windows of equal hashes are one entry if their words are equal, as they nearly always are.
+            for a, size in zip(starts.tolist(), np.diff(np.append(starts, len(at))).tolist()):
+                if size > 1:
+                    phrases = sorted((chunk.phrase(i, n), i) for i in at[a : a + size].tolist())
+                    at[a : a + size] = [i for _, i in phrases]
+                    for k in range(1, size):
+                        new[a + k] = phrases[k][0] != phrases[k - 1][0]
+            entries = np.flatnonzero(new)
+            self.by_length[n] = hashes[entries], at.astype(np.int32), np.append(entries, len(at)), owner[at].astype(np.int32)
+            self.tables[n] = np.zeros(1 << 20, bool)
+            self.tables[n][(hashes >> np.uint64(44)).astype(np.int64)] = True
+        # Hashes are not looked at again.
+        chunk.hashes = chunk.hashes[:0]
 
     def hits(self, chunk) -> Iterator[tuple[int, int, set]]:
         """(first word, words, item ids) of every verified window in a chunk."""
         total = len(chunk.starts)
-        for n, known in self.by_length.items():
+        for n, (known, places, ends, owners) in self.by_length.items():
             found = rolling(chunk.hashes, n)
             maybe = self.tables[n][(found >> np.uint64(44)).astype(np.int64)] & window_starts(chunk.first, n, total)
             at = np.flatnonzero(maybe)
-            for i, h in zip(at.tolist(), found[at].tolist()):
-                for phrase, ids in known.get(h, ()):
-                    if chunk.phrase(i, n) == phrase:
-                        yield i, n, ids
+            for i, h, e in zip(at.tolist(), found[at], np.searchsorted(known, found[at]).tolist()):
+                while e < len(known) and known[e] == h:
+                    if self.chunk.phrase(int(places[ends[e]]), n) == chunk.phrase(i, n):
+                        yield i, n, {self.items[k] for k in owners[ends[e] : ends[e + 1]].tolist()}
+                        break
+                    e += 1
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -192,6 +203,7 @@ def remove(
     size of a shard. chars_col, if it is a column, follows the text.
     """
     spark, schema = docs.sparkSession, docs.schema
+    key, held = (next(f"{x}{i}" for i in range(len(schema) + 1) if f"{x}{i}" not in schema.names) for x in ("text_key", "hit_spans"))
 
     def keep(batch, texts, n_words, _items, spans, cuts):
         hit = [sum(y - x for x, y in s) for s in spans]
@@ -219,7 +231,7 @@ def remove(
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [x or [] for x in batch.column("_spans").to_pylist()]
+            own = [x or [] for x in batch.column(held).to_pylist()]
             batch = batch.select(schema.names)
             texts = as_bytes(batch.column(text_col))
             n_words, cuts = [0] * len(texts), [[] for _ in texts]
@@ -230,11 +242,11 @@ def remove(
             yield keep(batch, texts, n_words, None, own, cuts)
 
     # What a text holds depends on nothing but the text, so each text is looked at once.
-    key = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
-    texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("_key"), F.col(text_col).alias("_text")).dropDuplicates(["_key"])
-    found = scan_hits(texts, benchmark, id_col="_key", text_col="_text", item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
-    hit = found.where("n_hit > 0").select(F.col("id").alias("_key"), F.col("spans").alias("_spans"))
-    return docs.withColumn("_key", key).join(hit, "_key", "left").drop("_key").mapInArrow(apply, schema)
+    digest_of = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    texts = docs.where(F.col(text_col).isNotNull()).select(digest_of.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
+    found = scan_hits(texts, benchmark, id_col="key", text_col="text", item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
+    hit = found.where("n_hit > 0").select(F.col("id").alias(key), F.col("spans").alias(held))
+    return docs.withColumn(key, digest_of).join(hit, key, "left").drop(key).mapInArrow(apply, schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
