@@ -263,20 +263,28 @@ def _byte_values(word: str) -> Column:
     return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), F.ascii)
 
 
-def _in_order(sizes: np.ndarray, blob: bytes, order: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Ends and bytes of the blob's parts in another order."""
-    starts = np.cumsum(sizes) - sizes
-    ends = np.concatenate([[0], np.cumsum(sizes[order])])
-    at = np.repeat(starts[order] - ends[:-1], sizes[order]) + np.arange(ends[-1])
-    return ends.astype(np.uint32), np.frombuffer(blob, np.uint8)[at].tobytes()
+def _in_order(sizes: np.ndarray, blob: bytes, order: np.ndarray, step: int = 1 << 16) -> tuple[np.ndarray, bytes]:
+    """Ends and bytes of the blob's parts in another order; a step of parts at a time, as places take eight times the bytes."""
+    starts, whole = np.cumsum(sizes) - sizes, np.frombuffer(blob, np.uint8)
+    out = []
+    for a in range(0, len(order), step):
+        part = order[a : a + step]
+        ends = np.cumsum(sizes[part])
+        at = np.repeat(starts[part] - ends + sizes[part], sizes[part]) + np.arange(ends[-1])
+        out.append(whole[at].tobytes())
+    return np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32), b"".join(out)
 
 
 def vocabulary(words: DataFrame, ranks: dict[bytes, int]):
     """A broadcast of the folded words' packed arrays, and of the tokens; the words (word, n) are bounded in number."""
     folded = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", "n", F.get(fold_words(F.array(_byte_values("word")), ranks), F.lit(0)).alias("ids"))
     rows = folded.mapInArrow(_pack_words, ", ".join(f"{name} binary" for name in _PACKED)).toArrow()
-    hashes, counts, word_sizes, text, id_sizes, ids = (b"".join(x.as_py() for x in rows.column(name)) for name in _PACKED)
-    del rows
+    parts = []
+    for name in _PACKED:
+        parts.append(b"".join(rows.column(name).to_pylist()))
+        rows = rows.drop_columns(name)
+    hashes, counts, word_sizes, text, id_sizes, ids = parts
+    del parts
     hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
     order = np.argsort(hashes, kind="stable")
     word_ends, text = _in_order(np.frombuffer(word_sizes, np.int32), text, order)

@@ -58,3 +58,35 @@ def test_the_last_stage_returns_token_ids(spark, tmp_path):
     texts = {1: "Some words, some 123 more.", 2: "", 3: "ÉTÉ — 漢字"}
     got = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.encode(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), str(tmp_path)).collect()}
     assert got == {i: struct.pack(f"<{len(ids)}I", *ids) for i, ids in ((i, library.encode_ordinary(t)) for i, t in texts.items())}
+
+
+def test_a_frame_outlives_the_pipeline(spark, tmp_path):
+    from tessella.llm import near_dedup
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("ta re mo li su ne ka po".split()) for _ in range(40)), "en", "s", 9) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, *rows[0][1:])], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = near_dedup.digest(docs)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 60
+    assert before.where("NOT kept").count() == 1
+
+
+def test_empty_tables_repeated_rows_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id0 string, id long, spans string, score double"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    own = ("mine", 7, "spans", 0.5)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 9, *own), (1, text, "en", "s", 9, *own), (1, "other words entirely", None, None, None, *own), (2, text, "en", "s", 9, *own), (None, None, None, None, None, *own),
+            (3, "", "en", "s", 0, *own), (4, "long " * 30_000 + "end", "en", "s", 9, *own)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name in ("none", "odd"):
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 3), (False, 4), (True, 0)]
+    one = next(r for r in got if r.doc_id == 1)
+    assert one.decoded_sha256 == hashlib.sha256(b"other words entirely").hexdigest()  # of a repeated id, the row that sorts first
