@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tessella.session import materialise, ship
+from tessella.session import lean, materialise, ship
 
 #: Vectors that the parts and the network are fitted on at most.
 SAMPLE_ROWS = 8192
@@ -227,7 +227,7 @@ def search(
                 batch.column("id"), pa.array(order[:, 0], pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(goes, pa.list_(pa.int32())),
             ], names=["id", "part", "packed", "goes"])
 
-    placed = materialise(rows.mapInArrow(place, "id long, part int, packed binary, goes array<int>"), "ann-placed")
+    placed = materialise(rows.mapInArrow(lean(place), "id long, part int, packed binary, goes array<int>"), "ann-placed")
 
     def nearest(queries: DataFrame) -> DataFrame:
         """queries: id, packed, part to probe, floor (least score of interest)."""

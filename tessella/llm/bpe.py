@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessella.llm._words import as_bytes
-from tessella.session import materialise, ship
+from tessella.session import lean, materialise, ship
 
 #: Most frequent words whose token ids are broadcast, at about 40 bytes each.
 CACHE_WORDS = 1 << 20
@@ -278,7 +278,7 @@ def _in_order(sizes: np.ndarray, blob: bytes, order: np.ndarray, step: int = 1 <
 def vocabulary(words: DataFrame, ranks: dict[bytes, int]):
     """A broadcast of the folded words' packed arrays, and of the tokens; the words (word, n) are bounded in number."""
     folded = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", "n", F.get(fold_words(F.array(_byte_values("word")), ranks), F.lit(0)).alias("ids"))
-    rows = folded.mapInArrow(_pack_words, ", ".join(f"{name} binary" for name in _PACKED)).toArrow()
+    rows = folded.mapInArrow(lean(_pack_words), ", ".join(f"{name} binary" for name in _PACKED)).toArrow()
     parts = []
     for name in _PACKED:
         parts.append(b"".join(rows.column(name).to_pylist()))
@@ -365,7 +365,7 @@ def _joined(tokens):
 
 def frequent_words(docs: DataFrame, text_col: str, pattern: str, limit: int) -> DataFrame:
     """At most ``limit`` words: those of at least some number of occurrences in all texts, two at least."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words(pattern), "word binary, n bigint")
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_count_words(pattern)), "word binary, n bigint")
     counts = materialise(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "bpe-words")
     by_count = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()
     least, total = None, 0
@@ -391,13 +391,13 @@ def encode(
     _bound_plans(spark)
     shared = vocabulary(frequent_words(docs, text_col, pattern, cache_words), ranks)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    split = source.mapInArrow(_split_texts(pattern, shared), T.StructType([
+    split = source.mapInArrow(lean(_split_texts(pattern, shared)), T.StructType([
         source.schema["id"], T.StructField("known", T.BinaryType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]))
     folded = split.select("id", "known", "places", fold_words(F.col("rare"), ranks).alias("folded"))
     binary = [T.StructField(name, T.BinaryType()) for name in (("ids", "decoded") if decoded else ("ids",))]
     tokens = spark.sparkContext.broadcast(_tokens(ranks)) if decoded else None
-    joined = folded.mapInArrow(_joined(tokens), T.StructType([source.schema["id"], *binary]))
+    joined = folded.mapInArrow(lean(_joined(tokens)), T.StructType([source.schema["id"], *binary]))
     return joined.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
@@ -411,7 +411,7 @@ def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             out = [None if x is None else text_of(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return coded.mapInArrow(lean(run), T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def unpack(ids: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tessella.llm._words import ALNUM, as_bytes, chunks, rolling, scan, window_starts
-from tessella.session import materialise
+from tessella.session import lean, materialise
 
 WINDOW = 13
 #: Bytes of item text whose windows one broadcast holds.
@@ -164,7 +164,7 @@ def scan_hits(
 
     def one_pass(shard: list, names: list[str]) -> DataFrame:
         windows = spark.sparkContext.broadcast(WindowSet(shard, window))
-        return source.mapInArrow(_scan_batches(windows, "text", _columns(names)), T.StructType([fields[n] for n in names]))
+        return source.mapInArrow(lean(_scan_batches(windows, "text", _columns(names))), T.StructType([fields[n] for n in names]))
 
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
     shards = _shards(benchmark, item_col, item_text_col, shard_bytes)
@@ -227,7 +227,7 @@ def remove(
     first = next(shards)
     if next(shards, None) is None:
         windows = spark.sparkContext.broadcast(WindowSet(first, window))
-        return docs.mapInArrow(_scan_batches(windows, text_col, keep), schema)
+        return docs.mapInArrow(lean(_scan_batches(windows, text_col, keep)), schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +246,7 @@ def remove(
     texts = docs.where(F.col(text_col).isNotNull()).select(digest_of.alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     found = scan_hits(texts, benchmark, id_col="key", text_col="text", item_col=item_col, item_text_col=item_text_col, window=window, shard_bytes=shard_bytes)
     hit = found.where("n_hit > 0").select(F.col("id").alias(key), F.col("spans").alias(held))
-    return docs.withColumn(key, digest_of).join(hit, key, "left").drop(key).mapInArrow(apply, schema)
+    return docs.withColumn(key, digest_of).join(hit, key, "left").drop(key).mapInArrow(lean(apply), schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

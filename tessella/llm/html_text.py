@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tessella.session import ship
+from tessella.session import lean, ship
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -207,7 +207,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             out = pa.array([main_text(h, weights) for h in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), out], names=["id", "url", "text"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["id"], source.schema["url"], T.StructField("text", T.StringType())]))
+    return source.mapInArrow(lean(run), T.StructType([source.schema["id"], source.schema["url"], T.StructField("text", T.StringType())]))
 
 
 def digest(pages: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tessella.llm._words import ALNUM, as_bytes, chunks, rolling, scan, window_starts
-from tessella.session import materialise, ship
+from tessella.session import lean, materialise, ship
 
 GRAM = 3
 #: Share of a template's k-grams that a merged span needs.
@@ -102,7 +102,7 @@ def scan_licenses(
     ship(spark)
     known, hashes = _template_table(spark, templates or default_templates(), k)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    grams = source.mapInArrow(_grams(hashes, k), T.StructType([
+    grams = source.mapInArrow(lean(_grams(hashes, k)), T.StructType([
         source.schema["id"], T.StructField("n_words", T.LongType()),
         T.StructField("grams", T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("words", T.StringType())]))),
     ]))

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.llm._words import SPACED, as_bytes, chunks, mix, rolling, scan
 from tessella.operators.components import connected_components
-from tessella.session import materialise, ship
+from tessella.session import lean, materialise, ship
 
 COORDINATES = 64
 MATCHES = 28
@@ -166,7 +166,7 @@ class _Linker:
         y = sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         # a is the pivot of many pairs: its set goes first, as equal neighbours shrink in the shuffle.
         full = enough.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return materialise(full.mapInArrow(_compare(self.percent, edits), _COMPARED), "dedup-compared")
+        return materialise(full.mapInArrow(lean(_compare(self.percent, edits)), _COMPARED), "dedup-compared")
 
 
 def near_duplicates(
@@ -177,7 +177,7 @@ def near_duplicates(
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = source.mapInArrow(_signatures(shingle, coordinates), "id long, n long, f1 long, f2 long, sig array<long>")
+    signed = source.mapInArrow(lean(_signatures(shingle, coordinates)), "id long, n long, f1 long, f2 long, sig array<long>")
     rows = materialise(signed.withColumn("uid", F.monotonically_increasing_id()), "dedup-signatures")
     full = rows.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "uid")).alias("first")).select("f1", "f2", "n", "first.*")
@@ -239,7 +239,7 @@ def _rows_of(frame: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``frame`` with one of the ids, and perhaps others; the others go before anything is shuffled."""
     shared = frame.sparkSession.sparkContext.broadcast(_slots(ids))
     slotted = frame.withColumn("s", _slot("id"))
-    return slotted.mapInArrow(_likely(shared), slotted.schema).drop("s")
+    return slotted.mapInArrow(lean(_likely(shared)), slotted.schema).drop("s")
 
 
 def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -249,10 +249,10 @@ def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     slotted = source.where("id IS NOT NULL").withColumn("s", _slot("id"))
     make, likely = _sets(shingle), _likely(shared)
     if np.bitwise_count(table.view(np.uint64)).sum() > _SLOT_WORDS * 4:
-        found = slotted.mapInArrow(likely, slotted.schema).join(ids, "id", "left_semi").mapInArrow(make, "id long, packed binary")
+        found = slotted.mapInArrow(lean(likely), slotted.schema).join(ids, "id", "left_semi").mapInArrow(lean(make), "id long, packed binary")
     else:
         # A few sets that nobody asks for do no harm, and cost less than a shuffle of the texts.
-        found = slotted.mapInArrow(lambda batches: make(likely(batches)), "id long, packed binary")
+        found = slotted.mapInArrow(lean(lambda batches: make(likely(batches))), "id long, packed binary")
     return materialise(found, "dedup-sets")
 
 

@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessella.llm._words import SPACED, as_bytes, chunks, scan
-from tessella.session import materialise, ship
+from tessella.session import lean, materialise, ship
 
-ROUNDS = 5
+ROUNDS = 4
 #: Newton steps of a fit at most.
-STEPS = 12
+STEPS = 9
 #: Share of the unlabelled documents that a view hands over in a round.
 HANDED = 0.05
 #: Probability that a handed label needs, if both classes were as frequent; that of the more frequent class needs its odds besides.
@@ -213,8 +213,25 @@ def limits(counts: np.ndarray, most: float, share: float) -> tuple[float, float]
 _NUMBERS = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("aside", T.BooleanType()), T.StructField("text", T.ArrayType(T.DoubleType())), T.StructField("meta", T.ArrayType(T.DoubleType()))])
 
 
-def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+#: Rows of numbers that a pass works on at once.
+_PASS_ROWS = 8192
+
+
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in larger pieces."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _PASS_ROWS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(table: pa.Table, name: str, width: int) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, width)
 
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +253,14 @@ def summed(rows: DataFrame, function, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for batch in batches:
-            label = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
-            total += function(label, batch.column("aside").to_numpy(zero_copy_only=False).astype(bool), _matrix(batch, "text", TEXT_NUMBERS), _matrix(batch, "meta", 4))
+        for table in _larger(batches):
+            label = table.column("label").to_numpy().astype(float)
+            total += function(label, table.column("aside").to_numpy().astype(bool), _matrix(table, "text", TEXT_NUMBERS), _matrix(table, "meta", 4))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = rows.mapInArrow(run, "sums binary")
+    parts = rows.mapInArrow(lean(run), "sums binary")
     if rows.rdd.getNumPartitions() > _DRIVER_SUMS:
-        parts = parts.repartition(_DRIVER_SUMS).mapInArrow(_sum_rows, "sums binary")
+        parts = parts.repartition(_DRIVER_SUMS).mapInArrow(lean(_sum_rows), "sums binary")
     return sum((np.frombuffer(r) for r in parts.toArrow().column("sums").to_pylist()), np.zeros(size))
 
 
@@ -351,7 +368,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, r
     known = known.withColumn("known", F.lit(True)).withColumn("aside", F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     # Texts are not shuffled: numbers first, labels then.
-    plain = materialise(source.mapInArrow(_with_id, T.StructType([T.StructField("id", T.LongType()), *_NUMBERS.fields[2:]])), "quality-numbers")
+    plain = materialise(source.mapInArrow(lean(_with_id), T.StructType([T.StructField("id", T.LongType()), *_NUMBERS.fields[2:]])), "quality-numbers")
     joined = plain.join(known, "id", "left").where("known IS NULL OR label IS NOT NULL")
     return co_train(materialise(joined.select("label", F.coalesce("aside", F.lit(False)).alias("aside"), "text", "meta"), "quality-rows"), rounds)
 
@@ -381,13 +398,13 @@ def score(docs: DataFrame, model: Quality) -> DataFrame:
     def keep(batch, p):
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
-    return source.mapInArrow(_scored(shared, keep), T.StructType([source.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(lean(_scored(shared, keep)), T.StructType([source.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def reject(docs: DataFrame, model: Quality, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score the threshold at least, with all their columns."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), lambda batch, p: batch.filter(pa.array(p >= threshold))), docs.schema)
+    return docs.mapInArrow(lean(_scored(docs.sparkSession.sparkContext.broadcast(model), lambda batch, p: batch.filter(pa.array(p >= threshold)))), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

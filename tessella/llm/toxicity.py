@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessella.llm import _words
 from tessella.llm._words import Chunk, _table, as_bytes, chunks, mix, scan
-from tessella.session import materialise, ship
+from tessella.session import lean, materialise, ship
 
 #: Labelled documents that learning reads at most.
 TRAIN_ROWS = 20_000
@@ -110,7 +110,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log-probability of a letter after two others (27 symbols, 0 is a word's border), counted over all texts."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_trigrams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     table = np.full(27**3, 0.5)
     table[counts["code"].to_numpy()] += counts["n"].to_numpy()
     table = table.reshape(27, 27, 27)
@@ -118,7 +118,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(table / table.sum(axis=2, keepdims=True))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 16)
 def _tokens(text: str) -> tuple[str, ...]:
     """Runs of letters and look-alikes that look disguised: whole ones with figures, letters alone where one is doubled."""
     out = []
@@ -286,13 +286,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, t
     if not toxic:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0), (-30.0, 0.0), characters)
     rate = toxic / (toxic + clean)
-    found = train.where("toxic > 0").select("id", "text").mapInArrow(_toxic_features, "feature long, doc long, after long")
+    found = train.where("toxic > 0").select("id", "text").mapInArrow(lean(_toxic_features), "feature long, doc long, after long")
     support = found.groupBy("feature").agg(F.countDistinct("doc").alias("docs"), F.countDistinct("after").alias("after")).where("docs > 2 AND after > 2").toArrow()
     order = np.argsort(support["feature"].to_numpy().view(np.uint64))
     keys = support["feature"].to_numpy().view(np.uint64)[order]
     docs_with, spread = support["docs"].to_numpy()[order], support["after"].to_numpy()[order]
     shared = spark.sparkContext.broadcast(keys)
-    held = train.where("toxic <= 0").select("text").mapInArrow(_holders(shared), "feature long, clean long").groupBy("feature").agg(F.sum("clean").alias("clean")).toArrow()
+    held = train.where("toxic <= 0").select("text").mapInArrow(lean(_holders(shared)), "feature long, clean long").groupBy("feature").agg(F.sum("clean").alias("clean")).toArrow()
     clean_with = np.zeros(len(keys), np.int64)
     if held.num_rows:
         clean_with[lookup(keys, held["feature"].to_numpy().view(np.uint64))[0]] = held["clean"].to_numpy()
@@ -378,7 +378,7 @@ def _scores(shared, keep, text_col: str = "text"):
                     evidence[i] += e
                     hits[i] += n
                 kept.update((t, x) for t, x in said.items() if len(t) <= 64)
-                if len(kept) > 100_000:
+                if len(kept) > 50_000:
                     kept.clear()
             score = 1 / (1 + np.exp(-np.clip(intercept + slope * evidence, -30, 30)))
             yield keep(batch, score, hits, evidence)
@@ -396,7 +396,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "id", text_c
     def keep(batch, score, hits, evidence):
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array(hits), pa.array(evidence)], names=["id", "score", "hits", "evidence"])
 
-    return source.mapInArrow(_scores(shared, keep), T.StructType([
+    return source.mapInArrow(lean(_scores(shared, keep)), T.StructType([
         source.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType()), T.StructField("evidence", T.DoubleType())]))
 
 
@@ -412,7 +412,7 @@ def reject(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", thresho
         for batch, s in score(batches):
             yield batch.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
