@@ -1,11 +1,14 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is read as a row of tokens: tags, and the words of text runs. Words weigh by the
-context they stand in (the nearest element whose name, role or class tells something),
-tags cost a little; all weights are log-odds counted on labelled pages. One linear scan
-finds the contiguous run of tokens with the greatest sum, the content region; words of
-it whose own context weighs against content (an advert or a form inside the article)
-are left out, and the rest is cut into blocks at block-level tags.
+context they stand in (the nearest element whose name, role or class tells something;
+where nothing is told, blocks that are mostly links, and copyright lines, tell by
+themselves), tags cost a little; all weights are log-odds counted on labelled pages. One
+linear scan finds the contiguous run of tokens with the greatest sum, the content region;
+words of it whose own context weighs against content (an advert or a form inside the
+article) are left out, and the rest is cut into blocks at block-level tags. What lies
+inside an element that names itself content costs nothing, so that no list of links
+parts an article.
 
 Character references are decoded, white space within a block becomes one space, blocks
 are joined by an empty line. ``<br>`` and table cells are white space.
@@ -48,13 +51,16 @@ CONTEXT_TAGS = {
 }
 CONTEXT_WORDS = {
     "advert": ("advert", "sponsor", "promo", "banner"), "notice": ("cookie", "consent", "notice", "alert", "popup", "modal", "paywall", "disclaimer"),
-    "form": ("newsletter", "subscri", "signup", "login", "search", "toolbar"), "comments": ("comment", "disqus", "respond", "repl"),
+    "form": ("newsletter", "subscri", "signup", "login", "search", "toolbar"), "comments": ("comment", "disqus", "respond"),
     "sidebar": ("sidebar", "related", "recommend", "complementary", "widget", "share", "sharing", "social", "trending"),
     "menu": ("menu", "nav", "breadcrumb", "paginat", "pager"), "footer": ("footer", "copyright", "contentinfo", "colophon"), "header": ("header", "masthead"),
     "content": ("article", "content", "entry", "post", "story", "main"),
 }
 #: Whole words only, as they begin other words too.
-CONTEXT_WHOLE = {"ad": "advert", "ads": "advert", "adbox": "advert", "adsense": "advert"}
+CONTEXT_WHOLE = {"ad": "advert", "ads": "advert", "adbox": "advert", "adsense": "advert", "reply": "comments", "replies": "comments"}
+#: Words that say little before another noun inside an article: a share-price-table is a table, a share-bar is none.
+LOOSE = ("nav", "share", "sharing", "social", "search", "header", "footer")
+PLAIN_NOUNS = {"bar", "bars", "block", "box", "button", "buttons", "container", "icon", "icons", "item", "items", "link", "links", "list", "panel", "row", "section", "tools", "top", "bottom", "wrap", "wrapper", "area", "inner", "outer"}
 
 
 #: Labelled pages: <!--main--> and <!--/main--> enclose the content.
@@ -73,6 +79,8 @@ of the sky that are counted with care.</p><!--/main--></div><div class="promo ba
     """<html><head><meta charset="utf-8"></head><body><div class="alert popup modal">You have one free page left. Sign up.</div><div role="search" class="search">Search this site</div><div class="post entry"><!--main--><p>A short story about a long
 walk through the hills and back before night.</p><p>We went out early and saw nobody until noon.</p><!--/main--></div><div id="disqus" class="respond reply">Leave a reply here if you like</div><div role="complementary">More from us</div>
 <div role="contentinfo">Imprint and data</div><div class="recommended">You may like these pages too</div><div class="toolbar signup subscribe">Get the news</div><div class="copyright">Copyright</div></body></html>""",
+    """<html><body><div class="x1"><a href="/">Start</a> <a href="/n">News</a> <a href="/s">Sport</a> <a href="/k">Culture</a></div><div class="x2"><!--main--><p>The bridge at the old mill is open again since <a href="/b">last spring</a>,
+and people walk over it every day.</p><p>It took two years to mend it.</p><!--/main--></div><ul><li><a href="/1">The next page of this series</a></li><li><a href="/2">All pages by this writer</a></li></ul><div class="x3">Copyright 2020 by the mill</div></body></html>""",
 ]
 
 
@@ -102,16 +110,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop
 
 
+def _said_by(word: str) -> set[str]:
+    return {c for c, stems in CONTEXT_WORDS.items() if word.startswith(stems)} | ({CONTEXT_WHOLE[word]} if word in CONTEXT_WHOLE else set())
+
+
 def context_of(tag: str, attributes: str, inside: str) -> str:
     """What an element says about its words; most elements say nothing and keep the context around them."""
     said = set()
     if attributes and tag not in ("html", "body"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             if name.lower() in ("class", "id", "role"):
-                for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", entities.unescape(a or b or c)).lower()):
-                    if w in CONTEXT_WHOLE:
-                        said.add(CONTEXT_WHOLE[w])
-                    said |= {c for c, stems in CONTEXT_WORDS.items() if w.startswith(stems)}
+                for named in entities.unescape(a or b or c).split():
+                    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()) if w]
+                    heads = [w for w in words if w not in PLAIN_NOUNS]
+                    other = inside == "content" and heads and not _said_by(heads[-1])
+                    for w in words:
+                        if not (other and w.startswith(LOOSE)):
+                            said |= _said_by(w)
     if tag in CONTEXT_TAGS:
         said.add(CONTEXT_TAGS[tag])
     if "header" in said and (inside == "content" or "content" in said):
@@ -120,27 +135,65 @@ def context_of(tag: str, attributes: str, inside: str) -> str:
     return min(said - {"content"}, default="content" if "content" in said else inside)
 
 
-def annotated(page: str) -> Iterator[tuple[str, str, str]]:
-    """Tokens with the context of each: (kind, value, context)."""
-    stack: list[tuple[str, str]] = [("", "")]
+@dataclass
+class Token:
+    kind: str
+    value: str
+    context: str
+    #: Inside an element that names itself content.
+    within: bool
+    linked: bool
+
+
+#: How a copyright line begins.
+_OWNED = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
+
+
+def annotated(page: str) -> list[Token]:
+    """Tokens with the context of each."""
+    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    out: list[Token] = []
+    links = 0
+
+    def add(kind: str, value: str) -> None:
+        out.append(Token(kind, value, stack[-1][1], stack[-1][2], links > 0))
+
     for kind, value, attributes in tokens(page):
         if kind == "open":
             context = context_of(value, attributes, stack[-1][1])
-            yield kind, value, stack[-1][1]
+            add(kind, value)
             if value == "p" and stack[-1][0] == "p":
                 stack.pop()
             if value not in VOID:
-                stack.append((value, context))
+                stack.append((value, context, stack[-1][2] or context == "content"))
+                links += value == "a"
         elif kind == "close":
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == value:
+                    links -= sum(s[0] == "a" for s in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCKS and value not in BLOCKS:
                     break
-            yield kind, value, stack[-1][1]
+            add(kind, value)
         else:
-            yield kind, value, stack[-1][1]
+            add(kind, value)
+    begin = 0
+    for i in range(len(out) + 1):
+        if i == len(out) or (out[i].kind in ("open", "close") and out[i].value in BLOCKS):
+            _judge_block([t for t in out[begin:i] if t.kind == "text" and t.context == ""])
+            begin = i + 1
+    return out
+
+
+def _judge_block(texts: list[Token]) -> None:
+    """Where no element tells anything, a block of links is one, and a copyright line is a footer."""
+    counts = [len(t.value.split()) for t in texts]
+    linked, words = sum(n for n, t in zip(counts, texts) if t.linked), sum(counts)
+    said = "links" if 2 * linked > words else "footer" if words < 30 and _OWNED.match("".join(t.value for t in texts)) else ""
+    if said:
+        for t in texts:
+            t.context = said
 
 
 @dataclass(frozen=True)
@@ -154,46 +207,61 @@ def learn(pages: list[str]) -> Weights:
     inside, outside, tags = Counter(), Counter(), [1, 1]
     for page in pages:
         main = False
-        for kind, value, context in annotated(page):
-            if kind == "mark":
-                main = {"<!--main-->": True, "<!--/main-->": False}.get(value, main)
-            elif kind == "text":
-                (inside if main else outside)[context] += len(value.split())
+        for t in annotated(page):
+            if t.kind == "mark":
+                main = {"<!--main-->": True, "<!--/main-->": False}.get(t.value, main)
+            elif t.kind == "text":
+                (inside if main else outside)[t.context] += len(t.value.split())
             else:
                 tags[main] += 1
     names = {*inside, *outside, ""}
     words = {c: math.log((inside[c] + 0.5) / (outside[c] + 0.5)) for c in names}
+    # Pages that tell nothing are read on their words alone.
     words[""] = max(words[""], 0.5)
     return Weights(words, -abs(math.log((tags[1] + 1) / (sum(tags) + 1))) / 10)
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    if not page:
-        return ""
-    row = list(annotated(page))
-    best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, context) in enumerate(row):
-        if kind == "text":
-            weight = weights.word.get(context, 0.0)
-            # Words against content cost little each: a long advert must not part an article.
-            gain = len(value.split()) * (weight if weight > 0 else max(weight, -1.0) / 20)
+def gains(row: list[Token], weights: Weights) -> list[float]:
+    """What each token adds to a run: words by their context, tags a small cost."""
+    out = []
+    for t in row:
+        if t.kind == "text":
+            weight = weights.word.get(t.context, 0.0)
+            # Words against content cost little each: a long advert must not part a page's text.
+            cost = 0.0 if t.within else max(weight, -1.0) / 20
+            out.append(len(t.value.split()) * (weight if weight > 0 else cost))
         else:
-            gain = weights.tag if kind != "mark" else 0.0
+            out.append(0.0 if t.kind == "mark" or t.within else weights.tag)
+    return out
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous run of the greatest sum, in one pass; of equal ones the first, empty if none is positive."""
+    best, span, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, gain in enumerate(scores):
         total += gain
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best:
-            best, best_span = total, (begin, i + 1)
+            best, span = total, (begin, i + 1)
+    return span
+
+
+def main_text(page: str | None, weights: Weights) -> str:
+    if not page:
+        return ""
+    row = annotated(page)
+    begin, end = best_run(gains(row, weights))
     blocks: list[list[str]] = [[]]
-    for kind, value, context in row[best_span[0] : best_span[1]]:
-        if kind == "text":
-            if weights.word.get(context, 0.0) > 0:
-                blocks[-1].append(value)
-        elif kind != "mark" and value in BLOCKS:
+    for t in row[begin:end]:
+        if t.kind == "text":
+            if weights.word.get(t.context, 0.0) > 0:
+                blocks[-1].append(t.value)
+        elif t.kind != "mark" and t.value in BLOCKS:
             blocks.append([])
-        elif kind != "mark" and value in SPACES:
+        elif t.kind != "mark" and t.value in SPACES:
             blocks[-1].append(" ")
-    return "\n\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
+    return "\n\n".join(x for b in blocks if (x := " ".join("".join(b).split())))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[str] | None = None) -> DataFrame:
