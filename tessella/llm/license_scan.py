@@ -115,10 +115,11 @@ def scan_licenses(
     apart = diagonals.where("NOT exact").withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= near, 0).otherwise(1))
     merged = apart.withColumn("span", F.sum("new").over(along)).groupBy("row", "template", "label", "grams_in", "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hits"), F.min("first").alias("first"), F.max("last").alias("last"))
-    spans = merged.withColumn("share", F.col("hits") / F.col("grams_in")).where(F.col("share") >= covered).groupBy("row").agg(
+    merged = merged.withColumn("share", F.col("hits") / F.greatest("grams_in", F.col("last") - F.col("first") + 2 - k))
+    spans = merged.where(F.col("share") >= covered).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("first", "last", "label", "share"))).alias("spans"))
     exact = diagonals.where("exact AND votes = grams_in").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("diagonal", "label"))).alias("exact"))
-    best = merged.groupBy("row").agg(F.max(F.col("hits") / F.col("grams_in")).alias("best"))
+    best = merged.groupBy("row").agg(F.max("share").alias("best"))
     return rows.select("id", "n_words", "row").join(exact, "row", "left").join(spans, "row", "left").join(best, "row", "left").select(
         "id", "n_words", F.coalesce("exact", F.expr("cast(array() as array<struct<diagonal: bigint, label: string>>)")).alias("exact"),
         F.coalesce("spans", F.expr("cast(array() as array<struct<first: bigint, last: bigint, label: string, share: double>>)")).alias("spans"),
