@@ -352,3 +352,76 @@ def test_ann_recall_and_odd_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.1]), (2, [0.5, 0.1])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.digest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert ann.digest(few.limit(0)).count() == 0
+
+
+# --- methods against brute force
+
+
+def test_best_run_is_the_greatest_of_all_runs():
+    rng = random.Random(1)
+    for _ in range(300):
+        scores = [rng.choice((-3, -1, -0.5, 0, 0.5, 1, 4)) for _ in range(rng.randint(0, 14))]
+        a, b = html_text.best_run(scores)
+        most = max([sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)], default=0)
+        assert sum(scores[a:b]) == max(most, 0)
+
+
+def test_html_without_telling_names_and_with_misleading_ones():
+    weights = html_text.learn(html_text.LABELLED)
+    page = '<div class="q1"><a>Home</a> <a>News</a></div><div class="q2"><p>Real text with a <a>link</a> in it.</p><p>More of it here.</p></div><div class="q9">© 2024 Somebody</div>'
+    assert html_text.main_text(page, weights) == "Real text with a link in it.\n\nMore of it here."
+    page = ('<article><p>One two three.</p><div class="replica"><p>A replica of it.</p></div><div class="navigation-history"><p>History of it.</p></div><div class="share-price-table"><p>Prices.</p></div>'
+            '<div class="share-buttons">Tweet</div><nav>' + '<a href="/">x y</a>' * 400 + '</nav><p>Second half.</p><div class="post-comments">Nice</div></article>')
+    assert html_text.main_text(page, weights) == "One two three.\n\nA replica of it.\n\nHistory of it.\n\nPrices.\n\nSecond half."
+
+
+def test_scattered_words_are_no_license(spark):
+    notice = "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met".split()
+    apart = []
+    for i in range(len(notice) - 2):
+        apart += [*notice[i : i + 3], f"foreign{i}"]
+    rows = [(1, " ".join(apart)), (2, " ".join(notice)), (3, " ".join([*notice[:9], "also", *notice[9:]]))]
+    got = {r.doc_id: r for r in license_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "" and got[1].score < 0.7
+    assert (got[2].labels, got[2].score, got[3].labels) == ("bsd", 1.0, "bsd")
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.ones(27), size=(27, 27)))
+    for token in ("c4t", "l1l", "b00k", "a.b.c", "$h1t", "caat", "5t4rr"):
+        best = {}
+        for way in itertools.product(*toxicity._lattice(token)):
+            letters, cost = "".join(x for x, _ in way), sum(c for _, c in way)
+            x = y = 0
+            score = -cost
+            for k in toxicity._symbols(letters):
+                score += model[x, y, k]
+                x, y = y, k
+            score += model[x, y, 0]
+            text = letters.strip()
+            if text:
+                best[text] = max(best.get(text, -np.inf), score)
+        top = max(best, key=best.get)
+        assert toxicity.restore(token, model)[0][0] == top
+
+
+def test_co_training_hands_over_what_a_view_is_sure_of():
+    views = quality.Views((np.zeros(quality.TEXT_NUMBERS), np.zeros(4)), (np.ones(quality.TEXT_NUMBERS), np.ones(4)), [np.zeros(w) for w in quality.WIDTHS])
+    weights = np.zeros(quality.WIDTHS[0])
+    weights[1] = 5.0
+    x = np.zeros((5, quality.TEXT_NUMBERS))
+    x[:, 0] = (-2, -0.1, 0, 0.1, 2)
+    told = quality.handed(views, [[quality.Round(weights, 4.0, -4.0)]], 0, x)
+    assert told[0] == 0 and told[4] == 1 and np.isnan(told[1:4]).all()
+    counts = np.zeros(quality._BINS)
+    counts[quality._bin(np.array([-8.0]))] = 5
+    counts[quality._bin(np.array([8.0]))] = 30
+    counts[quality._bin(np.array([9.0]))] = 20
+    good, poor = quality.limits(counts, 50, 0.5)
+    assert 8.0 < good <= 9.0 and -8.0 <= poor < 0  # 20 are the most of the good ones, as the next bin has 30 more
+
+
+def test_quality_combination_is_monotone(spark, judged):
+    model = quality.learn(*judged)
+    assert model.curves[:, 1].min() >= 0 and model.blend[1:].min() >= 0
