@@ -19,6 +19,11 @@ LABEL_GROUPS = {
     "PERCENT": "number", "ORDINAL": "number", "NORP": "group", "EVENT": "thing", "WORK_OF_ART": "thing", "LAW": "thing", "PRODUCT": "thing", "LANGUAGE": "thing",
 }
 NAMED_GROUPS = ("person", "org", "place", "group", "thing")
+#: Words of negation, what dates a time, and what makes one relative. Word borders are spelled out
+#: (ASCII letters, digits and the underscore are word characters), so that every engine sees the same ones.
+NEGATION = r"(^|[^a-z0-9_])(not|no|never|none|nor|without)([^a-z0-9_]|$)|n't([^a-z0-9_]|$)"
+DATED = "(^|[^a-z0-9_])(1[0-9]{3}|20[0-9]{2})s?([^a-z0-9_]|$)|(^|[^a-z0-9_])[0-9]{1,2}(st|nd|rd|th) century([^a-z0-9_]|$)"
+RELATIVE = "(^|[^a-z0-9_])(previous|next|following|last|that|this|same|earlier|later|ago|recent)([^a-z0-9_]|$)"
 
 
 def _trimmed(text: Column, begin: Column, chars: str) -> tuple[Column, Column]:
@@ -75,7 +80,7 @@ def numbers(text: Column) -> Column:
 
 
 def negated(text: Column) -> Column:
-    return F.lower(text).rlike(r"(^|[^a-z0-9_])(not|no|never|none|nor|without)([^a-z0-9_]|$)|n't([^a-z0-9_]|$)")
+    return F.lower(text).rlike(NEGATION)
 
 
 def acronym(text: Column) -> Column:
@@ -120,8 +125,7 @@ def document_of(pid: Column) -> Column:
 def merges_by_string(text: Column, group: Column) -> Column:
     """May a mention merge with equal strings elsewhere without a judged pair?"""
     low = F.lower(text)
-    dated = low.rlike(r"(^|[^a-z0-9_])(1[0-9]{3}|20[0-9]{2})s?([^a-z0-9_]|$)|(^|[^a-z0-9_])[0-9]{1,2}(st|nd|rd|th) century([^a-z0-9_]|$)")
-    relative = low.rlike(r"(^|[^a-z0-9_])(previous|next|following|last|that|this|same|earlier|later|ago|recent)([^a-z0-9_]|$)")
+    dated, relative = low.rlike(DATED), low.rlike(RELATIVE)
     return F.when(group.isin(*NAMED_GROUPS), True).when(group == "time", dated & ~relative).otherwise(False)
 
 

@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.functions import text as X
+from tessella.operators.blocks import nearest
 from tessella.operators.components import connected_components
+from tessella.session import materialise
 
-#: The default mention finder: capitalised runs of two words at least, short capitals, years and numbers.
-NAMES = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
-CAPITALS = r"[A-Z]{2,6}"
+#: The default mention finder, a pattern for each entity label: capitalised runs of two words at least, short capitals, numbers.
+PATTERNS = {"PERSON": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+", "ORG": r"[A-Z]{2,6}", "CARDINAL": r"[0-9]{2,}"}
 
 
-def mentions(paragraphs: DataFrame) -> DataFrame:
-    """(mid, pid, article, text, grp, norm): distinct texts of each paragraph, ids in (pid, text) order within a paragraph."""
-    found = lambda pattern, grp: F.transform(F.array_distinct(F.regexp_extract_all("context", F.lit(pattern), F.lit(0))), lambda t: F.struct(t.alias("text"), F.lit(grp).alias("grp")))
-    each = paragraphs.select("pid", F.col("title").alias("article"), F.explode(F.concat(found(NAMES, "person"), found(CAPITALS, "org"), found(r"[0-9]{2,}", "number"))).alias("m"))
-    named = each.select("pid", "article", "m.*").withColumn("norm", X.normalize_concept(F.col("text"))).where("norm <> ''")
-    return named.withColumn("mid", F.concat_ws(":", F.format_string("%012d", "pid"), F.row_number().over(W.partitionBy("pid").orderBy("grp", "text")).cast("string")))
+def mentions(paragraphs: DataFrame, patterns: dict[str, str] = PATTERNS) -> DataFrame:
+    """(mid, pid, article, s, e, text, grp, norm): every occurrence, ids in text order within a paragraph.
+
+    A match begins where the gaps and matches before it end.
+    """
+    each = None
+    for label, pattern in patterns.items():
+        found = F.arrays_zip(F.split("context", pattern).alias("gap"), F.regexp_extract_all("context", F.lit(pattern), F.lit(0)).alias("text"))
+        part = paragraphs.select("pid", F.col("title").alias("article"), F.lit(label).alias("label"), F.posexplode(found).alias("i", "m")).select("pid", "article", "label", "i", "m.gap", "m.text")
+        each = part if each is None else each.unionByName(part)
+    before = W.partitionBy("pid", "label").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    placed = each.withColumn("s", (F.coalesce(F.sum(F.length("gap") + F.length("text")).over(before), F.lit(0)) + F.length("gap")).cast("int")).where("text IS NOT NULL")
+    groups = F.create_map(*[F.lit(x) for label in patterns for x in (label, X.LABEL_GROUPS[label])])
+    named = placed.select("pid", "article", "s", (F.col("s") + F.length("text")).alias("e"), "text", F.element_at(groups, F.col("label")).alias("grp"), X.normalize_concept(F.col("text")).alias("norm")).where("norm <> ''")
+    return with_ids(named)
+
+
+def with_ids(named: DataFrame) -> DataFrame:
+    """mid: paragraph and number in text order, in digits that sort."""
+    return named.withColumn("mid", F.format_string("%012d:%06d", "pid", F.row_number().over(W.partitionBy("pid").orderBy("s", "e", "grp"))))
 
 
 def exact_tier(mentions_: DataFrame) -> DataFrame:
@@ -26,43 +41,94 @@ def exact_tier(mentions_: DataFrame) -> DataFrame:
 
 
 def alias_tier(mentions_: DataFrame) -> DataFrame:
-    """(short, long, rule): within an article, an acronym or a last word that exactly one longer mention answers to."""
-    words = F.split("text", r"\s+")
-    firsts = mentions_.groupBy("article", "grp", "text").agg(F.min("mid").alias("mid"))
-    shorts = firsts.where(F.size(words) == 1)
-    longs = firsts.where(F.size(words) > 1)
-    is_acronym = F.col("text").rlike("^[A-Z]{2,6}$")
-    by_acronym = shorts.where(is_acronym).select("article", F.col("mid").alias("short"), F.col("text").alias("key"))
+    """(short, long, rule): within an article, an acronym or a short form that exactly one longer form answers to.
+
+    Longer forms are the norms of several words, each known by its first mention. An
+    upper-case text of 2 to 6 characters asks for its acronym in any group; another
+    single word for a form of its own named group that ends with it, or in a person's
+    name begins with it.
+    """
+    words = F.split("norm", " ")
+    longs = mentions_.where(F.size(words) > 1).groupBy("article", "norm").agg(F.min(F.struct("mid", "text", "grp")).alias("m")).select("article", "norm", "m.*")
+    upper = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text"))
+    acronym = upper & F.length("text").between(2, 6)
+    asks = mentions_.where((F.size(words) == 1) | upper).groupBy("article", "grp", "text", "norm").agg(F.min("mid").alias("short"))
+    by_acronym = asks.where(acronym).select("article", "short", F.col("text").alias("key"))
     acronyms = longs.select("article", F.col("mid").alias("long"), X.acronym(F.col("text")).alias("key"))
-    by_word = shorts.where(~is_acronym).select("article", "grp", F.col("mid").alias("short"), F.col("text").alias("key"))
+    by_word = asks.where(~acronym & F.col("grp").isin(*X.NAMED_GROUPS)).select("article", "grp", "short", F.col("norm").alias("key"))
     keys = F.array_distinct(F.array(F.element_at(words, -1), F.when(F.col("grp") == "person", F.element_at(words, 1)).otherwise(F.element_at(words, -1))))
     worded = longs.select("article", "grp", F.col("mid").alias("long"), F.explode(keys).alias("key"))
     found = by_acronym.join(acronyms, ["article", "key"]).select("short", "long", F.lit("acronym").alias("rule")).unionByName(
-        by_word.join(worded, ["article", "grp", "key"]).select("short", "long", F.lit("word").alias("rule"))).distinct()
-    return found.groupBy("short").agg(F.count("*").alias("n"), F.min("long").alias("long"), F.min("rule").alias("rule")).where("n = 1").drop("n")
+        by_word.join(worded, ["article", "grp", "key"]).select("short", "long", F.lit("short form").alias("rule")))
+    return found.groupBy("short").agg(F.count("*").alias("n"), F.min("long").alias("long"), F.min("rule").alias("rule")).where("n = 1 AND short <> long").drop("n")
+
 
+def alias_candidates(mentions_: DataFrame) -> DataFrame:
+    """(short, long): pairs to be judged: acronyms, and single words that begin or end a longer form of their group, in an article, unique or not."""
+    words = F.split("norm", " ")
+    upper = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text"))
+    first = lambda frame: frame.groupBy("article", "norm").agg(F.min(F.struct("mid", "text", "grp")).alias("m")).select("article", "norm", "m.*")
+    longs, asks = first(mentions_.where(F.size(words) > 1)), first(mentions_.where((F.size(words) == 1) | upper))
+    acronyms = longs.select("article", F.col("mid").alias("long"), X.acronym(F.col("text")).alias("key"))
+    by_acronym = asks.where(upper & F.length("text").between(2, 6)).select("article", F.col("mid").alias("short"), F.col("text").alias("key")).join(acronyms, ["article", "key"])
+    worded = longs.select("article", "grp", F.col("mid").alias("long"), F.explode(F.array_distinct(F.array(F.element_at(words, 1), F.element_at(words, -1)))).alias("key"))
+    by_word = asks.select("article", "grp", F.col("mid").alias("short"), F.col("norm").alias("key")).join(worded, ["article", "grp", "key"])
+    return by_acronym.select("short", "long").unionByName(by_word.select("short", "long")).distinct()
 
-def similar_pairs(items: DataFrame, tau: float, top: int = 10, blocks: int = 8) -> DataFrame:
-    """items (id, grp, v) to (i, j, cos): of each item's ``top`` nearest at cosine >= tau, those with a greater id and of its group.
 
-    Every pair of items is compared once for each side, in a grid of blocks, so that no
-    task holds more than two blocks.
-    """
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = items.select(F.col("id").alias("i"), F.col("grp").alias("g"), F.col("v").alias("x"), block("id").alias("b"), each.alias("d"))
-    right = items.select(F.col("id").alias("j"), F.col("grp").alias("h"), F.col("v").alias("y"), block("id").alias("d"), each.alias("b"))
-    scored = left.join(right, ["b", "d"]).where("i <> j").select("i", "j", "g", "h", F.round(X.cosine(F.col("x"), F.col("y")), 6).alias("cos")).where(F.col("cos") >= tau)
-    near = scored.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("cos"), "j"))).where(F.col("rank") <= top)
-    return near.where("i < j AND g = h").select("i", "j", "cos")
+def contexts(mentions_: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(mid, around): the sentence of a mention, or 150 characters on either side of one in none."""
+    held = mentions_.join(paragraphs.select("pid", "context"), "pid").withColumn("spans", X.sentences(F.col("context")))
+    span = F.get(F.filter("spans", lambda x: x["e"] > F.col("s")), F.lit(0))
+    near = F.expr("substring(context, greatest(s - 150, 0) + 1, e + 150 - greatest(s - 150, 0))")
+    return held.withColumn("span", span).select("mid", F.when(F.col("span").isNotNull(), X.span_text(F.col("context"), F.col("span.s"), F.col("span.e"))).otherwise(near).alias("around"))
+
+
+def candidates(mentions_: DataFrame, paragraphs: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
+    """(source, grp, cos, a, b, a_around, b_around): every pair to be judged, with both contexts; vectors (id, grp, v, mid) of nodes, each with a mention."""
+    at = mentions_.select("mid", "grp")
+    exact = exact_candidates(mentions_).select(F.lit("exact").alias("source"), "grp", F.lit(1.0).alias("cos"), "a", "b")
+    alias = alias_candidates(mentions_).join(at.withColumnRenamed("mid", "short"), "short").select(F.lit("alias").alias("source"), "grp", F.lit(None).cast("double").alias("cos"), F.col("long").alias("a"), F.col("short").alias("b"))
+    of = vectors.select("id", "mid", F.col("grp").alias("g"))
+    near = similar_pairs(vectors.select("id", "grp", "v"), floor).join(of.withColumnsRenamed({"id": "i", "mid": "a"}), "i").join(of.drop("g").withColumnsRenamed({"id": "j", "mid": "b"}), "j")
+    pairs = exact.unionByName(alias).unionByName(near.select(F.lit("embed").alias("source"), F.col("g").cast("string").alias("grp"), "cos", "a", "b"))
+    said = materialise(contexts(mentions_, paragraphs), "contexts")
+    return pairs.join(said.withColumnsRenamed({"mid": "a", "around": "a_around"}), "a").join(said.withColumnsRenamed({"mid": "b", "around": "b_around"}), "b").select("source", "grp", "cos", "a", "b", "a_around", "b_around")
+
+
+def band(source: Column, cos: Column) -> Column:
+    """Stratum of a candidate: its source, and for similar ones a step of 0.05 of its similarity from 0.8 on."""
+    step = F.least(F.floor((cos - 0.8) / 0.05), F.lit(3)).cast("int").cast("string")
+    return F.when(cos.isNull() | (source == "exact"), source).otherwise(F.concat_ws(":", source, step))
+
+
+def similar_pairs(items: DataFrame, tau: float, top: int = 10) -> DataFrame:
+    """items (id, grp, v) to (i, j, cos): of each item's ``top`` nearest at cosine >= tau, those with a greater id and of its group."""
+    near = nearest(items.select(F.col("id").alias("uidx"), "v"), items.select(F.col("id").alias("qid"), F.col("v").alias("q")), top, tau, not_own=True)
+    near = near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "uidx"))).where(F.col("rank") <= top)
+    groups = items.select(F.col("id").alias("i"), F.col("grp").alias("g"))
+    near = near.select(F.col("qid").alias("i"), F.col("uidx").alias("j"), F.col("score").alias("cos")).where("i < j")
+    return near.join(groups, "i").join(groups.withColumnsRenamed({"i": "j", "g": "h"}), "j").where("g = h").select("i", "j", "cos")
+
+
+def guarded(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (i, j, cos) whose texts (id, text) hold equal numbers and are both negated or both not."""
+    facts = items.select(F.col("id").alias("i"), X.numbers(F.col("text")).alias("n"), X.negated(F.col("text")).alias("no"))
+    other = facts.withColumnsRenamed({"i": "j", "n": "n2", "no": "no2"})
+    return pairs.join(facts, "i").join(other, "j").where("n = n2 AND no = no2").select("i", "j", "cos")
 
 
 def meaning_tier(items: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
     """(id, root): greedy merges in order of similarity while the centroids of both clusters stay at tau.
 
-    A merge looks at its two clusters only, and clusters grow along pairs only, so each
-    connected component of the pairs is replayed by itself with the same result.
+    items (id, v), and text where numbers and negation of a pair must agree. A merge looks
+    at its two clusters only, and clusters grow along pairs only, so each connected
+    component of the pairs is replayed by itself with the same result: a task holds the
+    vectors of one component, and merges the smaller cluster into the larger.
     """
+    if "text" in items.columns:
+        pairs = guarded(pairs, items)
+    pairs = materialise(pairs, "meaning-pairs")
     components = connected_components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
     members = components.join(items.select(F.col("id").alias("node"), "v"), "node")
     proposals = pairs.join(components, pairs["i"] == components["node"]).select(F.col("component").alias("part"), "i", "j", "cos")
@@ -72,17 +138,24 @@ def meaning_tier(items: DataFrame, pairs: DataFrame, tau: float) -> DataFrame:
         import pandas as pd
 
         del key
-        root = {n: n for n in nodes.node}
-        held = {n: [np.asarray(v, float)] for n, v in zip(nodes.node, nodes.v)}
+        held = {n: [n] for n in nodes.node}
+        of = {n: n for n in nodes.node}
+        total = {n: np.asarray(v, float) for n, v in zip(nodes.node, nodes.v)}
         for r in proposed.sort_values(["cos", "i", "j"], ascending=False).itertuples():
-            a, b = sorted((root[r.i], root[r.j]))
+            a, b = of[r.i], of[r.j]
             if a == b:
                 continue
-            x, y = np.mean(held[a], axis=0), np.mean(held[b], axis=0)
+            # Directions of sums are directions of means.
+            x, y = total[a], total[b]
             if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= tau:
+                if len(held[a]) < len(held[b]):
+                    a, b = b, a
+                for n in held[b]:
+                    of[n] = a
                 held[a] += held.pop(b)
-                root = {n: a if c == b else c for n, c in root.items()}
-        return pd.DataFrame({"id": list(root), "root": list(root.values())})
+                total[a] = total[a] + total.pop(b)
+        least = {a: min(ns) for a, ns in held.items()}
+        return pd.DataFrame({"id": list(of), "root": [least[a] for a in of.values()]})
 
     return members.groupBy("component").cogroup(proposals.groupBy("part")).applyInPandas(replay, "id long, root long")
 

@@ -25,6 +25,11 @@ def split_questions(ids: DataFrame, past: float = 0.7, tuning: float = 0.1, pilo
         news.select("id", F.lit("future").alias("part"), (F.col("place") < pilot).alias("is_pilot")))
 
 
+def reference_questions(split: DataFrame, questions: str) -> DataFrame:
+    """split (id, part) to the past ids that may shape units and priors: the build part while the tuning part is asked, all past ones otherwise; never future ones."""
+    return split.where(F.col("part").isin(*(("build",) if questions == "tuning" else ("build", "tuning")))).select("id")
+
+
 def overlap_buckets(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked (qid, pid, sent), known (pid, sent): covered, uncovered, or unmapped without gold."""
     seen = known.distinct().withColumn("hit", F.lit(True))
@@ -58,20 +63,42 @@ def summarize(rows: DataFrame, by: list[str], bucket: str, value: str) -> DataFr
     return out.select(*by, F.when(F.col("g") == 1, "all").otherwise(F.col(bucket).cast("string")).alias("bucket"), "n", "mean", "p50", "p95")
 
 
+#: Cumulative Poisson(1) probabilities.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
 def bootstrap(rows: DataFrame, a: str, b: str, statistic: str = "difference", n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """95 % interval of mean(a) - mean(b), or of mean(a) / mean(b), over resamples by Poisson weights.
 
-    Every row draws a weight for each resample from a digest of its id, so resampling is
-    a map and a sum: no row moves, and the result does not depend on partitions.
+    A row's weight in a resample comes from a digest of its id and the resample, so
+    resampling is a map and a sum: no row moves, and the result does not depend on
+    partitions. A task sums its rows' weights as matrix products and returns a row for
+    each resample. Rows without both values take no part.
     """
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("boot")), F.lit(1_000_000)) / 1e6
-    #: Cumulative Poisson(1) probabilities.
-    steps = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-    weight = sum(((draw >= s).cast("int") for s in steps), F.lit(0))
-    each = rows.select("id", F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", weight)
-    sums = each.groupBy("boot").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum("w").alias("w"))
-    value = (F.col("x") - F.col("y")) / F.nullif(F.col("w"), F.lit(0)) if statistic == "difference" else F.col("x") / F.nullif(F.col("y"), F.lit(0.0))
-    whole = rows.agg((F.avg(a) - F.avg(b) if statistic == "difference" else F.avg(a) / F.nullif(F.avg(b), F.lit(0.0))).alias("value"))
+    source = rows.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def mixed(h):
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return h ^ (h >> np.uint64(31))
+
+        boots = mixed(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        total = np.zeros((3, n_boot))
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            x = np.stack([batch.column("x").to_numpy(), batch.column("y").to_numpy(), np.ones(batch.num_rows)])
+            for i in range(0, n_boot, 1000):
+                draw = (mixed(h[:, None] ^ boots[None, i : i + 1000]) >> np.uint64(11)).astype(float) * 2.0**-53
+                total[:, i : i + 1000] += x @ np.searchsorted(POISSON, draw, side="right").astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *map(pa.array, total)], names=["boot", "x", "y", "w"])
+
+    sums = source.mapInArrow(run, "boot long, x double, y double, w double").groupBy("boot").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("w").alias("w"))
+    value = (F.col("x") - F.col("y")) / F.nullif(F.col("w"), F.lit(0.0)) if statistic == "difference" else F.col("x") / F.nullif(F.col("y"), F.lit(0.0))
+    whole = source.agg((F.avg("x") - F.avg("y") if statistic == "difference" else F.avg("x") / F.nullif(F.avg("y"), F.lit(0.0))).alias("value"))
     return sums.agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high")).crossJoin(whole)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessella.functions import text as X
+from tessella.operators.blocks import nearest
+from tessella.operators.corpus import units_key
+from tessella.session import materialise
 
 K1, B = 1.5, 0.75
 
@@ -14,41 +17,69 @@ def best(frame: DataFrame, by: list[str], order: list[Column], depth: int) -> Da
     return frame.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= depth)
 
 
+#: Rows of terms that may be broadcast.
+BROADCAST_TERMS = 200_000
+
+
+def _broadcast_if_small(frame: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(frame) if rows <= BROADCAST_TERMS else frame
+
+
 def bm25(units: DataFrame, queries: DataFrame, depth: int = 100) -> DataFrame:
-    """units (uidx, search_text), queries (qid, question) to (qid, rank, uidx, score).
+    """units (uidx, search_text), queries (qid, question) to (qid, rank, uidx, score), without a stored index.
 
-    Query terms are few, so the postings are cut to them before anything is shuffled by
-    term; a repeated query term counts once.
+    Query terms are few, so the postings are cut to them before anything is shuffled; a
+    repeated query term counts once.
     """
     counted = units.select("uidx", X.terms(F.col("search_text")).alias("words")).withColumn("dl", F.size("words"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("qid", F.explode(F.array_distinct(X.terms(F.col("question")))).alias("w"))
-    wanted = asked.select("w").distinct()
-    postings = counted.select("uidx", "dl", F.explode("words").alias("w")).join(wanted, "w", "left_semi").groupBy("uidx", "dl", "w").agg(F.count("*").alias("tf"))
+    wanted = materialise(_asked(queries).select("w").distinct(), "bm25-wanted")
+    postings = counted.select("uidx", "dl", F.explode("words").alias("w")).join(_broadcast_if_small(wanted, wanted.count()), "w", "left_semi")
+    return bm25_rank(materialise(postings.groupBy("uidx", "dl", "w").agg(F.count("*").alias("tf")), "bm25-postings"), stats, queries, depth)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("qid", F.explode(F.array_distinct(X.terms(F.col("question")))).alias("w"))
+
+
+def bm25_rank(postings: DataFrame, stats: DataFrame, queries: DataFrame, depth: int = 100) -> DataFrame:
+    """postings (uidx, dl, w, tf) and stats (n, avgdl) of an index to (qid, rank, uidx, score).
+
+    Where the queries' terms are few, they and their frequencies are broadcast, so that a
+    common term is no task of its own.
+    """
+    asked = materialise(_asked(queries), "bm25-asked")
+    rows = asked.count()
+    postings = postings.join(_broadcast_if_small(asked.select("w").distinct(), rows), "w", "left_semi")
     df = postings.groupBy("w").agg(F.count("*").alias("df"))
     weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # stats is one row.
-    scored = postings.join(df, "w").crossJoin(F.broadcast(stats)).select("uidx", "w", weight.alias("x")).join(asked, "w").groupBy("qid", "uidx").agg(F.round(F.sum("x"), 6).alias("score")).where("score > 0")
+    weighed = postings.join(_broadcast_if_small(df, rows), "w").crossJoin(F.broadcast(stats)).select("uidx", "w", weight.alias("x"))
+    scored = weighed.join(_broadcast_if_small(asked, rows), "w").groupBy("qid", "uidx").agg(F.round(F.sum("x"), 6).alias("score")).where("score > 0")
     return best(scored, ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
 
 
-#: Queries that brute force broadcasts; more are dealt to blocks.
-BROADCAST_QUERIES = 10_000
-
-
-def _against(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every unit beside every query, for exact brute force: no task holds more than a block of the queries."""
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        return units.crossJoin(F.broadcast(queries))
-    blocks = -(-n // BROADCAST_QUERIES)
-    asked = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    return units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "_block").drop("_block")
+def bm25_index(units: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, stats) of units (uidx, uid, search_text), stored below ``root`` under the content key of the units.
 
-
-def dense(units: DataFrame, queries: DataFrame, depth: int = 10) -> DataFrame:
-    """units (uidx, v), queries (qid, q): the nearest units of each query by cosine, exact."""
-    scored = _against(units, queries).select("qid", "uidx", F.round(X.cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    An index that stands there is read; a half-written one has no marker and is written anew.
+    """
+    spark = units.sparkSession
+    key = units_key(units).first()[0]
+    paths = f"{root}/{key}/postings", f"{root}/{key}/stats"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{paths[1]}/_SUCCESS")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        counted = units.select("uidx", X.terms(F.col("search_text")).alias("words")).withColumn("dl", F.size("words"))
+        postings = counted.select("uidx", "dl", F.explode("words").alias("w")).groupBy("uidx", "dl", "w").agg(F.count("*").alias("tf"))
+        postings.write.mode("overwrite").parquet(paths[0])
+        # Last, as it marks the whole.
+        counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(paths[1])
+    return tuple(spark.read.parquet(p) for p in paths)
+
+
+def dense(units: DataFrame, queries: DataFrame, depth: int = 10, *, not_own: bool = False) -> DataFrame:
+    """units (uidx, v), queries (qid, q): the nearest units of each query by cosine (vectors are of unit length), exact."""
+    scored = nearest(units, queries, depth, not_own=not_own)
     return best(scored, ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
 
 
@@ -64,8 +95,8 @@ def rrf(rankings: list[tuple[DataFrame, float]], depth: int = 100, k: int = 60)
 
 def question_prior(attached: DataFrame, queries: DataFrame, tau: float, depth: int = 100) -> DataFrame:
     """attached (uidx, v): past questions whose gold a unit covers; a unit scores its most similar past question, from tau."""
-    scored = _against(attached, queries).select("qid", "uidx", F.round(X.cosine(F.col("v"), F.col("q")), 6).alias("x"))
-    return best(scored.groupBy("qid", "uidx").agg(F.max("x").alias("score")).where(F.col("score") >= tau), ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
+    scored = nearest(attached, queries, depth, tau).groupBy("qid", "uidx").agg(F.max("score").alias("score"))
+    return best(scored, ["qid"], [F.desc("score"), F.col("uidx")], depth).select("qid", "rank", "uidx", "score")
 
 
 def first_hits(ranked_keys: DataFrame, depth: int) -> DataFrame:
@@ -73,10 +104,10 @@ def first_hits(ranked_keys: DataFrame, depth: int) -> DataFrame:
     return best(ranked_keys.groupBy("qid", "target").agg(F.min("rank").alias("first")), ["qid"], [F.col("first")], depth).select("qid", "rank", F.col("target").cast("long").alias("target"))
 
 
-def rerank(ranked: DataFrame, units: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
-    """The first ``top`` by the default cross-encoder (ties keep their order), then the rest as it was."""
+def rerank(ranked: DataFrame, units: DataFrame, queries: DataFrame, top: int = 20, scorer=X.overlap_score) -> DataFrame:
+    """The first ``top`` by a cross-encoder (a column function of question and text; ties keep their order), then the rest as it was."""
     held = ranked.join(units.select("uidx", "search_text"), "uidx").join(queries.select("qid", "question"), "qid")
-    score = F.when(F.col("rank") <= top, X.overlap_score(F.col("question"), F.col("search_text")))
+    score = F.when(F.col("rank") <= top, scorer(F.col("question"), F.col("search_text")))
     placed = held.select("qid", "uidx", F.col("rank").alias("old"), score.alias("score"))
     order = W.partitionBy("qid").orderBy(F.col("score").isNull(), F.desc("score"), "old")
     return placed.withColumn("rank", F.row_number().over(order)).select("qid", F.col("rank").cast("int").alias("rank"), "uidx", F.col("old").cast("int").alias("old_rank"))
@@ -111,8 +142,8 @@ def drop_overlaps(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("lead", F.first("whole").over(lead)).where("whole = lead").drop("lead")
 
 
-def kept_sentences(ranked: DataFrame, sentences: DataFrame, queries: DataFrame, least: int = 1) -> DataFrame:
-    """The default pruner: sentences of ranked paragraphs that share ``least`` tokens with the question, in order."""
+def kept_sentences(ranked: DataFrame, sentences: DataFrame, queries: DataFrame, least: float = 1, scorer=X.overlap_score) -> DataFrame:
+    """A pruner: sentences of ranked paragraphs that a column function of question and text scores ``least`` at least, in order."""
     held = ranked.join(sentences.select("pid", "sent", "text"), "pid").join(queries, "qid")
-    kept = held.where(X.overlap_score(F.col("question"), F.col("text")) >= least)
+    kept = held.where(scorer(F.col("question"), F.col("text")) >= least)
     return kept.groupBy("qid", "rank", "pid").agg(F.count("*").alias("n_kept"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent", "text"))), lambda s: s["text"]), " ").alias("kept"))

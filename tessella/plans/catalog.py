@@ -2,8 +2,8 @@
 
 How the tables stand for a retrieval corpus: documents are paragraphs (the source is
 the document around them), benchmark items are questions whose text is the answer to be
-found, embeddings are vectors of units (and, below id 20, of questions), events are
-rows of an evaluation log.
+found, embeddings are vectors of units (those whose id is divisible by 20 also of
+questions), events are rows of an evaluation log.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from tessella.functions import text as X
 from tessella.operators import corpus, entities, graph, metrics, ranking, units
 from tessella.operators.components import connected_components
 from tessella.session import table
+from tessella.sources.io import missing_rows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,7 +47,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).select("qid", F.substring("text", 1, 60).alias("question"))
+    return items(spark, d).select("qid", F.col("text").alias("question"))
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +74,7 @@ raw AS (SELECT pid, title, context, unnest(range(1, len(x) + 1)) AS i, unnest(x)
 off AS (SELECT *, sum(length(piece)) OVER (PARTITION BY pid ORDER BY i) - length(piece) AS b FROM raw),
 cut AS (SELECT pid, title, context, i, CAST(b + length(piece) - length(ltrim(piece, E' \t\n\r')) AS INT) AS s, CAST(b + length(rtrim(piece, E' \t\n\r')) AS INT) AS e FROM off),
 s AS (SELECT pid, title, CAST(row_number() OVER (PARTITION BY pid ORDER BY i) - 1 AS INT) AS sent, s, e, substr(context, s + 1, e - s) AS text FROM cut WHERE e > s)"""
-Q = "q AS (SELECT item_id AS qid, substr(text, 1, 60) AS question FROM benchmark)"
+Q = "q AS (SELECT item_id AS qid, text AS question FROM benchmark)"
 A = "a AS (SELECT item_id AS qid, doc_id AS pid, CAST(instr(d.text, b.text) - 1 AS INT) AS start, b.text AS text, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS INT) AS ord FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 M = S + ", " + A + r""",
 m AS (SELECT a.*, (SELECT min(sent) FROM s WHERE s.pid = a.pid AND s.e > a.start) AS start_sent, (SELECT min(sent) FROM s WHERE s.pid = a.pid AND s.e > a.start + length(a.text) - 1) AS end_sent FROM a),
@@ -82,7 +83,10 @@ STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 TERMS = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN (" + STOP + "))"
 TOKENS = r"list_filter(regexp_split_to_array({t}, '[ \t\n\r]+'), lambda w: w <> '')"
 NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g'), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
-CONCEPT = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({t}), '’', ''''), '''s$', ''), '^(the|a|an)\s+', ''), '[^\p{{L}}\p{{N}}_\s.%$]', ' ', 'g'), '\s+', ' ', 'g'), ' .')"
+_BARE = r"regexp_replace(regexp_replace(trim(replace(lower({t}), '’', ''''), E' \t\n\r'), '''s$', ''), '^(the|a|an)\s+', '')"
+# Two rounds take every thousands comma, as the matches of one overlap.
+_COMMA = r"regexp_replace(%s, '(\d),(\d{{3}})([^\d]|$)', '\1\2\3', 'g')"
+CONCEPT = r"trim(regexp_replace(regexp_replace(%s, '[^\p{{L}}\p{{N}}_\s.%%$]', ' ', 'g'), '\s+', ' ', 'g'), ' .')" % (_COMMA % (_COMMA % _BARE))
 OVERLAP = "len(list_intersect(list_distinct(" + TOKENS.format(t="lower({a})") + "), list_distinct(" + TOKENS.format(t="lower({b})") + ")))"
 COS = "round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 PREFIX = "replace(title, '_', ' ') || ': '"
@@ -135,7 +139,9 @@ def chunk_greedy(spark, d):
     return chunks.select("pid", "chunk", F.size("x").cast("long").alias("n"), F.col("x")[0]["s"].alias("s"), F.element_at("x", -1)["e"].alias("e"))
 
 
-@query()
+@query(rf"""WITH {P}, {A}, f AS (SELECT qid, pid, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: w) AS w, context FROM a JOIN p USING (pid)),
+x AS (SELECT qid, pid, len(w) AS k, '(?is)^(.*?)(' || array_to_string(w, '[^\p{{L}}\p{{N}}_]+') || ').*$' AS re, context FROM f), y AS (SELECT qid, pid, k, length(regexp_extract(context, re, 1)) AS s, length(regexp_extract(context, re, 2)) AS n FROM x)
+SELECT qid, pid, CASE WHEN k > 0 AND n > 0 THEN CAST(s AS INT) END AS s, CASE WHEN k > 0 AND n > 0 THEN CAST(s + n AS INT) END AS e FROM y""")
 def fuzzy_span(spark, d):
     return answers(spark, d).join(paragraphs(spark, d), "pid").select("qid", "pid", corpus.fuzzy_span(F.col("context"), F.col("text")).alias("x")).select("qid", "pid", "x.s", "x.e")
 
@@ -177,18 +183,49 @@ def mapping_stats(spark, d):
     return whole.withColumn("map_rate", F.round(F.col("k") / F.col("n_questions"), 6)).drop("k")
 
 
-@query(f"WITH {P} SELECT substr(sha256(string_agg(sha256(concat(pid, chr(0), {PREFIX}, context)), '' ORDER BY pid)), 1, 16) AS units_key FROM p".replace("concat(pid, chr(0), ", "CAST(pid AS VARCHAR) || chr(0) || ").replace(", context)), ''", " || context), ''"))
+@query(f"""WITH {P}, h AS (SELECT pid, pid >> 16 AS part, sha256(CAST(pid AS VARCHAR) || chr(0) || {PREFIX} || context) AS h FROM p), r AS (SELECT part, sha256(string_agg(h, '' ORDER BY pid)) AS h FROM h GROUP BY part)
+SELECT substr(sha256(string_agg(h, '' ORDER BY part)), 1, 16) AS units_key FROM r""")
 def units_key(spark, d):
     u = units.paragraph_units(paragraphs(spark, d))
     return corpus.units_key(u.select(F.col("pid").alias("uidx"), "uid", F.col("text").alias("search_text")))
 
 
-@query("SELECT event_type, user_id % 4 AS budget, count(*) AS n_left FROM events e WHERE NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'view' AND f.user_id = e.user_id AND f.event_id <> e.event_id AND f.event_id % 50 = 0) GROUP BY 1, 2")
+@query("""WITH done AS (SELECT DISTINCT event_type, user_id % 4 AS budget, user_id FROM events WHERE event_id % 50 = 0)
+SELECT event_type, user_id % 4 AS budget, count(*) AS n_left FROM events e WHERE NOT EXISTS (SELECT 1 FROM done f WHERE f.event_type = e.event_type AND f.budget = e.user_id % 4 AND f.user_id = e.user_id) GROUP BY 1, 2""")
 def resume_anti(spark, d):
-    e = table(spark, d, "events")
-    done = e.where("event_type = 'view' AND event_id % 50 = 0").select("user_id", F.col("event_id").alias("done_id"))
-    left = e.join(done, (e["user_id"] == done["user_id"]) & (e["event_id"] != done["done_id"]), "left_anti")
-    return left.groupBy("event_type", (F.col("user_id") % 4).alias("budget")).agg(F.count("*").alias("n_left"))
+    """Rows whose (method, budget, question) a log does not have yet."""
+    keys = ["event_type", "budget", "user_id"]
+    e = table(spark, d, "events").withColumn("budget", F.col("user_id") % 4)
+    return missing_rows(e, e.where("event_id % 50 = 0"), keys).groupBy("event_type", "budget").agg(F.count("*").alias("n_left"))
+
+
+@query(r"""WITH {SP}, ap AS (SELECT item_id AS ord, doc_id AS idx, d.source AS title, d.text AS whole, b.text AS answer, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) - 1 AS INT) AS i FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+fs AS (SELECT title, whole, min(ord * 1000000 + i) AS first FROM ap GROUP BY title, whole), nu AS (SELECT title, whole, 'm' || lpad(CAST(row_number() OVER (ORDER BY first) - 1 AS VARCHAR), 5, '0') AS mpid FROM fs),
+st AS (SELECT ord, i, idx, mpid, instr(lower(trim(whole, E' \t\n\r')), lower(answer)) - 1 AS folded, instr(trim(whole, E' \t\n\r'), CASE WHEN i = 1 THEN lower(answer) ELSE answer END) - 1 AS plain FROM ap JOIN nu USING (title, whole) WHERE i < 2),
+lo AS (SELECT ord, i, idx, mpid, CASE WHEN plain >= 0 THEN plain ELSE folded END AS start FROM st)
+SELECT ord AS qid, i AS step, mpid AS pid, CAST(start AS INT) AS start, (SELECT min(sent) FROM s WHERE s.pid = lo.idx AND s.e > lo.start) AS sent, CASE WHEN ord % 2 = 0 THEN '2hop' ELSE '3hop' END AS qtype
+FROM lo WHERE ord % 11 <> 0 AND ord NOT IN (SELECT ord FROM lo WHERE start < 0)""".replace("{SP}", S.replace("text AS context FROM documents", r"trim(text, E' \t\n\r') AS context FROM documents")))
+def step_corpus(spark, d):
+    """Questions of one step for each of the first two documents that hold an item, the second in lower case."""
+    held = answers(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.col("source").alias("title"), F.col("text").alias("context")), "pid")
+    rows = held.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("pid").alias("idx"), "title", "context", "text"))).alias("x"))
+    steps = F.transform(F.slice("x", 1, 2), lambda r: F.struct(r["idx"].alias("idx"), F.when(r["ord"] == 1, F.lower(r["text"])).otherwise(r["text"]).alias("answer")))
+    rows = rows.select(F.col("qid").alias("ord"), F.concat(F.when(F.col("qid") % 2 == 0, "2hop__").otherwise("3hop__"), "qid").alias("id"), F.lit("").alias("question"), (F.col("qid") % 11 != 0).alias("answerable"),
+                       F.transform("x", lambda r: F.struct(r["idx"].alias("idx"), r["title"].alias("title"), r["context"].alias("text"))).alias("paragraphs"), steps.alias("steps"))
+    _, found = corpus.step_corpus(rows)
+    each = found.select(F.regexp_extract("id", "[0-9]+$", 0).cast("long").alias("qid"), F.posexplode("answers").alias("step", "a"), "qtype")
+    return each.select("qid", "step", "a.pid", "a.start", "a.sent", "qtype")
+
+
+@query(f"""WITH RECURSIVE {S}, pr AS (SELECT pid, string_agg(text, ' ' ORDER BY sent) FILTER (sent % 2 = 0) AS pruned FROM s GROUP BY pid),
+k(pid, sent, frm, kept) AS (SELECT pid, -1, 1, '' FROM pr UNION ALL SELECT k.pid, s.sent, CASE WHEN instr(substr(pruned, frm), s.text) > 0 THEN frm + instr(substr(pruned, frm), s.text) - 1 + length(s.text) ELSE frm END,
+  CASE WHEN instr(substr(pruned, frm), s.text) > 0 THEN kept || CASE WHEN kept = '' THEN '' ELSE ' ' END || s.text ELSE kept END FROM k JOIN s ON s.pid = k.pid AND s.sent = k.sent + 1 JOIN pr ON pr.pid = k.pid)
+SELECT pid, arg_max(kept, sent) AS kept FROM k GROUP BY pid""")
+def kept_text(spark, d):
+    """Every other sentence, as a pruner would return it, found again in its paragraph."""
+    s = sentences(spark, d)
+    pruned = s.where("sent % 2 = 0").groupBy("pid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent", "text"))), lambda x: x["text"]), " ").alias("pruned"))
+    return corpus.kept_text(paragraphs(spark, d).join(pruned, "pid"))
 
 
 # --- text functions
@@ -199,9 +236,9 @@ def normalize_answer(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.normalize_answer(F.col("text"))).alias("normalized"))
 
 
-@query(f"SELECT doc_id, {CONCEPT.format(t='substr(text, 1, 60)')} AS concept FROM documents")
+@query(f"SELECT doc_id, {CONCEPT.format(t='text')} AS concept FROM documents")
 def concept_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_concept(F.substring("text", 1, 60)).alias("concept"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_concept(F.col("text")).alias("concept"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)*'), lambda n: replace(n, ',', '')))), '|') AS numbers,
@@ -210,9 +247,9 @@ def number_negation_guard(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.numbers(F.col("text")), "|").alias("numbers"), X.negated(F.col("text")).alias("negated"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(substr(text, 1, 200), '\s+'), lambda w: regexp_matches(w, '^\p{Lu}')), lambda w: substr(w, 1, 1)), '') AS acronym FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: regexp_matches(w, '^\p{Lu}')), lambda w: substr(w, 1, 1)), '') AS acronym FROM documents")
 def acronym(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.acronym(F.substring("text", 1, 200)).alias("acronym"))
+    return table(spark, d, "documents").select("doc_id", X.acronym(F.col("text")).alias("acronym"))
 
 
 @query(f"""WITH {S}, w AS (SELECT pid, sent, greatest(s.s - 2, 0) AS a, least(s.e + 2, length(context)) AS b, context FROM s JOIN p USING (pid)), x AS (SELECT *, substr(context, a + 1, b - a) AS t FROM w)
@@ -347,21 +384,21 @@ def bm25_topk(spark, d):
 
 
 def _vector_queries(spark, d):
-    return vectors(spark, d).where("id < 20").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
 def _vector_units(spark, d):
-    return vectors(spark, d).where("id >= 20").select(F.col("id").alias("uidx"), "v")
+    return vectors(spark, d).select(F.col("id").alias("uidx"), "v")
 
 
-DENSE = f"""vq AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 20), vu AS (SELECT vec_id AS uidx, embedding AS v FROM embeddings WHERE vec_id >= 20),
-ds AS (SELECT qid, uidx, {COS.format(a='v', b='q')} AS score FROM vq, vu),
+DENSE = f"""vq AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), vu AS (SELECT vec_id AS uidx, embedding AS v FROM embeddings),
+ds AS (SELECT qid, uidx, {COS.format(a='v', b='q')} AS score FROM vq, vu WHERE qid <> uidx),
 dn AS (SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, uidx) AS INT) AS rank, uidx, score FROM ds) WHERE rank <= 50)"""
 
 
 @query(f"WITH {DENSE} SELECT * FROM dn")
 def dense_topk(spark, d):
-    return ranking.dense(_vector_units(spark, d), _vector_queries(spark, d), 50)
+    return ranking.dense(_vector_units(spark, d), _vector_queries(spark, d), 50, not_own=True)
 
 
 RRF = """fu AS (SELECT qid, uidx, round(sum(w / (60 + rank)), 9) AS score FROM (SELECT qid, uidx, rank, 1.0 AS w FROM bm UNION ALL SELECT qid, uidx, rank, 1.0 FROM dn) GROUP BY qid, uidx),
@@ -373,13 +410,13 @@ def rrf_fuse(spark, d):
     return ranking.rrf([(bm25_topk(spark, d), 1.0), (dense_topk(spark, d), 1.0)])
 
 
-PRIOR = f"""pa AS (SELECT label AS uidx, embedding AS v FROM embeddings WHERE vec_id % 2 = 0 AND vec_id >= 20), px AS (SELECT qid, uidx, max({COS.format(a='v', b='q')}) AS score FROM pa, vq GROUP BY qid, uidx HAVING max({COS.format(a='v', b='q')}) >= 0.2),
+PRIOR = f"""pa AS (SELECT label AS uidx, embedding AS v FROM embeddings), px AS (SELECT qid, uidx, max({COS.format(a='v', b='q')}) AS score FROM pa, vq GROUP BY qid, uidx HAVING max({COS.format(a='v', b='q')}) >= 0.2),
 pr AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, uidx) AS INT) AS rank, CAST(uidx AS BIGINT) AS uidx, score FROM px)"""
 
 
 @query(f"WITH {DENSE}, {PRIOR} SELECT * FROM pr")
 def query_prior(spark, d):
-    past = vectors(spark, d).where("id % 2 = 0 AND id >= 20").select(F.col("grp").cast("long").alias("uidx"), "v")
+    past = vectors(spark, d).select(F.col("grp").cast("long").alias("uidx"), "v")
     return ranking.question_prior(past, _vector_queries(spark, d), 0.2)
 
 
@@ -442,15 +479,15 @@ def pack_overlap(spark, d):
     return ranking.drop_overlaps(ranked)
 
 
-@query(f"""WITH {M}, {Q}, {PACK}, {bm25_sql('su', 'q', 50)}, {PK}, g AS (SELECT a.qid, a.pid, {NORM.format(t='substr(a.text, 1, 40)')} AS gold FROM a WHERE ord = 0),
+@query(f"""WITH {M}, {Q}, {PACK}, {bm25_sql('su', 'q', 50)}, {PK}, g AS (SELECT a.qid, a.pid, {NORM.format(t='a.text')} AS gold FROM a WHERE ord = 0),
 said AS (SELECT qid, budget, pid, {NORM.format(t="string_agg(text, ' ' ORDER BY sent, text)")} AS said FROM pk JOIN s ON s.pid * 100000 + s.sent = pk.uidx WHERE NOT truncated GROUP BY qid, budget, pid)
 SELECT g.qid, b.budget, coalesce(gold <> '' AND contains(said, gold), false) AS located FROM g CROSS JOIN (SELECT unnest({BUDGETS}) AS budget) b LEFT JOIN said ON said.qid = g.qid AND said.budget = b.budget AND said.pid = g.pid""")
 def answer_questions(spark, d):
-    """Flagship: sentences, BM25, packing, and whether the packed sentences hold the answer's beginning."""
+    """Flagship: sentences, BM25, packing, and whether the packed sentences hold the answer."""
     packed, _ = _packed(spark, d)
     texts = sentences(spark, d).select((F.col("pid") * 100000 + F.col("sent")).alias("uidx"), "pid", F.col("sent").alias("pos"), "text")
     parts = packed.where("NOT truncated").join(texts, "uidx").select(F.struct("qid", "budget").alias("key"), "pid", "pos", "text")
-    golds = answers(spark, d).where("ord = 0").select("qid", "pid", F.substring("text", 1, 40).alias("gold"), F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
+    golds = answers(spark, d).where("ord = 0").select("qid", "pid", F.col("text").alias("gold"), F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
     return metrics.answer_located(parts, golds.select(F.struct("qid", "budget").alias("key"), "pid", "gold")).select("key.qid", "key.budget", "located")
 
 

@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.operators import entities, graph, ranking
 from tessella.operators.components import connected_components
-from tessella.plans.catalog import BM, CONCEPT, COS, P, Q, S, TAU, U, _search_units, bm25_topk, items, paragraphs, query, questions, sentences, vectors
-from tessella.session import table
+from tessella.operators.numbering import number_rows
+from tessella.plans import run
+from tessella.plans.catalog import BM, BUDGETS, CONCEPT, COS, OVERLAP, P, PACK, PK, PREFIX, Q, S, TAU, U, _UID, _search_units, bm25_sql, bm25_topk, mapped, paragraphs, query, questions, sentences, vectors
+from tessella.session import materialise, table
 
-MN = f"""{P}, found AS (SELECT pid, title AS article, unnest(list_distinct(regexp_extract_all(context, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS text, 'person' AS grp FROM p
-UNION ALL SELECT pid, title, unnest(list_distinct(regexp_extract_all(context, '[A-Z]{{2,6}}'))), 'org' FROM p UNION ALL SELECT pid, title, unnest(list_distinct(regexp_extract_all(context, '[0-9]{{2,}}'))), 'number' FROM p),
-nm AS (SELECT *, {CONCEPT.format(t='text')} AS norm FROM found),
-mn AS (SELECT *, lpad(CAST(pid AS VARCHAR), 12, '0') || ':' || CAST(row_number() OVER (PARTITION BY pid ORDER BY grp, text) AS VARCHAR) AS mid FROM nm WHERE norm <> '')"""
+_FOUND = " UNION ALL ".join(f"SELECT pid, title AS article, '{label}' AS label, '{X.LABEL_GROUPS[label]}' AS grp, regexp_extract_all(context, '{pattern}') AS x, regexp_split_to_array(context, '{pattern}') AS gaps FROM p" for label, pattern in entities.PATTERNS.items())
+MN = f"""{P}, each AS (SELECT pid, article, label, grp, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS text, unnest(gaps[1:len(x)]) AS gap FROM ({_FOUND})),
+found AS (SELECT pid, article, text, grp, CAST(coalesce(sum(length(gap) + length(text)) OVER (PARTITION BY pid, label ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS INT) AS s FROM each),
+nm AS (SELECT *, s + length(text) AS e, {CONCEPT.format(t='text')} AS norm FROM found),
+mn AS (SELECT *, lpad(CAST(pid AS VARCHAR), 12, '0') || ':' || lpad(CAST(row_number() OVER (PARTITION BY pid ORDER BY s, e, grp) AS VARCHAR), 6, '0') AS mid FROM nm WHERE norm <> '')"""
 
 
 def mention_rows(spark, d):
     return entities.mentions(paragraphs(spark, d))
 
 
-@query(f"WITH {MN} SELECT mid, pid, article, text, grp, norm FROM mn")
+@query(f"WITH {MN} SELECT mid, pid, article, s, CAST(e AS INT) AS e, text, grp, norm FROM mn")
 def mentions(spark, d):
-    return mention_rows(spark, d).select("mid", "pid", "article", "text", "grp", "norm")
+    return mention_rows(spark, d).select("mid", "pid", "article", "s", "e", "text", "grp", "norm")
 
 
 EX = f"{MN}, ex AS (SELECT mid, min(mid) OVER (PARTITION BY norm, grp) AS root FROM mn)"
@@ -33,13 +36,30 @@ def er_exact(spark, d):
     return entities.exact_tier(mention_rows(spark, d))
 
 
-@query(f"""WITH {MN}, f AS (SELECT article, grp, text, min(mid) AS mid, regexp_split_to_array(text, '\\s+') AS w FROM mn GROUP BY article, grp, text),
-sh AS (SELECT * FROM f WHERE len(w) = 1), lo AS (SELECT *, array_to_string(list_transform(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}')), lambda x: substr(x, 1, 1)), '') AS acr FROM f WHERE len(w) > 1),
-c AS (SELECT DISTINCT sh.mid AS short, lo.mid AS long, 'acronym' AS rule FROM sh JOIN lo USING (article) WHERE regexp_matches(sh.text, '^[A-Z]{{2,6}}$') AND sh.text = lo.acr
-UNION SELECT sh.mid, lo.mid, 'word' FROM sh JOIN lo USING (article, grp) WHERE NOT regexp_matches(sh.text, '^[A-Z]{{2,6}}$') AND (sh.text = lo.w[-1] OR (sh.grp = 'person' AND sh.text = lo.w[1])))
-SELECT short, min(long) AS long, min(rule) AS rule FROM c GROUP BY short HAVING count(*) = 1""")
+# Prose has few aliases: lots of four parts have two full names, a last word and initials.
+_INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+AL = f"""{MN}, lots AS (SELECT 1000000000 + p_partkey AS pid, 'lot' || CAST(p_partkey // 4 AS VARCHAR) AS article, 'thing' AS grp,
+CASE p_partkey % 4 WHEN 2 THEN string_split({_INITCAP}, ' ')[-1] WHEN 3 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1])), '') ELSE {_INITCAP} END AS text FROM part),
+am AS (SELECT mid, article, text, grp, norm FROM mn UNION ALL SELECT lpad(CAST(pid AS VARCHAR), 12, '0') || ':000001', article, text, grp, {CONCEPT.format(t='text')} FROM lots)"""
+_UPPER = "text = upper(text) AND text <> lower(text)"
+_ACRONYM = r"array_to_string(list_transform(list_filter(regexp_split_to_array({t}, '\s+'), lambda x: regexp_matches(x, '^\p{{Lu}}')), lambda x: substr(x, 1, 1)), '')"
+
+
+def alias_rows(spark, d):
+    name = F.initcap("p_name")
+    text = F.when(F.col("p_partkey") % 4 == 2, F.element_at(F.split(name, " "), -1)).when(F.col("p_partkey") % 4 == 3, X.acronym(name)).otherwise(name)
+    lots = table(spark, d, "part").select((F.lit(1_000_000_000) + F.col("p_partkey")).alias("pid"), F.concat(F.lit("lot"), F.expr("p_partkey div 4").cast("string")).alias("article"), F.lit(0).alias("s"), text.alias("text"), F.lit("thing").alias("grp"))
+    lots = entities.with_ids(lots.withColumn("e", F.length("text")).withColumn("norm", X.normalize_concept(F.col("text"))))
+    return mention_rows(spark, d).unionByName(lots)
+
+
+@query(f"""WITH {AL}, lo AS (SELECT article, norm, min(mid) AS mid, arg_min(text, mid) AS text, arg_min(grp, mid) AS grp FROM am WHERE norm LIKE '% %' GROUP BY article, norm),
+sh AS (SELECT article, grp, text, norm, min(mid) AS mid, {_UPPER} AND length(text) BETWEEN 2 AND 6 AS short_upper FROM am WHERE norm NOT LIKE '% %' OR ({_UPPER}) GROUP BY article, grp, text, norm),
+c AS (SELECT sh.mid AS short, lo.mid AS long, 'acronym' AS rule FROM sh JOIN lo USING (article) WHERE short_upper AND sh.text = {_ACRONYM.format(t='lo.text')}
+UNION ALL SELECT sh.mid, lo.mid, 'short form' FROM sh JOIN lo USING (article, grp) WHERE NOT short_upper AND grp IN ('person', 'org', 'place', 'group', 'thing') AND (sh.norm = string_split(lo.norm, ' ')[-1] OR (grp = 'person' AND sh.norm = string_split(lo.norm, ' ')[1])))
+SELECT short, min(long) AS long, min(rule) AS rule FROM c GROUP BY short HAVING count(*) = 1 AND short <> min(long)""")
 def er_alias(spark, d):
-    return entities.alias_tier(mention_rows(spark, d))
+    return entities.alias_tier(alias_rows(spark, d))
 
 
 SIM = f"""e AS (SELECT vec_id AS id, label AS grp, embedding AS v FROM embeddings), pc AS (SELECT a.id AS i, b.id AS j, a.grp AS g, b.grp AS h, {COS.format(a='a.v', b='b.v')} AS cos FROM e a, e b WHERE a.id <> b.id),
@@ -55,9 +75,23 @@ def sim_join_topk(spark, d):
     return _pairs(spark, d)
 
 
+_FACTS = "CAST(vec_id % 3 + 10 AS VARCHAR) || CASE WHEN vec_id % 7 = 0 THEN ' not' ELSE ' units' END"
+
+
+def _told(spark, d):
+    """Vectors with a made-up text of a number and perhaps a negation."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.expr(_FACTS.replace("VARCHAR", "STRING")).alias("text"))
+
+
+@query(f"WITH {SIM}, t AS (SELECT vec_id AS id, {_FACTS} AS text FROM embeddings) SELECT i, j, cos FROM sim JOIN t a ON a.id = i JOIN t b ON b.id = j WHERE a.text = b.text OR (regexp_extract(a.text, '[0-9]+') = regexp_extract(b.text, '[0-9]+') AND contains(a.text, 'not') = contains(b.text, 'not'))")
+def er_guarded(spark, d):
+    """Pairs that may merge by meaning: equal numbers, equally negated."""
+    return entities.guarded(_pairs(spark, d), _told(spark, d))
+
+
 @query()
 def er_meaning(spark, d):
-    return entities.meaning_tier(vectors(spark, d), _pairs(spark, d), TAU)
+    return entities.meaning_tier(_told(spark, d), _pairs(spark, d), TAU)
 
 
 @query(f"""WITH RECURSIVE {SIM}, ed AS (SELECT i AS a, j AS b FROM sim UNION SELECT j, i FROM sim), reach(a, b) AS (SELECT a, a FROM ed UNION SELECT r.a, e2.b FROM reach r JOIN ed e2 ON e2.a = r.b)
@@ -78,11 +112,10 @@ def er_hubs(spark, d):
     return er_exact(spark, d).join(mention_rows(spark, d), "mid").groupBy("root").agg(F.countDistinct("pid").alias("paragraphs")).orderBy(F.desc("paragraphs"), "root").limit(15)
 
 
-@query(f"""WITH {MN}, o AS (SELECT mid, pid, instr(context, text) - 1 AS s, length(text) AS k, context FROM mn JOIN p USING (pid))
-SELECT mid, substr(context, CAST(greatest(s - 150, 0) + 1 AS INT), CAST(s + k + 150 - greatest(s - 150, 0) AS INT)) AS around FROM o""")
+@query(f"""WITH {S}, {MN[len(P) + 2:]}, x AS (SELECT mid, pid, mn.s, e, (SELECT min(sent) FROM s WHERE s.pid = mn.pid AND s.e > mn.s) AS sent FROM mn)
+SELECT mid, coalesce(s.text, substr(context, CAST(greatest(x.s - 150, 0) + 1 AS INT), CAST(x.e + 150 - greatest(x.s - 150, 0) AS INT))) AS around FROM x JOIN p USING (pid) LEFT JOIN s ON s.pid = x.pid AND s.sent = x.sent""")
 def mention_context(spark, d):
-    held = mention_rows(spark, d).join(paragraphs(spark, d).select("pid", "context"), "pid").withColumn("s", F.expr("instr(context, text) - 1"))
-    return held.select("mid", F.expr("substring(context, greatest(s - 150, 0) + 1, s + length(text) + 150 - greatest(s - 150, 0))").alias("around"))
+    return entities.contexts(mention_rows(spark, d), paragraphs(spark, d))
 
 
 @query(f"""WITH {MN}, f AS (SELECT norm, grp, pid, min(mid) AS mid FROM mn GROUP BY norm, grp, pid), k AS (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(mid), mid) AS r FROM f),
@@ -92,14 +125,14 @@ def cand_exact(spark, d):
     return entities.exact_candidates(mention_rows(spark, d))
 
 
-@query(f"""WITH {MN}, f AS (SELECT article, grp, text, min(mid) AS mid, regexp_split_to_array(text, '\\s+') AS w FROM mn GROUP BY article, grp, text)
-SELECT DISTINCT a.mid AS short, b.mid AS long FROM f a JOIN f b USING (article, grp) WHERE len(a.w) = 1 AND len(b.w) > 1 AND a.text = b.w[-1]""")
+_FIRST = "(SELECT article, norm, min(mid) AS mid, arg_min(text, mid) AS text, arg_min(grp, mid) AS grp FROM am WHERE {w} GROUP BY article, norm)"
+
+
+@query(f"""WITH {AL}, lo AS {_FIRST.format(w="norm LIKE '% %'")}, sh AS {_FIRST.format(w=f"norm NOT LIKE '% %' OR ({_UPPER})")}
+SELECT DISTINCT sh.mid AS short, lo.mid AS long FROM sh JOIN lo USING (article) WHERE ({_UPPER.replace('text', 'sh.text')} AND length(sh.text) BETWEEN 2 AND 6 AND sh.text = {_ACRONYM.format(t='lo.text')})
+OR (sh.grp = lo.grp AND (sh.norm = string_split(lo.norm, ' ')[-1] OR sh.norm = string_split(lo.norm, ' ')[1]))""")
 def cand_alias(spark, d):
-    w = F.split("text", r"\s+")
-    firsts = mention_rows(spark, d).groupBy("article", "grp", "text").agg(F.min("mid").alias("mid"))
-    short = firsts.where(F.size(w) == 1).select("article", "grp", F.col("text").alias("key"), F.col("mid").alias("short"))
-    long = firsts.where(F.size(w) > 1).select("article", "grp", F.element_at(w, -1).alias("key"), F.col("mid").alias("long"))
-    return short.join(long, ["article", "grp", "key"]).select("short", "long").distinct()
+    return entities.alias_candidates(alias_rows(spark, d))
 
 
 @query(f"WITH {SIM} SELECT i, j, cos, 'embed:' || CAST(least(floor((cos - 0.35) / 0.05), 3) AS INT) AS stratum FROM sim")
@@ -125,15 +158,13 @@ def verdict_score(spark, d):
     return entities.verdict_scores(table(spark, d, "events").select(F.expr(_VERDICT).alias("pred"), F.expr(_TRUTH).alias("gold")))
 
 
-_DATED = "(^|[^a-z0-9_])(1[0-9]{3}|20[0-9]{2})s?([^a-z0-9_]|$)|(^|[^a-z0-9_])[0-9]{1,2}(st|nd|rd|th) century([^a-z0-9_]|$)"
-_RELATIVE = "(^|[^a-z0-9_])(previous|next|following|last|that|this|same|earlier|later|ago|recent)([^a-z0-9_]|$)"
-_MERGES = "CASE WHEN {g} IN ('person', 'org', 'place', 'group', 'thing') THEN true WHEN {g} = 'time' THEN regexp_matches(lower({t}), '" + _DATED + "') AND NOT regexp_matches(lower({t}), '" + _RELATIVE + "') ELSE false END"
+_MERGES = "CASE WHEN {g} IN ('person', 'org', 'place', 'group', 'thing') THEN true WHEN {g} = 'time' THEN regexp_matches(lower({t}), '" + X.DATED + "') AND NOT regexp_matches(lower({t}), '" + X.RELATIVE + "') ELSE false END"
 _GROUP = "CASE doc_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'time' ELSE 'number' END"
 
 
-@query(f"SELECT doc_id, {_MERGES.replace('{g}', _GROUP).replace('{t}', 'substr(text, 1, 200)')} AS merges FROM documents")
+@query(f"SELECT doc_id, {_MERGES.replace('{g}', _GROUP).replace('{t}', 'text')} AS merges FROM documents")
 def merge_by_string(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.merges_by_string(F.substring("text", 1, 200), F.expr(_GROUP)).alias("merges"))
+    return table(spark, d, "documents").select("doc_id", X.merges_by_string(F.col("text"), F.expr(_GROUP)).alias("merges"))
 
 
 _KEY = "CASE WHEN norm NOT LIKE '% %' AND grp IN ('person', 'org', 'thing') THEN {c} ELSE '' END"
@@ -171,11 +202,11 @@ def _holds(spark, d):
     return entities.exact_tier(m).join(m.select("mid", "pid"), "mid").select(F.col("root").alias("concept"), F.col("pid").cast("string").alias("uid"), "pid").distinct()
 
 
-@query(f"""WITH {S}, {EX[len(P) + 2:]}, o AS (SELECT mid, pid, instr(context, text) - 1 AS a FROM mn JOIN p USING (pid))
+@query(f"""WITH {S}, {EX[len(P) + 2:]}, o AS (SELECT mid, pid, s AS a FROM mn)
 SELECT DISTINCT s.pid, s.sent, root AS concept FROM o JOIN ex USING (mid) JOIN s ON s.pid = o.pid AND s.s <= o.a AND o.a < s.e""")
 def mention_edges(spark, d):
     m = mention_rows(spark, d)
-    at = m.join(paragraphs(spark, d).select("pid", "context"), "pid").select("mid", "pid", F.expr("instr(context, text) - 1").alias("a"))
+    at = m.select("mid", "pid", F.col("s").alias("a"))
     held = at.join(sentences(spark, d).select("pid", "sent", "s", "e"), "pid").where("s <= a AND a < e")
     return held.join(entities.exact_tier(m), "mid").select("pid", "sent", F.col("root").alias("concept")).distinct()
 
@@ -221,16 +252,16 @@ def question_concepts(spark, d):
 
 def _pagerank_sql(rounds: int) -> str:
     steps = ", ".join(f"""x{i} AS (SELECT qid, node, sum(x) AS x FROM (SELECT qid, st.b AS node, x * p * 0.5 AS x FROM x{i - 1} n JOIN st ON st.a = n.node UNION ALL SELECT qid, node, x * 0.5 FROM x0) GROUP BY qid, node)""" for i in range(1, rounds + 1))
-    return f"""WITH {SIM}, {REL}, bo AS (SELECT a, b FROM rel UNION ALL SELECT b, a FROM rel), st AS (SELECT a, b, 1.0 / count(*) OVER (PARTITION BY a) AS p FROM bo),
-sd AS (SELECT vec_id AS qid, vec_id AS node, 1.0 AS x FROM embeddings WHERE vec_id < 20 AND vec_id IN (SELECT a FROM bo)), x0 AS (SELECT qid, node, CAST(x AS DOUBLE) AS x FROM sd), {steps} SELECT qid, node, round(x, 8) AS score FROM x{rounds}"""
+    return f"""WITH {SIM}, {REL}, bo AS (SELECT a, b FROM rel UNION ALL SELECT b, a FROM rel), st AS MATERIALIZED (SELECT a, b, 1.0 / count(*) OVER (PARTITION BY a) AS p FROM bo),
+sd AS (SELECT vec_id AS qid, vec_id AS node, 1.0 AS x FROM embeddings WHERE vec_id % 20 = 0 AND vec_id IN (SELECT a FROM bo)), x0 AS MATERIALIZED (SELECT qid, node, CAST(x AS DOUBLE) AS x FROM sd), {steps} SELECT qid, node, round(x, 8) AS score FROM x{rounds}"""
 
 
-@query(_pagerank_sql(10))
+@query(_pagerank_sql(30))
 def ppr_scores(spark, d):
-    edges = related_edges(spark, d).withColumn("w", F.lit(1.0))
-    seeds = vectors(spark, d).where("id < 20").select(F.col("id").alias("qid"), F.col("id").alias("node"), F.lit(1.0).alias("x"))
+    edges = materialise(related_edges(spark, d).withColumn("w", F.lit(1.0)), "related")
+    seeds = vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("id").alias("node"), F.lit(1.0).alias("x"))
     known = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return graph.pagerank(edges, seeds.join(known, "node", "left_semi").select("qid", "node", "x"), rounds=10)
+    return graph.pagerank(edges, seeds.join(known, "node", "left_semi").select("qid", "node", "x"))
 
 
 HOP = f"""{CW}, {Q}, {U}, {BM[BM.index('c AS (SELECT uidx'):]}, sd AS (SELECT qid, CAST(uidx AS VARCHAR) AS uid, uidx AS pid FROM bm WHERE rank <= 3),
@@ -266,23 +297,116 @@ def hop_merge(spark, d):
     return ranking.best(merged, ["qid"], [F.desc("x"), F.col("uid")], 1 << 30).select("qid", "uid", "rank")
 
 
-def _beam(spark, d, least):
-    s = sentences(spark, d).select("pid", "s", F.concat_ws(":", F.format_string("%08d", "pid"), F.format_string("%05d", "sent")).alias("uid"), "text")
-    steps = graph.adjacent(s)
-    moves = steps.unionByName(steps.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    asked = items(spark, d).withColumnRenamed("text", "question")
-    heads = ranking.bm25(_search_units(spark, d), asked, 3).join(asked, "qid").select("qid", "question", F.concat(F.format_string("%08d", "uidx"), F.lit(":00000")).alias("uid"), (1 / F.col("rank")).alias("score"))
-    return graph.beam(s.select("uid", "text"), moves, heads, least=least)
+BEAM_HOLDS = f"""{EX[len(P) + 2:]}, bh AS (SELECT DISTINCT root AS concept, s.pid * 100000 + s.sent AS uidx, s.pid FROM mn JOIN ex USING (mid) JOIN s ON s.pid = mn.pid AND s.s <= mn.s AND mn.s < s.e),
+bw AS (SELECT concept, round(1 / ln(2 + count(DISTINCT pid)), 6) AS weight FROM bh GROUP BY concept HAVING count(DISTINCT pid) <= 50)"""
+
+
+def _beam_sql(flat: bool, width: int = 3, depth: int = 2, candidates: int = 10, top: int = 30) -> str:
+    """The rounds of a beam search written out, over sentences and their concepts."""
+    out = f"""WITH {S}, {Q}, {PACK}, {bm25_sql('su', 'q', 50)}, {BEAM_HOLDS},
+un AS MATERIALIZED (SELECT pid * 100000 + sent AS uidx, pid, s, text, {PREFIX} || text AS search_text FROM s),
+nx AS (SELECT uidx AS a, lead(uidx) OVER (PARTITION BY pid ORDER BY s) AS b FROM un), mv AS MATERIALIZED (SELECT a, b FROM nx WHERE b IS NOT NULL UNION ALL SELECT b, a FROM nx WHERE b IS NOT NULL),
+wh AS MATERIALIZED (SELECT concept, uidx, pid, weight FROM bh JOIN bw USING (concept)), rk AS MATERIALIZED (SELECT qid, rank, uidx FROM bm),
+h0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s0 DESC, uidx DESC) AS r FROM (SELECT qid, uidx, {OVERLAP.format(a='question', b='search_text')} AS s0 FROM rk JOIN un USING (uidx) JOIN q USING (qid) WHERE rank <= {top})),
+st0 AS MATERIALIZED (SELECT qid, question, r AS pos, [uidx] AS path, [pid] AS pids, text AS said, s0 AS score, false AS done FROM h0 JOIN un USING (uidx) JOIN q USING (qid) WHERE r <= {width})"""
+    for i in range(1, depth + 1):
+        st = f"st{i - 1}"
+        floor = f"coalesce((SELECT max(s0) FROM h0 WHERE h0.qid = op{i}.qid AND h0.uidx NOT IN (SELECT unnest(path) FROM {st} t WHERE t.qid = op{i}.qid)), -1)" if flat else "0"
+        out += f""",
+ca{i} AS (SELECT qid, pos, b AS u, 'adjacent' AS kind FROM {st} JOIN mv ON mv.a = path[-1] WHERE NOT done UNION ALL SELECT qid, pos, u, 'concept' FROM (SELECT qid, pos, u, row_number() OVER (PARTITION BY qid, pos ORDER BY w DESC, u) AS k FROM
+  (SELECT qid, pos, y.uidx AS u, round(sum(y.weight), 6) AS w FROM {st} t JOIN wh x ON x.uidx = t.path[-1] JOIN wh y ON y.concept = x.concept WHERE NOT done AND NOT list_contains(pids, y.pid) GROUP BY qid, pos, y.uidx)) WHERE k <= {candidates}),
+op{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY gain DESC, u DESC, kind DESC) AS r FROM (SELECT qid, pos, u, kind, {OVERLAP.format(a="question || ' ' || right(said, 1200)", b='search_text')} AS gain
+  FROM (SELECT qid, pos, u, max(kind) AS kind FROM ca{i} GROUP BY qid, pos, u) JOIN {st} t USING (qid, pos) JOIN un ON un.uidx = u WHERE NOT list_contains(path, u))),
+fl{i} AS (SELECT DISTINCT qid, {floor} AS floor FROM op{i}), sp{i} AS MATERIALIZED (SELECT qid, pos, u, r, gain FROM op{i} JOIN fl{i} USING (qid) WHERE r <= {width} AND gain >= floor),
+gr{i} AS (SELECT qid, question, pos, r, 1 AS late, list_append(path, u) AS path, list_append(pids, un.pid) AS pids, said || ' ' || un.text AS said, score + gain AS score, false AS done FROM sp{i} JOIN {st} USING (qid, pos) JOIN un ON un.uidx = u
+  UNION ALL SELECT qid, question, pos, 0, CASE WHEN EXISTS (SELECT 1 FROM op{i} o WHERE o.qid = t.qid AND o.pos = t.pos) THEN 1 ELSE 0 END, path, pids, said, score, true FROM {st} t WHERE NOT EXISTS (SELECT 1 FROM sp{i} z WHERE z.qid = t.qid AND z.pos = t.pos)),
+st{i} AS MATERIALIZED (SELECT qid, question, p2 AS pos, path, pids, said, score, done FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, late, pos, r) AS p2 FROM gr{i}) WHERE p2 <= {width})"""
+    return out + f""", fin AS (SELECT qid, uidx, min((part * 1000000 + pos) * 1000 + i) AS o FROM (SELECT qid, 0 AS part, pos, unnest(range(0, len(path))) AS i, unnest(path) AS uidx FROM st{depth}
+  UNION ALL SELECT qid, 1, r, 0, uidx FROM h0 UNION ALL SELECT qid, 2, rank, 0, uidx FROM rk) GROUP BY qid, uidx)
+SELECT qid, rank, uidx FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY o) AS INT) AS rank, uidx FROM fin) WHERE rank <= 50"""
+
+
+def _beam(spark, d, stop):
+    s = sentences(spark, d)
+    units = materialise(s.select((F.col("pid") * 100000 + F.col("sent")).alias("uidx"), "pid", "s", "text", F.concat(X.title_prefix(F.col("title")), F.col("text")).alias("search_text")), "beam-units")
+    asked = questions(spark, d)
+    ranked = materialise(ranking.bm25(units, asked, 50).select("qid", "rank", "uidx"), "beam-ranked")
+    holds = mention_edges(spark, d).select("concept", (F.col("pid") * 100000 + F.col("sent")).alias("uidx"))
+    paths, _ = graph.beam(units, ranked, asked, holds, stop=stop)
+    return graph.along_paths(paths, ranked, units, asked, depth=50)
+
+
+@query(_beam_sql(flat=False))
+def beam_traverse(spark, d):
+    """Sentences along paths of neighbours and shared concepts, then the reranked rest."""
+    return _beam(spark, d, "fixed")
+
+
+@query(_beam_sql(flat=True))
+def beam_flat_stop(spark, d):
+    """Steps must score as high as the best reranked sentence outside all paths."""
+    return _beam(spark, d, "flat")
+
+
+# --- methods as a whole
+
+
+def corpus_of(spark, d) -> run.Corpus:
+    """All paragraphs, all questions, and as past ones those whose item stands in a document."""
+    past = mapped(spark, d).join(questions(spark, d), "qid").select("qid", "question", "pid", "ord", "start", F.col("question").alias("text"), F.col("start_sent").alias("sent"))
+    return run.Corpus(paragraphs(spark, d), questions(spark, d), materialise(past, "past"))
+
+
+@query(f"""WITH {S}, {Q}, {PACK}, {bm25_sql('su', 'q', 100)}, {PK} SELECT qid, budget, rank, {_UID.format(x='s.sent')} AS uid, CAST(taken AS BIGINT) AS taken, truncated FROM (SELECT * FROM pk) pk JOIN s ON s.pid * 100000 + s.sent = pk.uidx""".replace(_UID.format(x="s.sent"), _UID.format(x="s.sent").replace("CAST(pid", "CAST(s.pid")))
+def method_b3(spark, d):
+    """The method B3, as its id says: sentences, searched and packed."""
+    return run.run("B3", corpus_of(spark, d), BUDGETS).select("qid", "budget", "rank", "uid", "taken", "truncated")
 
 
 @query()
-def beam_traverse(spark, d):
-    return _beam(spark, d, 0.0)
+def method_runs(spark, d):
+    """Split units reranked, and a beam over sentences that stops where it is flat."""
+    held, out = corpus_of(spark, d), None
+    for method in ("L-k1+R", "T-S-b3-d2-k10-sf"):
+        part = run.run(method, held, BUDGETS).select(F.lit(method).alias("method"), "qid", "budget", "rank", "uid", "taken", "truncated")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# --- the graph as a whole
+
+
+def _judged(spark, d):
+    """Candidates of equal strings with made-up verdicts."""
+    label = F.element_at(F.array(*[F.lit(x) for x in ("SAME", "SAME", "RELATED", "DIFFERENT")]), F.pmod(F.conv(F.substring(F.md5(F.concat("a", "b")), 1, 4), 16, 10).cast("int"), F.lit(4)) + 1)
+    return entities.exact_candidates(mention_rows(spark, d)).select(F.lit("exact").alias("source"), F.lit(1.0).alias("cos"), "a", "b", label.alias("label"))
+
+
+@query(f"""WITH {MN}, f AS (SELECT norm, grp, pid, min(mid) AS mid FROM mn GROUP BY norm, grp, pid), k AS (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(mid), mid) AS r FROM f),
+x AS (SELECT a.norm, a.grp, a.mid AS a, b.mid AS b FROM k a JOIN k b ON a.norm = b.norm AND a.grp = b.grp AND a.mid < b.mid AND a.r <= 4 AND b.r <= 4),
+cd AS (SELECT grp, a, b, ['SAME', 'SAME', 'RELATED', 'DIFFERENT'][CAST('0x' || substr(md5(a || b), 1, 4) AS INT) % 4 + 1] AS label FROM (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(a || '|' || b), a, b) AS r FROM x) WHERE r <= 3),
+ky AS (SELECT mid, norm || chr(0) || grp || CASE WHEN grp IN ('person', 'org', 'thing') AND NOT contains(norm, ' ') THEN chr(0) || article ELSE '' END AS key FROM mn)
+SELECT DISTINCT key FROM ky WHERE mid IN (SELECT unnest([a, b]) FROM cd WHERE label = 'DIFFERENT' AND grp IN ('person', 'org', 'place', 'group', 'thing'))""")
+def graph_vetoes(spark, d):
+    """String groups in which a named pair was judged different."""
+    return _graph(spark, d)["vetoed"]
+
+
+def _graph(spark, d):
+    m = materialise(mention_rows(spark, d), "graph-mentions")
+    u = sentences(spark, d).select("pid", "s", "e", F.concat_ws(":", F.col("pid").cast("string"), F.col("sent").cast("string")).alias("uid"))
+    return graph.build(m, m.where("false").withColumn("grp", F.lit("fragment")), u, _judged(spark, d))
 
 
 @query()
-def beam_flat_stop(spark, d):
-    """Steps must reach three shared tokens; a path without any is done."""
-    return _beam(spark, d, 3.0)
+def graph_edges(spark, d):
+    """All edges of the graph under vetoes and cannot-links."""
+    return _graph(spark, d)["edges"]
 
 
+@query()
+def candidates_all(spark, d):
+    """Every pair to be judged, with contexts: equal strings, aliases, and similar vectors, whose nodes stand for mentions by number."""
+    m = materialise(alias_rows(spark, d), "cand-mentions")
+    some = number_rows(m.select("mid"), [F.col("mid")], "id")
+    return entities.candidates(m, paragraphs(spark, d), vectors(spark, d).join(some, "id"), TAU)

@@ -26,6 +26,13 @@ def split_questions(spark, d):
     return metrics.split_questions(_ids(spark, d))
 
 
+@query(f"WITH {SPLIT} SELECT phase, id FROM sp, (SELECT unnest(['tuning', 'final']) AS phase) WHERE CASE phase WHEN 'tuning' THEN part = 'build' ELSE part IN ('build', 'tuning') END")
+def reference_questions(spark, d):
+    """Past questions that may shape units and priors, while tuning and in the final run."""
+    split = split_questions(spark, d)
+    return metrics.reference_questions(split, "tuning").select(F.lit("tuning").alias("phase"), "id").unionByName(metrics.reference_questions(split, "future").select(F.lit("final").alias("phase"), "id"))
+
+
 @query(f"""WITH {M}, k AS (SELECT DISTINCT pid, sent FROM gold WHERE qid % 2 = 0) SELECT b.item_id AS qid, CASE WHEN g.sent IS NULL THEN 'unmapped' WHEN k.sent IS NOT NULL THEN 'covered' ELSE 'uncovered' END AS bucket
 FROM benchmark b LEFT JOIN gold g ON g.qid = b.item_id LEFT JOIN k ON k.pid = g.pid AND k.sent = g.sent""")
 def overlap_buckets(spark, d):
@@ -44,14 +51,14 @@ def nested_samples(spark, d):
 
 # --- answer metrics
 
-_PRED = "substr(text, 1, 120)"
+_PRED = r"regexp_replace(text, '^\S+\s+', '')"
 F1 = f"""x AS (SELECT item_id AS qid, {TOKENS.format(t=NORM.format(t=_PRED))} AS p, {TOKENS.format(t=NORM.format(t='text'))} AS t FROM benchmark),
 y AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda a: a = w)), len(list_filter(t, lambda a: a = w))))) AS same FROM x)"""
 
 
 @query(f"WITH {F1} SELECT qid, CASE WHEN p = t THEN 1.0 ELSE 0.0 END AS em, round(CASE WHEN len(p) = 0 OR len(t) = 0 THEN CAST(len(p) = len(t) AS INT) ELSE 2.0 * same / (len(p) + len(t)) END, 6) AS f1 FROM y")
 def em_f1(spark, d):
-    guess = F.substring("text", 1, 120)
+    guess = F.regexp_replace("text", r"^\S+\s+", "")
     return items(spark, d).select("qid", metrics.exact_match(guess, F.col("text")).alias("em"), F.round(metrics.token_f1(guess, F.col("text")), 6).alias("f1"))
 
 
@@ -63,10 +70,10 @@ def evidence_hit(spark, d):
     return top.join(said, "qid").select("qid", "rank", F.contains(X.normalize_answer(context), F.col("gold")).alias("hit"))
 
 
-@query(f"WITH {BM} SELECT bm.qid, max(contains(search_text, substr(b.text, 20, 30))) AS hit FROM bm JOIN u USING (uidx) JOIN benchmark b ON b.item_id = bm.qid WHERE rank <= 5 GROUP BY bm.qid")
+@query(f"WITH {BM} SELECT bm.qid, max(contains(search_text, b.text)) AS hit FROM bm JOIN u USING (uidx) JOIN benchmark b ON b.item_id = bm.qid WHERE rank <= 5 GROUP BY bm.qid")
 def answer_in_context(spark, d):
     top = bm25_topk(spark, d).where(F.col("rank") <= 5).join(paragraphs(spark, d).withColumnRenamed("pid", "uidx"), "uidx").join(items(spark, d), "qid")
-    return top.groupBy("qid").agg(F.max(F.contains(F.concat(X.title_prefix(F.col("title")), F.col("context")), F.substring("text", 20, 30))).alias("hit"))
+    return top.groupBy("qid").agg(F.max(F.contains(F.concat(X.title_prefix(F.col("title")), F.col("context")), F.col("text"))).alias("hit"))
 
 
 @query(f"WITH {M}, {Q}, {U}, {bm25_sql('u', 'q', 100)} SELECT a.qid, k AS depth, bool_and(bm.uidx IS NOT NULL) AS located FROM a CROSS JOIN (SELECT unnest([5, 20, 100]) AS k) LEFT JOIN bm ON bm.qid = a.qid AND bm.uidx = a.pid AND bm.rank <= k GROUP BY a.qid, k")
@@ -180,28 +187,70 @@ def cost_summary(spark, d):
 
 # --- parses: a stand-in parser gives every token a head by rule, see operators.parse
 
-TK = rf"""tk AS (SELECT pid, sent, i - 1 AS i, w, CASE WHEN i = 1 THEN 0 ELSE (i - 1) // 2 END AS head FROM (SELECT pid, sent, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS w FROM (SELECT pid, sent, {TOKENS.format(t='text')} AS x FROM s WHERE sent = 0)))"""
+TK = rf"""tk AS (SELECT pid, sent, i - 1 AS i, w, CASE WHEN i = 1 THEN 0 ELSE (i - 1) // 2 END AS head FROM (SELECT pid, sent, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS w FROM (SELECT pid, sent, {TOKENS.format(t='text')} AS x FROM s)))"""
 
 
 @query(f"""WITH RECURSIVE {S}, {TK}, an(pid, sent, i, anc) AS (SELECT pid, sent, i, i FROM tk UNION SELECT an.pid, an.sent, an.i, tk.head FROM an JOIN tk ON tk.pid = an.pid AND tk.sent = an.sent AND tk.i = an.anc)
-SELECT pid, anc AS i, min(an.i) AS lo, max(an.i) AS hi, count(*) AS n FROM an GROUP BY pid, anc""")
+SELECT pid, sent, anc AS i, min(an.i) AS lo, max(an.i) AS hi, count(*) AS n FROM an GROUP BY pid, sent, anc""")
 def parse_subtree_span(spark, d):
-    toks = parse.toy_tokens(sentences(spark, d).where("sent = 0"))
-    return parse.subtree_spans(toks).select("pid", "i", "lo", "hi", "n")
+    toks = parse.toy_tokens(sentences(spark, d))
+    return parse.subtree_spans(toks).select("pid", "sent", "i", "lo", "hi", "n")
 
 
-@query()
+# The stand-in parser in SQL: tokens with head, relation, part of speech and place, and every token's ancestors.
+_RELATIONS = "[" + ", ".join(f"'{x}'" for x in parse.TOY_RELATIONS) + "]"
+TF = rf"""tk AS MATERIALIZED (SELECT pid, sent, i - 1 AS i, w, CASE WHEN i = 1 THEN 0 ELSE (i - 1) // 2 END AS head, CASE WHEN i = 1 THEN 'ROOT' ELSE {_RELATIONS}[(i - 1) % 8 + 1] END AS dep,
+CASE WHEN (i - 1) % 4 <= 1 THEN 'VERB' ELSE 'NOUN' END AS pos, NOT regexp_matches(w, '[\p{{L}}\p{{N}}]') AS punct, sb + coalesce(sum(length(w) + 1) OVER (PARTITION BY pid, sent ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+FROM (SELECT pid, sent, sb, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS w FROM (SELECT pid, sent, s AS sb, {TOKENS.format(t='text')} AS x FROM s))),
+an(pid, sent, i, anc, depth) AS (SELECT pid, sent, i, i, 0 FROM tk UNION ALL SELECT an.pid, an.sent, an.i, tk.head, depth + 1 FROM an JOIN tk ON tk.pid = an.pid AND tk.sent = an.sent AND tk.i = an.anc AND tk.head <> tk.i),
+hd AS (SELECT pid, sent, i AS anc, i = head AS root FROM tk WHERE i = head OR (dep = 'relcl' AND pos = 'VERB'))"""
+
+
+@query(f"""WITH RECURSIVE {S}, {TF}, mi AS (SELECT pid, sent, i, arg_min(anc, depth) AS anc, arg_min(root, depth) AS root FROM an JOIN hd USING (pid, sent, anc) GROUP BY pid, sent, i),
+wo AS (SELECT pid, sent, i, w, anc, root FROM mi JOIN tk USING (pid, sent, i) WHERE NOT punct), sm AS (SELECT pid, sent, anc, count(*) AS n FROM wo GROUP BY pid, sent, anc),
+tp AS (SELECT pid, sent, min(CASE WHEN root THEN anc END) AS top FROM wo GROUP BY pid, sent),
+kp AS (SELECT pid, sent, i, w, CASE WHEN n < 3 AND NOT root THEN coalesce(top, anc) ELSE anc END AS clause FROM wo JOIN sm USING (pid, sent, anc) JOIN tp USING (pid, sent))
+SELECT pid, sent, clause, string_agg(w, ' ' ORDER BY i) AS key FROM kp GROUP BY pid, sent, clause""")
 def clause_keys(spark, d):
     return parse.clause_keys(parse.toy_tokens(sentences(spark, d)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, {TF}, cm(pid, sent, i, anc) AS (SELECT pid, sent, i, i FROM tk UNION ALL SELECT cm.pid, cm.sent, cm.i, tk.head FROM cm JOIN tk ON tk.pid = cm.pid AND tk.sent = cm.sent AND tk.i = cm.anc AND tk.head <> tk.i
+  AND tk.dep IN ('compound', 'amod', 'nummod', 'flat', 'poss', 'npadvmod', 'quantmod')),
+cw AS (SELECT cm.pid, cm.sent, cm.anc AS i, string_agg(w, ' ' ORDER BY cm.i) AS words FROM cm JOIN tk ON tk.pid = cm.pid AND tk.sent = cm.sent AND tk.i = cm.i GROUP BY cm.pid, cm.sent, cm.anc),
+nt AS MATERIALIZED (SELECT pid, sent, i, head, dep, pos, w, words FROM tk JOIN cw USING (pid, sent, i)), ch AS (SELECT * FROM nt WHERE i <> head),
+su AS (SELECT pid, sent, head AS v, arg_min(words, i) AS subject FROM ch WHERE dep IN ('nsubj', 'nsubjpass', 'csubj', 'expl') AND pos <> 'PRON' GROUP BY pid, sent, head),
+ve AS (SELECT v.pid, v.sent, v.i AS v, v.w AS verb, coalesce(subject, CASE WHEN v.dep IN ('relcl', 'acl') THEN up.words END) AS subject FROM nt v LEFT JOIN su ON su.pid = v.pid AND su.sent = v.sent AND su.v = v.i
+  LEFT JOIN nt up ON up.pid = v.pid AND up.sent = v.sent AND up.i = v.head WHERE v.pos IN ('VERB', 'AUX')),
+ob AS (SELECT pid, sent, head AS v, words AS object FROM ch WHERE dep IN ('dobj', 'attr', 'oprd', 'acomp', 'dative')
+  UNION ALL SELECT b.pid, b.sent, b.head, b.w || ' ' || o.words FROM ch b JOIN ch o ON o.pid = b.pid AND o.sent = b.sent AND o.head = b.i AND o.dep = 'pobj' WHERE b.dep IN ('prep', 'agent'))
+SELECT DISTINCT pid, sent, concat_ws(' ', subject, verb, object) AS key FROM ve LEFT JOIN ob USING (pid, sent, v) WHERE object IS NOT NULL OR subject IS NOT NULL""")
+def triple_keys(spark, d):
+    return parse.triples(parse.toy_tokens(sentences(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {M}, {TF}, aw AS (SELECT qid, pid, start AS a, start + length(regexp_extract(text, '^[^ ]*')) AS b FROM a),
+ht AS (SELECT qid, aw.pid, sent, i FROM aw JOIN tk ON tk.pid = aw.pid AND NOT punct AND tk.s < aw.b AND aw.a < tk.s + length(w)),
+one AS (SELECT qid, pid, min(sent) AS sent, count(DISTINCT i) AS k FROM ht GROUP BY qid, pid HAVING min(sent) = max(sent)),
+sh AS (SELECT qid, pid, sent, anc, arg_min(depth, i) AS depth FROM ht JOIN one USING (qid, pid, sent) JOIN an USING (pid, sent, i) GROUP BY qid, pid, sent, anc, k HAVING count(*) = k),
+lc AS (SELECT qid, pid, sent, arg_min(anc, depth) AS lca FROM sh GROUP BY qid, pid, sent),
+cl AS (SELECT qid, lc.pid, lc.sent, arg_min(an.anc, depth) AS top FROM lc JOIN an ON an.pid = lc.pid AND an.sent = lc.sent AND an.i = lca JOIN hd ON hd.pid = an.pid AND hd.sent = an.sent AND hd.anc = an.anc GROUP BY qid, lc.pid, lc.sent),
+re AS (SELECT an.pid, an.sent, an.anc, min(s) AS s, max(s + length(w)) AS e FROM an JOIN tk ON tk.pid = an.pid AND tk.sent = an.sent AND tk.i = an.i WHERE an.pid IN (SELECT pid FROM aw) GROUP BY an.pid, an.sent, an.anc),
+lv AS (SELECT qid, one.pid, 'sentence' AS level, s, e, 0 AS o FROM one JOIN re ON re.pid = one.pid AND re.sent = one.sent AND re.anc = 0
+  UNION ALL SELECT qid, cl.pid, 'clause', s, e, 1 FROM cl JOIN re ON re.pid = cl.pid AND re.sent = cl.sent AND re.anc = top UNION ALL SELECT qid, lc.pid, 'phrase', s, e, 2 FROM lc JOIN re ON re.pid = lc.pid AND re.sent = lc.sent AND re.anc = lca)
+SELECT qid, pid, level, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM (SELECT *, row_number() OVER (PARTITION BY qid, pid, s, e ORDER BY o) AS r FROM lv) WHERE r = 1""")
 def answer_spans(spark, d):
+    """Levels around the first word of each answer: whole answers here run over sentences, which have none."""
     toks = parse.toy_tokens(sentences(spark, d))
-    spans = answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + 12).alias("b"))
+    spans = answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + F.length(F.regexp_extract("text", "^[^ ]*", 0))).alias("b"))
     return parse.answer_spans(toks, spans)
 
 
+@query(f"WITH {M} SELECT qid, pid, CAST(arg_min(start, ord) + length(arg_min(text, ord)) - length(ltrim(arg_min(text, ord), E' \t\n\r')) AS INT) AS s, CAST(arg_min(start, ord) + length(arg_min(rtrim(text, E' \t\n\r'), ord)) AS INT) AS e FROM a GROUP BY qid, pid")
+def question_answer(spark, d):
+    return parse.question_answer(answers(spark, d), paragraphs(spark, d))
+
+
 @query(f"""WITH {M}, v AS (SELECT a.pid, 'phrase' AS level, start AS s, CAST(start + length(a.text) AS INT) AS e, qid FROM a UNION ALL SELECT m.pid, 'sentence', s.s, s.e, qid FROM m JOIN s ON s.pid = m.pid AND s.sent = m.start_sent),
 c AS (SELECT pid, level, s, e, count(DISTINCT qid) AS n FROM v GROUP BY pid, level, s, e) SELECT pid, s, e, level, n FROM (SELECT *, row_number() OVER (PARTITION BY pid, s, e ORDER BY level) AS r FROM c) WHERE r = 1""")
 def extracted_spans(spark, d):
@@ -211,14 +260,14 @@ def extracted_spans(spark, d):
     return parse.extracted_spans(phrases.unionByName(golds), {"sentence": 1, "clause": 1, "phrase": 1})
 
 
-@query(f"""WITH {M}, w AS (SELECT pid, sent, title, text, string_split(text, ',') AS parts FROM s WHERE sent < 3)
+@query(f"""WITH {M}, w AS (SELECT pid, sent, title, text, string_split(text, ',') AS parts FROM s)
 SELECT CAST(pid AS VARCHAR) || ':' || CAST(sent AS VARCHAR) || 's00' AS uid, 'sentence' AS kind, pid, replace(title, '_', ' ') || ': ' || text AS text, pid * 100000 + sent AS target FROM w
 UNION ALL SELECT CAST(pid AS VARCHAR) || ':' || CAST(sent AS VARCHAR) || 'c' || lpad(CAST(j AS VARCHAR), CAST(greatest(2, length(CAST(j AS VARCHAR))) AS INT), '0'), 'clause', pid, replace(title, '_', ' ') || ': ' || key, pid * 100000 + sent
-FROM (SELECT *, unnest(range(0, len(parts))) AS j, unnest(parts) AS key FROM w) WHERE (pid, sent) IN (SELECT pid, sent FROM gold) OR sent = 0""")
+FROM (SELECT *, unnest(range(0, len(parts))) AS j, unnest(parts) AS key FROM w) WHERE (pid, sent) IN (SELECT pid, sent FROM gold)""")
 def build_keys(spark, d):
-    """Keys of the opening sentences; parts between commas stand for parsed clauses."""
-    s = sentences(spark, d).where("sent < 3")
+    """Keys of every sentence, fine ones of the gold sentences; parts between commas stand for parsed clauses."""
+    s = sentences(spark, d)
     u = s.select((F.col("pid") * 100000 + F.col("sent")).alias("uidx"), F.concat_ws(":", F.col("pid").cast("string"), F.col("sent").cast("string")).alias("uid"), "pid", "sent", "title", "text")
     parsed = s.select("pid", "sent", F.lit("clause").alias("type"), F.posexplode(F.split("text", ",")).alias("j", "key"))
-    fine = gold(spark, d).select("pid", "sent").unionByName(s.where("sent = 0").select("pid", "sent")).distinct()
+    fine = gold(spark, d).select("pid", "sent").distinct()
     return parse.build_keys(u, parsed, ["sentence", "clause"], fine)

@@ -33,6 +33,11 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def missing_rows(rows: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the log does not have."""
+    return rows.join(log.select(*keys).distinct(), keys, "left_anti")
+
+
 def append_missing(rows: DataFrame, path: str, keys: list[str], force: bool = False) -> int:
     """Appends rows whose keys the log does not have yet, or writes it anew; returns how many keys it has then."""
     spark = rows.sparkSession
@@ -40,7 +45,7 @@ def append_missing(rows: DataFrame, path: str, keys: list[str], force: bool = Fa
     if force:
         rows.write.mode("overwrite").parquet(path)
     else:
-        rows.dropDuplicates(keys).join(done.select(*keys).distinct(), keys, "left_anti").write.mode("append").parquet(path)
+        missing_rows(rows.dropDuplicates(keys), done, keys).write.mode("append").parquet(path)
     return read_log(spark, path, rows.schema).select(*keys).distinct().count()
 
 
