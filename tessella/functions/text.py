@@ -39,7 +39,7 @@ def sentences(text: Column) -> Column:
 
     def add(acc: Column, piece: Column) -> Column:
         s, e = _trimmed(piece, acc["at"], BLANK)
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(e > s, F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).otherwise(acc["out"]).alias("out"))
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(e > s, F.array_append(acc["out"], F.struct(s.cast("int").alias("s"), e.cast("int").alias("e")))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("out"))
     return F.aggregate(pieces, start, add, lambda acc: acc["out"])

@@ -491,6 +491,12 @@ def answer_questions(spark, d):
     return metrics.answer_located(parts, golds.select(F.struct("qid", "budget").alias("key"), "pid", "gold")).select("key.qid", "key.budget", "located")
 
 
-QUERIES["answer_located"], ORACLES["answer_located"] = answer_questions, ORACLES["answer_questions"]
+@query(f"WITH {BM}, {A} SELECT a.qid, coalesce(bool_or({NORM.format(t='a.text')} <> '' AND contains({NORM.format(t='context')}, {NORM.format(t='a.text')})), false) AS located FROM a LEFT JOIN bm ON bm.qid = a.qid AND bm.uidx = a.pid AND rank <= 5 LEFT JOIN p ON p.pid = bm.uidx WHERE ord = 0 GROUP BY a.qid")
+def answer_located(spark, d):
+    """Does the answer's own paragraph stand among the first five?"""
+    parts = bm25_topk(spark, d).where(F.col("rank") <= 5).join(paragraphs(spark, d).withColumnRenamed("pid", "uidx"), "uidx").select(F.col("qid").alias("key"), F.col("uidx").alias("pid"), F.col("rank").alias("pos"), F.col("context").alias("text"))
+    golds = answers(spark, d).where("ord = 0").select(F.col("qid").alias("key"), "pid", F.col("text").alias("gold"))
+    return metrics.answer_located(parts, golds).select(F.col("key").alias("qid"), "located")
+
 
 from tessella.plans import catalog_graph, catalog_metrics  # noqa: E402,F401  (they register their queries here)

@@ -23,7 +23,7 @@ def rows_of(columns, rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - {"answer_located"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES)))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
