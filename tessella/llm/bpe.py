@@ -210,11 +210,17 @@ def _count_words(pattern: str):
     return run
 
 
+def _kind(tokens: int) -> str:
+    """How ids are held on the way: in two bytes where they fit."""
+    return "<u2" if tokens <= 1 << 16 else "<u4"
+
+
 class Vocabulary:
     """Words with their token ids, found without an object for each but the most frequent: arrays in order of the words' hashes."""
 
     def __init__(self, hashes: np.ndarray, word_ends: np.ndarray, words: bytes, id_ends: np.ndarray, ids: bytes, hot: np.ndarray, tokens: list[bytes]):
         self.hashes, self.word_ends, self.words, self.id_ends, self.ids = hashes, word_ends, words, id_ends, ids
+        self.kind = _kind(len(tokens))
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
         self.hot = {self.word(i): self.coded(i) for i in hot.tolist()}
 
@@ -238,22 +244,26 @@ class Vocabulary:
                 i += 1
             else:
                 if word in self.ranks:
-                    out[k] = self.ranks[word].to_bytes(4, "little")
+                    out[k] = np.array(self.ranks[word], self.kind).tobytes()
                 elif len(word) > FOLD_BYTES:
-                    out[k] = np.array(merge_long(word, self.ranks), "<u4").tobytes()
+                    out[k] = np.array(merge_long(word, self.ranks), self.kind).tobytes()
         return out
 
 
-def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_words(kind: str):
     """A row of packed arrays for each batch of folded words."""
-    for batch in batches:
-        words, ids = batch.column("word").to_pylist(), batch.column("ids")
-        sizes = lambda values: np.fromiter(map(len, values), np.int32, len(values))
-        row = [
-            np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), batch.column("n").to_numpy(), sizes(words), b"".join(words),
-            ids.value_lengths().to_numpy().astype(np.int32), ids.flatten().to_numpy().astype("<u4"),
-        ]
-        yield pa.RecordBatch.from_arrays([pa.array([bytes(x)], pa.binary()) for x in row], names=_PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ids = batch.column("word").to_pylist(), batch.column("ids")
+            sizes = lambda values: np.fromiter(map(len, values), np.int32, len(values))
+            row = [
+                np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), batch.column("n").to_numpy(), sizes(words), b"".join(words),
+                ids.value_lengths().to_numpy().astype(np.int32), ids.flatten().to_numpy().astype(kind),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(x)], pa.binary()) for x in row], names=_PACKED)
+
+    return run
 
 
 _PACKED = ["hashes", "counts", "word_sizes", "words", "id_sizes", "ids"]
@@ -278,7 +288,8 @@ def _in_order(sizes: np.ndarray, blob: bytes, order: np.ndarray, step: int = 1 <
 def vocabulary(words: DataFrame, ranks: dict[bytes, int]):
     """A broadcast of the folded words' packed arrays, and of the tokens; the words (word, n) are bounded in number."""
     folded = words.where(F.octet_length("word") <= FOLD_BYTES).select("word", "n", F.get(fold_words(F.array(_byte_values("word")), ranks), F.lit(0)).alias("ids"))
-    rows = folded.mapInArrow(lean(_pack_words), ", ".join(f"{name} binary" for name in _PACKED)).toArrow()
+    kind = _kind(max(ranks.values()) + 1)
+    rows = folded.mapInArrow(lean(_pack_words(kind)), ", ".join(f"{name} binary" for name in _PACKED)).toArrow()
     parts = []
     for name in _PACKED:
         parts.append(b"".join(rows.column(name).to_pylist()))
@@ -288,7 +299,7 @@ def vocabulary(words: DataFrame, ranks: dict[bytes, int]):
     hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
     order = np.argsort(hashes, kind="stable")
     word_ends, text = _in_order(np.frombuffer(word_sizes, np.int32), text, order)
-    id_ends, ids = _in_order(np.frombuffer(id_sizes, np.int32) * 4, ids, order)
+    id_ends, ids = _in_order(np.frombuffer(id_sizes, np.int32) * np.dtype(kind).itemsize, ids, order)
     hot = np.argsort(-counts[order], kind="stable")[:HOT_WORDS].astype(np.int32)
     return words.sparkSession.sparkContext.broadcast((hashes[order], word_ends, text, id_ends, ids, hot, _tokens(ranks)))
 
@@ -340,7 +351,7 @@ def _decoder(tokens: list[bytes]):
     return lambda ids: b"".join(map(piece, array("I", ids)))
 
 
-def _joined(tokens):
+def _joined(kind: str, tokens):
     """Puts the folded words' ids among the others; with a broadcast of tokens it decodes the whole again, in the same worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +363,9 @@ def _joined(tokens):
                     ends = [0, *places, len(known)]
                     parts = [known[: ends[1]]]
                     for i, ids in enumerate(folded, 1):
-                        parts += [np.array(ids, "<u4").tobytes(), known[ends[i] : ends[i + 1]]]
+                        parts += [np.array(ids, kind).tobytes(), known[ends[i] : ends[i + 1]]]
                     known = b"".join(parts)
-                out.append(known)
+                out.append(np.frombuffer(known, kind).astype("<u4").tobytes())
             columns, names = [batch.column("id"), pa.array(out, pa.binary())], ["id", "ids"]
             if text_of:
                 columns, names = [*columns, pa.array(map(text_of, out), pa.binary())], [*names, "decoded"]
@@ -394,10 +405,12 @@ def encode(
     split = source.mapInArrow(lean(_split_texts(pattern, shared)), T.StructType([
         source.schema["id"], T.StructField("known", T.BinaryType()), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("rare", T.ArrayType(T.ArrayType(T.IntegerType()))),
     ]))
+    # Written, so that no task needs two Python workers, and a lost executor splits no text again.
+    split = materialise(split, "bpe-split", "zstd")
     folded = split.select("id", "known", "places", fold_words(F.col("rare"), ranks).alias("folded"))
     binary = [T.StructField(name, T.BinaryType()) for name in (("ids", "decoded") if decoded else ("ids",))]
     tokens = spark.sparkContext.broadcast(_tokens(ranks)) if decoded else None
-    joined = folded.mapInArrow(lean(_joined(tokens)), T.StructType([source.schema["id"], *binary]))
+    joined = folded.mapInArrow(lean(_joined(_kind(max(ranks.values()) + 1), tokens)), T.StructType([source.schema["id"], *binary]))
     return joined.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 

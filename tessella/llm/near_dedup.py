@@ -236,10 +236,13 @@ def _likely(table):
 
 
 def _rows_of(frame: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``frame`` with one of the ids, and perhaps others; the others go before anything is shuffled."""
+    """Rows of ``frame`` with one of the ids, and perhaps others; the others go before anything is shuffled.
+
+    The rows are written, so that no task needs two Python workers.
+    """
     shared = frame.sparkSession.sparkContext.broadcast(_slots(ids))
     slotted = frame.withColumn("s", _slot("id"))
-    return slotted.mapInArrow(lean(_likely(shared)), slotted.schema).drop("s")
+    return materialise(slotted.mapInArrow(lean(_likely(shared)), slotted.schema).drop("s"), "dedup-likely")
 
 
 def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -249,7 +252,7 @@ def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     slotted = source.where("id IS NOT NULL").withColumn("s", _slot("id"))
     make, likely = _sets(shingle), _likely(shared)
     if np.bitwise_count(table.view(np.uint64)).sum() > _SLOT_WORDS * 4:
-        found = slotted.mapInArrow(lean(likely), slotted.schema).join(ids, "id", "left_semi").mapInArrow(lean(make), "id long, packed binary")
+        found = materialise(slotted.mapInArrow(lean(likely), slotted.schema).drop("s"), "dedup-likely").join(ids, "id", "left_semi").mapInArrow(lean(make), "id long, packed binary")
     else:
         # A few sets that nobody asks for do no harm, and cost less than a shuffle of the texts.
         found = slotted.mapInArrow(lean(lambda batches: make(likely(batches))), "id long, packed binary")
