@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.session import materialise
+from tessella.session import discard, materialise
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
-        state = seen
-        current = materialise(_stars(current), "components")
+        state, before = seen, current
+        current = materialise(_stars(before), "components")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

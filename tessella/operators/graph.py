@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tessella.functions import text as X
 from tessella.operators.components import connected_components
 from tessella.operators.numbering import number_rows
-from tessella.session import materialise
+from tessella.session import discard, materialise
 
 
 def concept_nodes(mentions: DataFrame, roots: DataFrame, most: int = 8) -> DataFrame:
@@ -139,12 +139,15 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5, rounds: int
     step = materialise(both.join(both.groupBy("a").agg(F.sum("w").alias("d")), "a").select("a", "b", (F.col("w") / F.col("d")).alias("p")), "pagerank-step")
     start = seeds.groupBy("qid").agg(F.sum("x").alias("t")).join(seeds, "qid").select("qid", "node", (F.col("x") / F.col("t")).alias("x"))
     start = materialise(start, "pagerank-start")
-    now = start
+    now, held = start, None
     for i in range(1, rounds + 1):
         moved = now.join(step, now["node"] == step["a"]).select("qid", F.col("b").alias("node"), (F.col("x") * F.col("p") * (1 - alpha)).alias("x"))
         now = moved.unionByName(start.select("qid", "node", (F.col("x") * alpha).alias("x"))).groupBy("qid", "node").agg(F.sum("x").alias("x"))
         if i % every == 0 and i < rounds:
-            now = materialise(now, "pagerank")
+            now, before = materialise(now, "pagerank"), held
+            held = now
+            if before is not None:
+                discard(before)
     return now.select("qid", "node", F.round("x", 8).alias("score"))
 
 

@@ -11,10 +11,12 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar, Token
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, bool] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _owner: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 #: Rows of whole texts that a Python worker holds at once.
 BATCH_ROWS = 500
@@ -100,8 +102,7 @@ class Scratch:
 
     def clear(self, spark: SparkSession) -> None:
         for path in self.paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(spark, path)
         self.paths.clear()
 
 
@@ -127,7 +128,23 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that ``materialise`` gave and nothing reads any more."""
+    for frame in frames:
+        path, owner = _paths.pop(frame), _owner.get()
+        _delete(frame.sparkSession, path)
+        if owner is not None and path in owner.paths:
+            owner.paths.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
