@@ -23,8 +23,8 @@
    full sets: 100 * intersection >= percent * union. Components of confirmed links are
    the groups of near duplicates.
 
-A pair at similarity 0.8 collides in fewer than 28 of 64 coordinates about three times
-in 10^11; that is the only way to miss a link. Members of a list of more than ``FREQUENT``
+A pair at similarity 0.8 collides in fewer than 33 of 64 coordinates about eight times
+in 10^8; that is the only way to miss a link. Members of a list of more than ``FREQUENT``
 are compared with its pivot whatever their signatures say, which can only find more.
 
 Tables written on the way, each once:
@@ -50,10 +50,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.llm._words import SPACED, as_bytes, chunks, mix, rolling, scan
 from tessella.operators.components import connected_components
-from tessella.session import lean, materialise, ship
+from tessella.session import discard, lean, materialise, ship
 
 COORDINATES = 64
-MATCHES = 28
+MATCHES = 33
 
 _rng = np.random.default_rng(64_0_8)
 _MULT = _rng.integers(0, 2**64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -119,8 +119,10 @@ def _sets(size: int):
 
 #: Lists of a pivot with more members are compared with it on full sets without exception.
 FREQUENT = 64
-#: Parts that the members of a pivot are dealt to where they meet what is known of it.
+#: Parts that the members of a large pivot are dealt to where they meet what is known of it; a pivot is large from so
+#: many members on, and has a ten-thousandth of all at least, so that large ones are at most 10,000.
 SPREAD = 32
+LARGE = 1000
 
 #: 64-bit masks of frequent edits that a member carries.
 MASKS = 8
@@ -166,7 +168,9 @@ class _Linker:
         y = sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         # a is the pivot of many pairs: its set goes first, as equal neighbours shrink in the shuffle.
         full = enough.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return materialise(full.mapInArrow(lean(_compare(self.percent, edits)), _COMPARED), "dedup-compared")
+        out = materialise(full.mapInArrow(lean(_compare(self.percent, edits)), _COMPARED), "dedup-compared")
+        discard(pairs, posted, enough, sets)
+        return out
 
 
 def near_duplicates(
@@ -196,12 +200,15 @@ def near_duplicates(
     frequent = around.groupBy("pivot").agg((F.count("*") > FREQUENT).alias("sure"))
     stars = around.where("id <> pivot").join(frequent, "pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sure")
     first = linker.compared(stars, edits=True)
-    links = first.where("linked").select("a", "b")
-    members, edits = _unresolved(around, first, links, classes.select("id", "n"), percent)
-    stars = linker.compared(_edit_stars(members, edits, percent))
+    links = materialise(first.where("linked").select("a", "b"), "dedup-links")
+    pivots = _Pivots(around)
+    members, edits = _unresolved(pivots, around, first, links, classes.select("id", "n"), percent)
+    discard(first, around)
+    stars = linker.compared(_edit_stars(pivots, members, edits, percent))
     links = links.unionByName(stars.where("linked").select("a", "b"))
-    rest = linker.compared(_across(members, edits, links, percent))
+    rest = linker.compared(_across(pivots, members, edits, links, percent))
     links = links.unionByName(rest.where("linked").select("a", "b"))
+    discard(members, edits, linker.sets, posted)
 
     components = materialise(connected_components(links), "dedup-components")
     named = classes.select("f1", "f2", "n", F.col("id").alias("node")).join(components, "node", "left").select(
@@ -259,19 +266,29 @@ def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return materialise(found, "dedup-sets")
 
 
-def _of_pivot(frame: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
-    """frame (pivot, id, ...) with what is known of each pivot (a row a pivot): a pivot's members are dealt to many tasks."""
-    dealt = known.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return frame.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(dealt, ["pivot", "_deal"], how).drop("_deal")
+class _Pivots:
+    """Joins what is known of pivots, a row a pivot, to their members; members of a large pivot are dealt to many tasks."""
 
+    def __init__(self, around: DataFrame):
+        least = max(LARGE, around.count() // 10_000)
+        large = around.groupBy("pivot").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("pivot", F.lit(True).alias("_large"))
+        self.large = F.broadcast(materialise(large, "dedup-large"))
 
-def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    def join(self, frame: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+        """frame (pivot, id, ...)."""
+        deal = F.when(F.col("_large"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).otherwise(0)
+        deals = F.explode(F.when(F.col("_large"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+        dealt = lambda rows, column: rows.join(self.large, "pivot", "left").withColumn("_deal", column).drop("_large")
+        return dealt(frame, deal).join(dealt(known, deals), ["pivot", "_deal"], how).drop("_deal")
+
+
+def _unresolved(pivots: _Pivots, around: DataFrame, first: DataFrame, links: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members of pivots whose members are in several components, and the edits of those members."""
     components = materialise(connected_components(links), "dedup-components")
     named = around.join(components.withColumnRenamed("node", "id"), "id", "left").select("pivot", "id", F.coalesce("component", "id").alias("c"))
     parted = named.groupBy("pivot").agg(F.count("*").alias("k"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y AND k > 2").select("pivot")
     # The pivot itself has been compared with all.
-    held = _of_pivot(named, parted, "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    held = pivots.join(named, parted, "left_semi").where("id <> pivot").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
     held = held.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.size("edits").alias("k"), "edits"), ["pivot", "id"], "left")
     held = materialise(held, "dedup-parted")
     edits = held.where("k IS NOT NULL").select("pivot", "id", "c", "n", "k", F.explode("edits").alias("h"))
@@ -288,7 +305,9 @@ def _unresolved(around: DataFrame, first: DataFrame, links: DataFrame, sizes: Da
     # No partner needs fewer shared edits of a member than this, see _need, so the frequent ones below that rank are skipped.
     least = F.col("k") - F.col("n") * (100 - percent) / percent
     edits = edits.withColumn("usable", F.count("*").over(own)).where((F.col("usable") >= least) & (F.col("rank") >= least)).drop("bit", "df", "usable")
-    return held.drop("edits"), materialise(edits, "dedup-edits")
+    members, edits = materialise(held.drop("edits"), "dedup-members"), materialise(edits, "dedup-edits")
+    discard(held, common, hot)
+    return members, edits
 
 
 def _second(frame: DataFrame) -> DataFrame:
@@ -318,39 +337,39 @@ def _main(members: DataFrame) -> DataFrame:
     return members.groupBy("pivot", "c").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
 
 
-def _edit_stars(members: DataFrame, edits: DataFrame, percent: int) -> DataFrame:
+def _edit_stars(pivots: _Pivots, members: DataFrame, edits: DataFrame, percent: int) -> DataFrame:
     """Of each list of an edit, two members against all others: two rows a posting at most.
 
     They are the most central one outside the main component, around which a family of
     its own may stand, and the one of fewest edits, which is nearest to all others.
     """
     columns = ["id", "c", "n", "k", "rare", *[f"m{i}" for i in range(MASKS)]]
-    heads = _of_pivot(edits, _main(members)).where("c <> main").groupBy("pivot", "h").agg(F.max_by(F.struct(*columns), F.struct("central", "id")).alias("head"))
+    heads = pivots.join(edits, _main(members)).where("c <> main").groupBy("pivot", "h").agg(F.max_by(F.struct(*columns), F.struct("central", "id")).alias("head"))
     heads = heads.unionByName(edits.groupBy("pivot", "h").agg(F.min_by(F.struct(*columns), F.struct("k", "id")).alias("head")))
     heads = heads.select("pivot", "h", *[F.col(f"head.{c}").alias(f"{c}2") for c in columns])
     need = _need(percent)
     return _pairs(edits.join(heads, ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (_shared() >= need)))
 
 
-def _across(members: DataFrame, edits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _across(pivots: _Pivots, members: DataFrame, edits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Pairs of members that are still in different components and may be links."""
     components = materialise(connected_components(links), "dedup-components").withColumnRenamed("node", "id")
     again = lambda frame: frame.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     members, edits = materialise(again(members), "dedup-members"), again(edits)
     parted = materialise(members.groupBy("pivot").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("pivot"), "dedup-parted")
     main, need = materialise(_main(members), "dedup-main"), _need(percent)
-    outside = lambda frame: _of_pivot(frame, main).where("c <> main").drop("main")
-    members = materialise(_of_pivot(members, parted, "left_semi"), "dedup-members")
-    edits = materialise(_of_pivot(edits, parted, "left_semi"), "dedup-edits")
+    outside = lambda frame: pivots.join(frame, main).where("c <> main").drop("main")
+    members = materialise(pivots.join(members, parted, "left_semi"), "dedup-members")
+    edits = materialise(pivots.join(edits, parted, "left_semi"), "dedup-edits")
     # Only lists of at most FREQUENT members have any that were not compared with their pivot.
     small = members.where("k IS NULL").select("pivot").distinct()
     few = materialise(members.join(small, "pivot", "left_semi"), "dedup-few")
     unknown = outside(few).join(_second(few), "pivot").where(_apart(percent) & need.isNull())
     far = outside(edits).join(_second(edits), ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need) & (_shared() >= need))
-    return _pairs(unknown.select("id", "id2").unionByName(far.select("id", "id2"))).unionByName(_pairs(_certain(members, percent), sure=True))
+    return _pairs(unknown.select("id", "id2").unionByName(far.select("id", "id2"))).unionByName(_pairs(_certain(pivots, members, percent), sure=True))
 
 
-def _certain(members: DataFrame, percent: int) -> DataFrame:
+def _certain(pivots: _Pivots, members: DataFrame, percent: int) -> DataFrame:
     """Pairs around each pivot's member with the most room for edits that are links by their sizes alone.
 
     Two members are a link whatever they share if the room of both is not negative in
@@ -360,7 +379,7 @@ def _certain(members: DataFrame, percent: int) -> DataFrame:
     room = F.col("n") * (100 - percent) - F.col("k") * (100 + percent)
     roomy = members.where("k IS NOT NULL").withColumn("room", room)
     centre = roomy.groupBy("pivot").agg(F.max_by(F.struct(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("room").alias("room2")), F.struct("room", "id")).alias("x")).select("pivot", "x.*")
-    return _of_pivot(roomy, centre).where("room + room2 >= 0 AND c <> c2").select("id", "id2")
+    return pivots.join(roomy, centre).where("room + room2 >= 0 AND c <> c2").select("id", "id2")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
