@@ -9,6 +9,11 @@ the network finds most probable; queries go to their most probable parts, and al
 vectors there are reranked by the exact inner product in double precision: first those
 of the most probable part, then those of the others that reach the score of the k-th.
 
+A part of more than ``leaf_rows`` vectors is cut again in the same way, by a network of its
+own that is fitted in a task on a bounded sample of the part, level by level, so that
+parts do not grow with the table; a query goes on to the most probable parts of each part
+that it reached.
+
 Parts and the queries sent to them are dealt into blocks of bounded size, so no task
 holds a part. Of vectors that are equal bit for bit, only the smallest ids can be among
 the nearest, so a block reranks each distinct vector once. A query that found fewer
@@ -22,6 +27,7 @@ repeated rows are candidates of their own. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +38,13 @@ from tessella.session import lean, materialise, ship
 
 #: Vectors that the parts and the network are fitted on at most.
 SAMPLE_ROWS = 8192
+#: Parts that one network tells apart at most, and vectors that a part is meant to have.
 MAX_PARTS = 128
 PART_ROWS = 2048
+#: Vectors from which a part is cut again.
+LEAF_ROWS = 1 << 16
+#: Cells whose numbers of blocks are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 MEMBER_BLOCK = 8192
 QUERY_BLOCK = 2048
 WANTED_RECALL = 0.97
@@ -197,8 +208,66 @@ def usable(vector: Column, dim: int | None = None) -> Column:
     return F.coalesce(whole if dim is None else whole & (F.size(vector) == dim), F.lit(False))
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+
+
+_ROUTERS = "cell string, router binary"
+
+
+def _fit_cell(part_rows: int, k: int, wanted: float):
+    def run(key, sample):
+        x = _matrix(sample.column("packed"))
+        parts = max(2, min(MAX_PARTS, int(sample.column("n")[0].as_py()) // part_rows, len(x) // 16))
+        router, probes = fit(x, parts, k, wanted)
+        return pa.table({"cell": [key[0].as_py()], "router": [pickle.dumps((router.weights, probes))]})
+
+    return run
+
+
+def _send(all_probes: bool):
+    """Rows of a cell to the most probable cell within it, or to as many as a query probes."""
+
+    def run(rows: pa.Table, routers: pa.Table) -> pa.Table:
+        out = {"id": [], "cell": [], "place": [], "packed": []}
+        if rows.num_rows and routers.num_rows:
+            weights, probes = pickle.loads(routers.column("router")[0].as_py())
+            order = np.argsort(-Router(weights).logits(_matrix(rows.column("packed"))), axis=1, kind="stable")[:, : probes if all_probes else 1]
+            for i, cell, place, packed, parts in zip(*(rows.column(c).to_pylist() for c in ("id", "cell", "place", "packed")), order.tolist()):
+                for r, p in enumerate(parts):
+                    out["id"].append(i)
+                    out["cell"].append(f"{cell}.{p}")
+                    out["place"].append(place * MAX_PARTS + r)
+                    out["packed"].append(packed)
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "cell": pa.array(out["cell"], pa.string()), "place": pa.array(out["place"], pa.int64()), "packed": pa.array(out["packed"], pa.binary())})
+
+    return run
+
+
+_SENT = "id long, cell string, place long, packed binary"
+
+
+def _cut_again(members: DataFrame, asked: DataFrame, leaf_rows: int, part_rows: int, sample_rows: int, k: int, wanted: float) -> tuple[DataFrame, DataFrame, bool]:
+    """members and asked (id, cell, place, packed) with the cells above leaf_rows cut; whether any was."""
+    large = materialise(members.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows).withColumn("deals", F.ceil(F.col("n") / MEMBER_BLOCK).cast("int")), "ann-large")
+    if not large.limit(1).count():
+        return members, asked, False
+    held = members.join(large, "cell").withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))).where(F.col("rank") <= sample_rows)
+    routers = materialise(held.select("cell", "n", "packed").groupBy("cell").applyInArrow(_fit_cell(part_rows, k, wanted), _ROUTERS), "ann-routers")
+    dealt = routers.join(large, "cell").select("cell", "router", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+
+    def sent(rows: DataFrame, all_probes: bool) -> DataFrame:
+        placed = rows.join(large.select("cell", "deals"), "cell").withColumn("deal", F.pmod(F.xxhash64("id"), "deals").cast("int")).drop("deals")
+        again = placed.groupBy("cell", "deal").cogroup(dealt.groupBy("cell", "deal")).applyInArrow(_send(all_probes), _SENT)
+        return materialise(rows.join(large, "cell", "left_anti").select("id", "cell", "place", "packed").unionByName(again), "ann-sent")
+
+    return sent(members, False), sent(asked, True), True
+
+
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, parts: int | None = None, wanted: float = WANTED_RECALL,
+    vectors: DataFrame, is_query: Column, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, parts: int | None = None,
+    wanted: float = WANTED_RECALL, leaf_rows: int = LEAF_ROWS, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of every query (rows where is_query) among all other rows."""
     spark = vectors.sparkSession
@@ -211,7 +280,7 @@ def search(
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
     sample = sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, sizes.dim)
     if parts is None:
-        parts = max(2 if len(sample) >= 128 else 1, min(MAX_PARTS, sizes.n // PART_ROWS, len(sample) // 64))
+        parts = max(2 if len(sample) >= 128 else 1, min(MAX_PARTS, sizes.n // part_rows, len(sample) // 64))
     router, probes = fit(sample, parts, k, wanted)
     shared = spark.sparkContext.broadcast((router.weights, probes))
 
@@ -219,45 +288,49 @@ def search(
         weights, n_probes = shared.value
         for batch in batches:
             x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            logits = Router(weights).logits(x)
-            order = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
+            order = np.argsort(-Router(weights).logits(x), axis=1, kind="stable")
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            goes = [o[:n_probes] if a else None for o, a in zip(order, asks)]
+            goes = [list(map(str, o[:n_probes].tolist())) if a else None for o, a in zip(order, asks)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(order[:, 0], pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(goes, pa.list_(pa.int32())),
-            ], names=["id", "part", "packed", "goes"])
+                batch.column("id"), pa.array(list(map(str, order[:, 0].tolist())), pa.string()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(goes, pa.list_(pa.string())),
+            ], names=["id", "cell", "packed", "goes"])
 
-    placed = materialise(rows.mapInArrow(lean(place), "id long, part int, packed binary, goes array<int>"), "ann-placed")
+    placed = materialise(rows.mapInArrow(lean(place), "id long, cell string, packed binary, goes array<string>"), "ann-placed")
+    members = placed.select("id", "cell", F.lit(0).cast("long").alias("place"), "packed")
+    asking = materialise(placed.where("goes IS NOT NULL").dropDuplicates(["id"]), "ann-asking")
+    asked = asking.select("id", "packed", F.posexplode("goes").alias("place", "cell")).select("id", "cell", F.col("place").cast("long").alias("place"), "packed")
+    cut = True
+    while cut:
+        members, asked, cut = _cut_again(members, asked, leaf_rows, part_rows, sample_rows, k, wanted)
 
     def nearest(queries: DataFrame) -> DataFrame:
-        """queries: id, packed, part to probe, floor (least score of interest)."""
+        """queries: id, packed, cell to probe, floor (least score of interest)."""
         queries = materialise(queries, "ann-asked")
-        q_blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs"))
-        m_blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("ms"))
-        blocks = F.broadcast(m_blocks.join(q_blocks, "part"))  # a row for each part, MAX_PARTS at most
+        q_blocks = queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qs"))
+        m_blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / MEMBER_BLOCK).cast("int").alias("ms"))
+        blocks = materialise(m_blocks.join(q_blocks, "cell"), "ann-blocks")
+        blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_CELLS else blocks
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        asked = queries.join(blocks, "part").select("id", "packed", "floor", "part", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"), each("ms").alias("m"))
-        members = placed.join(blocks, "part").select("id", "packed", "part", F.pmod(F.xxhash64("id"), "ms").cast("int").alias("m"), each("qs").alias("q"))
-        keys = ["part", "q", "m"]
-        found = asked.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(_rerank(k), _FOUND)
-        return found
+        sent = queries.join(blocks, "cell").select("id", "packed", "floor", "cell", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"), each("ms").alias("m"))
+        held = members.join(blocks, "cell").select("id", "packed", "cell", F.pmod(F.xxhash64("id"), "ms").cast("int").alias("m"), each("qs").alias("q"))
+        keys = ["cell", "q", "m"]
+        return sent.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_rerank(k), _FOUND)
 
     def ranked(found: DataFrame) -> DataFrame:
         best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     anything = F.lit(float("-inf"))
-    asking = placed.where("goes IS NOT NULL").dropDuplicates(["id"])
-    found = materialise(ranked(nearest(asking.select("id", "packed", F.col("goes")[0].alias("part"), anything.alias("floor")))), "ann-first")
-    if probes > 1:
-        floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-        others = asking.join(floors, "id", "left").select("id", "packed", F.explode(F.slice("goes", 2, probes)).alias("part"), F.coalesce("least", anything).alias("floor"))
-        found = materialise(ranked(found.drop("rank").unionByName(nearest(others))), "ann-found")
-    if probes < parts:
-        short = asking.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-        if short.limit(1).count():
-            again = ranked(nearest(short.select("id", "packed", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), anything.alias("floor"))))
-            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    found = materialise(ranked(nearest(asked.where("place = 0").select("id", "packed", "cell", anything.alias("floor")))), "ann-first")
+    floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    others = asked.where("place > 0").join(floors, "id", "left").select("id", "packed", "cell", F.coalesce("least", anything).alias("floor"))
+    found = materialise(ranked(found.drop("rank").unionByName(nearest(others))), "ann-found")
+    cells = members.select("cell").distinct()
+    short = asking.select("id", "packed").join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    # Each goes to all cells; fewer than k found is the exception, or the whole table has no more.
+    if short.limit(1).count():
+        again = ranked(nearest(short.crossJoin(cells).select("id", "packed", "cell", anything.alias("floor"))))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found
 
 

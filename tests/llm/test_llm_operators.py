@@ -425,3 +425,19 @@ def test_co_training_hands_over_what_a_view_is_sure_of():
 def test_quality_combination_is_monotone(spark, judged):
     model = quality.learn(*judged)
     assert model.curves[:, 1].min() >= 0 and model.blend[1:].min() >= 0
+
+
+def test_ann_parts_are_cut_again(spark):
+    """Clustered vectors in two levels: what is probed is a small share, and what is found nearly all."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12)) * 3
+    x = [(i, (centres[i % 40] + 0.3 * rng.normal(size=12)).tolist()) for i in range(4000)]
+    frame = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, parts=4, leaf_rows=500, part_rows=150, wanted=0.97).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    m = np.array([v for _, v in x])
+    hit = sum(len(found & set(np.argsort(-(m @ m[q]) + np.where(np.arange(len(m)) == q, np.inf, 0), kind="stable")[:20].tolist())) for q, found in got.items())
+    assert set(got) == set(range(0, 4000, 20)) and hit >= 0.93 * 20 * len(got)
+    router, probes = ann.fit(m[rng.permutation(4000)[:2000]], 20, 20)
+    assert probes <= 6  # of 20 parts
