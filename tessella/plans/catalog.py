@@ -357,12 +357,32 @@ def _evidence(spark, d):
     return answers(spark, d).select("pid", "qid", "ord", F.col("start").cast("int").alias("s"), (F.col("start") + F.length("text")).cast("int").alias("e"))
 
 
-@query()
+# Spans join groups, and groups are locked, in order: each paragraph is walked by recursion.
+_OVERLAPS = "(least(x.e, ev.e) - greatest(x.s, ev.s)) >= 0.7 * (greatest(x.e, ev.e) - least(x.s, ev.s))"
+EVIDENCE = f"""ev AS (SELECT pid, qid, CAST(start AS INT) AS s, CAST(start + length(text) AS INT) AS e, row_number() OVER (PARTITION BY pid ORDER BY qid, ord) AS k FROM a),
+gr(pid, k, gs, g, qid) AS (SELECT pid, 1::BIGINT, [{{'s': s, 'e': e}}], 0, qid FROM ev WHERE k = 1
+  UNION ALL SELECT pid, k, CASE WHEN hit > 0 THEN gs ELSE list_append(gs, {{'s': s, 'e': e}}) END, CAST(CASE WHEN hit > 0 THEN hit - 1 ELSE len(gs) END AS INT), qid
+  FROM (SELECT ev.*, gr.gs, coalesce(list_position(list_transform(gr.gs, lambda x: {_OVERLAPS}), true), 0) AS hit FROM gr JOIN ev ON ev.pid = gr.pid AND ev.k = gr.k + 1)),
+la AS (SELECT pid, arg_max(gs, k) AS gs FROM gr GROUP BY pid),
+eg AS (SELECT pid, g, gs[g + 1].s AS s, gs[g + 1].e AS e, CAST(n AS INT) AS n FROM (SELECT pid, g, count(DISTINCT qid) AS n FROM gr GROUP BY pid, g) JOIN la USING (pid))"""
+
+
+@query(f"WITH RECURSIVE {P}, {A}, {EVIDENCE} SELECT pid, g, s, e, n FROM eg")
 def evidence_groups(spark, d):
     return units.evidence_groups(_evidence(spark, d), 1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, {A}, {EVIDENCE}, eo AS (SELECT pid, s, e, row_number() OVER (PARTITION BY pid ORDER BY n DESC, e - s, g) AS r FROM eg),
+lk(pid, r, kept) AS (SELECT pid, 1::BIGINT, [{{'s': s, 'e': e}}] FROM eo WHERE r = 1
+  UNION ALL SELECT eo.pid, eo.r, CASE WHEN len(list_filter(kept, lambda x: NOT (eo.e <= x.s OR eo.s >= x.e))) > 0 THEN kept ELSE list_append(kept, {{'s': eo.s, 'e': eo.e}}) END FROM lk JOIN eo ON eo.pid = lk.pid AND eo.r = lk.r + 1),
+lo AS (SELECT pid, x.s AS s, x.e AS e FROM (SELECT pid, unnest(arg_max(kept, r)) AS x FROM lk GROUP BY pid)),
+ci AS (SELECT pid, s AS c FROM s WHERE pid IN (SELECT pid FROM lo) UNION SELECT pid, e FROM s WHERE pid IN (SELECT pid FROM lo)),
+c AS (SELECT pid, 0 AS c FROM lo UNION SELECT pid, length(context) FROM p WHERE pid IN (SELECT pid FROM lo) UNION SELECT pid, s FROM lo UNION SELECT pid, e FROM lo
+  UNION SELECT pid, c FROM ci WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.pid = ci.pid AND ci.c > lo.s AND ci.c < lo.e)),
+t AS (SELECT pid, c, lead(c) OVER (PARTITION BY pid ORDER BY c) AS d FROM c), x AS (SELECT pid, title, c, substr(context, c + 1, d - c) AS t FROM t JOIN p USING (pid) WHERE d IS NOT NULL),
+y AS (SELECT pid, title, CAST(c + length(t) - length(ltrim(t, E' \\t\\n,;:')) AS INT) AS s, CAST(c + length(rtrim(t, E' \\t\\n,;:')) AS INT) AS e, trim(t, E' \\t\\n,;:') AS bare FROM x WHERE regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))
+SELECT CAST(pid AS VARCHAR) || 'e' || {_LPAD4.format(x='y.s')} || '-' || {_LPAD4.format(x='y.e')} AS uid, CASE WHEN lo.s IS NULL THEN 'segment' ELSE 'evidence' END AS kind, pid, y.s, y.e, {PREFIX} || bare AS text
+FROM y LEFT JOIN lo USING (pid, s, e)""")
 def units_evidence(spark, d):
     return units.evidence_units(paragraphs(spark, d), sentences(spark, d), units.evidence_groups(_evidence(spark, d), 1))
 
