@@ -404,7 +404,16 @@ def graph_edges(spark, d):
     return _graph(spark, d)["edges"]
 
 
-@query()
+@query(f"""WITH {S}, {AL[len(P) + 2:]}, {SIM}, ax AS (SELECT *, CAST(split_part(mid, ':', 1) AS BIGINT) AS pid FROM am), f AS (SELECT norm, grp, pid, min(mid) AS mid FROM ax GROUP BY norm, grp, pid),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(mid), mid) AS r FROM f), pr AS (SELECT a.norm, a.grp, a.mid AS a, b.mid AS b FROM k a JOIN k b ON a.norm = b.norm AND a.grp = b.grp AND a.mid < b.mid AND a.r <= 4 AND b.r <= 4),
+lo AS {_FIRST.format(w="norm LIKE '% %'")}, sh AS {_FIRST.format(w=f"norm NOT LIKE '% %' OR ({_UPPER})")}, nu AS (SELECT mid, row_number() OVER (ORDER BY mid) - 1 AS id FROM am),
+cd AS (SELECT 'exact' AS source, grp, 1.0 AS cos, a, b FROM (SELECT *, row_number() OVER (PARTITION BY norm, grp ORDER BY md5(a || '|' || b), a, b) AS r FROM pr) WHERE r <= 3
+UNION ALL SELECT 'alias', grp, NULL, long, short FROM (SELECT DISTINCT sh.mid AS short, sh.grp AS grp, lo.mid AS long FROM sh JOIN lo USING (article) WHERE ({_UPPER.replace('text', 'sh.text')} AND length(sh.text) BETWEEN 2 AND 6 AND sh.text = {_ACRONYM.format(t='lo.text')})
+  OR (sh.grp = lo.grp AND (sh.norm = string_split(lo.norm, ' ')[-1] OR sh.norm = string_split(lo.norm, ' ')[1])))
+UNION ALL SELECT 'embed', CAST(e.grp AS VARCHAR), cos, x.mid, y.mid FROM sim JOIN e ON e.id = i JOIN nu x ON x.id = i JOIN nu y ON y.id = j),
+cx AS (SELECT mid, pid, mn.s, e, (SELECT min(sent) FROM s WHERE s.pid = mn.pid AND s.e > mn.s) AS sent FROM mn),
+ar AS (SELECT mid, coalesce(s.text, substr(context, CAST(greatest(cx.s - 150, 0) + 1 AS INT), CAST(cx.e + 150 - greatest(cx.s - 150, 0) AS INT))) AS around FROM cx JOIN p USING (pid) LEFT JOIN s ON s.pid = cx.pid AND s.sent = cx.sent)
+SELECT source, cd.grp, CAST(cos AS DOUBLE) AS cos, a, b, x.around AS a_around, y.around AS b_around FROM cd JOIN ar x ON x.mid = a JOIN ar y ON y.mid = b""")
 def candidates_all(spark, d):
     """Every pair to be judged, with contexts: equal strings, aliases, and similar vectors, whose nodes stand for mentions by number."""
     m = materialise(alias_rows(spark, d), "cand-mentions")
