@@ -89,7 +89,16 @@ def er_guarded(spark, d):
     return entities.guarded(_pairs(spark, d), _told(spark, d))
 
 
-@query()
+# Merges one after another: the state of the recursion is the root of every id, as ids are 0 to n - 1.
+_ADDED = "list_reduce(list_transform(list_filter(vs, lambda x: r[x.id + 1] = {root}), lambda x: x.v), lambda x, y: list_transform(list_zip(x, y), lambda z: z[1] + z[2]))"
+_NEAR = f"list_dot_product({_ADDED.format(root='ra')}, {_ADDED.format(root='rb')}) / sqrt(list_dot_product({_ADDED.format(root='ra')}, {_ADDED.format(root='ra')}) * list_dot_product({_ADDED.format(root='rb')}, {_ADDED.format(root='rb')})) >= {TAU}"
+
+
+@query(f"""WITH RECURSIVE {SIM}, t AS (SELECT vec_id AS id, {_FACTS} AS text FROM embeddings), gd AS (SELECT i, j, cos FROM sim JOIN t a ON a.id = i JOIN t b ON b.id = j WHERE a.text = b.text),
+pp AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY cos DESC, i DESC, j DESC) AS k FROM gd), al AS MATERIALIZED (SELECT list({{'id': id, 'v': CAST(v AS DOUBLE[])}}) AS vs, max(id) + 1 AS n FROM e),
+st(k, r) AS (SELECT 0::BIGINT, list_transform(range(0, n), lambda x: x) FROM al UNION ALL SELECT k, CASE WHEN ra = rb THEN r WHEN {_NEAR} THEN list_transform(r, lambda x: CASE WHEN x = rb THEN ra ELSE x END) ELSE r END
+  FROM (SELECT pp.k, r, vs, least(r[i + 1], r[j + 1]) AS ra, greatest(r[i + 1], r[j + 1]) AS rb FROM st JOIN pp ON pp.k = st.k + 1, al))
+SELECT id, r[id + 1] AS root FROM (SELECT DISTINCT unnest([i, j]) AS id FROM gd), (SELECT arg_max(r, k) AS r FROM st)""")
 def er_meaning(spark, d):
     return entities.meaning_tier(_told(spark, d), _pairs(spark, d), TAU)
 
@@ -178,7 +187,16 @@ def veto_keys(spark, d):
     return k.join(vetoed, ["norm", "grp", "art"], "left_anti").select("mid", "norm", "grp")
 
 
-@query()
+_MAJORITY = "CASE WHEN 2 * len(list_filter(range(0, n), lambda i: r[i + 1] = {c} AND i % 2 = {c} % 2)) >= len(list_filter(r, lambda x: x = {c})) THEN {c} % 2 ELSE 1 - {c} % 2 END"
+
+
+@query(f"""WITH RECURSIVE {SIM}, fb AS (SELECT list({{'a': i, 'b': j}}) AS f FROM (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cos DESC, j) AS r FROM pc WHERE cos >= {TAU - 0.05}) WHERE r <= 10 AND i < j AND g = h AND (i + j) % 5 = 0)),
+pp AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY CAST(-round(cos * 1000000) AS BIGINT), i, j) AS k FROM sim), al AS MATERIALIZED (SELECT coalesce(f, []) AS f, (SELECT max(id) + 1 FROM e) AS n FROM fb),
+st(k, r) AS (SELECT 0::BIGINT, list_transform(range(0, n), lambda x: x) FROM al
+  UNION ALL SELECT k, CASE WHEN ra = rb OR len(list_filter(f, lambda x: least(r[x.a + 1], r[x.b + 1]) = ra AND greatest(r[x.a + 1], r[x.b + 1]) = rb)) > 0 OR {_MAJORITY.format(c='ra')} <> {_MAJORITY.format(c='rb')} THEN r
+    ELSE list_transform(r, lambda x: CASE WHEN x = rb THEN ra ELSE x END) END
+  FROM (SELECT pp.k, r, f, n, least(r[i + 1], r[j + 1]) AS ra, greatest(r[i + 1], r[j + 1]) AS rb FROM st JOIN pp ON pp.k = st.k + 1, al))
+SELECT id, r[id + 1] AS root FROM e, (SELECT arg_max(r, k) AS r FROM st)""")
 def constrained_merge(spark, d):
     v = vectors(spark, d)
     pairs = _pairs(spark, d)
