@@ -124,7 +124,7 @@ def greedy_chunks(spans: Column, most: int = 5, max_chars: int = 700) -> Column:
     def add(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
         full = (F.size(last) >= most) | (s["e"] - last[0]["s"] > max_chars)
-        return F.when((F.size(acc) == 0) | full, F.concat(acc, F.array(F.array(s)))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.array(s)))))
+        return F.when((F.size(acc) == 0) | full, F.array_append(acc, F.array(s))).otherwise(F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array_append(last, s)))
 
     return F.aggregate(spans, F.expr("cast(array() as array<array<struct<s: int, e: int>>>)"), lambda acc, s: F.when(F.size(acc) == 0, F.array(F.array(s))).otherwise(add(acc, s)))
 
@@ -145,7 +145,7 @@ def pooled_paragraphs(rows: DataFrame) -> DataFrame:
     each = rows.select("id", F.posexplode(F.arrays_zip("titles", "texts")).alias("i", "p"))
     first = each.groupBy("p.titles").agg(F.min_by(F.col("p.texts"), F.struct("id", "i")).alias("sents"), F.min(F.struct("id", "i")).alias("at")).withColumnRenamed("titles", "title")
     ends = F.aggregate("sents", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("out")), lambda acc, s: F.struct(
-        (acc["at"] + F.length(s) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(s)).alias("e")))).alias("out")), lambda acc: acc["out"])
+        (acc["at"] + F.length(s) + 1).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("s"), (acc["at"] + F.length(s)).alias("e"))).alias("out")), lambda acc: acc["out"])
     numbered = number_rows(first.select("title", "sents", ends.alias("spans"), F.col("at.id").alias("_id"), F.col("at.i").alias("_i")), [F.col("_id"), F.col("_i")], "n")
     return numbered.select(F.concat(F.lit("h"), F.format_string("%05d", "n")).alias("pid"), "title", F.array_join("sents", " ").alias("context"), "spans")
 
