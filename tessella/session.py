@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import os
 import shutil
 import tempfile
@@ -50,7 +51,6 @@ def lean(run: Callable) -> Callable:
     @functools.wraps(run)
     def trimmed(batches: Iterator) -> Iterator:
         import ctypes
-        import gc
 
         import pyarrow as pa
 
@@ -104,6 +104,7 @@ class Scratch:
         for path in self.paths:
             _delete(spark, path)
         self.paths.clear()
+        tidy(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -133,6 +134,17 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what frames that nobody holds any more have left behind.
+
+    Spark drops their broadcasts and shuffle files on the executors, and the driver their
+    plans and generated code, only when the driver collects garbage; a driver with memory
+    to spare does so late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the tables of frames that ``materialise`` gave and nothing reads any more."""
     for frame in frames:
