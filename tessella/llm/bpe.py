@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessella.llm._words import as_bytes
-from tessella.session import lean, materialise, ship
+from tessella.session import lean, materialise, ship, tidy
 
 #: Most frequent words whose token ids are broadcast, at about 40 bytes each.
 CACHE_WORDS = 1 << 20
@@ -407,6 +407,7 @@ def encode(
     ]))
     # Written, so that no task needs two Python workers, and a lost executor splits no text again.
     split = materialise(split, "bpe-split", "zstd")
+    tidy(spark)
     folded = split.select("id", "known", "places", fold_words(F.col("rare"), ranks).alias("folded"))
     binary = [T.StructField(name, T.BinaryType()) for name in (("ids", "decoded") if decoded else ("ids",))]
     tokens = spark.sparkContext.broadcast(_tokens(ranks)) if decoded else None

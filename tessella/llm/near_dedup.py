@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tessella.llm._words import SPACED, as_bytes, chunks, mix, rolling, scan
 from tessella.operators.components import connected_components
-from tessella.session import discard, lean, materialise, ship
+from tessella.session import discard, lean, materialise, ship, tidy
 
 COORDINATES = 64
 MATCHES = 33
@@ -204,11 +204,13 @@ def near_duplicates(
     pivots = _Pivots(around)
     members, edits = _unresolved(pivots, around, first, links, classes.select("id", "n"), percent)
     discard(first, around)
+    tidy(spark)
     stars = linker.compared(_edit_stars(pivots, members, edits, percent))
     links = links.unionByName(stars.where("linked").select("a", "b"))
     rest = linker.compared(_across(pivots, members, edits, links, percent))
     links = links.unionByName(rest.where("linked").select("a", "b"))
     discard(members, edits, linker.sets, posted)
+    tidy(spark)
 
     components = materialise(connected_components(links), "dedup-components")
     named = classes.select("f1", "f2", "n", F.col("id").alias("node")).join(components, "node", "left").select(

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessella.llm._words import SPACED, as_bytes, chunks, scan
-from tessella.session import lean, materialise, ship
+from tessella.session import lean, materialise, ship, tidy
 
 ROUNDS = 4
 #: Newton steps of a fit at most.
@@ -325,6 +325,7 @@ def co_train(rows: DataFrame, rounds: int = ROUNDS) -> Quality:
         made = [Round(views.weights[v].copy(), *limits(counts[v * _BINS : (v + 1) * _BINS], HANDED * pool, share)) for v in (0, 1)]
         done.append(made)
         fit(train, STEPS)
+        tidy(rows.sparkSession)
 
     held = rows.where("label IS NOT NULL AND aside")
 
