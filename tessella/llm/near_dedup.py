@@ -1,7 +1,10 @@
 """MinHash near-duplicate detection by a signature-coordinate inverted join.
 
-1. Every text becomes its set of distinct shingles and a MinHash signature. Texts of
-   equal sets are one class from here on, known by its smallest id.
+1. Every text becomes its set of distinct shingles and a MinHash signature, each of
+   whose coordinates joins ``JOINED`` min-hashes: unrelated texts of similarity s collide
+   in a coordinate with chance s ** JOINED only, so that lists hold few strangers however
+   many texts there are. Texts of equal sets are one class from here on, known by its
+   smallest id.
 2. Classes are posted under each (coordinate, value) of their signatures. Values that
    only one class has cannot collide and go; a class with fewer than ``matches``
    values left cannot collide often enough and goes. Of the others, the rarest
@@ -19,19 +22,24 @@
    components: the first pairs are connected already, the others too far apart. Before
    that, the most central member of each edit's list is compared with the list, as
    pivots were, so that families within a pivot's lists are connected first.
-4. Candidates whose signatures collide at least ``matches`` times are confirmed on the
-   full sets: 100 * intersection >= percent * union. Components of confirmed links are
-   the groups of near duplicates.
-
-A pair at similarity 0.8 collides in fewer than 33 of 64 coordinates about eight times
-in 10^8; that is the only way to miss a link. Members of a list of more than ``FREQUENT``
-are compared with its pivot whatever their signatures say, which can only find more.
+   Members that were not compared with a pivot are paired with the others of each list
+   that they are in, of ``FREQUENT`` members at most.
+4. Candidates whose signatures collide at least ``matches`` times, as far as one byte a
+   coordinate tells, are confirmed on the full sets: 100 * intersection >= percent *
+   union. Full sets are made of candidates only, when they are compared. Components of
+   confirmed links are the groups of near duplicates.
+
+A pair at similarity 0.8 collides in fewer than 3 of 32 coordinates of three min-hashes
+about six times in 10^8; that is the only way to miss a link. Members of a list of more
+than ``FREQUENT`` are compared with its pivot whatever their signatures say, and bytes
+collide more often than coordinates; both can only find more.
 
 Tables written on the way, each once:
-signatures (a row a document), posted (a class: its shared values), around (pivot and
-member), pairs / candidates / compared (three times: stars of pivots, stars of edits, the
-rest), parted (members of unresolved pivots), common and hot (edits of several members, at
-most ``64 * MASKS`` hot ones a pivot), edits, and the rounds of ``connected_components``.
+signatures and rows (a row a document), firsts (a class: its signature), posted (a class:
+its shared values), listed (a list's members), around (pivot and member), pairs /
+candidates / sets / compared (three times: stars of pivots, stars of edits, the rest),
+parted (members of unresolved pivots), common and hot (edits of several members, at most
+``64 * MASKS`` hot ones a pivot), edits, and the rounds of ``connected_components``.
 
 Defined results: texts without words have empty sets and are linked with nothing; a
 text with fewer words than a shingle is one shingle; repeated rows share a class; rows
@@ -52,8 +60,10 @@ from tessella.llm._words import SPACED, as_bytes, chunks, mix, rolling, scan
 from tessella.operators.components import connected_components
 from tessella.session import discard, lean, materialise, ship, tidy
 
-COORDINATES = 64
-MATCHES = 33
+COORDINATES = 32
+#: Min-hashes that make one coordinate.
+JOINED = 3
+MATCHES = 3
 
 _rng = np.random.default_rng(64_0_8)
 _MULT = _rng.integers(0, 2**64, 1024, dtype=np.uint64) | np.uint64(1)
@@ -84,7 +94,17 @@ def _signed(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
         flat = np.concatenate(filled)
         at = np.concatenate([[0], np.cumsum([len(s) for s in filled])[:-1]])
         for j in range(coordinates):
-            out[:, j] = mix(np.minimum.reduceat((flat ^ _XOR[j]) * _MULT[j], at) + np.uint64(j))
+            out[:, j] = j
+            for i in range(JOINED * j, JOINED * (j + 1)):
+                out[:, j] = mix(np.minimum.reduceat((flat ^ _XOR[i]) * _MULT[i], at) + out[:, j])
+    return out.view(np.int64)
+
+
+def _sketches(lists: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """A byte of each coordinate, eight to a number; without a signature, zeros."""
+    out = np.zeros((len(lists), -(-coordinates // 8) * 8), np.uint8)
+    for i, tokens in enumerate(lists):
+        out[i, : len(tokens)] = tokens & 255
     return out.view(np.int64)
 
 
@@ -100,9 +120,11 @@ def _signatures(size: int, coordinates: int):
                     n.append(len(s))
                     prints.append((int(mix(s).sum().view(np.int64)), int(mix(s ^ _XOR[1000]).sum().view(np.int64))) if len(s) else (0, 0))
                     lists.append(next(rows) if len(s) else np.zeros(0, np.int64))
+            bytes_ = _sketches(lists, coordinates)
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array(n, pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(lists, pa.list_(pa.int64())),
-            ], names=["id", "n", "f1", "f2", "sig"])
+                *(pa.array(bytes_[:, i]) for i in range(bytes_.shape[1])),
+            ], names=["id", "n", "f1", "f2", "sig", *(f"s{i}" for i in range(bytes_.shape[1]))])
 
     return run
 
@@ -149,27 +171,36 @@ def _compare(percent: int, edits: bool):
     return run
 
 
+def _differing(x: F.Column, y: F.Column) -> F.Column:
+    """Bytes in which two numbers differ: the bits of each byte are gathered in its lowest."""
+    v = x.bitwiseXOR(y)
+    for n in (4, 2, 1):
+        v = v.bitwiseOR(F.shiftrightunsigned(v, n))
+    return F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+
+
 class _Linker:
     """Compares candidate pairs (a, b): collisions of signatures first, then full sets."""
 
-    def __init__(self, posted: DataFrame, sets: DataFrame, matches: int, percent: int):
-        self.posted, self.sets, self.matches, self.percent = posted, sets, matches, percent
+    def __init__(self, sketches: DataFrame, source: DataFrame, coordinates: int, matches: int, shingle: int, percent: int):
+        self.sketches, self.source, self.shingle, self.percent = sketches, source, shingle, percent
+        self.words, self.most = -(-coordinates // 8), coordinates - matches
 
     def compared(self, pairs: DataFrame, edits: bool = False) -> DataFrame:
         """pairs: a, b and sure (compared whatever the signatures say)."""
         pairs = materialise(pairs, "dedup-pairs")
-        posted = _rows_of(self.posted.select("id", "tokens"), pairs.where("NOT sure").select(F.explode(F.array("a", "b")).alias("id")))
-        left = posted.select(F.col("id").alias("a"), F.col("tokens").alias("s"))
-        right = posted.select(F.col("id").alias("b"), F.col("tokens").alias("t"))
-        unsure = pairs.where("NOT sure").join(left, "a").join(right, "b").where(F.size(F.array_intersect("s", "t")) >= self.matches)
-        enough = materialise(unsure.select("a", "b").unionByName(pairs.where("sure").select("a", "b")), "dedup-candidates")
-        sets = _rows_of(self.sets, enough.select(F.explode(F.array("a", "b")).alias("id")))
+        left = self.sketches.select(F.col("id").alias("a"), *(f"s{i}" for i in range(self.words)))
+        right = self.sketches.select(F.col("id").alias("b"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(self.words)))
+        differing = sum(_differing(F.col(f"s{i}"), F.col(f"t{i}")) for i in range(self.words))
+        unsure = pairs.where("NOT sure").join(left, "a").join(right, "b").where(differing <= self.most).select("a", "b").distinct()
+        enough = materialise(unsure.unionByName(pairs.where("sure").select("a", "b")), "dedup-candidates")
+        sets = _sets_of(self.source, enough.select(F.explode(F.array("a", "b")).alias("id")).distinct(), self.shingle)
         x = sets.select(F.col("id").alias("a"), F.col("packed").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         # a is the pivot of many pairs: its set goes first, as equal neighbours shrink in the shuffle.
         full = enough.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         out = materialise(full.mapInArrow(lean(_compare(self.percent, edits)), _COMPARED), "dedup-compared")
-        discard(pairs, posted, enough, sets)
+        discard(pairs, enough, sets)
         return out
 
 
@@ -181,25 +212,33 @@ def near_duplicates(
     spark = docs.sparkSession
     ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = source.mapInArrow(lean(_signatures(shingle, coordinates)), "id long, n long, f1 long, f2 long, sig array<long>")
-    rows = materialise(signed.withColumn("uid", F.monotonically_increasing_id()), "dedup-signatures")
+    words = [f"s{i}" for i in range(-(-coordinates // 8))]
+    signed = source.mapInArrow(lean(_signatures(shingle, coordinates)), "id long, n long, f1 long, f2 long, sig array<long>, " + ", ".join(f"{w} long" for w in words))
+    signed = materialise(signed.withColumn("uid", F.monotonically_increasing_id()), "dedup-signatures")
+    rows = materialise(signed.select("id", "n", "f1", "f2", "uid"), "dedup-rows")
     full = rows.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "uid")).alias("first")).select("f1", "f2", "n", "first.*")
+    classes = materialise(full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "uid")).alias("first")).select("f1", "f2", "n", "first.*"), "dedup-classes")
+    firsts = materialise(signed.join(classes.select("uid"), "uid", "left_semi").select("id", "sig", *words), "dedup-firsts")
+    discard(signed)
 
-    posts = rows.join(classes.select("uid"), "uid", "left_semi").select("id", F.explode("sig").alias("token"))
+    posts = firsts.select("id", F.explode("sig").alias("token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     by_class = posts.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("posted"))
     posted = materialise(by_class.where(F.size("posted") >= matches).select(
         "id", F.col("posted.token").alias("tokens"), F.aggregate("posted", F.lit(0).cast("long"), lambda acc, p: acc + p["df"]).alias("central"),
     ), "dedup-posted")
+    sketches = materialise(firsts.select("id", *words).join(posted.select("id"), "id", "left_semi"), "dedup-sketches")
+    discard(firsts)
+    del posts, shared, by_class
+    tidy(spark)
     prefix = posted.select("id", "central", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - matches + 1)).alias("token"))
-    lists = prefix.groupBy("token").agg(F.count("*").alias("members"), F.max_by("id", F.struct("central", "id")).alias("pivot")).where("members > 1").select("token", "pivot")
-    around = materialise(prefix.join(lists, "token").select("pivot", "id").distinct(), "dedup-around")
+    lists = prefix.groupBy("token").agg(F.count("*").alias("members"), F.max_by("id", F.struct("central", "id")).alias("pivot")).where("members > 1")
+    listed = materialise(prefix.select("id", "token").join(lists, "token"), "dedup-listed")
+    around = materialise(listed.groupBy("pivot", "id").agg((F.max("members") > FREQUENT).alias("sure")), "dedup-around")
+    discard(posted)
 
-    linker = _Linker(posted, _sets_of(source, posted.select("id"), shingle), matches, percent)
-    frequent = around.groupBy("pivot").agg((F.count("*") > FREQUENT).alias("sure"))
-    stars = around.where("id <> pivot").join(frequent, "pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sure")
-    first = linker.compared(stars, edits=True)
+    linker = _Linker(sketches, source, coordinates, matches, shingle, percent)
+    first = linker.compared(around.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "sure"), edits=True)
     links = materialise(first.where("linked").select("a", "b"), "dedup-links")
     pivots = _Pivots(around)
     members, edits = _unresolved(pivots, around, first, links, classes.select("id", "n"), percent)
@@ -207,9 +246,9 @@ def near_duplicates(
     tidy(spark)
     stars = linker.compared(_edit_stars(pivots, members, edits, percent))
     links = links.unionByName(stars.where("linked").select("a", "b"))
-    rest = linker.compared(_across(pivots, members, edits, links, percent))
+    rest = linker.compared(_across(pivots, members, edits, listed, links, percent))
     links = links.unionByName(rest.where("linked").select("a", "b"))
-    discard(members, edits, linker.sets, posted)
+    discard(members, edits, listed, sketches)
     tidy(spark)
 
     components = materialise(connected_components(links), "dedup-components")
@@ -244,19 +283,11 @@ def _likely(table):
     return run
 
 
-def _rows_of(frame: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``frame`` with one of the ids, and perhaps others; the others go before anything is shuffled.
-
-    The rows are written, so that no task needs two Python workers.
-    """
-    shared = frame.sparkSession.sparkContext.broadcast(_slots(ids))
-    slotted = frame.withColumn("s", _slot("id"))
-    return materialise(slotted.mapInArrow(lean(_likely(shared)), slotted.schema).drop("s"), "dedup-likely")
-
-
 def _sets_of(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, packed): full sets of the given ids."""
+    """(id, packed): full sets of the given ids, and perhaps others."""
     table = _slots(ids)
+    if not table.any():
+        return materialise(source.sparkSession.createDataFrame([], "id long, packed binary"), "dedup-sets")
     shared = source.sparkSession.sparkContext.broadcast(table)
     slotted = source.where("id IS NOT NULL").withColumn("s", _slot("id"))
     make, likely = _sets(shingle), _likely(shared)
@@ -353,7 +384,7 @@ def _edit_stars(pivots: _Pivots, members: DataFrame, edits: DataFrame, percent:
     return _pairs(edits.join(heads, ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (_shared() >= need)))
 
 
-def _across(pivots: _Pivots, members: DataFrame, edits: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _across(pivots: _Pivots, members: DataFrame, edits: DataFrame, listed: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Pairs of members that are still in different components and may be links."""
     components = materialise(connected_components(links), "dedup-components").withColumnRenamed("node", "id")
     again = lambda frame: frame.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -363,10 +394,11 @@ def _across(pivots: _Pivots, members: DataFrame, edits: DataFrame, links: DataFr
     outside = lambda frame: pivots.join(frame, main).where("c <> main").drop("main")
     members = materialise(pivots.join(members, parted, "left_semi"), "dedup-members")
     edits = materialise(pivots.join(edits, parted, "left_semi"), "dedup-edits")
-    # Only lists of at most FREQUENT members have any that were not compared with their pivot.
-    small = members.where("k IS NULL").select("pivot").distinct()
-    few = materialise(members.join(small, "pivot", "left_semi"), "dedup-few")
-    unknown = outside(few).join(_second(few), "pivot").where(_apart(percent) & need.isNull())
+    # Only lists of at most FREQUENT members have any that were not compared with their pivot; with one besides the pivot there is no pair.
+    small = listed.where(F.col("members").between(3, FREQUENT)).select("token", "pivot", "id")
+    few = materialise(small.join(members.select("pivot", "id", "c", "n", "k"), ["pivot", "id"]), "dedup-few")
+    others = few.select("token", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("n").alias("n2"))
+    unknown = few.where("k IS NULL").join(others, "token").where(_apart(percent))
     far = outside(edits).join(_second(edits), ["pivot", "h"]).where(_apart(percent) & (need > 0) & (F.col("rank") >= need) & (F.col("rank2") >= need) & (_shared() >= need))
     return _pairs(unknown.select("id", "id2").unionByName(far.select("id", "id2"))).unionByName(_pairs(_certain(pivots, members, percent), sure=True))
 

@@ -144,6 +144,18 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert near_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_make_sets_of_candidates_only(spark, monkeypatch):
+    random.seed(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(random.choices(words, k=600))) for i in range(300)]
+    rows.append((300, rows[7][1] + " and one more"))
+    asked, inner = [], near_dedup._sets_of
+    monkeypatch.setattr(near_dedup, "_sets_of", lambda source, ids, size: asked.append(ids.count()) or inner(source, ids, size))
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == {i: 7 if i == 300 else i for i in range(301)}
+    assert sum(asked) <= 30  # unrelated texts share a tenth of their shingles, and none is a candidate but by chance
+
+
 # --- 5
 
 
