@@ -201,6 +201,7 @@ class _Linker:
         full = enough.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         out = materialise(full.mapInArrow(lean(_compare(self.percent, edits)), _COMPARED), "dedup-compared")
         discard(pairs, enough, sets)
+        tidy(self.source.sparkSession)
         return out
 
 
@@ -243,6 +244,7 @@ def near_duplicates(
     pivots = _Pivots(around)
     members, edits = _unresolved(pivots, around, first, links, classes.select("id", "n"), percent)
     discard(first, around)
+    del first, around
     tidy(spark)
     stars = linker.compared(_edit_stars(pivots, members, edits, percent))
     links = links.unionByName(stars.where("linked").select("a", "b"))

@@ -90,3 +90,15 @@ def test_empty_tables_repeated_rows_and_clashing_columns(spark, tmp_path):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 3), (False, 4), (True, 0)]
     one = next(r for r in got if r.doc_id == 1)
     assert one.decoded_sha256 == hashlib.sha256(b"other words entirely").hexdigest()  # of a repeated id, the row that sorts first
+
+
+def test_tidy_trims_native_memory_of_the_driver(spark, monkeypatch):
+    from tessella import session
+
+    # The command is let fail here, as it would go unnoticed otherwise.
+    monkeypatch.setattr(session, "Py4JError", ZeroDivisionError)
+    called = []
+    inner = session._trim_driver
+    monkeypatch.setattr(session, "_trim_driver", lambda s: called.append(inner(s)))
+    session.tidy(spark)
+    assert called == [None]
