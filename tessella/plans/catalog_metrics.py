@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import metrics, parse, ranking
+from tessella.operators import corpus, metrics, parse, ranking
 from tessella.plans.catalog import BM, M, NORM, Q, S, TOKENS, U, answers, bm25_sql, bm25_topk, gold, items, mapped, paragraphs, query, sentences
-from tessella.session import table
+from tessella.session import materialise, table
 
 # --- splits
 
@@ -193,8 +193,7 @@ TK = rf"""tk AS (SELECT pid, sent, i - 1 AS i, w, CASE WHEN i = 1 THEN 0 ELSE (i
 @query(f"""WITH RECURSIVE {S}, {TK}, an(pid, sent, i, anc) AS (SELECT pid, sent, i, i FROM tk UNION SELECT an.pid, an.sent, an.i, tk.head FROM an JOIN tk ON tk.pid = an.pid AND tk.sent = an.sent AND tk.i = an.anc)
 SELECT pid, sent, anc AS i, min(an.i) AS lo, max(an.i) AS hi, count(*) AS n FROM an GROUP BY pid, sent, anc""")
 def parse_subtree_span(spark, d):
-    toks = parse.toy_tokens(sentences(spark, d))
-    return parse.subtree_spans(toks).select("pid", "sent", "i", "lo", "hi", "n")
+    return parse.subtree_spans(parse.toy_trees(sentences(spark, d))).select("pid", "sent", "i", "lo", "hi", "n")
 
 
 # The stand-in parser in SQL: tokens with head, relation, part of speech and place, and every token's ancestors.
@@ -212,7 +211,7 @@ tp AS (SELECT pid, sent, min(CASE WHEN root THEN anc END) AS top FROM wo GROUP B
 kp AS (SELECT pid, sent, i, w, CASE WHEN n < 3 AND NOT root THEN coalesce(top, anc) ELSE anc END AS clause FROM wo JOIN sm USING (pid, sent, anc) JOIN tp USING (pid, sent))
 SELECT pid, sent, clause, string_agg(w, ' ' ORDER BY i) AS key FROM kp GROUP BY pid, sent, clause""")
 def clause_keys(spark, d):
-    return parse.clause_keys(parse.toy_tokens(sentences(spark, d)))
+    return parse.clause_keys(parse.toy_trees(sentences(spark, d)))
 
 
 @query(f"""WITH RECURSIVE {S}, {TF}, cm(pid, sent, i, anc) AS (SELECT pid, sent, i, i FROM tk UNION ALL SELECT cm.pid, cm.sent, cm.i, tk.head FROM cm JOIN tk ON tk.pid = cm.pid AND tk.sent = cm.sent AND tk.i = cm.anc AND tk.head <> tk.i
@@ -226,7 +225,7 @@ ob AS (SELECT pid, sent, head AS v, words AS object FROM ch WHERE dep IN ('dobj'
   UNION ALL SELECT b.pid, b.sent, b.head, b.w || ' ' || o.words FROM ch b JOIN ch o ON o.pid = b.pid AND o.sent = b.sent AND o.head = b.i AND o.dep = 'pobj' WHERE b.dep IN ('prep', 'agent'))
 SELECT DISTINCT pid, sent, concat_ws(' ', subject, verb, object) AS key FROM ve LEFT JOIN ob USING (pid, sent, v) WHERE object IS NOT NULL OR subject IS NOT NULL""")
 def triple_keys(spark, d):
-    return parse.triples(parse.toy_tokens(sentences(spark, d)))
+    return parse.triples(parse.toy_trees(sentences(spark, d)))
 
 
 @query(f"""WITH RECURSIVE {M}, {TF}, aw AS (SELECT qid, pid, start AS a, start + length(regexp_extract(text, '^[^ ]*')) AS b FROM a),
@@ -241,9 +240,11 @@ lv AS (SELECT qid, one.pid, 'sentence' AS level, s, e, 0 AS o FROM one JOIN re O
 SELECT qid, pid, level, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM (SELECT *, row_number() OVER (PARTITION BY qid, pid, s, e ORDER BY o) AS r FROM lv) WHERE r = 1""")
 def answer_spans(spark, d):
     """Levels around the first word of each answer: whole answers here run over sentences, which have none."""
-    toks = parse.toy_tokens(sentences(spark, d))
-    spans = answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + F.length(F.regexp_extract("text", "^[^ ]*", 0))).alias("b"))
-    return parse.answer_spans(toks, spans)
+    found = materialise(answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + F.length(F.regexp_extract("text", "^[^ ]*", 0))).alias("b")), "answer-spans")
+    few = found.count() <= ranking.BROADCAST_TERMS
+    pids = found.select("pid").distinct()
+    held = corpus.explode_sentences(paragraphs(spark, d).join(F.broadcast(pids) if few else pids, "pid", "left_semi"))
+    return parse.answer_spans(parse.toy_trees(held), found, broadcast=few)
 
 
 @query(f"WITH {M} SELECT qid, pid, CAST(arg_min(start, ord) + length(arg_min(text, ord)) - length(ltrim(arg_min(text, ord), E' \t\n\r')) AS INT) AS s, CAST(arg_min(start, ord) + length(arg_min(rtrim(text, E' \t\n\r'), ord)) AS INT) AS e FROM a GROUP BY qid, pid")

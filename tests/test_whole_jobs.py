@@ -1,8 +1,12 @@
 """Registered queries work on whole texts and on every sentence."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.operators import metrics
+from tessella.functions import text as X
+from tessella.operators import metrics, parse
 from tessella.plans import catalog
 
 ITEM = "the very first words that all the documents of this small table hold in common today, and then a zebra ran"
@@ -43,3 +47,28 @@ def test_intervals_rest_on_ten_thousand_resamples(spark, tables, monkeypatch):
     for name in ("paired_bootstrap", "ratio_ci"):
         assert len(catalog.QUERIES[name](spark, tables).collect()) == 1
     assert seen == [10_000, 10_000]
+
+
+def test_long_texts_are_segmented_in_linear_time(spark):
+    frame = spark.createDataFrame([("It is so. " * 20_000,)], "t string")
+    began = time.time()
+    spans = frame.select(X.sentences(F.col("t")).alias("x")).first().x
+    assert time.time() - began < 60 and len(spans) == 20_000 and tuple(spans[-1]) == (199_990, 199_999)
+    found = frame.select(X.sentence_texts(F.col("t")).alias("x")).first().x
+    assert {r.text for r in found} == {"It is so."} and [(r.s, r.e) for r in found] == [tuple(r) for r in spans]
+
+
+@pytest.mark.parametrize("name", ["clause_keys", "triple_keys", "parse_subtree_span"])
+def test_parses_are_not_shuffled(spark, tables, name):
+    assert "Exchange" not in catalog.QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_tokens_give_what_sentences_give(spark, tables):
+    trees = parse.toy_trees(catalog.sentences(spark, tables))
+    tokens = parse.toy_tokens(catalog.sentences(spark, tables))
+    for work in (parse.subtree_spans, parse.clause_keys, parse.triples):
+        assert sorted(work(trees).collect()) == sorted(work(tokens).collect())
+    chain = spark.createDataFrame([(1, 0, i, max(i - 1, 0)) for i in range(600)], "pid long, sent int, i long, head long")
+    assert sorted((r.i, r.lo, r.hi, r.n) for r in parse.subtree_spans(chain).collect()) == [(i, i, 599, 600 - i) for i in range(600)]
+    with pytest.raises(Exception, match="go round"):
+        parse.subtree_spans(spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 0)], chain.schema)).collect()
