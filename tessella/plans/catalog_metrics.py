@@ -228,9 +228,9 @@ def triple_keys(spark, d):
     return parse.triples(parse.toy_trees(sentences(spark, d)))
 
 
-@query(f"""WITH RECURSIVE {M}, {TF}, aw AS (SELECT qid, pid, start AS a, start + length(regexp_extract(text, '^[^ ]*')) AS b FROM a),
+@query(f"""WITH RECURSIVE {M}, {TF}, aw AS (SELECT qid, pid, start AS a, start + length(text) AS b FROM a),
 ht AS (SELECT qid, aw.pid, sent, i FROM aw JOIN tk ON tk.pid = aw.pid AND NOT punct AND tk.s < aw.b AND aw.a < tk.s + length(w)),
-one AS (SELECT qid, pid, min(sent) AS sent, count(DISTINCT i) AS k FROM ht GROUP BY qid, pid HAVING min(sent) = max(sent)),
+one AS (SELECT qid, pid, sent, count(DISTINCT i) AS k FROM ht GROUP BY qid, pid, sent QUALIFY sent = min(sent) OVER (PARTITION BY qid, pid)),
 sh AS (SELECT qid, pid, sent, anc, arg_min(depth, i) AS depth FROM ht JOIN one USING (qid, pid, sent) JOIN an USING (pid, sent, i) GROUP BY qid, pid, sent, anc, k HAVING count(*) = k),
 lc AS (SELECT qid, pid, sent, arg_min(anc, depth) AS lca FROM sh GROUP BY qid, pid, sent),
 cl AS (SELECT qid, lc.pid, lc.sent, arg_min(an.anc, depth) AS top FROM lc JOIN an ON an.pid = lc.pid AND an.sent = lc.sent AND an.i = lca JOIN hd ON hd.pid = an.pid AND hd.sent = an.sent AND hd.anc = an.anc GROUP BY qid, lc.pid, lc.sent),
@@ -239,8 +239,8 @@ lv AS (SELECT qid, one.pid, 'sentence' AS level, s, e, 0 AS o FROM one JOIN re O
   UNION ALL SELECT qid, cl.pid, 'clause', s, e, 1 FROM cl JOIN re ON re.pid = cl.pid AND re.sent = cl.sent AND re.anc = top UNION ALL SELECT qid, lc.pid, 'phrase', s, e, 2 FROM lc JOIN re ON re.pid = lc.pid AND re.sent = lc.sent AND re.anc = lca)
 SELECT qid, pid, level, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM (SELECT *, row_number() OVER (PARTITION BY qid, pid, s, e ORDER BY o) AS r FROM lv) WHERE r = 1""")
 def answer_spans(spark, d):
-    """Levels around the first word of each answer: whole answers here run over sentences, which have none."""
-    found = materialise(answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + F.length(F.regexp_extract("text", "^[^ ]*", 0))).alias("b")), "answer-spans")
+    """Levels around each whole answer, in the first sentence that has a word of it."""
+    found = materialise(answers(spark, d).select("qid", "pid", F.col("start").alias("a"), (F.col("start") + F.length("text")).alias("b")), "answer-spans")
     few = found.count() <= ranking.BROADCAST_TERMS
     pids = found.select("pid").distinct()
     held = corpus.explode_sentences(paragraphs(spark, d).join(F.broadcast(pids) if few else pids, "pid", "left_semi"))

@@ -72,3 +72,12 @@ def test_tables_of_tokens_give_what_sentences_give(spark, tables):
     assert sorted((r.i, r.lo, r.hi, r.n) for r in parse.subtree_spans(chain).collect()) == [(i, i, 599, 600 - i) for i in range(600)]
     with pytest.raises(Exception, match="go round"):
         parse.subtree_spans(spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 0)], chain.schema)).collect()
+
+
+def test_levels_around_the_whole_answer(spark, tmp_path):
+    text = "z0 z1 z2 z3 z4 z5 z6 z7. Next ones are here. And more."
+    spark.createDataFrame([(1, text, "src")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "z3 z4 z5"), (2, "z7. Next ones")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.qid, r.level, r.s, r.e) for r in catalog.QUERIES["answer_spans"](spark, str(tmp_path)).collect()}
+    # Tokens 3, 4 and 5 meet in 1; the second answer begins in a sentence and ends in the next.
+    assert got == {(1, "sentence", 0, 24), (1, "clause", 3, 24), (2, "sentence", 0, 24), (2, "clause", 3, 24), (2, "phrase", 21, 24)}
