@@ -112,3 +112,24 @@ def test_no_vector_is_shuffled_for_each_block(spark, monkeypatch):
                     want[i] = max(c, want.get(i, -2))
             top = lambda d: [(i, round(c, 5)) for i, c in sorted(d.items(), key=lambda y: (-y[1], y[0]))[:4]]
             assert top(got.get(q, {})) == top(want)
+
+
+def test_search_leaves_a_task_with_its_best_only(spark, monkeypatch):
+    from tessella.operators import ranking
+
+    units = spark.range(3000).selectExpr("id AS uidx", "concat('word', id % 7, ' word', id % 11, ' word', id % 3, ' other', id) AS search_text")
+    asked = spark.createDataFrame([(1, "word1 word2 word1"), (2, "word6 word10 other2999"), (3, "nothing")], "qid long, question string")
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    got = ranking.bm25(units, asked, 5)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and len(rows(got)) == 10
+    held = got._jdf.queryExecution().toRdd().count()
+    assert held == 10
+    monkeypatch.setattr(ranking, "SCORES", 30)
+    again = rows(ranking.bm25(units, asked, 5))
+    monkeypatch.setattr(ranking, "BROADCAST_TERMS", 1)
+    assert rows(got) == again == rows(ranking.bm25(units, asked, 5))
+    monkeypatch.setattr(ranking, "BROADCAST_TERMS", 200_000)
+    twice = units.unionByName(units.where("uidx < 20"))
+    few = rows(ranking.bm25(twice, asked, 5))
+    monkeypatch.setattr(ranking, "BROADCAST_TERMS", 1)
+    assert few == rows(ranking.bm25(twice, asked, 5))
