@@ -133,3 +133,12 @@ def test_search_leaves_a_task_with_its_best_only(spark, monkeypatch):
     few = rows(ranking.bm25(twice, asked, 5))
     monkeypatch.setattr(ranking, "BROADCAST_TERMS", 1)
     assert few == rows(ranking.bm25(twice, asked, 5))
+
+
+def test_a_long_text_is_cut_once_for_all_its_mentions(spark):
+    from tessella.operators import entities
+
+    paragraphs = spark.createDataFrame([(1, "src", "Here is AB. " * 2000)], "pid long, title string, context string")
+    began = time.time()
+    found = entities.contexts(entities.mentions(paragraphs), paragraphs).collect()
+    assert time.time() - began < 60 and len({r.mid for r in found}) == 2000 and {r.around for r in found} == {"Here is AB."}
