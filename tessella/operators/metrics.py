@@ -65,15 +65,18 @@ def summarize(rows: DataFrame, by: list[str], bucket: str, value: str) -> DataFr
 
 #: Cumulative Poisson(1) probabilities.
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+#: Rows and resamples whose weights are drawn at once.
+DRAWS = (250, 500)
 
 
 def bootstrap(rows: DataFrame, a: str, b: str, statistic: str = "difference", n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """95 % interval of mean(a) - mean(b), or of mean(a) / mean(b), over resamples by Poisson weights.
 
     A row's weight in a resample comes from a digest of its id and the resample, so
-    resampling is a map and a sum: no row moves, and the result does not depend on
-    partitions. A task sums its rows' weights as matrix products and returns a row for
-    each resample. Rows without both values take no part.
+    resampling is a map and a sum, and the result does not depend on partitions. As a row
+    takes a weight for each resample, rows are dealt out evenly first, by their digest. A
+    task sums its rows' weights as matrix products and returns a row for each resample.
+    Rows without both values take no part.
     """
     source = rows.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
 
@@ -81,22 +84,50 @@ def bootstrap(rows: DataFrame, a: str, b: str, statistic: str = "difference", n_
         import numpy as np
         import pyarrow as pa
 
+        first, second = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
         def mixed(h):
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = (h ^ (h >> np.uint64(30))) * first
+            h = (h ^ (h >> np.uint64(27))) * second
             return h ^ (h >> np.uint64(31))
 
-        boots = mixed(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        def begun(h):
+            return h ^ (h >> np.uint64(30))
+
+        boots = begun(mixed(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        # A draw's upper 16 bits say its weight, but where a bound falls among the draws that share them.
+        edges = np.arange((1 << 16) + 1) / (1 << 16)
+        low, high = np.searchsorted(POISSON, edges[:-1], side="right"), np.searchsorted(POISSON, edges[1:], side="left")
+        weights = np.where(low == high, low, -1.0)
         total = np.zeros((3, n_boot))
+        draw, moved, drawn = (np.empty(DRAWS[0] * DRAWS[1], kind) for kind in (np.uint64, np.uint64, float))
+
+        def add(h, x, i):
+            """Draws of some rows for some resamples: what is mixed keeps to the processor's cache, and its last step moves no upper bit."""
+            some = boots[i : i + DRAWS[1]]
+            d, m, w = (space[: len(h) * len(some)].reshape(len(h), len(some)) for space in (draw, moved, drawn))
+            np.bitwise_xor(h[:, None], some, out=d)
+            np.multiply(d, first, out=d)
+            np.right_shift(d, np.uint64(27), out=m)
+            np.bitwise_xor(d, m, out=d)
+            np.multiply(d, second, out=d)
+            np.right_shift(d, np.uint64(48), out=m)
+            np.take(weights, m.view(np.int64), out=w, mode="clip")
+            unsure = np.flatnonzero(w.reshape(-1) < 0)
+            last = d.reshape(-1)[unsure]
+            w.reshape(-1)[unsure] = np.searchsorted(POISSON, ((last ^ (last >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53, side="right")
+            total[:, i : i + DRAWS[1]] += x @ w
+
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
+            h = begun(batch.column("h").to_numpy().view(np.uint64))
             x = np.stack([batch.column("x").to_numpy(), batch.column("y").to_numpy(), np.ones(batch.num_rows)])
-            for i in range(0, n_boot, 1000):
-                draw = (mixed(h[:, None] ^ boots[None, i : i + 1000]) >> np.uint64(11)).astype(float) * 2.0**-53
-                total[:, i : i + 1000] += x @ np.searchsorted(POISSON, draw, side="right").astype(float)
+            for i in range(0, n_boot, DRAWS[1]):
+                for a in range(0, len(h), DRAWS[0]):
+                    add(h[a : a + DRAWS[0]], x[:, a : a + DRAWS[0]], i)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *map(pa.array, total)], names=["boot", "x", "y", "w"])
 
-    sums = source.mapInArrow(run, "boot long, x double, y double, w double").groupBy("boot").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("w").alias("w"))
+    dealt = source.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "h")
+    sums = dealt.mapInArrow(run, "boot long, x double, y double, w double").groupBy("boot").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("w").alias("w"))
     value = (F.col("x") - F.col("y")) / F.nullif(F.col("w"), F.lit(0.0)) if statistic == "difference" else F.col("x") / F.nullif(F.col("y"), F.lit(0.0))
     whole = source.agg((F.avg("x") - F.avg("y") if statistic == "difference" else F.avg("x") / F.nullif(F.avg("y"), F.lit(0.0))).alias("value"))
     return sums.agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high")).crossJoin(whole)

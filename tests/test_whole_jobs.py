@@ -142,3 +142,25 @@ def test_a_long_text_is_cut_once_for_all_its_mentions(spark):
     began = time.time()
     found = entities.contexts(entities.mentions(paragraphs), paragraphs).collect()
     assert time.time() - began < 60 and len({r.mid for r in found}) == 2000 and {r.around for r in found} == {"Here is AB."}
+
+
+def test_weights_of_resamples_are_those_of_their_draws(spark):
+    """Each weight is the number of bounds that its draw reaches, also where a bound falls among the draws that share their upper bits."""
+    import numpy as np
+
+    n, boots = 70, 2_100
+    rows = spark.range(n).select("id", (F.col("id") * 1.5).alias("a"), (F.col("id") % 7 + 1.0).alias("b"))
+    got = metrics.bootstrap(rows, "a", "b", "ratio", n_boot=boots, seed=3).first()
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    h = np.array([r.h for r in rows.select(F.xxhash64(F.lit(3), F.col("id")).alias("h")).collect()]).view(np.uint64)
+    draw = (mixed(h[:, None] ^ mixed(np.arange(1, boots + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(11)).astype(float) * 2.0**-53
+    weight = (draw[:, :, None] >= np.array(metrics.POISSON)).sum(axis=2)
+    # What is drawn at once fits into a processor's cache.
+    assert metrics.DRAWS[0] * metrics.DRAWS[1] <= 1 << 18
+    x, y = (np.array([r[c] for r in rows.collect()]) @ weight for c in ("a", "b"))
+    assert np.allclose(np.percentile(x / y, [2.5, 97.5]), [got.low, got.high], rtol=1e-12)
