@@ -102,3 +102,20 @@ def test_tidy_trims_native_memory_of_the_driver(spark, monkeypatch):
     monkeypatch.setattr(session, "_trim_driver", lambda s: called.append(inner(s)))
     session.tidy(spark)
     assert called == [None]
+
+
+def test_heaps_of_executors_are_collected_between_stages(spark, monkeypatch):
+    from tessella import session
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    counted = lambda: sum(b.getCollectionCount() for b in beans)
+    before = counted()
+    session._collect_executors(spark)
+    assert counted() > before
+    asked = []
+    monkeypatch.setattr(session, "_collect_executors", asked.append)
+    corpus_pipeline._scratch.clear(spark)
+    assert not asked  # a local master is its own executor
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,3000]")
+    corpus_pipeline._scratch.clear(spark)
+    assert asked == [spark]
