@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import blocks, metrics, parse
+from tessella.operators import blocks, corpus, entities, graph, metrics, parse, ranking
 from tessella.plans import catalog
 
 ITEM = "the very first words that all the documents of this small table hold in common today, and then a zebra ran"
@@ -164,3 +164,18 @@ def test_weights_of_resamples_are_those_of_their_draws(spark):
     assert metrics.DRAWS[0] * metrics.DRAWS[1] <= 1 << 18
     x, y = (np.array([r[c] for r in rows.collect()]) @ weight for c in ("a", "b"))
     assert np.allclose(np.percentile(x / y, [2.5, 97.5]), [got.low, got.high], rtol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["hop_interleave", "hop_merge", "beam_traverse", "beam_flat_stop"])
+def test_hops_and_beams_read_a_corpus_once(spark, tables, monkeypatch, name):
+    """Texts are searched, cut and looked through for mentions once, and what meets a beam's few steps is not shuffled."""
+    seen = []
+    for module, step in ((ranking, "bm25"), (entities, "mentions"), (corpus, "explode_sentences")):
+        monkeypatch.setattr(module, step, lambda *a, step=step, inner=getattr(module, step), **k: seen.append(step) or inner(*a, **k))
+    kept = []
+    monkeypatch.setattr(graph, "materialise", lambda frame, label, inner=graph.materialise: kept.append((label, frame._jdf.queryExecution().executedPlan().toString())) or inner(frame, label))
+    assert catalog.QUERIES[name](spark, tables).count()
+    beam = name.startswith("beam")
+    assert sorted(seen) == ["bm25", *["explode_sentences"] * beam, "mentions"]
+    texts = [plan for label, plan in kept if label == "beam-texts"]
+    assert len(texts) == 2 * beam and all("BroadcastHashJoin" in plan for plan in texts)
