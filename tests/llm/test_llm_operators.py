@@ -6,8 +6,11 @@ import itertools
 import random
 import re
 import struct
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,86 @@ def test_word_finder_has_equal_ways():
         assert [w.decode() for w in find(text.encode())] == full(text)
 
 
+def test_bpe_makes_no_object_for_each_word(monkeypatch):
+    _, pattern = public_vocabulary()
+    finder, made = bpe.word_finder, []
+
+    def counting(pattern):
+        find = finder(pattern)
+        return lambda text: made.append(found := find(text)) or found
+
+    monkeypatch.setattr(bpe, "word_finder", counting)
+    texts = ["The quick  brown fox's été, isn't it?\n\n 12 3a " * 50, "", None, "'sad 'll\t!'re x "]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    counts = Counter()
+    for out in bpe._count_words(pattern)(iter([batch, batch])):
+        counts.update(dict(zip(out.column("word").to_pylist(), out.column("n").to_pylist())))
+    want = Counter(w for t in texts for w in finder(pattern)((t or "").encode()))
+    assert counts == {w: 2 * n for w, n in want.items()}
+    assert not made
+
+
+def test_bpe_words_on_arrays_are_those_of_the_pattern():
+    for pattern in (bpe.COMMON_PATTERN, r"\p{L}+|'s"):
+        find, scan = bpe.word_finder(pattern), bpe.word_scanner(pattern)
+        random.seed(10)
+        for k in range(600):
+            letters = "ab 'stdvelr '0 1\n\té-!" if k % 2 else "ab Z'stdvelmr0 1²½_\n\t é-!?\x1c\x85ªº一Ⅷ€"
+            texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 14))).encode() for _ in range(20)]
+            words, want = scan(texts), [find(t) for t in texts]
+            assert [words.word(i) for i in range(len(words.starts))] == [w for found in want for w in found]
+            assert np.diff(words.first).tolist() == list(map(len, want))
+
+
+def test_bpe_tells_words_of_equal_hashes_apart():
+    ranks, _ = public_vocabulary()
+    kept = [b" abcdefgh-one-", b" abcdefgh-two-", b"q" * 20]
+    sizes = np.array(list(map(len, kept)))
+    ends, ids = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32), np.array([7, 8, 9], "<u2")
+    held = bpe.Vocabulary(np.array([5, 5, 6], np.uint64), ends, b"".join(kept), np.array([0, 2, 4, 6], np.uint32), ids.tobytes(), bpe._tokens(ranks))
+    asked = [b" abcdefgh-one-", b" abcdefgh-two-", b" abcdefgh-six-", b"q" * 20, b"q" * 19, b"q" * 20, b"z"]
+    sizes = np.array(list(map(len, asked)))
+    words = bpe.Words(np.frombuffer(b"".join(asked) + bytes(8), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([0, 7]), np.array([5, 5, 5, 6, 6, 7, 2**64 - 1], np.uint64))
+    assert held.find(words).tolist() == [0, 3, 3, 2, 3, 3, 3]
+
+
+def test_bpe_pieces_of_a_batch_come_together_again(monkeypatch):
+    ranks, pattern = public_vocabulary()
+    monkeypatch.setattr(bpe, "_CHUNK_BYTES", 64)
+    random.seed(12)
+    texts = ["", None, *("".join(random.choice(["ther", "in", "zq", " ", "'s", "1", "\n", "ß", "一"]) for _ in range(random.randint(0, 60))) for _ in range(60)), "x" + "ab" * 400, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+    find = bpe.word_finder(pattern)
+    kept = sorted({w for t in texts for w in find((t or "").encode()) if len(w) <= bpe.FOLD_BYTES})[::2]
+    packed = pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([bpe.merge_long(w, ranks) for w in kept], pa.list_(pa.int64()))], names=["word", "ids"])
+    (row,) = bpe._pack_words("<u2")(iter([packed]))
+    hashes, word_sizes, words, id_sizes, ids = (row.column(name)[0].as_py() for name in bpe._PACKED)
+    order = np.argsort(np.frombuffer(hashes, np.uint64), kind="stable")
+    word_ends, words = bpe._in_order(np.frombuffer(word_sizes, np.int32), words, order)
+    id_ends, ids = bpe._in_order(np.frombuffer(id_sizes, np.int32) * 2, ids, order)
+    shared = SimpleNamespace(value=(np.frombuffer(hashes, np.uint64)[order], word_ends, words, id_ends, ids, bpe._tokens(ranks)))
+
+    def folded(split):
+        for part in split:
+            rare = [[bpe.merge_long(bytes(w), ranks) for w in words] for words in part.column("rare").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(rare, pa.list_(pa.list_(pa.int64())))], names=["id", "known", "places", "folded"])
+
+    out = pa.Table.from_batches(bpe._joined("<u2", SimpleNamespace(value=bpe._tokens(ranks)))(folded(bpe._split_texts(pattern, shared)(iter([batch])))))
+    assert out.column("id").to_pylist() == list(range(len(texts)))
+    assert out.column("decoded").to_pylist() == [(t or "").encode() for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in out.column("ids").to_pylist()] == [[i for w in find((t or "").encode()) for i in bpe.merge_long(w, ranks)] for t in texts]
+
+
+def test_bpe_decodes_packed_ids(spark):
+    ranks, _ = public_vocabulary()
+    rows = spark.createDataFrame([(1, struct.pack("<3I", 0, 50255, 300)), (2, b""), (3, None), (4, struct.pack("<I", 5))], "id int, ids binary")
+    token = bpe._tokens(ranks)
+    got = {r.id: None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(rows, ranks).collect()}
+    assert got == {1: token[0] + token[50255] + token[300], 2: b"", 3: None, 4: token[5]}
+    with pytest.raises(Exception, match="IndexError"):
+        bpe.decode(spark.createDataFrame([(1, struct.pack("<I", 1 << 20))], "id int, ids binary"), ranks).collect()
+
+
 # --- 3
 
 
